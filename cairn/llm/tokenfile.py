@@ -30,11 +30,13 @@ from .common import scratch, settle, small_batches
 
 SEQUENCE = 1024
 ROWS = 1024
-#: Words that a worker remembers the ids of.
-CACHE = 300_000
+#: Words, and pieces of words, that a worker remembers the ids of: some 200 bytes each.
+CACHE = 600_000
 
 #: How the vocabulary file cuts normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Punctuation that is a piece of its own at a word's end.
+ENDS = frozenset(".,;:!?")
 #: Python's split() takes these for white space, the vocabulary file doesn't.
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 BLANKS = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -66,16 +68,29 @@ class WordEncoder:
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        plain, odd = {}, []
-        for w in words:
-            if "<|" in w or not w.isprintable() or not unicodedata.is_normalized("NFC", w) or not (w.isascii() or (max(w) < "ɐ" and "İ" not in w)):
-                odd.append(w)
-            else:
-                plain[w] = PIECES.findall(w.lower())
-        new = list({p for ps in plain.values() for p in ps}.difference(self.pieces))
+    def _pieces_of(self, w: str) -> list[str] | None:
+        """How the vocabulary file cuts a word; None if the word has to be encoded alone."""
+        if w.isalpha():
+            stem, end = w, ""
+        else:
+            stem, end = w[:-1], w[-1]
+            if end not in ENDS or not stem.isalpha():
+                if "<|" in w or not w.isprintable():
+                    return None
+                stem = ""
+        if not w.isascii() and (max(w) >= "ɐ" or "İ" in w or not unicodedata.is_normalized("NFC", w)):
+            return None
+        if stem:
+            return [stem.lower(), end] if end else [stem.lower()]
+        return PIECES.findall(w.lower())
+
+    def _learn(self, words: set[str]) -> None:
+        cut = {w: self._pieces_of(w) for w in words}
+        odd = [w for w, ps in cut.items() if ps is None]
+        wanted = {p for ps in cut.values() if ps for p in ps}
+        new = list(wanted.difference(self.pieces))
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
         for i in range(0, len(new), 1000):
             block = new[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, self.dtype)
@@ -86,16 +101,18 @@ class WordEncoder:
                 self.pieces.update((p, raw[a:b]) for p, a, b in zip(block, [0, *ends], ends))  # noqa: B905
             else:
                 self.pieces.update(zip(block, self._alone(block), strict=True))
-        self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in plain.items())
+        own = self.pieces
+        self.words.update((w, b"".join([own[p] for p in ps])) for w, ps in cut.items() if ps is not None)
         self.words.update(zip(odd, self._alone(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if SEPARATORS.isdisjoint(t) else BLANKS.split(t) for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = set().union(*split).difference(self.words)
+        wanted = set().union(*split)
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > CACHE:
+            self.words = {w: self.words[w] for w in wanted.difference(new)}
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         own = self.words
         return [b"".join([own[w] for w in ws]) for ws in split]
 
