@@ -1,5 +1,8 @@
 """Queries by operator, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import etl, geometry, measures, requirements, retrieval, spatial, store, tables, texts, tours  # noqa: F401  they register themselves
+from .registry import ORACLE_SQL, QUERIES
+
 ENTRY = "find_places"
+
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
