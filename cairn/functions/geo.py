@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,49 +101,57 @@ def box(lat: Column, lon: Column, radius_km: Column | float) -> tuple[Column, Co
     return r / 111.0, r / (F.lit(111.0) * F.greatest(F.lit(0.2), F.cos(F.radians(lat))))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def encode_line(points: Column, digits: int = 6) -> Column:
     """Polyline text of an array of struct(lon, lat)."""
     scale = float(10**digits)
     whole = F.transform(points, lambda p: F.struct(F.round(p["lat"] * scale).cast("long").alias("y"), F.round(p["lon"] * scale).cast("long").alias("x")))
 
-    def step(i: Column, name: str) -> Column:
-        own = F.element_at(whole, i.cast("int"))[name]
-        before = F.when(i > 1, F.element_at(whole, F.greatest(i - 1, F.lit(1)).cast("int"))[name]).otherwise(F.lit(0).cast("long"))
-        d = own - before
+    def moved(now: Column, before: Column) -> Column:
+        d = now - before
         return F.when(d < 0, F.bitwise_not(F.shiftleft(d, 1))).otherwise(F.shiftleft(d, 1))
 
-    def text(v: Column) -> Column:
-        # Groups of five bits, low ones first; every group but the last has 32 added.
-        count = F.greatest(F.lit(1), F.ceil(F.length(F.bin(v)) / 5).cast("int"))
-        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.char(F.shiftrightunsigned(v, 0) * 0 + F.pmod(F.floor(v / F.pow(F.lit(32.0), k)).cast("long"), F.lit(32)) + F.when(k < count - 1, 32).otherwise(0) + 63))
-        return F.array_join(parts, "")
+    def group(v: Column, k: int) -> Column:
+        # Five bits, low ones first; every group but the last has 32 added. Seven groups hold 180 degrees.
+        rest = F.shiftright(v, 5 * k)
+        own = F.char(rest.bitwiseAND(F.lit(31)) + F.when(rest >= 32, 32).otherwise(0) + 63)
+        return own if k == 0 else F.when(rest > 0, own).otherwise("")
+
+    def text(value: Column) -> Column:
+        return _once(value, lambda v: F.concat(*(group(v, k) for k in range(7))))
+
+    def joined(all_: Column) -> Column:
+        shifted = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"))), F.slice(all_, 1, F.size(all_) - 1))
+        return F.array_join(F.zip_with(all_, shifted, lambda p, q: F.concat(text(moved(p["y"], q["y"])), text(moved(p["x"], q["x"])))), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.size(points)), lambda i: F.concat(text(step(i, "y")), text(step(i, "x")))), "")
+    return F.when(F.size(points) > 0, _once(whole, joined)).otherwise("")
 
 
 def decode_line(text: Column, digits: int = 6) -> Column:
     """Array of struct(lon, lat) from polyline text."""
     scale = float(10**digits)
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c) - 63)
-    start = F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("unit"), F.array().cast("array<bigint>").alias("out"))
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
+    zero = F.lit(0).cast("long")
+    point = "array<struct<lon:double,lat:double>>"
+    start = F.struct(zero.alias("v"), F.lit(0).alias("bits"), zero.alias("y"), zero.alias("x"), F.lit(True).alias("first"), F.array().cast(point).alias("out"))
 
     def take(s: Column, c: Column) -> Column:
-        v = s["v"] + F.pmod(c, F.lit(32)) * s["unit"]
+        v = s["v"] + F.pmod(c, F.lit(32)) * F.pow(F.lit(2.0), s["bits"]).cast("long")
         done = c < 32
-        signed = F.when(v % 2 == 1, -(v + 1) / 2).otherwise(v / 2).cast("long")
-        return F.struct(
-            F.when(done, F.lit(0).cast("long")).otherwise(v).cast("long").alias("v"),
-            F.when(done, F.lit(1).cast("long")).otherwise(s["unit"] * 32).cast("long").alias("unit"),
-            F.when(done, F.concat(s["out"], F.array(signed))).otherwise(s["out"]).alias("out"),
-        )
-
-    steps = F.aggregate(F.filter(codes, lambda c: c >= 0), start, take, lambda s: s["out"])
-
-    def total(i: Column, odd: int) -> Column:
-        return F.aggregate(F.slice(steps, 1, i * 2), F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("k")), lambda s, d: F.struct((s["s"] + F.when(s["k"] % 2 == odd, d).otherwise(0)).alias("s"), (s["k"] + 1).alias("k")), lambda s: s["s"])
-
-    n = (F.size(steps) / 2).cast("int")
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((total(i, 1) / scale).alias("lon"), (total(i, 0) / scale).alias("lat")))
+        return _once(v, lambda v: _once(F.when(v % 2 == 1, -(v + 1) / 2).otherwise(v / 2).cast("long"), lambda d: F.struct(
+            F.when(done, zero).otherwise(v).alias("v"),
+            F.when(done, 0).otherwise(s["bits"] + 5).alias("bits"),
+            F.when(done & s["first"], s["y"] + d).otherwise(s["y"]).alias("y"),
+            F.when(done & ~s["first"], s["x"] + d).otherwise(s["x"]).alias("x"),
+            F.when(done, ~s["first"]).otherwise(s["first"]).alias("first"),
+            F.when(done & ~s["first"], F.concat(s["out"], F.array(F.struct(((s["x"] + d) / scale).alias("lon"), (s["y"] / scale).alias("lat"))))).otherwise(s["out"]).alias("out"),
+        )))
+
+    return F.aggregate(codes, start, take, lambda s: s["out"])
 
 
 def heading(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .groups import Columns, by_group
 
 #: Fixed values of the resampling: how many, the seed, and what the interval leaves out.
 RESAMPLES = 10_000
@@ -21,26 +21,26 @@ def greedy_matches(reference: DataFrame, answer: DataFrame, *, key: str, metres:
     The order decides, so a case is matched in one task; a case holds the stops of two walks.
     """
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        b = b.sort_values("ordinal", kind="stable")
-        for r in a.sort_values("ordinal", kind="stable").itertuples():
-            best = None
-            for s in b.itertuples():
-                if s.ordinal in used:
-                    continue
-                p, q = np.radians(r.lat), np.radians(s.lat)
-                h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(s.lon - r.lon) / 2) ** 2
-                d = 2 * geo.EARTH_M * np.arcsin(min(1.0, np.sqrt(h)))
-                if d <= metres and (best is None or (d, s.ordinal) < best):
-                    best = (d, s.ordinal)
-            if best:
-                used.add(best[1])
-            out.append((getattr(r, key), r.ordinal, best[1] if best else None, best[0] if best else None))
-        return pd.DataFrame(out, columns=[key, "ordinal", "matched", "metres"]).astype({"matched": "Int32"})
+    def solve(own: Columns) -> Columns:
+        asked, given = ({c: v[own["answered"] == k] for c, v in own.items()} for k in (0, 1))
+        n = len(asked["ordinal"])
+        matched, far = np.full(n, np.nan), np.full(n, np.nan)
+        p, q = np.radians(asked["lat"])[:, None], np.radians(given["lat"])
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(given["lon"] - asked["lon"][:, None]) / 2) ** 2
+        d = 2 * geo.EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+        d[~(d <= metres)] = np.inf
+        for i in range(n if d.size else 0):
+            j = int(np.argmin(d[i]))  # of equals the first
+            if np.isfinite(d[i, j]):
+                matched[i], far[i] = given["ordinal"][j], d[i, j]
+                d[:, j] = np.inf
+        return {key: asked[key], "ordinal": asked["ordinal"], "matched": matched, "metres": far}
 
     cols = [key, "ordinal", "lat", "lon"]
-    return reference.select(*cols).groupBy(key).cogroup(answer.select(*cols).groupBy(key)).applyInPandas(run, f"{key} long, ordinal int, matched int, metres double")
+    both = reference.select(*cols, F.lit(0).alias("answered")).unionByName(answer.select(*cols, F.lit(1).alias("answered")))
+    out = by_group(both, key, ["answered", "ordinal"], solve, f"{key} long, ordinal int, matched double, metres double")
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return out.select(key, "ordinal", known("matched").cast("int").alias("matched"), known("metres").alias("metres"))
 
 
 def kendall_tau(ranks: DataFrame, key: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .groups import Columns, by_group
 from .spatial import _cell_size
 
 
@@ -47,18 +48,18 @@ def twins(rows: DataFrame, *, metres: float = 5.0) -> DataFrame:
         if not moved:
             break
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
+    def walk(own: Columns) -> Columns:
         heads: list[tuple[float, float, int]] = []
-        out = []
-        for r in group.sort_values("place_id").itertuples():
-            found = next((h for h in heads if _metres(r.lat, r.lon, h[0], h[1]) < metres), None)
-            if found is None:
-                heads.append((r.lat, r.lon, r.place_id))
-            out.append((r.place_id, found[2] if found else r.place_id))
-        return pd.DataFrame(out, columns=["place_id", "head"])
-
-    placed = keyed.join(patch, ["name", "category", "cell"])
-    return placed.select("place_id", "name", "category", "lat", "lon", "patch").groupBy("name", "category", "patch").applyInPandas(walk, "place_id long, head long")
+        found = []
+        for i, lat, lon in zip(own["place_id"].tolist(), own["lat"].tolist(), own["lon"].tolist(), strict=True):
+            head = next((h[2] for h in heads if _metres(lat, lon, h[0], h[1]) < metres), None)
+            if head is None:
+                heads.append((lat, lon, i))
+            found.append(i if head is None else head)
+        return {"place_id": own["place_id"], "head": np.array(found)}
+
+    placed = keyed.join(patch, ["name", "category", "cell"]).withColumn("group", F.to_json(F.struct("name", "category", "patch")))
+    return by_group(placed.select("group", "place_id", "lat", "lon"), "group", ["place_id"], walk, "place_id long, head long")
 
 
 def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:

@@ -6,12 +6,14 @@ import math
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .groups import Columns, by_group
 
+#: A square of costs; rows of floats are the quickest for small problems.
+Costs = np.ndarray | list[list[float]]
 UNREACHABLE = 1e9
 #: Limits of a leg by profile, in metres, and its share of the time budget.
 LEG_METRES = {"foot": 5000.0, "bicycle": 20000.0}
@@ -54,16 +56,16 @@ def leg_cap_seconds(profile: Column, budget_minutes: Column) -> Column:
     return F.when(profile == "foot", capped("foot")).when(profile == "bicycle", capped("bicycle")).otherwise(F.coalesce(budget_minutes * 60, F.lit(4 * 3600.0)))
 
 
-def _cost(m: np.ndarray, order: tuple[int, ...] | list[int]) -> float:
-    return float(sum(m[a, b] for a, b in zip(order, order[1:])))  # noqa: B905
+def _cost(m: Costs, order: tuple[int, ...] | list[int]) -> float:
+    return float(sum(m[a][b] for a, b in zip(order, order[1:])))  # noqa: B905
 
 
-def best_open_tour(m: np.ndarray) -> list[int]:
+def best_open_tour(m: Costs) -> list[int]:
     """The cheapest order of all stops, none fixed; the first in order of equals."""
     return list(min(permutations(range(len(m))), key=lambda o: (round(_cost(m, o), 6), o)))
 
 
-def insertion_tour(m: np.ndarray, cap: float = math.inf) -> list[int]:
+def insertion_tour(m: Costs, cap: float = math.inf) -> list[int]:
     """Regret-2 insertion from the first stop: the stop that loses most by waiting goes in where it is cheapest. Legs over cap are kept out."""
     order, left = [0], set(range(1, len(m)))
     while left:
@@ -72,9 +74,9 @@ def insertion_tour(m: np.ndarray, cap: float = math.inf) -> list[int]:
             costs = []
             for k in range(len(order) + 1):
                 before, after = order[k - 1] if k else None, order[k] if k < len(order) else None
-                into, out = (m[before, s] if before is not None else 0.0), (m[s, after] if after is not None else 0.0)
+                into, out = (m[before][s] if before is not None else 0.0), (m[s][after] if after is not None else 0.0)
                 if into <= cap and out <= cap:
-                    costs.append((into + out - (m[before, after] if before is not None and after is not None else 0.0), k))
+                    costs.append((into + out - (m[before][after] if before is not None and after is not None else 0.0), k))
             if not costs:
                 continue
             costs.sort()
@@ -88,21 +90,21 @@ def insertion_tour(m: np.ndarray, cap: float = math.inf) -> list[int]:
     return order
 
 
-def nearest_tours(m: np.ndarray, starts: int = 5) -> list[int]:
+def nearest_tours(m: Costs, starts: int = 5) -> list[int]:
     """Nearest-neighbour tours from a few shuffled starts, each polished; the cheapest."""
     first = np.random.default_rng(SEED).permutation(len(m))[:starts]
     tours = []
     for s in first:
         order, left = [int(s)], set(range(len(m))) - {int(s)}
         while left:
-            nxt = min(left, key=lambda j: (m[order[-1], j], j))
+            nxt = min(left, key=lambda j: (m[order[-1]][j], j))
             order.append(nxt)
             left.discard(nxt)
         tours.append(polished(m, order))
     return min(tours, key=lambda o: (round(_cost(m, o), 6), o))
 
 
-def polished(m: np.ndarray, order: list[int]) -> list[int]:
+def polished(m: Costs, order: list[int]) -> list[int]:
     """Reversals and moves of up to three stops, until none is cheaper."""
     n = len(order)
     while True:
@@ -124,14 +126,14 @@ def polished(m: np.ndarray, order: list[int]) -> list[int]:
         order = better
 
 
-def tour(m: np.ndarray) -> list[int]:
+def tour(m: Costs) -> list[int]:
     """All orders up to six stops, beyond that the better of two heuristics."""
     if len(m) <= EXHAUSTIVE:
         return best_open_tour(m)
     return min((polished(m, insertion_tour(m)), nearest_tours(m)), key=lambda o: (round(_cost(m, o), 6), o))
 
 
-def shortest_reference(m: np.ndarray, most: int = 12) -> list[int]:
+def shortest_reference(m: Costs, most: int = 12) -> list[int]:
     """Held-Karp for an open tour of few stops; of equals the first in order; else the nearest-neighbour tour."""
     n = len(m)
     if n > most:
@@ -144,7 +146,7 @@ def shortest_reference(m: np.ndarray, most: int = 12) -> list[int]:
                 continue
             for nxt in range(n):
                 if not mask >> nxt & 1:
-                    found = (round(held[0] + m[last, nxt], 6), (*held[1], nxt))
+                    found = (round(held[0] + m[last][nxt], 6), (*held[1], nxt))
                     to = (mask | 1 << nxt, nxt)
                     if to not in best or found < best[to]:
                         best[to] = found
@@ -152,7 +154,7 @@ def shortest_reference(m: np.ndarray, most: int = 12) -> list[int]:
     return list(min(best[full, i] for i in range(n))[1]) if n else []
 
 
-def trimmed(m: np.ndarray, order: list[int], minutes: np.ndarray, budget_s: float, keep: set[int]) -> list[int]:
+def trimmed(m: Costs, order: list[int], minutes: np.ndarray, budget_s: float, keep: set[int]) -> list[int]:
     """Drops the stop that saves most until the walk fits its budget; stops that must be visited stay."""
     order = list(order)
     total = lambda o: _cost(m, o) + float(sum(minutes[i] for i in o)) * 60
@@ -164,36 +166,36 @@ def trimmed(m: np.ndarray, order: list[int], minutes: np.ndarray, budget_s: floa
     return order
 
 
-def _problem(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    rows = rows.sort_values("ordinal", kind="stable").reset_index(drop=True)
-    lat, lon = np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lon"].to_numpy(float))
+def _problem(own: Columns) -> np.ndarray:
+    """Seconds on foot between the stops of a walk."""
+    lat, lon = np.radians(own["lat"].astype(float)), np.radians(own["lon"].astype(float))
     a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-    return rows, 2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(a))) / (geo.SPEEDS["foot"] / 3.6)
+    return 2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(a))) / (geo.SPEEDS["foot"] / 3.6)
 
 
 def ordered(stops: DataFrame, *, method: str = "tour", key: str = "route_id") -> DataFrame:
     """key, position, place_id, seconds (of the whole walk): each problem ordered by tour, shortest_reference, insertion_tour or nearest_tours."""
-    solve = {"tour": tour, "shortest_reference": shortest_reference, "insertion_tour": insertion_tour, "nearest_tours": nearest_tours}[method]
+    way = {"tour": tour, "shortest_reference": shortest_reference, "insertion_tour": insertion_tour, "nearest_tours": nearest_tours}[method]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, m = _problem(rows)
-        order = solve(m)
-        return pd.DataFrame({key: rows[key].iloc[0], "position": range(len(order)), "place_id": rows["place_id"].to_numpy()[order], "seconds": _cost(m, order)})
+    def solve(own: Columns) -> Columns:
+        m = _problem(own).tolist()
+        order = way(m)
+        return {key: own[key][: len(order)], "position": np.arange(len(order)), "place_id": own["place_id"][order], "seconds": np.full(len(order), _cost(m, order))}
 
-    return stops.select(key, "ordinal", "place_id", "lat", "lon").groupBy(key).applyInPandas(run, f"{key} long, position int, place_id long, seconds double")
+    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon"), key, ["ordinal"], solve, f"{key} long, position int, place_id long, seconds double")
 
 
 def fitted(stops: DataFrame, *, budget_minutes: float, key: str = "route_id") -> DataFrame:
     """key, position, place_id: walks ordered and trimmed to a budget; the first stop stays. stops: also visit_minutes, must."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, m = _problem(rows)
-        minutes = rows["visit_minutes"].fillna(15).to_numpy(float)
-        keep = set(np.flatnonzero(rows["must"].to_numpy(bool)).tolist())
+    def solve(own: Columns) -> Columns:
+        m = _problem(own).tolist()
+        minutes = np.nan_to_num(own["visit_minutes"].astype(float), nan=15.0)
+        keep = set(np.flatnonzero(own["must"].astype(bool)).tolist())
         order = trimmed(m, tour(m), minutes, budget_minutes * 60, keep)
-        return pd.DataFrame({key: rows[key].iloc[0], "position": range(len(order)), "place_id": rows["place_id"].to_numpy()[order]})
+        return {key: own[key][: len(order)], "position": np.arange(len(order)), "place_id": own["place_id"][order]}
 
-    return stops.select(key, "ordinal", "place_id", "lat", "lon", "visit_minutes", "must").groupBy(key).applyInPandas(run, f"{key} long, position int, place_id long")
+    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon", "visit_minutes", "must"), key, ["ordinal"], solve, f"{key} long, position int, place_id long")
 
 
 def detours(per_leg: DataFrame, services: DataFrame, *, most_seconds: float, key: str = "route_id") -> DataFrame:
@@ -220,31 +222,32 @@ def detours(per_leg: DataFrame, services: DataFrame, *, most_seconds: float, key
 def pruned_unreachable(stops: DataFrame, cap_seconds: float, *, key: str = "route_id") -> DataFrame:
     """key, ordinal, place_id, kept: a stop whose leg from the last kept one is over the cap is left out, in order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, m = _problem(rows)
-        last, kept = 0, [True] + [False] * (len(rows) - 1)
-        for i in range(1, len(rows)):
-            if m[last, i] <= cap_seconds:
+    def solve(own: Columns) -> Columns:
+        m = _problem(own).tolist()
+        last, kept = 0, [True] + [False] * (len(m) - 1)
+        for i in range(1, len(m)):
+            if m[last][i] <= cap_seconds:
                 last, kept[i] = i, True
-        return pd.DataFrame({key: rows[key], "ordinal": rows["ordinal"], "place_id": rows["place_id"], "kept": kept})
+        return {key: own[key], "ordinal": own["ordinal"], "place_id": own["place_id"], "kept": np.array(kept)}
 
-    return stops.select(key, "ordinal", "place_id", "lat", "lon").groupBy(key).applyInPandas(run, f"{key} long, ordinal int, place_id long, kept boolean")
+    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon"), key, ["ordinal"], solve, f"{key} long, ordinal int, place_id long, kept boolean")
 
 
 def thinned(points: DataFrame, *, gap_m: float, most: int, key: str) -> DataFrame:
     """key, place_id: nearest to the group's centre first, each kept if it is far enough from those kept; at most so many."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place_id", kind="stable").reset_index(drop=True)
-        rows, m = _problem(rows.assign(ordinal=range(len(rows))))
-        y, x = rows["lat"].mean(), rows["lon"].mean()
-        far = (rows["lat"] - y) ** 2 + (rows["lon"] - x) ** 2
+    def solve(own: Columns) -> Columns:
+        lat, lon = own["lat"].astype(float), own["lon"].astype(float)
+        far = (lat - lat.mean()) ** 2 + (lon - lon.mean()) ** 2
+        lat, lon = np.radians(lat), np.radians(lon)
         kept: list[int] = []
-        metres = m * (geo.SPEEDS["foot"] / 3.6)
-        for i in far.sort_values(kind="stable").index:
-            if len(kept) < most and all(metres[i, k] >= gap_m for k in kept):
+        for i in np.argsort(far, kind="stable").tolist():
+            if len(kept) == most:
+                break
+            h = np.sin((lat[kept] - lat[i]) / 2) ** 2 + np.cos(lat[kept]) * np.cos(lat[i]) * np.sin((lon[kept] - lon[i]) / 2) ** 2
+            if (2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h))) >= gap_m).all():
                 kept.append(i)
-        return pd.DataFrame({key: rows[key].iloc[0], "place_id": rows["place_id"].to_numpy()[kept]})
+        return {key: own[key][kept], "place_id": own["place_id"][kept]}
 
     kind = dict(points.dtypes)[key]
-    return points.select(key, "place_id", "lat", "lon").groupBy(key).applyInPandas(run, f"{key} {kind}, place_id long")
+    return by_group(points.select(key, "place_id", "lat", "lon"), key, ["place_id"], solve, f"{key} {kind}, place_id long")

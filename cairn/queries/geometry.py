@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import calendar, geo
+from ..operators.groups import dealt
 from .registry import query
 
 ROUTE = "area-0"
@@ -68,7 +69,7 @@ def geo_06_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_08_encoded_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks as encoded lines and back: what is decoded is what was encoded, to six digits."""
     line = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "lon", "lat"))), lambda s: F.struct(s["lon"].alias("lon"), s["lat"].alias("lat")))
-    coded = views.stops(spark, sf_dir).groupBy("route_id").agg(line.alias("line")).select("route_id", geo.encode_line(F.col("line")).alias("text"))
+    coded = dealt(views.stops(spark, sf_dir), "route_id").groupBy("route_id").agg(line.alias("line")).select("route_id", geo.encode_line(F.col("line")).alias("text"))
     back = coded.select("route_id", F.posexplode(geo.decode_line(F.col("text"))).alias("k", "p"))
     return back.select("route_id", (F.col("k") + 1).alias("ordinal"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 

@@ -93,11 +93,11 @@ def agg_23_24_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.round(F.avg("ok"), 9).alias("rate"), F.count("*").alias("cases"), F.count(counted).alias("counted"), F.round(F.avg(counted), 9).alias("known_aside"))
 
 
-@query(views.sql("SELECT case_id, round(sum(CAST(w AS DOUBLE) * v) FILTER (WHERE v IS NOT NULL) / nullif(sum(w) FILTER (WHERE v IS NOT NULL), 0), 9) AS total FROM (SELECT case_id, 3 AS w, recall AS v FROM runs UNION ALL SELECT case_id, 1, precision FROM runs) GROUP BY case_id", "runs"))
+@query(views.sql("SELECT case_id, round(sum(CAST(w AS DOUBLE) * v) FILTER (WHERE v IS NOT NULL) / nullif(sum(w) FILTER (WHERE v IS NOT NULL), 0), 12) AS total FROM (SELECT case_id, 3 AS w, recall AS v FROM runs UNION ALL SELECT case_id, 1, precision FROM runs) GROUP BY case_id", "runs"))
 def agg_24_26_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted total over the stages that were measured."""
     long = views.runs(spark, sf_dir).unpivot("case_id", ["recall", "precision"], "metric", "v").withColumn("w", F.when(F.col("metric") == "recall", 3).otherwise(1)).withColumn("w", F.when(F.col("v").isNotNull(), F.col("w")))
-    return long.groupBy("case_id").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 9).alias("total"))
+    return long.groupBy("case_id").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 12).alias("total"))
 
 
 @query(views.sql("SELECT s.route_id, round(avg(CAST(p.place_id IS NOT NULL AS INTEGER)), 9) AS share, bool_and(p.place_id IS NOT NULL) AS whole FROM stops s LEFT JOIN (SELECT place_id FROM places WHERE category IN ('economy', 'promo', 'small', 'medium')) p USING (place_id) GROUP BY s.route_id", "stops", "places"))

@@ -35,10 +35,10 @@ def find_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_find_places(views.query_vectors(spark, sf_dir), views.places(spark, sf_dir), views.place_vectors(spark, sf_dir))
 
 
-@query(views.sql(VECTOR + " SELECT query_id, place_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM near", "query_vectors", "place_vectors"))
+@query(views.sql(VECTOR + " SELECT query_id, place_id, round(distance, 9) + CAST(0 AS DOUBLE) AS distance, CAST(rank AS INTEGER) AS rank FROM near", "query_vectors", "place_vectors"))
 def top_01_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.vector_top_k(views.query_vectors(spark, sf_dir), views.place_vectors(spark, sf_dir))
-    return found.select("query_id", "place_id", F.round("distance", 9).alias("distance"), "rank")
+    return found.select("query_id", "place_id", (F.round("distance", 9) + F.lit(0.0)).alias("distance"), "rank")
 
 
 ALIAS = """, asked AS (SELECT * FROM (VALUES (1, 'small ring'), (2, 'widget red'), (3, 'larg bolt'), (4, 'gear')) t(query_id, words)),

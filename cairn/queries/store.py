@@ -193,15 +193,15 @@ def msc_05_visited_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last")).orderBy(F.desc("last"), "user_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown case' ELSE 'scored' END AS verdict, CASE WHEN c_custkey IS NOT NULL THEN round(o_totalprice / 2, 2) END AS score FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 13 <> 0) ON c_custkey = o_custkey")
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown case' ELSE 'scored' END AS verdict, CASE WHEN c_custkey IS NOT NULL THEN o_totalprice / 2 END AS score FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 13 <> 0) ON c_custkey = o_custkey")
 def msc_09_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored answers scored anew; those of an unknown case are errors, not dropped (also MSC-17)."""
     c = views.read(spark, sf_dir, "customer").where("c_custkey % 13 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
     o = views.read(spark, sf_dir, "orders").join(c, "o_custkey", "left")
-    return o.select("o_orderkey", F.when(F.col("known").isNull(), "unknown case").otherwise("scored").alias("verdict"), F.when(F.col("known").isNotNull(), F.round(F.col("o_totalprice") / 2, 2)).alias("score"))
+    return o.select("o_orderkey", F.when(F.col("known").isNull(), "unknown case").otherwise("scored").alias("verdict"), F.when(F.col("known").isNotNull(), F.col("o_totalprice") / 2).alias("score"))
 
 
-@query(views.sql("SELECT place_id, json_extract_string(j, '$.name') AS name, json_extract_string(j, '$.at[0]') AS lat FROM (SELECT place_id, '{\"name\":\"' || name || '\",\"at\":[' || printf('%.3f', lat) || ']}' AS j FROM places)", "places"))
+@query(views.sql("SELECT place_id, json_extract_string(j, '$.name') AS name, json_extract_string(j, '$.at[0]') AS lat FROM (SELECT place_id, '{\"name\":\"' || name || '\",\"at\":[\"' || printf('%.3f', lat) || '\"]}' AS j FROM places)", "places"))
 def msc_03_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested payloads to JSON and read back (also MSC-04)."""
     body = F.to_json(F.struct("name", F.array(F.format_string("%.3f", "lat")).alias("at")))

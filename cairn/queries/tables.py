@@ -107,7 +107,7 @@ def src_17_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.places(spark, sf_dir).select("place_id", "name").join(F.broadcast(wanted), "place_id", "left_semi")
 
 
-@query("""WITH RECURSIVE r(id, at, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 400 UNION ALL SELECT id, at // 3, hops + 1 FROM r WHERE at % 3 = 0 AND at > 0 AND hops < 5) SELECT id, max_by(at, hops) AS target, CAST(max(hops) AS INTEGER) AS hops FROM r GROUP BY id""")
+@query("""WITH RECURSIVE r(id, now, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 400 UNION ALL SELECT id, now // 3, hops + 1 FROM r WHERE now % 3 = 0 AND now > 0 AND hops < 5) SELECT id, max_by(now, hops) AS target, CAST(max(hops) AS INTEGER) AS hops FROM r GROUP BY id""")
 def src_25_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redirects followed five times at most, by repeated joins."""
     pages = views.read(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"))
