@@ -103,7 +103,7 @@ def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def search(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if shard.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        points, wanted = _exact(_matrix(shard["vector"]), _matrix(queries["vector"]))
+        points, wanted = _exact(_matrix(shard["vector"]), _matrix(queries["wanted"]))
         tree = KDTree(points, shard["vec_id"].to_numpy(np.int64))
         out = []
         for i in range(0, len(queries), BLOCK_ROWS):
@@ -134,14 +134,14 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 5, scale: float = 256
     all_ = settle(whole_vectors(vectors, id_col=id_col, vector_col=vector_col, scale=scale), "vectors")
     shards = max(1, -(-all_.count() // SHARD_ROWS))
     dealt = all_.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
-    asked = all_.where(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector")
+    asked = all_.where(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted"))
     search = _searcher(k)
 
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
     def through(floors: DataFrame, first: int, last: int) -> DataFrame:
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-        sent = floors.select("*", block, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"))
+        sent = floors.select("query_id", "wanted", "floor", block, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"))
         own = dealt.where(F.col("shard").between(first, last)).select("vec_id", "vector", F.col("shard").cast("int"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
         return own.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(lambda a, b: search(a, b), RESULT)
 
