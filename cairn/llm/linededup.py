@@ -4,9 +4,11 @@ The state is a table of reference counts (in how many documents a line's key sta
 shard of keys, which holds the keys at or over the limit. Counts and filters can be raised by new documents and
 lowered again by deleted ones, a filter entry being removed when its count falls below the limit.
 
-To drop lines, documents' keys are looked up in the filters first; only keys that a filter may hold are joined to
-the exact table, and only documents with a key that it confirms are rewritten. Filters are broadcast while their
-checked size allows; beyond it, keys go to their filter by shard.
+To drop lines, documents' keys are looked up in the filters first; only keys that a filter may hold are held against
+the exact table, and only documents with a key that it confirms are rewritten. While the common keys are few enough
+(``BROADCAST_KEYS``, counted first) they travel with the filters, and no text is shuffled. Beyond that, keys that a
+filter may hold are joined to the table; filters are broadcast while their checked size allows, and past it keys go
+to their filter by shard.
 
 A key is 128 bits of two seeded hashes of the normalised line. Counting is by row: repeated rows are documents of
 their own. A null text is one empty line, and empty keys are never dropped; an empty table gives an empty result;
@@ -20,19 +22,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, settle, small_batches
 
 BLANK = " \t\n\x0b\x0c\r"
+BLANK_BYTES = BLANK.encode()
 SLOTS = 4
 LOAD = 0.8
 #: Keys that one filter holds.
 SHARD_KEYS = 200_000
 #: Bytes of all filters that may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Common keys, of 16 bytes each, that may be broadcast.
+BROADCAST_KEYS = 1_000_000
 MOVES = 500
+#: Fixed value: the seed of Spark's xxhash64().
+SEED = 42
 
 
 class CuckooFilter:
@@ -194,15 +202,82 @@ def _may_hold(keyed: DataFrame, filters: DataFrame) -> DataFrame:
     return joined.groupBy("shard", "salt").applyInPandas(probe_shard, keyed.schema)
 
 
-def drop_common_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame, *, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class CommonKeys:
+    """Exact keys, and the filters that are asked first; made once a task."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, filters: dict[int, bytes], shards: int) -> None:
+        self.known = {int(x): set() for x in a}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            self.known[x].add(y)
+        self.filters = {k: CuckooFilter.of(v) for k, v in filters.items() if v is not None}
+        self.shards = shards
+        self.line_seed = _unsigned(b"line", SEED)
+
+    def maybe(self, a: np.ndarray) -> np.ndarray:
+        """Whether a filter may hold each key."""
+        where = np.mod(a, self.shards)
+        hit = np.zeros(len(a), bool)
+        for k in np.unique(where):
+            if k in self.filters:
+                hit[where == k] = self.filters[k].contains(a[where == k])
+        return hit
+
+    def sure(self, a: int, line: bytes) -> bool:
+        own = self.known.get(a)
+        return own is not None and _signed(_unsigned(line, self.line_seed)) in own
+
+
+def _unsigned(raw: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _dropped(text: str | None, common: CommonKeys) -> tuple[int, int, str]:
+    """Lines before, lines dropped, the text left. Keys are those of line_key()."""
+    text = text or ""
+    keys = [line.strip(BLANK_BYTES) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys)).view(np.int64)
+    gone = {int(i) for i in np.flatnonzero(common.maybe(hashes)) if keys[i] and common.sure(int(hashes[i]), keys[i])}
+    if not gone:
+        return len(keys), 0, text
+    return len(keys), len(gone), "\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone])
+
+
+def _drop_by_broadcast(docs: DataFrame, keys: DataFrame, filters: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """keys: a, b, of a checked number. No shuffle: every text is split where it is read."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    table, held = keys.select("a", "b").toArrow(), filters.collect()
+    a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+    carried = spark.sparkContext.broadcast((a, b, {r["shard"]: r["filter"] for r in held}, held[0]["shards"] if held else 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = CommonKeys(*carried.value)
+        for batch in batches:
+            rows = [_dropped(t, common) for t in batch.column(1).to_pylist()]
+            n, dropped, kept = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept string").withColumnRenamed("doc_id", id_col)
+
+
+def drop_common_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame, *, least: int, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """id_col, n_lines (before), n_dropped, kept (the text left) for every row; lines whose key stands in at least so many documents go."""
+    common = counts.where(F.col("n") >= least).select("a", "b")
+    if common.count() <= broadcast_keys:
+        return _drop_by_broadcast(docs, common, filters, id_col=id_col, text_col=text_col)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     text = F.coalesce("text", F.lit(""))
     # Equal texts lose the same lines, so a text's hash names the row.
     picked = picked.withColumn("row_a", F.xxhash64(text)).withColumn("row_b", F.xxhash64(F.lit("text"), text))
     keyed = picked.select("row_a", "row_b", F.explode(doc_keys(picked)).alias("k")).select("row_a", "row_b", "k.a", "k.b")
     maybe = _may_hold(keyed, filters)
-    sure = maybe.join(counts.where(F.col("n") >= least).select("a", "b"), ["a", "b"])
+    sure = maybe.join(common, ["a", "b"])
     gone = sure.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("a", "b")).alias("gone"))  # the lines of one text at most
     out = picked.join(gone, ["row_a", "row_b"], "left")
     lines = lines_of(F.col("text"))

@@ -378,6 +378,18 @@ def test_lines_against_brute_force(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_lines_go_alike_by_broadcast_and_by_join(spark):
+    texts = [(k, f"mine {k}\n  Shared É\t\n{'late' if k % 2 else ''}\n\x85odd\x85\r\n\nend") for k in range(30)] + [(40, None), (41, ""), (41, "SHARED É\n\nsingle")]
+    docs = docs_of(spark, texts)
+    counts = common.settle(linededup.reference_counts(docs), "counts")
+    filters = common.settle(linededup.build_filters(counts.where("n >= 10").select("a", "b")), "filters")
+    ways = [linededup.drop_common_lines(docs, counts, filters, least=10, broadcast_keys=n) for n in (1000, 0)]
+    a, b = (sorted(map(tuple, w.select("doc_id", "n_lines", "n_dropped", "kept").collect()), key=repr) for w in ways)
+    assert a == b
+    assert len(a) == len(texts)
+    assert sum(r[2] for r in a) == 30 * 3 + 15 + 1
+
+
 def test_line_dedup_is_reversible(spark):
     old = docs_of(spark, [(k, f"mine {k}\nshared") for k in range(12)])
     new = docs_of(spark, [(50 + k, f"other {k}\nlate") for k in range(12)])
