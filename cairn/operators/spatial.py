@@ -52,9 +52,12 @@ def segments(path: DataFrame, key: str, order: str) -> DataFrame:
     return legs.withColumn("before", F.sum("metres").over(Window.partitionBy(key).orderBy("seq")) - F.col("metres"))
 
 
-def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str) -> DataFrame:
-    """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie."""
-    size = _cell_size(metres) * 4
+def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str, cell: float = 0.002) -> DataFrame:
+    """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie.
+
+    cell, in degrees, should be about as long as a leg: a leg is sent to all cells around it, which a narrow reach must not make many.
+    """
+    size = max(_cell_size(metres) * 4, cell)
     a, b = (F.col("a_lat"), F.col("a_lon")), (F.col("b_lat"), F.col("b_lon"))
     reach = _cell_size(metres)
     wide_a = (F.least(a[0], b[0]) - reach, F.least(a[1], b[1]) - reach)

@@ -36,6 +36,11 @@ def service(on_route: Column, beside: Column, measured: Column, hard: Column) ->
     return F.when(on_route | beside, SATISFIED).when(~measured, UNCERTAIN).when(hard, UNMET).otherwise(UNCERTAIN)
 
 
+def step_free(on_line: Column, drawn: Column, measured: Column) -> Column:
+    """Steps on the line break it; without a line, or data on steps, it is uncertain."""
+    return F.when(~drawn | ~measured, UNCERTAIN).when(on_line, UNMET).otherwise(SATISFIED)
+
+
 def gated(status: Column, geometry_ok: Column) -> Column:
     """Without sound geometry nothing is more than uncertain."""
     return F.when((status == SATISFIED) & ~geometry_ok, UNCERTAIN).otherwise(status)
