@@ -106,7 +106,7 @@ class WordEncoder:
         self.words.update(zip(odd, self._alone(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if SEPARATORS.isdisjoint(t) else BLANKS.split(t) for t in texts]
+        split = [t.split() if SEPARATORS.isdisjoint(t) else list(filter(None, BLANKS.split(t))) for t in texts]
         wanted = set().union(*split)
         new = wanted.difference(self.words)
         if len(self.words) + len(new) > CACHE:
