@@ -198,14 +198,14 @@ def brute_hits(text, items, window=13):
             for i in range(len(words) - len(w) + 1):
                 if words[i : i + len(w)] == w:
                     hit.update(range(i, i + len(w)))
-                    names.add(str(name))
+                    names.update([] if name is None else [str(name)])
     return len(words), len(hit), sorted(names)
 
 
 def test_benchmark_hits_are_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"b{i}" for i in range(12)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 13, 20])))) for k in range(12)] + [(50, None), (51, "--"), (52, "Été, no. 7"), (1, "repeat of an id")]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 13, 20])))) for k in range(12)] + [(50, None), (51, "--"), (52, "Été, no. 7"), (1, "repeat of an id"), (None, "of unknown id")]
     texts = []
     for k in range(40):
         ws = [rng.choice([*vocabulary, "other", "words"]) for _ in range(rng.randint(0, 60))]
@@ -213,7 +213,7 @@ def test_benchmark_hits_are_brute_force(spark):
             at = rng.randrange(len(ws) + 1)
             ws[at:at] = items[k % 12][1].upper().split()
         texts.append((k, ", ".join(ws)))
-    texts += [(100, None), (101, ""), (102, "été no 7"), (103, " ".join(["b1 other"] * 30_000)), (0, texts[0][1])]
+    texts += [(100, None), (101, ""), (102, "été no 7"), (104, "words of unknown id here"), (103, " ".join(["b1 other"] * 30_000)), (0, texts[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontam.judge(decontam.benchmark_hits(docs_of(spark, texts), bench)).collect())
     want = []
@@ -378,6 +378,18 @@ def test_lines_against_brute_force(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_encoder_is_the_tokenizer_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    own, whole = tokenfile.WordEncoder(path), Tokenizer.from_file(path)
+    parts = [*"aAb éİıΣςſK''.,;!?-_<|>01٣²ǅŉﬁ\u0301\u200b\u200d\x85\xa0\u2028\u3000\x1c\x1f\x00\t\n中文кК😀\ufe0f\xad\ufeffẞ\u0345", "<|endoftext|>", "</w>", "'s", "'LL"]
+    rng = random.Random(3)
+    texts = ["", "\x1c", "\x1f a \n", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
+    got = [np.frombuffer(r, own.dtype).tolist() for r in own.encode(texts)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_lines_go_alike_by_broadcast_and_by_join(spark):
     texts = [(k, f"mine {k}\n  Shared É\t\n{'late' if k % 2 else ''}\n\x85odd\x85\r\n\nend") for k in range(30)] + [(40, None), (41, ""), (41, "SHARED É\n\nsingle")]
     docs = docs_of(spark, texts)
