@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import text
+from ..operators import fragments
 from .registry import query
 
 GRAMS = """list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''),
@@ -96,10 +97,16 @@ def str_14_embedded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 40)) AS f FROM benchmark) b
 JOIN (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents WHERE doc_id % 10 = 0) d ON contains(d.t, b.f)""")
 def str_15_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a stated set of fragments stands verbatim, blanks and case aside; the fragments, of a checked size, go to the texts."""
-    found = views.read(spark, sf_dir, "benchmark").select("item_id", F.substring(text.squashed(F.col("text")), 1, 40).alias("f"))
-    docs = views.read(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", text.squashed(F.col("text")).alias("t"))
-    return docs.join(F.broadcast(found), text.has_fragment(F.col("t"), F.col("f"))).select("item_id", "doc_id")
+    """Where a stated set of fragments stands verbatim, in the tenth of the documents that the SQL can afford; str_15_passages searches all."""
+    found = views.read(spark, sf_dir, "benchmark").select("item_id", F.substring(text.squashed(F.col("text")), 1, 40).alias("text"))
+    docs = views.read(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    return fragments.repeated_passages(docs, found, chars=None)
+
+
+@query()
+def str_15_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that repeat any 40 characters in a row of an item, blanks and case aside; tests hold it against brute force."""
+    return fragments.repeated_passages(views.read(spark, sf_dir, "documents"), views.read(spark, sf_dir, "benchmark"), chars=40)
 
 
 @query("""WITH codes AS (SELECT list(DISTINCT string_split(p_name, ' ')[2]) AS c FROM part)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 from itertools import permutations
 
 import numpy as np
 import pytest
 
-from cairn.operators import measures, resolve, tours
+from cairn.operators import fragments, measures, resolve, tours
+from cairn.queries import QUERIES
 
 STOPS = "route_id long, ordinal int, place_id long, lat double, lon double"
 
@@ -129,3 +132,32 @@ def test_paired_difference(spark):
     got = measures.paired(a, b, "case", "v", resamples=500).first()
     assert got["cases"] == 55 and math.isclose(got["difference"], 1.1, abs_tol=0.02)
     assert got["low"] <= got["difference"] <= got["high"] and got["p"] == 1 / 500
+
+
+def _plain(t):
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ").lower()
+
+
+@pytest.mark.parametrize(("chars", "slice_chars"), [(40, 1_000_000), (40, 300), (None, 1_000_000)])
+def test_passages_are_found_in_all_texts_as_by_trying_all(spark, chars, slice_chars):
+    rng = random.Random(11)
+    words = ["ab", "ring", "стена", "Ö", "x" * 30, "tower", "of"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, say(30)) for k in range(8)] + [(8, "short one"), (9, " \n "), (10, None), (11, "𐐀"), (12, "z" * 100)]
+    texts = [(k, say(rng.randint(0, 60))) for k in range(60)] + [(60, None), (61, ""), (62, "y𐐀y"), (63, "SHORT\n\tone."), (64, "z" * 40), (65, "z" * 39)]
+    texts += [(70 + k, say(3) + "q" + items[k][1][50:50 + 38 + k].upper() + "q " + say(3)) for k in range(8)]  # a later passage, within words
+    got = fragments.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"), chars=chars, slice_chars=slice_chars).collect()
+    want = set()
+    for i, t in items:
+        own = _plain(t or "")
+        k = min(chars or len(own), len(own))
+        parts = {own[a : a + k] for a in range(len(own) - k + 1)} - {""}
+        want |= {(i, d) for d, x in texts if x is not None and any(p in _plain(x) for p in parts)}
+    assert len(got) == len({tuple(r) for r in got}) and {(r["item_id"], r["doc_id"]) for r in got} == want
+    assert (11, 62) in want and (8, 63) in want and (chars is None or any(d % 10 for _, d in want))
+
+
+def test_passage_query_searches_every_document(spark, small):
+    found = {tuple(r) for r in QUERIES["str_15_passages"](spark, small).collect()}
+    assert {tuple(r) for r in QUERIES["str_15_fragments"](spark, small).collect()} <= found
+    assert any(d % 10 for _, d in found)
