@@ -53,7 +53,7 @@ def segments(path: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str, cell: float = 0.002) -> DataFrame:
-    """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie.
+    """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie (0 on a path without length).
 
     cell, in degrees, should be about as long as a leg: a leg is sent to all cells around it, which a narrow reach must not make many.
     """
@@ -67,7 +67,7 @@ def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *,
     met = met.withColumn("hit", geo.segment_m(F.col("lat"), F.col("lon"), a, b)).where(F.col("hit.metres") <= metres)
     best = met.groupBy(key, id_).agg(F.min(F.struct(F.col("hit.metres").alias("offset"), F.col("seq"), (F.col("before") + F.col("hit.along") * F.col("metres")).alias("at"))).alias("best"))
     total = legs.groupBy(key).agg(F.sum("metres").alias("length"))
-    return best.join(total, key).select(key, id_, F.col("best.offset").alias("offset"), (F.col("best.at") / F.col("length")).alias("fraction"), "length")
+    return best.join(total, key).select(key, id_, F.col("best.offset").alias("offset"), F.when(F.col("length") > 0, F.col("best.at") / F.col("length")).otherwise(0.0).alias("fraction"), "length")
 
 
 def nearest_named_road(points: DataFrame, roads: DataFrame, *, within: float, rival: float) -> DataFrame:

@@ -36,23 +36,42 @@ hit AS (SELECT *, CAST(111194.92664455873 AS DOUBLE) * sqrt(pow(ax + t * dx, 2)
 best AS (SELECT route_id, service_id, first(gap ORDER BY gap, seq) AS gap, first((before + t * metres) / length ORDER BY gap, seq) AS fraction FROM hit WHERE gap <= 2000 GROUP BY route_id, service_id)"""
 
 
-def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.segments(views.stops(spark, sf_dir).where("route_id % 100 = 0"), "route_id", "ordinal")
+def _along(spark: SparkSession, sf_dir: str, stops: DataFrame) -> DataFrame:
+    return spatial.along_lines(views.services(spark, sf_dir), spatial.segments(stops, "route_id", "ordinal"), "route_id", 2000.0, id_="service_id")
+
+
+def _offsets(found: DataFrame) -> DataFrame:
+    return found.select("route_id", "service_id", F.round("offset", 2).alias("offset_m"), F.round("fraction", 6).alias("fraction"))
+
+
+def _first_along(found: DataFrame) -> DataFrame:
+    from ..operators.retrieval import top_per
+
+    return top_per(found, ["route_id"], [F.round("fraction", 6), F.round("offset", 2), F.col("service_id")], 12).select("route_id", "service_id", "rank")
 
 
 @query(views.sql(LINE + " SELECT route_id, service_id, round(gap, 2) AS offset_m, round(fraction, 6) AS fraction FROM best", "stops", "services"))
 def j_04_along_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Services within two kilometres of a walk's line (of every hundredth walk), with offset and position."""
-    found = spatial.along_lines(views.services(spark, sf_dir), _walks(spark, sf_dir), "route_id", 2000.0, id_="service_id")
-    return found.select("route_id", "service_id", F.round("offset", 2).alias("offset_m"), F.round("fraction", 6).alias("fraction"))
+    """Services within two kilometres of a walk's line, with offset and position: every hundredth walk, which the SQL's cross join can afford."""
+    return _offsets(_along(spark, sf_dir, views.stops(spark, sf_dir).where("route_id % 100 = 0")))
+
+
+@query()
+def j_04_along_line_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All walks; tests hold them against brute force."""
+    return _offsets(_along(spark, sf_dir, views.stops(spark, sf_dir)))
 
 
 @query(views.sql(LINE + " SELECT route_id, service_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY round(fraction, 6), round(gap, 2), service_id) AS INTEGER) AS rank FROM best QUALIFY rank <= 12", "stops", "services"))
 def top_05_along_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.retrieval import top_per
+    """The first twelve services along a walk: every hundredth walk, as in j_04_along_line."""
+    return _first_along(_along(spark, sf_dir, views.stops(spark, sf_dir).where("route_id % 100 = 0")))
 
-    found = spatial.along_lines(views.services(spark, sf_dir), _walks(spark, sf_dir), "route_id", 2000.0, id_="service_id")
-    return top_per(found, ["route_id"], [F.round("fraction", 6), F.round("offset", 2), F.col("service_id")], 12).select("route_id", "service_id", "rank")
+
+@query()
+def top_05_along_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All walks; tests hold them against brute force."""
+    return _first_along(_along(spark, sf_dir, views.stops(spark, sf_dir)))
 
 
 @query(views.sql(f"""SELECT service_id, place_id, round(metres, 2) AS metres, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY metres, place_id) AS rank FROM (
