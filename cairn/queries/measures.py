@@ -45,7 +45,7 @@ def agg_17_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_18_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the mean recall by status; draws are hash-seeded, so reruns agree."""
     r = views.runs(spark, sf_dir).groupBy("case_id").agg(F.avg("recall").alias("recall")).withColumn("half", F.col("case_id") % 2)
-    return measures.bootstrap(r, "half", "recall", resamples=1000)
+    return measures.bootstrap(r, "half", "recall")
 
 
 @query()
@@ -53,7 +53,7 @@ def agg_19_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two sets of runs over shared cases (also J-28)."""
     r = views.runs(spark, sf_dir)
     by = lambda k: r.where(F.col("repeat") % 2 == k).groupBy("case_id").agg(F.avg("recall").alias("recall"))
-    return measures.paired(by(0), by(1), "case_id", "recall", resamples=1000)
+    return measures.paired(by(0), by(1), "case_id", "recall")
 
 
 @query(views.sql(""", r AS (SELECT route_id, ordinal AS a, row_number() OVER (PARTITION BY route_id ORDER BY place_id, ordinal) AS b FROM stops),

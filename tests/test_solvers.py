@@ -9,7 +9,9 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cairn import views
 from cairn.operators import fragments, measures, resolve, tours
 from cairn.queries import QUERIES
 
@@ -161,3 +163,14 @@ def test_passage_query_searches_every_document(spark, small):
     found = {tuple(r) for r in QUERIES["str_15_passages"](spark, small).collect()}
     assert {tuple(r) for r in QUERIES["str_15_fragments"](spark, small).collect()} <= found
     assert any(d % 10 for _, d in found)
+
+
+def test_resampling_queries_draw_the_fixed_number(spark, small):
+    r = views.runs(spark, small)
+    mean = lambda d: d.groupBy("case_id").agg(F.avg("recall").alias("recall"))
+    whole = measures.bootstrap(mean(r).withColumn("half", F.col("case_id") % 2), "half", "recall", resamples=10_000)
+    near = lambda a, b: all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a, b, strict=True))
+    for a, b in zip(*(sorted(map(tuple, x.collect())) for x in (QUERIES["agg_18_bootstrap"](spark, small), whole)), strict=True):
+        assert near(a, b)
+    pair = measures.paired(mean(r.where("repeat % 2 = 0")), mean(r.where("repeat % 2 = 1")), "case_id", "recall", resamples=10_000)
+    assert near(QUERIES["agg_19_paired"](spark, small).first(), pair.first())
