@@ -11,7 +11,8 @@ filter may hold are joined to the table; filters are broadcast while their check
 to their filter by shard.
 
 A key is 128 bits of two seeded hashes of the normalised line. Counting is by row: repeated rows are documents of
-their own. A null text is one empty line, and empty keys are never dropped; an empty table gives an empty result;
+their own. A shard without a filter, or whose filter overflowed (null), is decided by the exact table alone, until
+``rebuild_filters`` makes the filter anew. A null text is one empty line, and empty keys are never dropped; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -158,7 +159,7 @@ def build_filters(common: DataFrame) -> DataFrame:
 
 
 def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """added, removed: keys a, b that became common or ceased to be. Filters that overflow are for build_filters() to make anew (filter null)."""
+    """added, removed: keys a, b that became common or ceased to be. A filter that overflows becomes null, and stays so until rebuild_filters()."""
     shards = filters.select("shards").first()[0]
     changes = added.select("a", F.lit(1).alias("way")).unionByName(removed.select("a", F.lit(-1).alias("way"))).withColumn("shard", F.pmod("a", F.lit(shards)))
 
@@ -166,6 +167,8 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame) ->
         if held.empty:
             new = build_filter(np.sort(rows.loc[rows["way"] == 1, "a"].to_numpy(np.int64)))
             return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "shards": [shards], "filter": [new.to_bytes()]})
+        if held["filter"].iloc[0] is None:
+            return held[["shard", "shards", "filter"]]
         own = CuckooFilter.of(held["filter"].iloc[0])
         own.remove(rows.loc[rows["way"] == -1, "a"].to_numpy(np.int64))
         fits = own.insert(rows.loc[rows["way"] == 1, "a"].to_numpy(np.int64))
@@ -174,6 +177,19 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame) ->
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, "shard long, shards long, filter binary")
 
 
+def rebuild_filters(filters: DataFrame, common: DataFrame) -> DataFrame:
+    """common: a, b, all keys that are common now. Filters that are null are made anew of them; the others stay."""
+    lost = filters.where("filter is null").select("shard", "shards")
+    shards = lost.agg(F.coalesce(F.max("shards"), F.lit(1))).first()[0]
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        out = build_filter(np.sort(rows["a"].to_numpy(np.int64)))
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "shards": [shards], "filter": [out.to_bytes()]})
+
+    own = common.select("a", F.pmod("a", F.lit(shards)).alias("shard")).join(lost.select("shard"), "shard", "left_semi")
+    return filters.where("filter is not null").unionByName(own.groupBy("shard").applyInPandas(build, "shard long, shards long, filter binary"))
+
+
 def _may_hold(keyed: DataFrame, filters: DataFrame) -> DataFrame:
     """keyed: row (struct), a, b. Those whose key a filter may hold."""
     size, shards = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
@@ -181,11 +197,11 @@ def _may_hold(keyed: DataFrame, filters: DataFrame) -> DataFrame:
         held = keyed.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in filters.collect()})  # of a checked size
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {k: CuckooFilter.of(v) for k, v in held.value.items()}
+            own = {k: CuckooFilter.of(v) for k, v in held.value.items() if v is not None}
             for batch in batches:
                 keys = batch.column("a").to_numpy()
                 where = np.mod(keys, shards)
-                hit = np.zeros(len(keys), bool)
+                hit = np.ones(len(keys), bool)
                 for k in np.unique(where):
                     if k in own:
                         hit[where == k] = own[k].contains(keys[where == k])
@@ -194,11 +210,13 @@ def _may_hold(keyed: DataFrame, filters: DataFrame) -> DataFrame:
         return keyed.mapInArrow(probe, keyed.schema)
 
     def probe_shard(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["filter"].iloc[0] is None:
+            return rows[["row_a", "row_b", "a", "b"]]
         return rows.loc[CuckooFilter.of(rows["filter"].iloc[0]).contains(rows["a"].to_numpy(np.int64)), ["row_a", "row_b", "a", "b"]]
 
     # A filter is some hundred kB, so it can travel with the batches of a task that need it: salted, as one shard may be hot.
     salted = keyed.withColumn("shard", F.pmod("a", F.lit(shards))).withColumn("salt", F.pmod("row_a", F.lit(64)))
-    joined = salted.join(filters.select("shard", "filter"), "shard")
+    joined = salted.join(filters.select("shard", "filter"), "shard", "left")
     return joined.groupBy("shard", "salt").applyInPandas(probe_shard, keyed.schema)
 
 
@@ -214,9 +232,9 @@ class CommonKeys:
         self.line_seed = _unsigned(b"line", SEED)
 
     def maybe(self, a: np.ndarray) -> np.ndarray:
-        """Whether a filter may hold each key."""
+        """Whether a filter may hold each key; a shard without one may hold any."""
         where = np.mod(a, self.shards)
-        hit = np.zeros(len(a), bool)
+        hit = np.full(len(a), bool(self.known))
         for k in np.unique(where):
             if k in self.filters:
                 hit[where == k] = self.filters[k].contains(a[where == k])

@@ -418,6 +418,26 @@ def test_line_dedup_is_reversible(spark):
     assert linededup.drop_common_lines(both, back, lowered, least=10).agg(F.sum("n_dropped")).first()[0] == 12
 
 
+@pytest.mark.parametrize(("broadcast_keys", "broadcast_bytes"), [(100_000, 32 << 20), (0, 32 << 20), (0, -1)])
+def test_lines_go_after_a_filter_overflows(spark, monkeypatch, broadcast_keys, broadcast_bytes):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", broadcast_bytes)
+    old = docs_of(spark, [(k, f"mine {k}\nshared") for k in range(12)])
+    late = "\n".join(f"late {k}" for k in range(200))
+    both = old.unionByName(docs_of(spark, [(50 + k, f"other {k}\n{late}") for k in range(12)]))
+    over = lambda c: c.where("n >= 10").select("a", "b")
+    counts = common.settle(linededup.reference_counts(old), "counts")
+    more = common.settle(linededup.reference_counts(both), "more")
+    none = over(counts).limit(0)
+    raised = common.settle(linededup.update_filters(linededup.build_filters(over(counts)), over(more).subtract(over(counts)), none), "filters")
+    assert [r["filter"] for r in raised.collect()] == [None]
+    again = linededup.update_filters(raised, over(counts), none)
+    rebuilt = linededup.rebuild_filters(raised, over(more))
+    assert [r["filter"] is None for r in rebuilt.collect()] == [False]
+    for filters in (raised, again, rebuilt):
+        rows = linededup.drop_common_lines(both, more, filters, least=10, broadcast_keys=broadcast_keys).collect()
+        assert {r["doc_id"]: r["n_dropped"] for r in rows} == {k: 1 for k in range(12)} | {50 + k: 200 for k in range(12)}
+
+
 def test_cuckoo_filter_holds_and_lets_go():
     keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
     held = linededup.build_filter(keys)
