@@ -219,18 +219,51 @@ def detours(per_leg: DataFrame, services: DataFrame, *, most_seconds: float, key
     return best.select(key, "service_id", "m.ordinal", "m.extra")
 
 
-def pruned_unreachable(stops: DataFrame, cap_seconds: float, *, key: str = "route_id") -> DataFrame:
-    """key, ordinal, place_id, kept: a stop whose leg from the last kept one is over the cap is left out, in order."""
+def pruned_unreachable(stops: DataFrame, cap_seconds: float, *, key: str = "route_id", must: str | None = None) -> DataFrame:
+    """key, ordinal, place_id, kept: a stop whose leg from the last kept one is over the cap is left out, in order.
+
+    must names a column of stops that have to be visited: they are kept, and the leg goes on from them.
+    """
 
     def solve(own: Columns) -> Columns:
         m = _problem(own).tolist()
+        bound = own["must"].astype(bool) if must else np.zeros(len(m), bool)
         last, kept = 0, [True] + [False] * (len(m) - 1)
         for i in range(1, len(m)):
-            if m[last][i] <= cap_seconds:
+            if m[last][i] <= cap_seconds or bound[i]:
                 last, kept[i] = i, True
         return {key: own[key], "ordinal": own["ordinal"], "place_id": own["place_id"], "kept": np.array(kept)}
 
-    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon"), key, ["ordinal"], solve, f"{key} long, ordinal int, place_id long, kept boolean")
+    cols = [key, "ordinal", "place_id", "lat", "lon"] + ([F.coalesce(must, F.lit(False)).alias("must")] if must else [])
+    return by_group(stops.select(*cols), key, ["ordinal"], solve, f"{key} long, ordinal int, place_id long, kept boolean")
+
+
+def reachable_stops(legs: list[list[bool]], relevance: list[float]) -> list[int]:
+    """Stops that can reach a surviving stop and be reached from one, to a fixpoint; if fewer than two, the best pair: linked first, then relevance, then order."""
+    n = len(legs)
+    if n < 3:
+        return list(range(n))
+    alive = set(range(n))
+    while True:
+        gone = {i for i in alive if not (any(legs[i][j] for j in alive if j != i) and any(legs[j][i] for j in alive if j != i))}
+        if not gone:
+            break
+        alive -= gone
+    if len(alive) >= 2:
+        return sorted(alive)
+    pairs = ((i, j) for i in range(n) for j in range(i + 1, n))
+    return list(min(pairs, key=lambda p: (not (legs[p[0]][p[1]] or legs[p[1]][p[0]]), -(relevance[p[0]] + relevance[p[1]]), p)))
+
+
+def both_ways_reachable(stops: DataFrame, cap_seconds: float, *, key: str = "route_id") -> DataFrame:
+    """key, ordinal, place_id, kept: reachable_stops() of each walk, by legs of at most so many seconds. stops: also relevance."""
+
+    def solve(own: Columns) -> Columns:
+        kept = np.zeros(len(own[key]), bool)
+        kept[reachable_stops((_problem(own) <= cap_seconds).tolist(), own["relevance"].astype(float).tolist())] = True
+        return {key: own[key], "ordinal": own["ordinal"], "place_id": own["place_id"], "kept": kept}
+
+    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon", "relevance"), key, ["ordinal"], solve, f"{key} long, ordinal int, place_id long, kept boolean")
 
 
 def thinned(points: DataFrame, *, gap_m: float, most: int, key: str) -> DataFrame:

@@ -108,10 +108,17 @@ def opt_07_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def opt_11_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops that can't be reached from the last one kept are left out, in order (also OPT-10)."""
+    """Stops that can't be reached from the last one kept are left out, in order."""
     return tours.pruned_unreachable(views.stops(spark, sf_dir), 20_000.0)
 
 
+@query()
+def opt_10_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops that can reach a surviving stop and be reached from one; a best pair by relevance (here by id) at least."""
+    s = views.stops(spark, sf_dir).withColumn("relevance", (F.col("place_id") % 7).cast("double"))
+    return tours.both_ways_reachable(s, 20_000.0)
+
+
 @query()
 def opt_16_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest open walk over given stops."""

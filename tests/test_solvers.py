@@ -174,3 +174,37 @@ def test_resampling_queries_draw_the_fixed_number(spark, small):
         assert near(a, b)
     pair = measures.paired(mean(r.where("repeat % 2 = 0")), mean(r.where("repeat % 2 = 1")), "case_id", "recall", resamples=10_000)
     assert near(QUERIES["agg_19_paired"](spark, small).first(), pair.first())
+
+
+def test_only_the_isolated_stop_goes(spark):
+    # The first stop is far from the rest: all others stay.
+    rows = [(1, 1, 10, 55.0, 24.0, 1.0)] + [(1, k, 10 + k, 53.5, 24.0 + k / 1000, 1.0) for k in (2, 3, 4)]
+    # Nothing is linked: the two most relevant; of equals the first.
+    rows += [(2, k, 20 + k, 50.0 + k, 24.0, (1.0, 5.0, 2.0, 5.0)[k - 1]) for k in (1, 2, 3, 4)] + [(3, k, 30 + k, 50.0 + k, 24.0, 0.0) for k in (1, 2)]
+    got = tours.both_ways_reachable(spark.createDataFrame(rows, STOPS + ", relevance double"), 4000.0).where("kept").collect()
+    assert sorted(r["place_id"] for r in got) == [12, 13, 14, 22, 24, 31, 32]
+
+
+def test_reachable_stops_are_the_largest_set_that_holds():
+    rng = random.Random(5)
+    few = 0
+    for _ in range(400):
+        n = rng.randint(3, 6)
+        legs = [[rng.random() < 0.25 for _ in range(n)] for _ in range(n)]
+        worth = [float(rng.randint(0, 3)) for _ in range(n)]
+        holds = lambda own: all(any(legs[i][j] for j in own - {i}) and any(legs[j][i] for j in own - {i}) for i in own)  # noqa: E731, B023
+        sets = [own for k in range(1 << n) if holds(own := {i for i in range(n) if k >> i & 1})]
+        want = sorted(max(sets, key=len))
+        if len(want) < 2:
+            few += 1
+            pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+            worths = [(legs[i][j] or legs[j][i], worth[i] + worth[j]) for i, j in pairs]
+            want = list(pairs[worths.index(max(worths))])
+        assert tours.reachable_stops(legs, worth) == want
+    assert 0 < few < 400
+
+
+def test_pruning_keeps_what_must_be_visited(spark):
+    rows = [(1, 1, 10, 53.5, 24.0, False), (1, 2, 11, 55.0, 24.0, True), (1, 3, 12, 55.001, 24.0, None), (1, 4, 13, 53.5, 24.0, False)]
+    got = tours.pruned_unreachable(spark.createDataFrame(rows, STOPS + ", must boolean"), 4000.0, must="must").where("kept").collect()
+    assert sorted(r["place_id"] for r in got) == [10, 11, 12]
