@@ -4,27 +4,61 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows of one Arrow batch: whole texts can be long, and a batch is held in memory at once.
-ARROW_ROWS = 500
+#: Rows and bytes of text that are Python objects at once; Spark's own batches hold up to 64 MB.
+PART_ROWS = 500
+PART_BYTES = 4 << 20
+#: Keys with more rows than this may be hot; so many of the hottest are dealt out over so many salts.
+HOT_ROWS = 1000
+HOT_KEYS = 10_000
+SALTS = 64
+
+_local: dict[str, str] = {}
+_made: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none, a folder of our own (local tests)."""
+    """The cluster's shared folder. Where the session names none: in local mode a folder of our own, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpus-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpus-scratch-"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that settle() writes within are deleted at the end: only for steps whose result is written before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        discard(spark, _made.pop())
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -34,10 +68,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a column text, cut (without copying) into parts of bounded rows and bytes; a longer text is a part of its own."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < len(upto):
+            before = int(upto[start - 1]) if start else 0
+            stop = max(start + 1, min(start + PART_ROWS, int(np.searchsorted(upto, before + PART_BYTES, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined to one, which holds few rows a key, by keys; rows of many with a hot key are dealt out over several tasks.
+
+    Only the HOT_KEYS most frequent keys are broadcast, so any other key has at most a HOT_KEYS-th of all rows.
+    """
+    hot = many.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).orderBy(F.desc("count")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("is_hot"))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("is_hot")
+    right = one.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("is_hot")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
 def ascii_lower(col: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, small_batches
+from .common import labelled_sample, parts
 
 #: Documents of either class that the field is fitted on, at most (about; chosen by hash), and their lines.
 MAX_ROWS = 1500
@@ -170,7 +170,6 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Field:
 
 def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Field:
     """Fit on a bounded sample, in one task."""
-    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label=label, id_col=id_col, text_col=text_col, learn_from=learn_from, most=max_rows)
     short = sample.where(F.regexp_count("text", F.lit("\n")) < MAX_LINES)
 
@@ -186,11 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str
 def score(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, score for every row. With keep, text and kept (a struct of these columns) come along."""
     spark = docs.sparkSession
-    small_batches(spark)
     carried = spark.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             p = carried.value.scores([t or "" for t in batch.column("text").to_pylist()])
             more = [batch.column("text"), batch.column("kept")] if keep else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *more, pa.array(p, pa.float64())], names=["doc_id", *(["text", "kept"] if keep else []), "score"])
