@@ -7,30 +7,30 @@ lowered again by deleted ones, a filter entry being removed when its count falls
 To drop lines, documents' keys are looked up in the filters first; only keys that a filter may hold are held against
 the exact table, and only documents with a key that it confirms are rewritten. While the common keys are few enough
 (``BROADCAST_KEYS``, counted first) they travel with the filters, and no text is shuffled. Beyond that, keys that a
-filter may hold are joined to the table; filters are broadcast while their checked size allows, and past it keys go
-to their filter by shard.
+filter may hold are joined to the table (the filters are broadcast while their checked size allows; past it all keys
+are joined), and what is found is joined back to the texts. Frequent lines and texts are salted.
 
-A key is 128 bits of two seeded hashes of the normalised line. Counting is by row: repeated rows are documents of
-their own. A shard without a filter, or whose filter overflowed (null), is decided by the exact table alone, until
-``rebuild_filters`` makes the filter anew. A null text is one empty line, and empty keys are never dropped; an empty table gives an empty result;
-other columns are ignored.
+A key is 128 bits of two seeded hashes of the normalised line; the keys of a document are told apart before they are
+hashed, in time linear in its lines. Counting is by row: repeated rows are documents of their own. A shard without a
+filter, or whose filter overflowed (null), is decided by the exact table alone. A null text is one empty line, and
+empty keys are never dropped; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle, small_batches
+from .common import parts, salted_join, settle
 
-BLANK = " \t\n\x0b\x0c\r"
-BLANK_BYTES = BLANK.encode()
+BLANK_BYTES = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 LOAD = 0.8
 #: Keys that one filter holds.
@@ -40,8 +40,8 @@ BROADCAST_BYTES = 32 << 20
 #: Common keys, of 16 bytes each, that may be broadcast.
 BROADCAST_KEYS = 1_000_000
 MOVES = 500
-#: Fixed value: the seed of Spark's xxhash64().
-SEED = 42
+#: Seeds of the two hashes of a key.
+SEED, LINE_SEED = 42, 43
 
 
 class CuckooFilter:
@@ -119,25 +119,30 @@ def build_filter(keys: np.ndarray) -> CuckooFilter:
         size *= 2
 
 
-def line_key(line: Column) -> Column:
-    """Stripped and A-Z lower-cased, as two longs; null for lines that are never dropped."""
-    text = ascii_lower(F.btrim(line, F.lit(BLANK)))
-    return F.when(text != "", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("line"), text).alias("b")))
+def _keys(text: str | None) -> list[bytes]:
+    """The key text of every line: stripped and A-Z lower-cased; empty for lines that are never dropped."""
+    return [line.strip(BLANK_BYTES) for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _hashes(keys: list[bytes], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(k, seed) for k in keys), np.uint64, len(keys)).view(np.int64)
 
 
-def doc_keys(docs: DataFrame, text_col: str = "text") -> Column:
-    """The different keys of a document."""
-    return F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), line_key), lambda k: k.isNotNull()))
+def _document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, n of the keys of each part's documents; a key counts once a document, and a part's documents are added up."""
+    for batch in parts(batches):
+        seen: Counter[bytes] = Counter()
+        for text in batch.column("text").to_pylist():
+            seen.update(set(_keys(text)))
+        seen.pop(b"", None)
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(_hashes(keys, SEED)), pa.array(_hashes(keys, LINE_SEED)), pa.array(seen.values(), pa.int64())], names=["a", "b", "n"])
 
 
 def reference_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """a, b (the key), n: in how many documents it stands."""
-    keys = docs.select(F.explode(doc_keys(docs, text_col)).alias("k"))
-    return keys.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n"))
+    keys = docs.select(F.col(text_col).alias("text")).mapInArrow(_document_keys, "a long, b long, n long")
+    return keys.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def merge_counts(counts: DataFrame, delta: DataFrame, sign: int) -> DataFrame:
@@ -159,8 +164,14 @@ def build_filters(common: DataFrame) -> DataFrame:
 
 
 def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """added, removed: keys a, b that became common or ceased to be. A filter that overflows becomes null, and stays so until rebuild_filters()."""
-    shards = filters.select("shards").first()[0]
+    """added, removed: keys a, b that became common or ceased to be. Without filters yet, they are built of added.
+
+    A filter that overflows becomes null, and stays so until rebuild_filters().
+    """
+    known = filters.select("shards").first()
+    if known is None:
+        return build_filters(added)
+    shards = known[0]
     changes = added.select("a", F.lit(1).alias("way")).unionByName(removed.select("a", F.lit(-1).alias("way"))).withColumn("shard", F.pmod("a", F.lit(shards)))
 
     def apply(held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -190,119 +201,131 @@ def rebuild_filters(filters: DataFrame, common: DataFrame) -> DataFrame:
     return filters.where("filter is not null").unionByName(own.groupBy("shard").applyInPandas(build, "shard long, shards long, filter binary"))
 
 
-def _may_hold(keyed: DataFrame, filters: DataFrame) -> DataFrame:
-    """keyed: row (struct), a, b. Those whose key a filter may hold."""
-    size, shards = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
-    if size <= BROADCAST_BYTES:
-        held = keyed.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in filters.collect()})  # of a checked size
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {k: CuckooFilter.of(v) for k, v in held.value.items() if v is not None}
-            for batch in batches:
-                keys = batch.column("a").to_numpy()
-                where = np.mod(keys, shards)
-                hit = np.ones(len(keys), bool)
-                for k in np.unique(where):
-                    if k in own:
-                        hit[where == k] = own[k].contains(keys[where == k])
-                yield batch.filter(pa.array(hit))
-
-        return keyed.mapInArrow(probe, keyed.schema)
+def revise(counts: DataFrame, filters: DataFrame, *, come: DataFrame | None = None, go: DataFrame | None = None, least: int = 10, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Counts and filters after documents came and went; both are written tables.
 
-    def probe_shard(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["filter"].iloc[0] is None:
-            return rows[["row_a", "row_b", "a", "b"]]
-        return rows.loc[CuckooFilter.of(rows["filter"].iloc[0]).contains(rows["a"].to_numpy(np.int64)), ["row_a", "row_b", "a", "b"]]
-
-    # A filter is some hundred kB, so it can travel with the batches of a task that need it: salted, as one shard may be hot.
-    salted = keyed.withColumn("shard", F.pmod("a", F.lit(shards))).withColumn("salt", F.pmod("row_a", F.lit(64)))
-    joined = salted.join(filters.select("shard", "filter"), "shard", "left")
-    return joined.groupBy("shard", "salt").applyInPandas(probe_shard, keyed.schema)
+    counts and filters may be of no documents at all. Shards that have grown to more than twice their keys are dealt
+    out anew, and overflowed ones rebuilt.
+    """
+    after = counts
+    for docs, sign in ((come, 1), (go, -1)):
+        if docs is not None:
+            after = merge_counts(after, reference_counts(docs, text_col=text_col), sign)
+    after = settle(after, "line-counts")
+    was, now = (c.where(F.col("n") >= least).select("a", "b") for c in (counts, after))
+    known = filters.select("shards").first()
+    if known is None or now.count() > 2 * SHARD_KEYS * known[0]:
+        return after, settle(build_filters(now), "line-filters")
+    changed = settle(update_filters(filters, now.join(was, ["a", "b"], "left_anti"), was.join(now, ["a", "b"], "left_anti")), "line-filters")
+    if changed.where("filter is null").isEmpty():
+        return after, changed
+    return after, settle(rebuild_filters(changed, now), "line-filters")
 
 
 class CommonKeys:
-    """Exact keys, and the filters that are asked first; made once a task."""
+    """Exact keys, and the filters that are asked first; made once a task. Keys are held as sorted arrays, 16 bytes each."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, filters: dict[int, bytes], shards: int) -> None:
-        self.known = {int(x): set() for x in a}
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            self.known[x].add(y)
+        order = np.lexsort((b, a))
+        self.a, self.b = a[order], b[order]
         self.filters = {k: CuckooFilter.of(v) for k, v in filters.items() if v is not None}
         self.shards = shards
-        self.line_seed = _unsigned(b"line", SEED)
 
     def maybe(self, a: np.ndarray) -> np.ndarray:
         """Whether a filter may hold each key; a shard without one may hold any."""
         where = np.mod(a, self.shards)
-        hit = np.full(len(a), bool(self.known))
+        hit = np.full(len(a), bool(len(self.a)))
         for k in np.unique(where):
             if k in self.filters:
                 hit[where == k] = self.filters[k].contains(a[where == k])
         return hit
 
-    def sure(self, a: int, line: bytes) -> bool:
-        own = self.known.get(a)
-        return own is not None and _signed(_unsigned(line, self.line_seed)) in own
-
+    def sure(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each key is held exactly."""
+        at, end = np.searchsorted(self.a, a, "left"), np.searchsorted(self.a, a, "right")
+        found = np.zeros(len(a), bool)
+        while (open_ := ~found & (at < end)).any():  # as often as one a has different b: once, but for collisions
+            found[open_] = self.b[at[open_]] == b[open_]
+            at = at + 1
+        return found
 
-def _unsigned(raw: bytes, seed: int) -> int:
-    return xxhash.xxh64_intdigest(raw, seed)
+    def gone(self, keys: list[bytes]) -> np.ndarray:
+        """Which lines go."""
+        a = _hashes(keys, SEED)
+        at = np.array([i for i in np.flatnonzero(self.maybe(a)) if keys[i]], np.int64)
+        return at[self.sure(a[at], _hashes([keys[i] for i in at], LINE_SEED))]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _without(text: str | None, gone: np.ndarray) -> str:
+    if not len(gone):
+        return text or ""
+    dropped = set(gone.tolist())
+    return "\n".join([line for i, line in enumerate((text or "").split("\n")) if i not in dropped])
 
 
-def _dropped(text: str | None, common: CommonKeys) -> tuple[int, int, str]:
-    """Lines before, lines dropped, the text left. Keys are those of line_key()."""
-    text = text or ""
-    keys = [line.strip(BLANK_BYTES) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys)).view(np.int64)
-    gone = {int(i) for i in np.flatnonzero(common.maybe(hashes)) if keys[i] and common.sure(int(hashes[i]), keys[i])}
-    if not gone:
-        return len(keys), 0, text
-    return len(keys), len(gone), "\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone])
+def _rows(batch: pa.RecordBatch, keys: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:
+    kept = [_without(t, g) for t, g in zip(batch.column("text").to_pylist(), gone, strict=True)]
+    n, dropped = pa.array(map(len, keys), pa.int64()), pa.array(map(len, gone), pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), n, dropped, pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
 
-def _drop_by_broadcast(docs: DataFrame, keys: DataFrame, filters: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """keys: a, b, of a checked number. No shuffle: every text is split where it is read."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    table, held = keys.select("a", "b").toArrow(), filters.collect()
+def _drop_by_broadcast(picked: DataFrame, common: DataFrame, filters: DataFrame, schema: str) -> DataFrame:
+    """common: a, b, of a checked number. No shuffle: every text is split where it is read."""
+    table, held = common.toArrow(), filters.collect()
     a, b = (table.column(c).to_numpy() for c in ("a", "b"))
-    carried = spark.sparkContext.broadcast((a, b, {r["shard"]: r["filter"] for r in held}, held[0]["shards"] if held else 1))
+    carried = picked.sparkSession.sparkContext.broadcast((a, b, {r["shard"]: r["filter"] for r in held}, held[0]["shards"] if held else 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = CommonKeys(*carried.value)
-        for batch in batches:
-            rows = [_dropped(t, common) for t in batch.column(1).to_pylist()]
-            n, dropped, kept = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+        known = CommonKeys(*carried.value)
+        for batch in parts(batches):
+            keys = [_keys(t) for t in batch.column("text").to_pylist()]
+            yield _rows(batch, keys, [known.gone(k) for k in keys])
+
+    return picked.mapInArrow(run, schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept string").withColumnRenamed("doc_id", id_col)
+
+def _drop_by_join(picked: DataFrame, common: DataFrame, filters: DataFrame, schema: str) -> DataFrame:
+    """Keys that a filter may hold are joined to the exact table, and what is found back to the texts.
+
+    Equal texts lose the same lines, so a text's hash stands for all its copies.
+    """
+    text = F.coalesce("text", F.lit(""))
+    picked = picked.withColumn("row_a", F.xxhash64(text)).withColumn("row_b", F.xxhash64(F.lit("text"), text))
+    size, shards = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
+    held = {r["shard"]: r["filter"] for r in filters.collect()} if size <= BROADCAST_BYTES else {}  # of a checked size
+    carried = picked.sparkSession.sparkContext.broadcast(held)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_ = np.zeros(1, np.int64)
+        known = CommonKeys(any_, any_, carried.value, shards)
+        for batch in parts(batches):
+            keys = [sorted({*_keys(t)} - {b""}) for t in batch.column("text").to_pylist()]
+            flat = [k for own in keys for k in own]
+            a = _hashes(flat, SEED)
+            hit = np.flatnonzero(known.maybe(a))
+            row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])[hit])
+            b = _hashes([flat[i] for i in hit], LINE_SEED)
+            yield pa.RecordBatch.from_arrays([batch.column("row_a").take(row), batch.column("row_b").take(row), pa.array(a[hit]), pa.array(b)], names=["row_a", "row_b", "a", "b"])
+
+    maybe = picked.select("row_a", "row_b", "text").mapInArrow(keyed, "row_a long, row_b long, a long, b long")
+    sure = salted_join(settle(maybe.distinct(), "line-keys"), common, ["a", "b"])
+    gone = sure.groupBy("row_a", "row_b").agg(F.collect_list("a").alias("gone_a"), F.collect_list("b").alias("gone_b"))  # the lines of one text at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            keys = [_keys(t) for t in batch.column("text").to_pylist()]
+            own = [CommonKeys(np.array(a or [], np.int64), np.array(b or [], np.int64), {}, 1) for a, b in zip(batch.column("gone_a").to_pylist(), batch.column("gone_b").to_pylist(), strict=True)]
+            yield _rows(batch, keys, [c.gone(k) for c, k in zip(own, keys, strict=True)])
+
+    return salted_join(picked, settle(gone, "line-finds"), ["row_a", "row_b"], "left").select("doc_id", "text", "gone_a", "gone_b").mapInArrow(run, schema)
 
 
 def drop_common_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame, *, least: int, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """id_col, n_lines (before), n_dropped, kept (the text left) for every row; lines whose key stands in at least so many documents go."""
     common = counts.where(F.col("n") >= least).select("a", "b")
-    if common.count() <= broadcast_keys:
-        return _drop_by_broadcast(docs, common, filters, id_col=id_col, text_col=text_col)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    text = F.coalesce("text", F.lit(""))
-    # Equal texts lose the same lines, so a text's hash names the row.
-    picked = picked.withColumn("row_a", F.xxhash64(text)).withColumn("row_b", F.xxhash64(F.lit("text"), text))
-    keyed = picked.select("row_a", "row_b", F.explode(doc_keys(picked)).alias("k")).select("row_a", "row_b", "k.a", "k.b")
-    maybe = _may_hold(keyed, filters)
-    sure = maybe.join(common, ["a", "b"])
-    gone = sure.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("a", "b")).alias("gone"))  # the lines of one text at most
-    out = picked.join(gone, ["row_a", "row_b"], "left")
-    lines = lines_of(F.col("text"))
-    stays = lambda x: ~F.coalesce(F.array_contains("gone", line_key(x)), F.lit(False))
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select(F.col("doc_id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
+    drop = _drop_by_broadcast if common.count() <= broadcast_keys else _drop_by_join
+    return drop(picked, common, filters, f"doc_id {picked.dtypes[0][1]}, n_lines long, n_dropped long, kept string").withColumnRenamed("doc_id", id_col)
 
 
 def dedup_lines(docs: DataFrame, *, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
