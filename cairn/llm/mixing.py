@@ -1,22 +1,24 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
-The mix minimises the entropy of its words relative to the corpus (times an optional prior per document) under one
-word constraint for each source. The dual is convex with one multiplier per source, and its optimum is an
-exponential tilt: a document of source s is taken ``min(cap, prior * exp(tilt_s))`` times. Measured in words, the
-tilt does not favour short documents over long ones. Newton steps run as window sums over word totals per source
-and prior, several to a job, until every source meets its target.
-
-Rates become whole copies on a histogram of sizes per source: the running sum of expected copies is rounded from
-the largest size down, then what a source still lacks or has too much is settled on the sizes that fit it best.
-The copies of a size go to its documents by hash, in slices, so that no source and no size is handled as one group.
-
-Defined results: null texts have size 0; the null source is a source of its own; documents of size 0 take nothing;
-a source whose target is at least cap times its size is taken cap times, one with target 0 not at all; repeated
-rows are documents of their own; an empty table gives an empty result; other columns are ignored.
+The mix minimises the entropy of the documents' rates relative to taking each once, under one word constraint for
+each source and a cap on every rate. The dual is convex with one multiplier per source, and its optimum is an
+exponential tilt: a document is taken ``min(cap, exp(tilt * size / scale))`` times, so a source that has to give more
+words than it holds gives them from its longer documents, and one that has to give fewer from its shorter ones. Newton
+steps run over the numbers of documents per source and size, until every source meets its target.
+
+Rates become whole copies per source and size: the running sum of expected copies is rounded from the largest size
+down, then what a source still lacks or has too much is settled on the sizes that fit it best. The copies of a size go
+to its documents by hash, in slices, so that no source and no size is handled as one group.
+
+Defined results: null texts have size 0; the null source is a source of its own; documents of size 0 are taken once,
+which adds no words; a source whose target is at least cap times its size is taken cap times, one with target 0 not at
+all; repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,17 @@ from .common import settle
 
 #: Documents of one source and size are dealt out in so many slices.
 SLICES = 256
+#: Newton steps of one job, and jobs at most.
 NEWTON_STEPS = 4
-NEWTON_JOBS = 8
-TOLERANCE = 1e-9
+NEWTON_JOBS = 20
+TOLERANCE = 1e-6
+#: Sums in this type are the same in any order.
+EXACT = "decimal(38,6)"
+#: Fractions of a copy, and bands of sizes a doubling, while copies are rounded.
+UNIT = 1 << 20
+BANDS = 8
+#: How far the difference of two sizes that change copies may be from the words that a source lacks.
+NEAR = 4
 
 
 def word_count(text: Column) -> Column:
@@ -60,69 +70,110 @@ def capped_shares(sources: DataFrame, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("size") * F.lit(float(cap)), F.col("weight") * F.lit(level)))
 
 
-def tilts(moments: DataFrame, cap: float) -> DataFrame:
-    """moments: key, prior, words, target. Adds rate, by Newton steps on the dual of each source.
+def tilts(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """sizes: key, size, docs. targets: key, target in words. key, target, scale, tilt, live: Newton steps on the dual.
 
-    The rows of a source are its different priors, which balance() rounds, so a source's window is short.
+    The optimum takes a document ``min(cap, exp(tilt * size / scale))`` times, where scale is the source's mean size.
+    Each step adds up words taken and their slope per source, with partial sums where the sizes lie; sums are exact
+    decimals, so that reruns agree. A step that leaves the bracket, which every step narrows, is replaced by its
+    middle. Sources with target 0, or at their cap, are not live.
     """
-    own = Window.partitionBy("key")
-    live = (F.col("target") > 0) & (F.col("target") < cap * F.sum(F.when(F.col("prior") > 0, F.col("words")).otherwise(0)).over(own))
-    state = moments.withColumn("live", live).withColumn("tilt", F.lit(0.0))
+    held = F.when(F.col("size") > 0, F.col("size"))
+    own = sizes.groupBy("key").agg(F.sum(F.col("docs") * F.col("size")).cast("double").alias("words"), F.sum(F.when(F.col("size") > 0, F.col("docs"))).alias("n"), F.min(held).alias("least"))
+    scale = F.coalesce(F.col("words") / F.col("n"), F.lit(1.0))
+    live = F.coalesce((F.col("target") > 0) & (F.col("target") < cap * F.col("words")), F.lit(False))
+    # All documents at most at the lower end's rate, all at the cap at the upper end.
+    low = F.when(F.col("target") < F.col("words"), F.log(F.col("target") / F.col("words")) * F.col("scale") / F.col("least")).otherwise(0.0)
+    high = F.when(F.col("target") < F.col("words"), 0.0).otherwise(math.log(cap) * F.col("scale") / F.col("least"))
+    state = targets.select("key", "target").join(own, "key").withColumn("scale", scale).withColumn("live", live)
+    state = settle(state.select("key", "target", "scale", "live", low.alias("low"), high.alias("high"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("miss")), "tilts")
+    names, idle, state = state.columns, state.where("not live"), state.where("live")
     for _ in range(NEWTON_JOBS):
         for _ in range(NEWTON_STEPS):
-            raw = F.col("prior") * F.exp("tilt")
-            state = state.withColumn("got", F.sum(F.col("words") * F.least(F.lit(float(cap)), raw)).over(own))
-            state = state.withColumn("slope", F.sum(F.when(raw < cap, F.col("words") * raw).otherwise(0.0)).over(own))
-            step = F.when(F.col("slope") > 0, (F.col("got") - F.col("target")) / F.col("slope")).otherwise(F.signum(F.col("got") - F.col("target")))
-            state = state.withColumn("tilt", F.when(F.col("live"), F.col("tilt") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).otherwise(0.0)).drop("got", "slope")
+            raw = F.exp(F.col("tilt") * F.col("size") / F.col("scale"))
+            met = sizes.where("size > 0").join(state, "key").withColumn("words", (F.col("docs") * F.col("size")).cast("double")).withColumn("raw", raw)
+            slope = F.when(F.col("raw") < cap, F.col("words") * F.col("size") * F.col("raw") / F.col("scale"))
+            step = met.groupBy(*(c for c in names if c != "miss")).agg(
+                F.sum((F.col("words") * F.least(F.lit(cap), F.col("raw"))).cast(EXACT)).cast("double").alias("got"), F.sum(slope.cast(EXACT)).cast("double").alias("slope")
+            )
+            over = F.col("got") - F.col("target")
+            step = step.withColumn("low", F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("tilt")).otherwise(F.col("high")))
+            after = F.col("tilt") - over / F.col("slope")
+            inside = (F.col("slope") > 0) & after.between(F.col("low"), F.col("high"))
+            moved = F.when(over == 0, F.col("tilt")).when(inside, after).otherwise((F.col("low") + F.col("high")) / 2)
+            step = step.select(*(c for c in names if c not in ("tilt", "miss")), moved.alias("tilt"), (F.abs(over) / F.col("target")).alias("miss"))
+            state = step.select(*names)
         state = settle(state, "tilts")
-        got = state.where("live").groupBy("key").agg(F.sum(F.col("words") * F.least(F.lit(float(cap)), F.col("prior") * F.exp("tilt"))).alias("got"), F.first("target").alias("target"))
-        worst = got.agg(F.max(F.abs(F.col("got") - F.col("target")) / F.col("target"))).first()[0]
-        if worst is None or worst < TOLERANCE:
+        if state.where(F.col("miss") >= TOLERANCE).isEmpty():
             break
-    full = F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)
-    return state.withColumn("rate", F.when(F.col("live"), F.least(F.lit(float(cap)), F.col("prior") * F.exp("tilt"))).otherwise(full)).drop("live", "tilt")
+    return state.unionByName(idle).select("key", "target", "scale", "tilt", "live")
+
+
+def rate(size: Column, cap: float) -> Column:
+    """How often the mix takes a document of this size, given its source's tilt."""
+    tilted = F.least(F.lit(cap), F.exp(F.col("tilt") * size / F.col("scale")))
+    return F.when(size == 0, 1.0).when(F.col("live"), tilted).when(F.col("target") > 0, cap).otherwise(0.0)
 
 
 def _copies_per_size(sizes: DataFrame, cap: int) -> DataFrame:
-    """sizes: key, prior, size, docs, rate, target. Adds copies: how many the documents of that size get together."""
-    down = Window.partitionBy("key").orderBy(F.desc("size"), "prior")
-    own = Window.partitionBy("key")
+    """sizes: key, size, docs, rate, target. Adds copies: how many the documents of that size get together.
+
+    The running sum of expected copies, from the largest size down, is rounded; it is taken over bands of sizes first
+    and then within each, so that no source is one group. Expected copies are whole multiples of 1 / UNIT.
+    """
     most = F.col("docs") * cap
-    out = sizes.withColumn("run", F.floor(F.sum(F.col("docs") * F.col("rate")).over(down) + 0.5))
-    out = out.withColumn("copies", F.least(most, F.greatest(F.lit(0), F.col("run") - F.coalesce(F.lag("run").over(down), F.lit(0)))))
-    for _ in range(3):
-        out = out.withColumn("lack", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(own))
-        step = F.when(F.col("size") > 0, F.greatest(-F.col("copies"), F.least(most - F.col("copies"), F.round(F.col("lack") / F.col("size")).cast("long")))).otherwise(F.lit(0))
-        out = out.withColumn("step", step).withColumn("best", F.min(F.struct(F.abs(F.col("lack") - F.col("step") * F.col("size")), "size", "prior")).over(own))
-        chosen = (F.col("best.size") == F.col("size")) & (F.col("best.prior") == F.col("prior"))
-        out = out.withColumn("copies", F.col("copies") + F.when(chosen, F.col("step")).otherwise(0))
-    return out.select("key", "prior", "size", "docs", "copies")
+    banded = sizes.withColumn("due", F.round(F.col("docs") * F.col("rate") * UNIT).cast("long")).withColumn("band", F.floor(F.log2(F.col("size") + 1) * BANDS))
+    bands = banded.groupBy("key", "band").agg(F.sum("due").alias("all"))
+    bands = bands.withColumn("before", F.sum("all").over(Window.partitionBy("key").orderBy(F.desc("band"))) - F.col("all"))
+    down = Window.partitionBy("key", "band").orderBy(F.desc("size"))
+    whole = lambda x: F.floor((x + UNIT // 2) / UNIT)
+    out = banded.join(bands.select("key", "band", "before"), ["key", "band"]).withColumn("run", F.col("before") + F.sum("due").over(down))
+    out = out.select("key", "size", "docs", "target", F.least(most, F.greatest(F.lit(0), whole(F.col("run")) - whole(F.col("run") - F.col("due")))).cast("long").alias("copies"))
+    for _ in range(2):  # what a source still lacks or has too much goes to the size that fits it best
+        out = settle(out, "copies")
+        step = F.greatest(-F.col("copies"), F.least(most - F.col("copies"), F.round(F.col("lack") / F.col("size")).cast("long")))
+        fit = out.where("size > 0").join(_lack(out), "key").withColumn("step", step)
+        best = fit.groupBy("key").agg(F.min(F.struct(F.abs(F.col("lack") - F.col("step") * F.col("size")), "size", "step")).alias("best"))
+        chosen = F.coalesce(F.col("best.size") == F.col("size"), F.lit(False))
+        out = out.join(best, "key", "left").withColumn("copies", F.col("copies") + F.when(chosen, F.col("best.step")).otherwise(0)).drop("best")
+    # The rest by one copy more of a size and one fewer of another, whose difference is the lack, or near it.
+    out = settle(out, "copies")
+    near = F.transform(F.sequence(F.lit(-NEAR), F.lit(NEAR)), lambda d: F.round(F.col("lack")).cast("long") + d)
+    more = out.where(F.col("copies") < most).join(_lack(out).where(F.abs("lack") >= 1), "key").select("key", "lack", F.col("size").alias("more"), F.explode(near).alias("by"))
+    fewer = out.where("copies > 0").select("key", F.col("size").alias("fewer"))
+    swap = more.withColumn("fewer", F.col("more") - F.col("by")).where(F.abs(F.col("lack") - F.col("by")) < F.abs("lack")).join(fewer, ["key", "fewer"])
+    swap = swap.groupBy("key").agg(F.min(F.struct(F.abs(F.col("lack") - F.col("by")), "more", "fewer")).alias("swap"))
+    moved = F.when(F.col("swap.more") == F.col("size"), 1).when(F.col("swap.fewer") == F.col("size"), -1).otherwise(0)
+    out = out.join(swap, "key", "left").withColumn("copies", F.col("copies") + moved)
+    return out.select("key", "size", "docs", "copies")
+
+
+def _lack(sizes: DataFrame) -> DataFrame:
+    """key, lack: the words that copies leave each source short of its target."""
+    return sizes.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack"))
 
 
 def balance(docs: DataFrame, targets: DataFrame, *, cap: int = 3) -> DataFrame:
-    """docs: id, key, size (and prior, 1 by default). targets: key, target in words. id, key, size, copies for every row of docs."""
-    prior = F.expr("cast(format_number(prior, '0.###E0') as double)") if "prior" in docs.columns else F.lit(1.0)
-    docs = docs.withColumn("prior", F.coalesce(prior, F.lit(1.0))).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
-    slices = settle(docs.groupBy("key", "prior", "size", "slice").agg(F.count("*").alias("docs")), "sizes")
-    sizes = slices.groupBy("key", "prior", "size").agg(F.sum("docs").alias("docs"))
-    words = sizes.groupBy("key", "prior").agg(F.sum(F.col("docs") * F.col("size")).alias("words"))
-    rates = tilts(words.join(targets.select("key", "target"), "key"), float(cap)).select("key", "prior", "rate", "target")
-    planned = _copies_per_size(sizes.join(rates, ["key", "prior"]), cap)
-    bins = slices.withColumnRenamed("docs", "own").join(planned, ["key", "prior", "size"])
-    before = F.sum("own").over(Window.partitionBy("key", "prior", "size").orderBy("slice")) - F.col("own")
+    """docs: id, key, size. targets: key, target in words. id, key, size, rate, copies for every row of docs whose key has a target."""
+    docs = docs.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
+    slices = settle(docs.groupBy("key", "size", "slice").agg(F.count("*").alias("docs")), "sizes")
+    sizes = settle(slices.groupBy("key", "size").agg(F.sum("docs").alias("docs")), "size-totals")
+    rated = sizes.join(tilts(sizes, targets, float(cap)), "key").withColumn("rate", rate(F.col("size"), float(cap)))
+    planned = _copies_per_size(rated, cap).join(rated.select("key", "size", "rate"), ["key", "size"])
+    bins = slices.withColumnRenamed("docs", "own").join(planned, ["key", "size"])
+    before = F.sum("own").over(Window.partitionBy("key", "size").orderBy("slice")) - F.col("own")
     each = F.floor(F.col("copies") / F.col("docs")).cast("long")
-    quota = bins.select("key", "prior", "size", "slice", each.alias("each"), (F.col("copies") - each * F.col("docs") - before).alias("more"))
-    ranked = docs.withColumn("place", F.row_number().over(Window.partitionBy("key", "prior", "size", "slice").orderBy(F.xxhash64("id"), "id")))
-    return ranked.join(quota, ["key", "prior", "size", "slice"]).select("id", "key", "size", (F.col("each") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)).alias("copies"))
+    quota = bins.select("key", "size", "slice", "rate", each.alias("each"), (F.col("copies") - each * F.col("docs") - before).alias("more"))
+    ranked = docs.withColumn("place", F.row_number().over(Window.partitionBy("key", "size", "slice").orderBy(F.xxhash64("id"), "id")))
+    return ranked.join(quota, ["key", "size", "slice"]).select("id", "key", "size", "rate", (F.col("each") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """Weights go to the sources in code-point order (null last), repeating. id_col, size, source_size, target, taken, copies for every row."""
+    """Weights go to the sources in code-point order (null last), repeating. id_col, size, source_size, target, taken, copies, rate for every row."""
     each = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size")), "sizes")
     sources = each.groupBy("key", "source").agg(F.sum("size").alias("size"))
     ranked = ordered_rank(sources, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     targets = settle(capped_shares(settle(ranked.select("key", "size", weight.alias("weight")), "weights"), cap).select("key", F.col("size").alias("source_size"), "target"), "targets")
     out = balance(each.select("id", "key", "size"), targets, cap=cap).join(targets, "key")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
