@@ -5,7 +5,7 @@ every distinct fingerprint stands for all its variants within ``radius // 2`` fl
 meet. Variants are dealt out by their top ``t`` bits: a fingerprint is sent once to each prefix that its variants
 can have (1 + t + t(t-1)/2 rows of 16 bytes for half radius 2, not 2 081), and the owner of a prefix writes out the
 variants that fall under it, so each variant is made exactly once and in one place. ``t`` follows the number of
-fingerprints, and prefixes that hold many (large groups of near copies) are split further by a hash of the variant.
+fingerprints, and prefixes that hold many (large groups of near copies) are lengthened until they don't.
 
 Fingerprints that meet at a variant are within the radius by the triangle inequality, which is checked on every
 link. Only a star is linked per variant and only a forest per task, so a group of n copies costs O(n) links.
@@ -18,21 +18,24 @@ component unless all its ids are null; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations, islice, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import parts, salted_join, settle
 
 BITS = 64
-#: Variants that one task sorts at once.
+#: Variants that one task sorts at once; and heavy prefixes, of 8 bytes each, that may be broadcast.
 TASK_VARIANTS = 3_000_000
+HEAVY_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
@@ -55,11 +58,10 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp (the fingerprint's bits as a long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fps = np.array([fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -69,26 +71,24 @@ def _masks(positions: range, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in combinations(positions, flips)], np.uint64)
 
 
-def _variants(fps: np.ndarray, prefix: int, t: int, half: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _choose(n: int, most: int) -> int:
+    """In how many ways at most so many of n bits can flip."""
+    return sum(math.comb(n, k) for k in range(most + 1))
+
+
+def _variants(fps: np.ndarray, prefix: int, t: int, half: int) -> tuple[np.ndarray, np.ndarray]:
     """The variants of fps within half flips whose top t bits are prefix, and the index of their fingerprint."""
     low = BITS - t
     top = (fps >> np.uint64(low)) if t else np.zeros(len(fps), np.uint64)
     moved = np.bitwise_count(top ^ np.uint64(prefix)).astype(int)
-    based = (fps & np.uint64((1 << low) - 1)) | np.uint64(prefix << low if t else 0)
+    under = np.uint64((1 << low) - 1)
+    based = (fps & under) | np.uint64(prefix << low if t else 0)
     out, owners = [], []
     for flips in range(half + 1):
         masks = np.concatenate([_masks(range(low), k) for k in range(half - flips + 1)])
         own = np.flatnonzero(moved == flips)
-        step = max(1, TASK_VARIANTS // len(masks))
-        for i in range(0, len(own), step):
-            block = own[i : i + step]
-            v = (based[block, None] ^ masks).ravel()
-            who = np.repeat(block, len(masks))
-            if parts > 1:
-                keep = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts) == part
-                v, who = v[keep], who[keep]
-            out.append(v)
-            owners.append(who)
+        out.append((based[own, None] ^ masks).ravel())
+        owners.append(np.repeat(own, len(masks)))
     return np.concatenate(out), np.concatenate(owners)
 
 
@@ -107,9 +107,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(fps: np.ndarray, prefix: int, t: int, radius: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints that meet at a variant of this task, as a forest (from, to the smaller)."""
-    v, who = _variants(fps, prefix, t, radius // 2, part, parts)
+def _links(fps: np.ndarray, prefix: int, t: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints that meet at a variant under this prefix, as a forest (from, to the smaller)."""
+    v, who = _variants(fps, prefix, t, radius // 2)
     order = np.argsort(v)
     v, who = v[order], who[order]
     same = np.flatnonzero(v[1:] == v[:-1]) + 1
@@ -124,29 +124,54 @@ def _links(fps: np.ndarray, prefix: int, t: int, radius: int, part: int, parts:
     return fps[joined], fps[root[joined]]
 
 
+def _flips(own: Column, n: int, most: int) -> Column:
+    """Of the n bits own, all changes of at most so many: structs of the bits then, and how many flipped."""
+    masks = [(int(m), k) for k in range(most + 1) for m in _masks(range(n), k)]
+    return F.transform(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k in masks)), lambda x: F.struct(own.bitwiseXOR(x["m"].cast("long")).alias("bits"), x["k"].alias("flips")))
+
+
 def links(fps: DataFrame, *, radius: int = 4) -> DataFrame:
-    """fps: fp long, each once. Links u, v (u > v as longs) that join all fingerprints within the radius."""
+    """fps: fp long, each once. Links u, v (u > v as longs) that join all fingerprints within the radius, which is even."""
+    if radius % 2:
+        raise ValueError("fingerprints that meet within half an odd radius may be further apart than the radius")
     half = radius // 2
+    per = _choose(BITS, half)
     n = fps.count()
     # Variants of a task: n * C(64, half) / 2**t, about.
-    per = sum(len(_masks(range(BITS), k)) for k in range(half + 1))
     t = min(24, max(0, int(np.ceil(np.log2(max(1, n * per / TASK_VARIANTS))))))
-    tops = [int(m) for k in range(half + 1) for m in _masks(range(t), k)] if t else [0]
     prefix = F.shiftrightunsigned("fp", BITS - t).cast("long") if t else F.lit(0).cast("long")
-    sent = fps.select("fp", prefix.alias("own")).select("fp", F.explode(F.transform(F.lit(tops), lambda m: F.col("own").bitwiseXOR(m.cast("long")))).alias("prefix"))
-    # How many variants fall under a prefix follows from how many fingerprints lie there.
-    load = fps.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    heavy = load.select("prefix", F.ceil(F.col("n") * per / (2 * TASK_VARIANTS)).cast("int").alias("parts")).where("parts > 1")
-    dealt = sent.join(heavy, "prefix", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = fps.select("fp", F.explode(_flips(prefix, t, half)).alias("to")).select("fp", F.col("to.bits").alias("prefix"), F.col("to.flips").alias("flips"))
+    # Only prefixes near one that holds many fingerprints can have many more variants than the mean.
+    crowded = fps.groupBy(prefix.alias("own")).count().where(F.col("count") * per > TASK_VARIANTS)
+    near = crowded.select("count", F.explode(_flips(F.col("own"), t, half)).alias("to"))
+    heavy = _heavy(near.select(F.col("to.bits").alias("prefix"), F.col("to.flips").alias("flips"), "count"), t, half)
+    dealt = []
+    while t < BITS and not heavy.isEmpty():
+        small = F.broadcast(heavy) if heavy.count() <= HEAVY_KEYS else heavy
+        dealt.append(sent.join(small, "prefix", "left_anti").select("fp", "prefix", F.lit(t).alias("t")))
+        # The next bits join the prefix: a fingerprint goes on to those that its flips still reach.
+        more = min(8, BITS - t)
+        following = F.shiftrightunsigned("fp", BITS - t - more).bitwiseAND(F.lit((1 << more) - 1).cast("long"))
+        sent = sent.join(small, "prefix", "left_semi").select("fp", "prefix", "flips", F.explode(_flips(following, more, half)).alias("to")).where(F.col("flips") + F.col("to.flips") <= half)
+        sent = settle(sent.select("fp", F.shiftleft("prefix", more).bitwiseOR(F.col("to.bits")).alias("prefix"), (F.col("flips") + F.col("to.flips")).alias("flips")), "prefixes")
+        t += more
+        heavy = _heavy(sent.groupBy("prefix", "flips").count(), t, half)
+    dealt.append(sent.select("fp", "prefix", F.lit(t).alias("t")))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(rows["fp"].to_numpy(np.int64)).view(np.uint64)
-        u, v = _links(own, int(rows["prefix"].iloc[0]), t, radius, int(rows["part"].iloc[0]), int(rows["parts"].iloc[0]))
+        t = int(rows["t"].iloc[0])
+        u, v = _links(own, int(rows["prefix"].iloc[0]) % (1 << t), t, radius)
         u, v = u.view(np.int64), v.view(np.int64)
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    return dealt.groupBy("prefix", "part").applyInPandas(meet, "u long, v long").distinct()
+    return reduce(DataFrame.unionByName, dealt).groupBy("t", "prefix").applyInPandas(meet, "u long, v long").distinct()
+
+
+def _heavy(sent: DataFrame, t: int, half: int) -> DataFrame:
+    """sent: prefix, flips, count. Prefixes of t bits under which more variants fall than one task should sort."""
+    each = F.element_at(F.array(*(F.lit(_choose(BITS - t, half - k)) for k in range(half + 1))), F.col("flips") + 1)
+    return settle(sent.groupBy("prefix").agg(F.sum(F.col("count") * each).alias("n")).where(F.col("n") > 2 * TASK_VARIANTS).select("prefix"), "heavy-prefixes")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,9 +182,10 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = settle(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = salted_join(large, low, ["u"]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = settle(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
         now = mark(edges)
         if now == seen:
@@ -172,8 +198,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """id_col, fingerprint (16 hex digits), component_id (smallest id that links lead to) for every row."""
     each = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle), "fingerprints")
     groups = settle(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
-    roots = components(links(groups.select("fp"), radius=radius))
-    placed = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return each.join(by_fp, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    roots = settle(components(links(groups.select("fp"), radius=radius)), "roots")
+    # Most fingerprints are linked to none, and need no name but their own; a root is linked to itself here.
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = settle(linked.join(groups, F.col("node") == F.col("fp")).select("fp", "root", "least"), "linked")
+    named = salted_join(linked.select("fp", "root"), linked.groupBy("root").agg(F.min("least").alias("component_id")), ["root"])
+    by_fp = groups.join(named.select("fp", "component_id", F.lit(True).alias("root_known")), "fp", "left").select("fp", F.when(F.col("root_known"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return salted_join(each, settle(by_fp, "names"), ["fp"]).select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
