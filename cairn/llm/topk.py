@@ -2,14 +2,15 @@
 
 Vectors are dealt into shards of bounded size. A shard's tree is split at the median of its widest dimension, with
 tight bounding boxes; a box bounds the inner product with a query from above. A query visits boxes in the order of
-their bounds and stops when no box can beat its k-th score. The k-th scores of a first shard are propagated: they
-start every later search, so most boxes of the other shards are never opened. Queries travel in blocks, each block
-to each shard once, and every shard gives back at most k rows a query.
-
-Defined results: vectors that are null, hold null or non-finite components, or have another length than most (the
-longer of equally frequent ones), take no part; ties go to the smaller id; repeated rows are candidates of their
-own, but no row with the query's own id is; a null id is no query and no candidate; an empty table gives an empty
-result; other columns are ignored.
+their bounds and stops when no box can beat its k-th score. The k-th scores of a first shard start the search of the
+next few, and those of all of these the search of the rest, so most of their boxes are never opened. Queries travel in
+blocks, each block to each shard once, and every shard gives back at most k rows a query.
+
+Defined results: vectors that are null or hold null or non-finite components take no part; an inner product is taken
+between vectors of the same length only, so each length (0 too) is searched by itself; ties go to the smaller id;
+repeated rows are candidates of their own, but no row with the query's own id is; of several rows of a length with a
+query's id the smallest vector asks; scores beyond the range of a long stand at its end; a null id is no query and no
+candidate; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-SHARD_ROWS = 8192
-#: Queries that are in one task; and those whose bounds are held at once.
-QUERY_ROWS = 16_384
+#: Rows of a shard, and queries of a block, that meet in one task: 64 components take 16 MB. Smaller tables are dealt
+#: out to all cores, down to so many rows and queries.
+SHARD_ROWS, LEAST_ROWS = 32_768, 4096
+QUERY_ROWS, LEAST_QUERIES = 8192, 128
+#: Shards after the first whose k-th scores are passed on to the rest.
+SECOND_SHARDS = 7
+#: Queries whose bounds are held at once.
 BLOCK_ROWS = 1024
 LEAF = 256
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, width int, vec_id long, score long"
 
 
 class KDTree:
@@ -102,7 +107,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def search(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if shard.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "width": [], "vec_id": [], "score": []}).astype("int64")
         points, wanted = _exact(_matrix(shard["vector"]), _matrix(queries["wanted"]))
         tree = KDTree(points, shard["vec_id"].to_numpy(np.int64))
         out = []
@@ -110,8 +115,8 @@ def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
             bounds = tree.bounds(wanted[i : i + BLOCK_ROWS])
             for q, bound, own, floor in zip(wanted[i : i + BLOCK_ROWS], bounds, queries["query_id"].iloc[i : i + BLOCK_ROWS], queries["floor"].iloc[i : i + BLOCK_ROWS], strict=True):
                 found = tree.search(q, bound, int(own), k, None if pd.isna(floor) else int(floor))
-                out += [(int(own), -x, s) for s, x in found]
-        done = pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(int(own), points.shape[1], -x, s) for s, x in found]
+        done = pd.DataFrame(out, columns=["query_id", "width", "vec_id", "score"])
         done["score"] = [min(max(s, -(2**63)), 2**63 - 1) for s in done["score"]]
         return done.astype("int64")
 
@@ -122,34 +127,42 @@ def whole_vectors(vectors: DataFrame, *, id_col: str, vector_col: str, scale: fl
     """vec_id, vector: floor(scale * x) of each component, as doubles; only vectors that take part."""
     x = F.col(vector_col)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    own = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine)
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("double"))
-    picked = own.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"))
-    width = picked.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return picked.where(F.size("vector") == width[0]["n"]) if width else picked
+    scaled = F.transform(x, lambda c: c.cast("double") * F.lit(float(scale)))
+    # floor() gives a long; from 2^52 on a double is whole as it is.
+    whole = F.transform(scaled, lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"))
 
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that queries (over vec_id) is true of, the k highest inner products with other rows."""
-    all_ = settle(whole_vectors(vectors, id_col=id_col, vector_col=vector_col, scale=scale), "vectors")
-    shards = max(1, -(-all_.count() // SHARD_ROWS))
-    dealt = all_.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
-    asked = all_.where(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted"))
+    whole = settle(whole_vectors(vectors, id_col=id_col, vector_col=vector_col, scale=scale).withColumn("width", F.size("vector")), "vectors")
+    cores = whole.sparkSession.sparkContext.defaultParallelism
+    asked = whole.where(queries).groupBy("vec_id", "width").agg(F.min("vector").alias("wanted")).withColumnRenamed("vec_id", "query_id")
+    rows, wanted = whole.count(), asked.count()
+    shards = max(1, -(-rows // SHARD_ROWS), min(cores, rows // LEAST_ROWS))
+    blocks = max(1, -(-wanted // QUERY_ROWS), min(cores, wanted // LEAST_QUERIES))
+    dealt = whole.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     search = _searcher(k)
 
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-
     def through(floors: DataFrame, first: int, last: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-        sent = floors.select("query_id", "wanted", "floor", block, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"))
-        own = dealt.where(F.col("shard").between(first, last)).select("vec_id", "vector", F.col("shard").cast("int"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        return own.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(lambda a, b: search(a, b), RESULT)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = settle(through(asked.withColumn("floor", F.lit(None).cast("long")), 0, 0), "first-shard")
-    found = first
-    if shards > 1:
-        kth = first.groupBy("query_id").agg(F.when((F.count("*") == k) & (F.abs(F.min("score")) < 2**53), F.min("score")).alias("floor"))
-        found = first.unionByName(through(asked.join(kth, "query_id", "left"), 1, shards - 1))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        sent = floors.select("query_id", "wanted", "floor", F.col("block").alias("block"), F.col("width").alias("width"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"))
+        own = dealt.where(F.col("shard").between(first, last)).select("vec_id", "vector", "width", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        met = own.groupBy("shard", "block", "width").cogroup(sent.groupBy("shard", "block", "width"))
+        return met.applyInPandas(lambda a, b: search(a, b), RESULT)
+
+    best = Window.partitionBy("query_id", "width").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for first, last in ((0, 0), (1, min(SECOND_SHARDS, shards - 1)), (SECOND_SHARDS + 1, shards - 1)):
+        if first > last:
+            break
+        floors = asked.withColumn("floor", F.lit(None).cast("long"))
+        if found is not None:
+            kth = found.groupBy("query_id", "width").agg(F.when((F.count("*") == k) & (F.abs(F.min("score")) < 2**53), F.min("score")).alias("floor"))
+            floors = asked.join(kth, ["query_id", "width"], "left")
+        new = through(floors, first, last)
+        every = new if found is None else found.unionByName(new)
+        found = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+        found = settle(found, "found") if last < shards - 1 else found
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
