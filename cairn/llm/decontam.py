@@ -17,7 +17,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import parts, settle
 
 WINDOW = 13
-#: Benchmark text that one pass carries to the tasks.
-SLICE_BYTES = 16 << 20
+#: Benchmark text that one pass carries to the tasks: some 300 MB a worker at most, for 2 million windows.
+SLICE_BYTES = 8 << 20
 #: Symbols of a shard: some 100 bytes each while it is built.
 SHARD_SYMBOLS = 1_500_000
 #: Documents of a shard, whose texts are held while it is built.
@@ -148,23 +148,56 @@ class FMIndex:
 
 
 class Phrases:
-    """A slice of the benchmark: numbered words, different windows, and the items that each belongs to."""
+    """A slice of the benchmark: numbered words, different windows, and the items that each belongs to.
+
+    Windows are rows of an array, told apart by sorting; the items of window w are ``names[own[at[w]:at[w + 1]]]``.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for name, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 3) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                named = owners[tuple(ids[i : i + window])]
-                if name is not None:
-                    named.add(name)
+        flat: list[int] = []
+        cuts = [0]
+        for _, text in items:
+            flat += [self.number.setdefault(w, len(self.number) + 3) for w in words_of(text)]
+            cuts.append(len(flat))
+        ids, ends = np.array(flat, np.int32), np.array(cuts[1:], np.int64)
+        del flat
+        counts = np.diff(np.array(cuts, np.int64))
         self.window = window
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.rows = np.zeros((len(owners), window), np.int64)
-        for i, w in enumerate(owners):
-            self.rows[i, window - len(w) :] = w
-        self.owners = [sorted(x) for x in owners.values()]
+        # A window for each place that has a whole one after it in its item, and one for a shorter item; padded in front.
+        item = np.repeat(np.arange(len(items)), np.where(counts > 0, np.maximum(1, counts - window + 1), 0))
+        first = np.r_[True, item[1:] != item[:-1]] if len(item) else np.zeros(0, bool)
+        place = np.arange(len(item)) - np.maximum.accumulate(np.where(first, np.arange(len(item)), 0)) if len(item) else item
+        stop = (ends - counts)[item] + place + np.minimum(counts, window)[item]
+        back = np.arange(window) - window
+        size = np.minimum(counts, window)[item]
+        rows = np.zeros((len(item), window), np.int32)
+        for k in back:
+            own = -k <= size
+            rows[own, k] = ids[stop[own] + k]
+        keys = rows.view(np.dtype((np.void, rows.dtype.itemsize * window)))[:, 0] if len(rows) else np.zeros(0, "V4")
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(order) else np.zeros(0, bool)
+        which = np.cumsum(new) - 1
+        self.rows, self.lengths = rows[order][new].astype(np.int64), size[order][new]
+        pairs = np.unique(which.astype(np.int64) * len(items) + item[order]) if len(items) else np.zeros(0, np.int64)
+        self.names = [name for name, _ in items]
+        self.own = pairs % max(1, len(items))
+        self.at = np.searchsorted(pairs // max(1, len(items)), np.arange(len(self.lengths) + 1))
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.own[self.at[window] : self.at[window + 1]] if self.names[i] is not None]
+
+
+_held: dict[str, Phrases] = {}
+
+
+def _phrases(mark: str, items: list[tuple[str | None, str]], window: int) -> Phrases:
+    """Made once a worker, which keeps those of the latest slice only."""
+    if mark not in _held:
+        _held.clear()
+        _held[mark] = Phrases(items, window)
+    return _held[mark]
 
 
 def _shard_hits(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], set[str]]]:
@@ -196,7 +229,7 @@ def _shard_hits(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
             spans.append((a, b))
-        names.update(phrases.owners[which[i]])
+        names.update(phrases.items_of(int(which[i])))
     return out
 
 
@@ -212,12 +245,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _pass(docs: DataFrame, items: list[tuple[str | None, str]], window: int, schema: str) -> DataFrame:
     """docs: doc_id, text, kept, spans, items. Adds what a slice of the benchmark hits; schema names the columns to give back."""
-    carried = docs.sparkSession.sparkContext.broadcast(items)
+    carried, mark = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     with_text = "text string" in schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(carried.value, window)
+        phrases = _phrases(mark, carried.value, window)
         held: list[tuple[pa.RecordBatch, list[int]]] = []
         different: dict[str, int] = {}  # exact copies in a shard share their entry in the index
         words: list[list[bytes]] = []
@@ -242,7 +275,7 @@ def _pass(docs: DataFrame, items: list[tuple[str | None, str]], window: int, sch
                 )
 
         size = 0
-        for batch in batches:
+        for batch in parts(batches):
             own = []
             for text in batch.column("text").to_pylist():
                 k = different.setdefault(text or "", len(words))
@@ -277,7 +310,6 @@ def benchmark_hits(
     With keep, text and kept (a struct of these columns of docs) come along.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-size // SLICE_BYTES))
