@@ -47,7 +47,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{rule}', '{says}')" for rule, says in URL_RULES) + " AS rules(rule, verdict)")
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 

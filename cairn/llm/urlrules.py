@@ -9,7 +9,8 @@ tokens of a URL fetch its candidate rules, and only those run their regular expr
 Everything is DataFrame functions. Up to ``MAP_RULES`` rules travel as a literal map inside the projection (no
 shuffle at all); more are joined by token.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path and gets ``default``; repeated
+Defined results: a rule without a path fits all paths of its host; a rule without a host, or a null one, fits no URL;
+a null URL, or one without ``://``, has an empty host and path and gets ``default``; repeated
 rows are judged each; an empty table gives an empty result; other columns of the table are ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, salted_join, settle
 
 #: Rules that are held in a map literal; above it they are joined by token.
 MAP_RULES = 64
@@ -42,10 +43,10 @@ def _rest(url: Column) -> Column:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Host labels and path segments; the empty token fetches rules that have no literal token."""
+    """Host labels and path segments."""
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
     segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), x))
-    return F.array_distinct(F.concat(F.array(F.lit("")), labels, segments))
+    return F.array_distinct(F.concat(labels, segments))
 
 
 def _with_tokens(rules: DataFrame) -> DataFrame:
@@ -58,12 +59,10 @@ def _with_tokens(rules: DataFrame) -> DataFrame:
         F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x)),
         F.transform(F.filter(closed, lambda x: x != ""), lambda x: F.concat(F.lit("p:"), x)),
     )
-    return rules.where("rule is not null").select(
-        "rule",
-        "verdict",
-        F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted).alias("regex"),
-        F.explode(F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("")))).alias("token"),
-    )
+    # Without a path, the host must end where the rule's does.
+    closing = F.when(path == "", F.lit(r"(?:/|\z)")).otherwise(F.lit(""))
+    regex = F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted, closing)
+    return rules.where((host != "") & F.array_contains(F.transform(F.split(host, r"\."), lambda x: x != ""), True)).select("rule", "verdict", regex.alias("regex"), F.explode(tokens).alias("token"))
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def _longest(rules: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id_col, host, path, rule, verdict for every row of pages. rules: rule string, verdict string."""
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    index = rule_index(parsed, rules)
+    index = settle(rule_index(parsed, rules), "rule-index")
     held = index.select("token", "rule", "verdict", "regex").limit(MAP_RULES + 1).collect()  # a bounded peek; it decides the way, and drops nothing
     if len(held) <= MAP_RULES:
         decided = parsed.withColumn("won", _longest(_by_map(held)) if held else F.lit(None).cast("struct<n:int,rule:string,verdict:string>"))
@@ -110,13 +109,13 @@ def _by_map(held: list) -> Column:
 
 
 def _by_join(parsed: DataFrame, index: DataFrame) -> DataFrame:
-    """The same for many rules: each different host and path once, joined to the rules by token."""
-    keys = parsed.select("host", "path").distinct()
+    """The same for many rules: each different host and path once, joined to the rules by token; frequent tokens are salted."""
+    keys = settle(parsed.select("host", "path").distinct(), "url-parts")
+    met = keys.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(index.select("token").distinct(), "token", "left_semi")
     won = (
-        keys.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
-        .join(index, "token")
+        salted_join(met, index, ["token"])
         .where(F.regexp_like(F.concat("host", "path"), F.col("regex")))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("won"))
     )
-    return parsed.join(won, ["host", "path"], "left")
+    return salted_join(parsed, won, ["host", "path"], "left")
