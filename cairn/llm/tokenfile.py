@@ -12,11 +12,13 @@ stand in the order of a hash of their text; an empty table writes no shard; othe
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, settle, small_batches
+from .common import parts, scratch, settle
 
 SEQUENCE = 1024
 ROWS = 1024
@@ -35,6 +37,22 @@ CACHE = 600_000
 
 #: How the vocabulary file cuts normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The parts of a tokenizer's file that say so.
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "type": "BPE",
+    "dropout": None,
+    "continuing_subword_prefix": None,
+    "end_of_word_suffix": "</w>",
+}
 #: Punctuation that is a piece of its own at a word's end.
 ENDS = frozenset(".,;:!?")
 #: Python's split() takes these for white space, the vocabulary file doesn't.
@@ -43,9 +61,10 @@ BLANKS = regex.compile(r"[^\S\x1c-\x1f]+")
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, remembering words.
+    """Encodes with the tokenizers library, remembering words where the vocabulary file allows it.
 
-    The vocabulary drops white space and ends each piece with a token that ends in ``</w>``, so a text's ids are
+    It does if the file cuts text as CUTS says; with any other file every text goes through the library whole. Such
+    a vocabulary drops white space and ends each piece with a token that ends in ``</w>``, so a text's ids are
     those of its words, one after another, and ids of many pieces encoded together come apart at these tokens.
     Words that this might not hold for (special tokens, text that normalising changes) are encoded alone.
     """
@@ -56,6 +75,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        held = json.loads(Path(path).read_text(encoding="utf-8"))
+        by_word = {k: held.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")} | {k: held["model"].get(k) for k in ("type", "dropout", "continuing_subword_prefix", "end_of_word_suffix")}
+        # Words are cut by hand only where special tokens are marked as _pieces_of() expects.
+        self.by_word = by_word == CUTS and all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in held["added_tokens"])
         self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
@@ -106,6 +129,8 @@ class WordEncoder:
         self.words.update(zip(odd, self._alone(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._alone(texts)
         split = [t.split() if SEPARATORS.isdisjoint(t) else list(filter(None, BLANKS.split(t))) for t in texts]
         wanted = set().union(*split)
         new = wanted.difference(self.words)
@@ -193,7 +218,6 @@ class Shard:
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards; their manifest: shard, ids_file, docs_file, n_docs, n_tokens."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = scratch(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +225,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: s
         name = f"{folder}/{shard:08d}-{uuid.uuid4().hex}"
         writer = index = sink = None
         n = 0
-        for batch in batches:
+        for batch in parts(batches):
             if writer is None:
                 encoder = _encoder(tokenizer_path)
                 system, path = _open(f"{name}-ids.arrow")
