@@ -4,7 +4,7 @@ Base kinds are found by pattern alone. The added kinds are reported only if thei
 
 * ``jwt``: a dotted signed token whose first part decodes to a JSON object that names ``alg`` and whose second
   part decodes to a JSON object;
-* ``key``: a base64 or hex run that decodes to a DER sequence whose nested lengths fill it exactly and which
+* ``key``: a run of base64 (plain or URL-safe, wrapped over lines or not) or hex (either case) that decodes to a DER sequence whose nested lengths fill it exactly and which
   holds an integer first (private and public key encodings), or to the OpenSSH key format;
 * ``pem``: an armoured private key whose body decodes to such a structure.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import parts
 
 KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
 BASE = KINDS[:3]
@@ -33,7 +33,8 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[Mb][A-Za-z0-9+/_-]{31,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 WORDS = ("password", "passwd", "secret", "token", "api")
 
@@ -88,6 +89,11 @@ def _b64(text: str, *, url: bool = False) -> bytes:
         return b""
 
 
+def _wrapped(run: str) -> list[str]:
+    """The run, and its first line if it has several: what follows a key may be words."""
+    return [run, run.split("\n", 1)[0].rstrip("\r")] if "\n" in run else [run]
+
+
 def _object(part: str) -> dict:
     try:
         found = json.loads(_b64(part, url=True))
@@ -106,12 +112,13 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     runs = [m.span() for m in HEX.finditer(text)]
     found += [(a, 2, b) for a, b in runs]
-    found += [(a, 4, b) for a, b in runs if (b - a) % 2 == 0 and is_key(bytes.fromhex(text[a:b]))]
+    found += [(m.start(), 4, m.end()) for m in HEX_RUN.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     if "eyJ" in text:
         found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if "alg" in _object(m[1]) and _object(m[2])]
     if "-----BEGIN " in text:
         found += [(m.start(), 5, m.end()) for m in PEM.finditer(text) if is_key(_b64("".join(m[2].split())))]
-    found += [(m.start(), 4, m.end()) for m in RUN.finditer(text) if m[0][0] in "Mb" and is_key(_b64(m[0]))]
+    for m in RUN.finditer(text):
+        found += [(m.start(), 4, m.start() + len(run)) for run in _wrapped(m[0]) if is_key(_b64(run.replace("\r", "").replace("\n", ""), url="-" in run or "_" in run))][:1]
     return sorted(set(found))
 
 
@@ -120,7 +127,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         rows = [find_spans(t or "") for t in batch.column(1).to_pylist()]
         kinds = [[x[1] for x in r] for r in rows]
         yield pa.RecordBatch.from_arrays(
@@ -136,7 +143,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_<kind> for each kind, base_spans and spans (``kind:start:end`` by start and kind, comma-joined)."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
