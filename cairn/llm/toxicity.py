@@ -1,9 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and the beginnings of words, hashed into buckets; a document has the set of its buckets. Buckets
-that tell the classes apart in the training sample (log-likelihood ratio) are kept. The machine adds a weight for
-each bucket and, through factor vectors, one for each pair of buckets, so that terms which are harmless apart can
-count together. It is fitted on a bounded sample of labelled documents (``max_rows`` of either class), as one
+Terms are words and the beginnings of words, hashed into buckets, and one for how many different words a document has;
+a document has the set of its buckets. Buckets that tell the classes apart in the training sample are kept: those with
+a log-likelihood ratio of ``LEAST_G`` or more, the ``MAX_TERMS`` highest at most. The machine adds a weight for each bucket and, through factor vectors, one for each pair of buckets, so that
+terms which are harmless apart, or in a long document, can count together. Terms are left out at random while fitting
+(``KEEP`` stay each step), so that one of several will do. It is fitted on a bounded sample of labelled documents (``max_rows`` of either class), as one
 small task; every document is then scored, whole, on the executors.
 
 Defined results: null and empty texts get the score of a document without terms; a null id is not held out;
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, small_batches
+from .common import labelled_sample, parts
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5)
@@ -33,7 +34,10 @@ FACTORS = 8
 MAX_ROWS = 3000
 MAX_TERMS = 1024
 LEAST_G = 13.0
+KEEP = 0.8
 STEPS = 200
+#: Buckets for the number of different words, two a doubling.
+SIZES = 64
 CACHE = 300_000
 
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -48,6 +52,15 @@ def buckets(word: bytes) -> list[int]:
     return [zlib.crc32(word) % BUCKETS, *(zlib.crc32(word[:n], n) % BUCKETS for n in PREFIXES if len(word) >= n)]
 
 
+def size_bucket(words_: int) -> int:
+    return BUCKETS + min(SIZES - 1, int(2 * np.log2(1 + words_)))
+
+
+def document_buckets(text: str | None) -> list[int]:
+    own = words(text)
+    return sorted({b for w in own for b in buckets(w)} | {size_bucket(len(own))})
+
+
 @dataclass
 class Machine:
     terms: dict[int, int]
@@ -82,12 +95,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 7
     empty = Machine({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < y.sum() < len(y):
         return empty
-    seen = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == k] or [np.zeros(0, int)]), minlength=BUCKETS).astype(float) for k in (0, 1)]
+    seen = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == k] or [np.zeros(0, int)]), minlength=BUCKETS + SIZES).astype(float) for k in (0, 1)]
     g = _g(seen[1], seen[0], float(y.sum()), float(len(y) - y.sum()))
     g[seen[0] + seen[1] < 3] = 0
+    g[BUCKETS:] = np.where(seen[0][BUCKETS:] + seen[1][BUCKETS:] > 0, np.inf, 0)
     chosen = np.argsort(-g, kind="stable")[:MAX_TERMS]
     chosen = chosen[g[chosen] >= LEAST_G]
-    if not len(chosen):
+    if (chosen >= BUCKETS).all():
         return empty
     terms = {int(b): i for i, b in enumerate(chosen)}
     x = np.zeros((len(rows), len(terms)), np.float32)
@@ -101,8 +115,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 7
     y = y.astype(np.float32)
     params = [np.zeros(1, np.float32), m.linear, m.factors]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    full = x
     for step in range(1, STEPS + 1):
         m.bias = float(params[0][0])
+        x = full * (rng.random(full.shape, dtype=np.float32) < KEEP)
         s = x @ m.factors
         logit = m.bias + x @ m.linear + 0.5 * (s * s - x @ (m.factors * m.factors)).sum(axis=1)
         err = (pull * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)).astype(np.float32)
@@ -118,12 +134,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 7
 
 def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Machine:
     """Fit on a bounded sample; features are made where the texts are, and one task fits."""
-    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label=label, id_col=id_col, text_col=text_col, learn_from=learn_from, most=max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [sorted({b for w in words(t) for b in buckets(w)}) for t in batch.column(0).to_pylist()]
+        for batch in parts(batches):
+            own = [document_buckets(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), batch.column(2), batch.column(3)], names=["doc_id", "buckets", "y", "weight"])
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -139,17 +154,17 @@ def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column, label: str
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     carried = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = carried.value
         known: dict[bytes, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in parts(batches):
             logits = []
             for text in batch.column(1).to_pylist():
-                own: set[int] = set()
-                for w in words(text):
+                there = words(text)
+                own = {m.terms[b] for b in (size_bucket(len(there)),) if b in m.terms}
+                for w in there:
                     found = known.get(w)
                     if found is None:
                         found = known[w] = tuple(m.terms[b] for b in buckets(w) if b in m.terms)
