@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -89,9 +90,48 @@ def test_mix_is_the_same_again_and_takes_empty_tables(spark, corpus):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_rates_are_tilted_as_the_dual_says(spark, corpus):
+    """Within a source, log rates below the cap are proportional to sizes, and the rated words meet the target."""
+    sources = ["many" if i % 4 else "few" for i in range(len(corpus))]
+    rows = mixing.mix_sources(docs_of(spark, [(i, t and t[:2000]) for i, t in corpus], sources), weights=(2, 3)).collect()
+    source = {i: s for (i, _), s in zip(corpus, sources, strict=True)}
+    for s in ("few", "many"):
+        own = [r for r in rows if source[r["doc_id"]] == s and r["size"]]
+        assert own[0]["target"] < 3 * own[0]["source_size"]
+        assert abs(sum(r["rate"] * r["size"] for r in own) / own[0]["target"] - 1) < 1e-5
+        slopes = [np.log(r["rate"]) / r["size"] for r in own if r["rate"] < 3 - 1e-9]
+        assert len({round(r["rate"], 9) for r in own}) > 10 and np.ptp(slopes) < 1e-9 * abs(slopes[0]) + 1e-12
+        assert (slopes[0] > 0) == (own[0]["target"] > own[0]["source_size"])
+        assert all(abs(r["rate"] - 3) < 1e-9 for r in own if r["size"] * slopes[0] > np.log(3))
+
+
+def test_mix_of_one_hot_source_and_of_copies(spark):
+    docs = spark.range(0, 9000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS source", "if(id % 2 = 0, 'same text of five words', repeat('w ', cast(id % 97 AS int))) AS text")
+    rows = mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= max(2, 0.01 * r["target"]) for r in rows)
+
+
 # Top-k
 
 
+def test_top_k_of_other_lengths_repeated_queries_and_large_values(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 1.0]), (1, [3.0, 1.0]), (2, []), (50, []), (3, [1.0]), (100, [2.0]), (4, [1e20, -1e20]), (150, [1e20, 1.0]), (5, [1.5, float("nan")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.repartition(5), F.col("vec_id") % 50 == 0).collect())
+    best: dict = {}
+    asking = {}
+    for i, v in rows:
+        if i % 50 == 0 and (i not in asking or v < asking[i]):
+            asking[i] = v
+    for q, v in asking.items():
+        for i, w in rows:
+            if i != q and len(w) == len(v) and not any(x != x for x in w):
+                score = sum(int(np.floor(256 * x)) * int(np.floor(256 * y)) for x, y in zip(v, w, strict=True))
+                best.setdefault(q, []).append((-max(-(2**63), min(2**63 - 1, score)), i))
+    assert got == sorted((q, k + 1, i, -s) for q, found in best.items() for k, (s, i) in enumerate(sorted(found)[:5]))
+
+
 def test_top_k_is_brute_force(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(0, 1, (300, 8)).astype(np.float32)
@@ -111,7 +151,8 @@ def test_top_k_is_brute_force(spark):
 
 
 def test_top_k_over_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 15)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
     rng = np.random.default_rng(6)
     v = rng.normal(0, 1, (200, 6))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
@@ -185,6 +226,30 @@ def test_chains_of_near_fingerprints_join(spark):
     assert {x: found.get(x, x) for x in signed} == parts(near)
 
 
+def test_crowded_prefixes_and_hot_keys_are_split(spark, monkeypatch):
+    """A star of near fingerprints about one, with the limits of a task and of a hot key brought down."""
+    monkeypatch.setattr(simhash, "TASK_VARIANTS", 3000)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(9)
+    center = rng.getrandbits(64)
+    prints = [center, *(center ^ (1 << a) ^ (1 << b) for a, b in (rng.sample(range(64), 2) for _ in range(150))), *(rng.getrandbits(64) for _ in range(50))]
+    signed = [int(np.array(p, np.uint64).view(np.int64)) for p in dict.fromkeys(prints)]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    star = [x for x in signed if ((x & (2**64 - 1)) ^ center).bit_count() <= 2]
+    assert {found.get(x, x) for x in star} == {min(star)}
+    assert all(x not in found for x in signed if x not in star)
+    with pytest.raises(ValueError, match="odd"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), radius=3)
+
+
+def test_null_ids_and_copies_of_one_text_in_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(None, "a b c d e"), (7, "a b c d e"), (None, "alone here now then"), *((i, "many copies of this text") for i in range(100, 140))]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs_of(spark, rows)).collect()), key=repr)
+    assert got == sorted([(None, 7), (7, 7), (None, None), *((i, 100) for i in range(100, 140))], key=repr)
+
+
 # Decontamination
 
 
@@ -275,9 +340,34 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_rules_without_a_path_end_with_the_host(spark):
+    rules = spark.createDataFrame([("com", "block"), ("a.org", "block"), ("b.org/x", "block"), ("/path", "block"), (None, "block"), ("", "block")], "rule string, verdict string")
+    urls = {"http://x.com": "com", "http://com.community.org/": None, "http://com-x.com.evil.org/": None, "http://a.org?q": "a.org", "http://a.org/any": "a.org", "http://a.orgs/": None, "http://xa.org/": None, "http://b.org/xyz": "b.org/x", "http://b.org": None, "path": None, "http:///path": None}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (64, 0):
+        urlrules.MAP_RULES, before = most, urlrules.MAP_RULES
+        got = {r["page_id"]: r["rule"] for r in urlrules.judge_urls(pages, rules).collect()}
+        urlrules.MAP_RULES = before
+        assert got == dict(enumerate(urls.values()))
+
+
 # Token files
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_vocabulary_gives_the_librarys_ids(spark, name):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path(name)
+    texts = [(0, "Hello  world,\n it's 12 o'clock"), (1, None), (2, "Été 中文\t\t<|endoftext|> x"), (None, "no id")]
+    manifest = tokenfile.write_tokens(docs_of(spark, texts), path, end_id=2)
+    got = []
+    for row in sorted(manifest.collect(), key=lambda r: r["shard"]):
+        got += [x for part in tokenfile.Shard(row["ids_file"]).slices(0, row["n_tokens"]) for x in part.tolist()]
+    whole = Tokenizer.from_file(path)
+    assert got == [x for _, t in [texts[3], *texts[:3]] for x in [*whole.encode(t or "", add_special_tokens=False).ids, 2]]
+
+
 def test_token_files_are_the_plain_encoding(spark, corpus):
     from tokenizers import Tokenizer
 
@@ -346,6 +436,11 @@ def test_structure_decides_on_encodings():
     good, bad = base64.b64encode(der).decode(), base64.b64encode(der[:-1] + b"\x02").decode()
     assert any(k == 4 for _, k, _ in secretscan.find_spans(good))
     assert any(k == 4 for _, k, _ in secretscan.find_spans(der.hex()))
+    assert any(k == 4 for _, k, _ in secretscan.find_spans("x" + der.hex().upper() + " y"))
+    assert any((a, b) == (4, 4 + len(good.rstrip("="))) for a, k, b in secretscan.find_spans("key " + base64.urlsafe_b64encode(der).decode().rstrip("=")) if k == 4)
+    wrapped = "\n".join(good[i : i + 48] for i in range(0, len(good), 48))
+    assert (0, 4, len(wrapped)) in secretscan.find_spans(wrapped)
+    assert (0, 4, len(good)) in secretscan.find_spans(good + "\nwords follow")
     assert secretscan.is_key(der) and not secretscan.is_key(der[:-1])
     assert bad == good or not secretscan.is_key(der[:1] + bytes([der[1] + 1]) + der[2:])
 
@@ -438,6 +533,33 @@ def test_lines_go_after_a_filter_overflows(spark, monkeypatch, broadcast_keys, b
         assert {r["doc_id"]: r["n_dropped"] for r in rows} == {k: 1 for k in range(12)} | {50 + k: 200 for k in range(12)}
 
 
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_lines_of_a_corpus_that_starts_empty_and_grows(spark, broadcast_keys):
+    counts, filters = linededup.reference_counts(empty(spark)), linededup.build_filters(linededup.reference_counts(empty(spark)).select("a", "b"))
+    for at in range(3):
+        docs = docs_of(spark, [(100 * at + k, f"own {at} {k}\nshared" + ("\nlate" if at == 2 else "")) for k in range(6)])
+        counts, filters = linededup.revise(counts, filters, come=docs)
+    every = docs_of(spark, [(100 * at + k, f"own {at} {k}\nshared" + ("\nlate" if at == 2 else "")) for at in range(3) for k in range(6)])
+    drop = lambda: linededup.drop_common_lines(every, counts, filters, least=10, broadcast_keys=broadcast_keys).agg(F.sum("n_dropped")).first()[0]
+    assert drop() == 18
+    counts, filters = linededup.revise(counts, filters, go=every.where("doc_id >= 100"))
+    assert drop() == 0
+    counts, filters = linededup.revise(counts, filters, come=docs_of(spark, [(500 + k, "shared") for k in range(4)]))
+    assert drop() == 18
+
+
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_very_many_lines_take_linear_time(spark, broadcast_keys):
+    long = "\n".join(f"line {k}" for k in range(200_000))
+    docs = docs_of(spark, [(0, long), *((k, "line 5\nline 7\nLINE 5 ") for k in range(1, 12))])
+    counts = common.settle(linededup.reference_counts(docs), "counts")
+    filters = common.settle(linededup.build_filters(counts.where("n >= 10").select("a", "b")), "filters")
+    start = time.monotonic()
+    rows = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.drop_common_lines(docs, counts, filters, least=10, broadcast_keys=broadcast_keys).collect()}
+    assert rows == {0: (200_000, 2)} | {k: (3, 3) for k in range(1, 12)}
+    assert time.monotonic() - start < 60
+
+
 def test_cuckoo_filter_holds_and_lets_go():
     keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
     held = linededup.build_filter(keys)
@@ -471,6 +593,15 @@ def test_held_out_labels_are_told_apart(spark, name, label, least):
     assert auc(np.array([r["score"] for r in own]), np.array([labels[r["doc_id"]] for r in own])) >= least
 
 
+@pytest.mark.parametrize(("name", "label", "recall", "specificity"), [("op9_toxicity", "toxic", 0.9, 0.98), ("op10_quality", "quality", 0.95, 0.95)])
+def test_held_out_predictions_at_the_contracts_thresholds(spark, name, label, recall, specificity):
+    folder = "/root/testdata/sf0.1"
+    rows = queries.QUERIES[name](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col(label).alias("y")), "doc_id")
+    n = {(r["y"], r["predicted"]): r["count"] for r in rows.where("y is not null").groupBy("y", "predicted").count().collect()}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= recall
+    assert n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) >= specificity
+
+
 def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(3)
     rows, y = [], []
@@ -531,12 +662,25 @@ def test_query_is_its_sql(spark, small, name):
     assert got == sorted(repr(tuple(plain(r[i]) for _, i in named)) for r in answer.fetchall())
 
 
-def test_digests(spark, small):
+def test_secrets_query_is_the_patterns_and_the_decoded(spark, small):
+    """Every row of the query against patterns written as the contract has them, and every added span decoded anew."""
     found = {r["doc_id"]: r for r in queries.op7_secrets(spark, small).collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert found.keys() == texts.keys()
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = {"assign": (rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), "access": ("AKIA[A-Z0-9]+", 0, 16), "hex": ("[0-9a-f]+", 0, 32)}
     for i, r in found.items():
-        base = secretscan._joined([s for s in secretscan.find_spans(texts[i] or "") if s[1] < 3])
-        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        text = texts[i] or ""
+        spans = sorted((m.start(), k, m.end()) for k, (p, group, least) in enumerate(kinds.values()) for m in re.finditer(p, text) if len(m[group]) >= least)
+        base = [f"{list(kinds)[k]}:{a}:{b}" for a, k, b in spans]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in kinds] == [sum(b.startswith(k) for b in base) for k in kinds]
+        every = r["spans"].split(",") if r["spans"] else []
+        assert [s for s in every if s.split(":")[0] in kinds] == base
+        for s in every:
+            kind, a, b = s.split(":")
+            own = text[int(a) : int(b)]
+            assert kind in kinds or (kind == "jwt" and own.count(".") == 2 and own.startswith("eyJ")) or kind in ("key", "pem")
 
 
 def test_held_out_is_crc32_of_the_id(spark):
