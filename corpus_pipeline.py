@@ -13,16 +13,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontam, mixing, quality, simhash, tokenfile
-from cairn.llm.common import held_out, settle
+from cairn.llm.common import discard, held_out, passing, scratch, settle
 from cairn.llm.queries import END_ID, GOOD_FROM, table, vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def row_key(docs: DataFrame) -> Column:
-    """Orders as doc_id does, nulls last; equal for equal rows only."""
+    """Orders as doc_id does, nulls last; equal for equal rows only.
+
+    The type is that of a key read back from a table, so that both are dealt out alike and texts are shuffled once.
+    """
     own = F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")
-    return F.struct(F.col("doc_id").isNull().alias("unnamed"), own, F.xxhash64(*docs.columns).alias("row"))
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), own, F.xxhash64(*docs.columns).alias("row")).cast("struct<unnamed:boolean,id:bigint,row:bigint>")
+
+
+def each_once(keyed: DataFrame) -> DataFrame:
+    """One row for each row_key, since exact repeated rows share it; they are brought together before the shuffle."""
+    return keyed.groupBy("row_key").agg(*(F.first(c).alias(c) for c in keyed.columns if c != "row_key"))
 
 
 def others(docs: DataFrame) -> list[str]:
@@ -45,9 +53,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn("row_key", row_key(docs))
     groups = simhash.near_duplicates(keyed, id_col="row_key")
     first = groups.where(F.col("row_key") == F.col("component_id")).select("row_key").distinct()
-    once = keyed.join(settle(first, "first-of-group"), "row_key", "left_semi")
-    # Exact repeated rows share a key.
-    return once.groupBy("row_key").agg(*(F.first(c).alias(c) for c in docs.columns)).select(*docs.columns)
+    return each_once(keyed).join(settle(first, "first-of-group"), "row_key", "left_semi").select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +68,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = settle(mixing.mix_sources(keyed, id_col="row_key").where("copies > 0").select("row_key", "copies"), "copies")
     # Repeated rows share a key: each gets its own number of copies, in any order.
     totals = taken.groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies"))
-    once = keyed.groupBy("row_key").agg(*(F.first(c).alias(c) for c in docs.columns))
-    return once.join(totals, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return each_once(keyed).join(totals, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; tables that nothing reads any more are deleted on the way."""
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = scratch(spark, name.replace(" ", "-"))
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, done)
+        docs, done = spark.read.parquet(path), [path]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its files are written by now
+    discard(spark, done)
+    return out
