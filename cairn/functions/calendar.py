@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Day names in two languages, Monday first.
@@ -45,6 +45,11 @@ def opening_windows(text: Column) -> Column:
     return F.when(F.trim(plain).isin(*ALWAYS), always).when(F.size(rules) > 0, F.flatten(F.transform(rules, _rule)))
 
 
+def parsed_hours(rows: DataFrame, column: str) -> DataFrame:
+    """column, windows: each different text of rows once. Rows share few texts, and reading one costs much more than a join."""
+    return rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn("windows", opening_windows(F.col(column)))
+
+
 def minute_of_week(ts: Column) -> Column:
     return F.weekday(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from .groups import Columns, by_group
 RESAMPLES = 10_000
 SEED = 20260926
 ALPHA = 0.05
+#: Keys whose sums a task holds: 160 kB each.
+HELD_KEYS = 500
 
 
 def greedy_matches(reference: DataFrame, answer: DataFrame, *, key: str, metres: float = 750.0) -> DataFrame:
@@ -66,19 +71,41 @@ def spread(runs: DataFrame, key: str, metric: str) -> DataFrame:
     return own.groupBy(key).agg(F.count(m).alias("n"), F.avg(m).alias("mean"), ((F.max(m) - F.min(m)) / 2).alias("half_range"), F.stddev_samp(m).alias("sd"))
 
 
-def bootstrap(values: DataFrame, key: str, value: str, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """key, mean, low, high: percentile interval of the mean.
+def _resampled(values: DataFrame, key: str, value: str, resamples: int, seed: int) -> DataFrame:
+    """key, resample, m: the mean of each resample. values: key, value (double, not null), id (long, tells rows apart).
 
-    Resamples are spread over tasks in blocks; a value's count in a resample is Poisson drawn from a hash of
-    resample and row, which needs no group to be gathered and no order of the rows.
+    A row's count in a resample is Poisson, drawn by a generator of its own, seeded by its id, so rows may be split
+    and ordered at will. Each task adds up its rows for all resamples at once and gives back the sums alone.
     """
-    own = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.xxhash64(*values.columns).alias("h"))
-    draws = own.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "h", "resample"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # Poisson counts by inversion: thresholds are sums of 1 / (e * k!).
-    cuts = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(9)])
-    n = sum(((u > float(c)).cast("int") for c in cuts), F.lit(0))
-    means = draws.withColumn("n", n).groupBy(key, "resample").agg((F.sum(F.col("n") * F.col("v")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights: dict[object, np.ndarray] = {}
+        for batch in batches:
+            for k, v, i, times in zip(batch[key].tolist(), batch[value].tolist(), batch["id"].tolist(), batch["times"].tolist(), strict=True):
+                if k not in weights and len(weights) == HELD_KEYS:
+                    yield from _sums(weights, key)
+                    weights.clear()
+                own = weights.setdefault(k, np.zeros((2, resamples)))
+                n = np.random.Generator(np.random.Philox(key=[seed, i % (1 << 64)])).poisson(times, resamples)
+                own[0] += n * v
+                own[1] += n
+        yield from _sums(weights, key)
+
+    kind = dict(values.dtypes)[key]
+    # Rows that are all alike are drawn together: a sum of Poisson counts is one.
+    sums = values.groupBy(key, value, "id").agg(F.count("*").alias("times")).mapInPandas(run, f"{key} {kind}, resample int, total double, n double")
+    return sums.groupBy(key, "resample").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+
+
+def _sums(weights: dict[object, np.ndarray], key: str) -> Iterator[pd.DataFrame]:
+    for k, (total, n) in weights.items():
+        yield pd.DataFrame({key: [k] * len(n), "resample": np.arange(len(n), dtype=np.int32), "total": total, "n": n})
+
+
+def bootstrap(values: DataFrame, key: str, value: str, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
+    """key, mean, low, high: percentile interval of the mean, by Poisson resampling, which needs no group in one place."""
+    own = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.xxhash64(*values.columns).alias("id"))
+    means = _resampled(own, key, "v", resamples, seed)
     low, high = F.percentile("m", alpha / 2), F.percentile("m", 1 - alpha / 2)
     return values.groupBy(key).agg(F.avg(value).alias("mean")).join(means.groupBy(key).agg(low.alias("low"), high.alias("high")), key)
 
@@ -86,12 +113,8 @@ def bootstrap(values: DataFrame, key: str, value: str, *, resamples: int = RESAM
 def paired(a: DataFrame, b: DataFrame, case: str, value: str, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """One row: difference of b to a over shared cases, its interval, and a two-sided p of at least 1 / resamples."""
     both = a.select(case, F.col(value).alias("x")).join(b.select(case, F.col(value).alias("y")), case).where("x is not null and y is not null")
-    d = both.select(F.lit(0).alias("all"), (F.col("y") - F.col("x")).alias("d"), F.xxhash64(case).alias("h"))
-    own = d.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "h", "resample"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(9)])
-    n = sum(((u > float(c)).cast("int") for c in cuts), F.lit(0))
-    means = own.withColumn("n", n).groupBy("resample").agg((F.sum(F.col("n") * F.col("d")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    d = both.select(F.lit(0).alias("all"), (F.col("y") - F.col("x")).alias("d"), F.xxhash64(case).alias("id"))
+    means = _resampled(d, "all", "d", resamples, seed)
     tails = means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), F.count_if(F.col("m") <= 0).alias("down"), F.count_if(F.col("m") >= 0).alias("up"))
     p = F.greatest(F.lit(1.0 / resamples), F.least(F.lit(1.0), F.least("down", "up") * 2 / resamples))
     return d.agg(F.avg("d").alias("difference"), F.count("*").alias("cases")).join(tails.select("low", "high", p.alias("p")), F.lit(True))

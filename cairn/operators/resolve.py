@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from .groups import Columns, by_group
 from .spatial import _cell_size
+from .staging import settle
 
 
 def shadowed(rows: DataFrame, names: DataFrame, *, metres: float = 150.0) -> DataFrame:
@@ -39,13 +40,17 @@ def twins(rows: DataFrame, *, metres: float = 5.0) -> DataFrame:
     # Cells of one name and category that touch belong together; the smallest cell of a patch names it.
     spots = keyed.select("name", "category", "cell").distinct()
     around = spots.select("name", "category", F.col("cell").alias("own"), F.explode(geo.cells_around(F.col("cell.cy") * F.lit(size) + size / 2, F.col("cell.cx") * F.lit(size) + size / 2, size)).alias("cell"))
-    touching = around.join(spots, ["name", "category", "cell"])
-    patch = touching.groupBy("name", "category", F.col("own").alias("cell")).agg(F.min("cell").alias("patch"))
+    touching = settle(around.join(spots, ["name", "category", "cell"]), "touching")
+    spot = ["name", "category", "cell"]
+    patch = settle(touching.groupBy("name", "category", F.col("own").alias("cell")).agg(F.min("cell").alias("patch")), "patches")
     while True:
-        low = touching.join(patch, ["name", "category", "cell"]).groupBy("name", "category", F.col("own").alias("cell")).agg(F.min("patch").alias("patch"))
-        moved = low.join(patch.withColumnRenamed("patch", "before"), ["name", "category", "cell"]).where("patch <> before").limit(1).count()
-        patch = low
-        if not moved:
+        low = touching.join(patch, spot).groupBy("name", "category", F.col("own").alias("cell")).agg(F.min("patch").alias("low"))
+        # The patch's own cell may know a lower one already, so that chains are halved each round.
+        far = patch.select("name", "category", F.col("cell").alias("low"), F.col("patch").alias("further"))
+        next_ = low.join(far, ["name", "category", "low"]).join(patch.withColumnRenamed("patch", "before"), spot)
+        next_ = settle(next_.select(*spot, F.least("low", "further").alias("patch"), (F.least("low", "further") < F.col("before")).alias("moved")), "patches")
+        patch = next_.drop("moved")
+        if next_.where("moved").isEmpty():
             break
 
     def walk(own: Columns) -> Columns:

@@ -33,14 +33,33 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, metres: float, *, key:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("metres"), *order))).where(F.col("rank") <= k)
 
 
-def inside(points: DataFrame, areas: DataFrame, *, size: float = 0.1) -> DataFrame:
-    """Points (lat, lon) with the areas (rings, holes) that hold them; an area meets the cells of its bounding box."""
+def meet_boxes(points: DataFrame, boxes: DataFrame, *, least: float = 0.005) -> DataFrame:
+    """points (lat, lon) with the boxes (south, west, north, east) whose cells they lie in, which covers the boxes.
+
+    A box meets cells of about its own size, doubling from least degrees, so it has four at most; a point has one
+    cell of each size in use, of which there are 17 at most.
+    """
+    wide = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"), F.lit(least))
+    sized = boxes.withColumn("size_step", F.ceil(F.log2(wide / least) - 1e-9).cast("int"))
+    used = sorted(r[0] for r in sized.select("size_step").distinct().collect() if r[0] is not None)  # sizes, not boxes
+    size = F.lit(least) * F.pow(F.lit(2.0), F.col("size_step"))
+    at = lambda lat, lon, size: F.struct(F.floor(lat / size).alias("cy"), F.floor(lon / size).alias("cx"))
+    rows, columns = (F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)) for a, b in (("south", "north"), ("west", "east")))
+    cells = F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
+    dealt = sized.withColumn("cell", F.explode(cells)).drop("south", "west", "north", "east")
+    steps = F.explode(F.array(*(F.lit(k) for k in used)) if used else F.array().cast("array<int>"))
+    placed = points.withColumn("size_step", steps).withColumn("cell", at(F.col("lat"), F.col("lon"), F.lit(least) * F.pow(F.lit(2.0), F.col("size_step"))))
+    return placed.join(dealt, ["size_step", "cell"]).drop("size_step", "cell")
+
+
+def inside(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Points (lat, lon) with the areas (rings, holes) that hold them; an area meets the points in cells about its bounding box."""
     flat = F.flatten("rings")
     low = lambda f: F.array_min(F.transform(flat, f))
     high = lambda f: F.array_max(F.transform(flat, f))
     lat, lon = (lambda p: p["lat"]), (lambda p: p["lon"])
-    boxed = areas.where("rings is not null").withColumn("cell", F.explode(geo.cells_of_segment((low(lat), low(lon)), (high(lat), high(lon)), size)))
-    met = points.withColumn("cell", geo.cell(F.col("lat"), F.col("lon"), size)).join(boxed, "cell").drop("cell")
+    boxed = areas.where("rings is not null").select("*", low(lat).alias("south"), low(lon).alias("west"), high(lat).alias("north"), high(lon).alias("east"))
+    met = meet_boxes(points, boxed)
     return met.where(geo.in_polygon(F.col("lat"), F.col("lon"), F.col("rings"), F.col("holes")))
 
 
@@ -52,18 +71,13 @@ def segments(path: DataFrame, key: str, order: str) -> DataFrame:
     return legs.withColumn("before", F.sum("metres").over(Window.partitionBy(key).orderBy("seq")) - F.col("metres"))
 
 
-def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str, cell: float = 0.002) -> DataFrame:
-    """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie (0 on a path without length).
-
-    cell, in degrees, should be about as long as a leg: a leg is sent to all cells around it, which a narrow reach must not make many.
-    """
-    size = max(_cell_size(metres) * 4, cell)
+def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str) -> DataFrame:
+    """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie (0 on a path without length)."""
     a, b = (F.col("a_lat"), F.col("a_lon")), (F.col("b_lat"), F.col("b_lon"))
     reach = _cell_size(metres)
-    wide_a = (F.least(a[0], b[0]) - reach, F.least(a[1], b[1]) - reach)
-    wide_b = (F.greatest(a[0], b[0]) + reach, F.greatest(a[1], b[1]) + reach)
-    dealt = legs.withColumn("cell", F.explode(geo.cells_of_segment(wide_a, wide_b, size)))
-    met = points.select(id_, "lat", "lon", geo.cell(F.col("lat"), F.col("lon"), size).alias("cell")).join(dealt, "cell")
+    ends = (F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[0], b[0]), F.greatest(a[1], b[1]))
+    boxed = legs.select("*", *((e + (reach if k > 1 else -reach)).alias(c) for k, (e, c) in enumerate(zip(ends, ("south", "west", "north", "east"), strict=True))))
+    met = meet_boxes(points.select(id_, "lat", "lon"), boxed)
     met = met.withColumn("hit", geo.segment_m(F.col("lat"), F.col("lon"), a, b)).where(F.col("hit.metres") <= metres)
     best = met.groupBy(key, id_).agg(F.min(F.struct(F.col("hit.metres").alias("offset"), F.col("seq"), (F.col("before") + F.col("hit.along") * F.col("metres")).alias("at"))).alias("best"))
     total = legs.groupBy(key).agg(F.sum("metres").alias("length"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .groups import Columns, by_group
+from .spatial import meet_boxes
 
 #: A square of costs; rows of floats are the quickest for small problems.
 Costs = np.ndarray | list[list[float]]
@@ -201,16 +202,16 @@ def fitted(stops: DataFrame, *, budget_minutes: float, key: str = "route_id") ->
 def detours(per_leg: DataFrame, services: DataFrame, *, most_seconds: float, key: str = "route_id") -> DataFrame:
     """key, service_id, ordinal, extra: the leg where a service costs least, if no more than most_seconds.
 
-    per_leg: key, ordinal, la, lo, lb, lp (ends), seconds. A detour of so many seconds reaches no farther from the
-    leg's start than leg and detour allow, so services meet legs in the cells of that reach.
+    per_leg: key, ordinal, la, lo, lb, lp (ends), seconds. What costs so many seconds at most lies in an ellipse about
+    the leg; services meet legs in cells about its box, which allows for the bend of a great circle.
     """
     speed = geo.SPEEDS["foot"] / 3.6
-    size = 0.05
-    reach = F.col("seconds") * F.lit(speed) + F.lit(most_seconds * speed)
-    dy, dx = reach / F.lit(geo.DEGREE_M), reach / (F.lit(geo.DEGREE_M) * F.cos(F.radians("la")) * F.lit(0.9))
-    low, high = (F.col("la") - dy, F.col("lo") - dx), (F.col("la") + dy, F.col("lo") + dx)
-    dealt = per_leg.withColumn("cell", F.explode(geo.cells_of_segment(low, high, size)))
-    met = services.select("service_id", "lat", "lon", geo.cell(F.col("lat"), F.col("lon"), size).alias("cell")).join(dealt, "cell")
+    direct, whole = F.col("seconds") * F.lit(speed), F.col("seconds") * F.lit(speed) + F.lit(most_seconds * speed)
+    north = F.greatest(F.abs("la"), F.abs("lb"))
+    aside = F.sqrt(whole * whole - direct * direct) * F.lit(0.55) + direct * direct * F.tan(F.radians(north)) / F.lit(4 * geo.EARTH_M)
+    dy, dx = aside / F.lit(geo.DEGREE_M), aside / (F.lit(geo.DEGREE_M) * F.cos(F.radians(north)) * F.lit(0.9))
+    box = (F.least("la", "lb") - dy).alias("south"), (F.least("lo", "lp") - dx).alias("west"), (F.greatest("la", "lb") + dy).alias("north"), (F.greatest("lo", "lp") + dx).alias("east")
+    met = meet_boxes(services.select("service_id", "lat", "lon"), per_leg.select("*", *box))
     there = geo.leg_seconds(geo.haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")))
     back = geo.leg_seconds(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lb"), F.col("lp")))
     extra = F.round(there + back - F.col("seconds"), 3)

@@ -113,7 +113,8 @@ WINDOWS_SQL = f""", rules AS (
 
 @query(views.sql(WINDOWS_SQL + " SELECT place_id, CAST(day AS INTEGER) AS day, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM places JOIN windows USING (opening_hours)", "places"))
 def dat_01_opening_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.places(spark, sf_dir).select("place_id", F.explode(calendar.opening_windows(F.col("opening_hours"))).alias("w"))
+    p = views.places(spark, sf_dir)
+    p = p.join(calendar.parsed_hours(p, "opening_hours"), "opening_hours").select("place_id", F.explode("windows").alias("w"))
     return p.select("place_id", "w.day", "w.start", "w.stop")
 
 
@@ -124,7 +125,8 @@ OPEN_SQL = """(start + day * 1440 <= {m} AND {m} < day * 1440 + stop + CASE WHEN
 def dat_02_open_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open, closed or unknown at a minute of the week; windows go over midnight and the week's end."""
     minute = (F.col("place_id") * 61 % 10080).cast("int")
-    return views.places(spark, sf_dir).select("place_id", minute.alias("minute"), calendar.open_at(calendar.opening_windows(F.col("opening_hours")), minute).alias("open"))
+    p = views.places(spark, sf_dir)
+    return p.join(calendar.parsed_hours(p, "opening_hours"), "opening_hours", "left").select("place_id", minute.alias("minute"), calendar.open_at(F.col("windows"), minute).alias("open"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) - INTERVAL 3 HOUR ELSE date_trunc('second', ts) END AS moment FROM events")

@@ -31,8 +31,8 @@ def ver_04_07_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT route_id, {EVERY.format(f="open")} AS status FROM stops JOIN places USING (place_id) JOIN o USING (opening_hours) GROUP BY route_id""", "stops", "places"))
 def ver_05_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open at a moment (minute 8 000 of the week) at every stop."""
-    open_ = calendar.open_at(calendar.opening_windows(F.col("opening_hours")), F.lit(8000))
-    return _route_places(spark, sf_dir).withColumn("open", open_).groupBy("route_id").agg(verify.every(F.col("open")).alias("status"))
+    said = calendar.parsed_hours(views.places(spark, sf_dir), "opening_hours").select("opening_hours", calendar.open_at(F.col("windows"), F.lit(8000)).alias("open"))
+    return _route_places(spark, sf_dir).select("route_id", "opening_hours").join(said, "opening_hours", "left").groupBy("route_id").agg(verify.every(F.col("open")).alias("status"))
 
 
 @query(views.sql("SELECT route_id, CASE WHEN bool_or(category = 'promo') THEN 'satisfied' ELSE 'unmet' END AS interest, CASE WHEN bool_or(category = 'large') THEN 'unmet' ELSE 'satisfied' END AS avoid FROM stops JOIN places USING (place_id) GROUP BY route_id", "stops", "places"))

@@ -27,13 +27,13 @@ def j_03_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("place_id", F.explode(F.array(F.lit("area-1"), F.lit("area-4"))).alias("code")).join(held, ["place_id", "code"], "left_anti")
 
 
-LINE = """, legs AS (SELECT route_id, ordinal, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon, CAST(row_number() OVER w AS INTEGER) AS seq FROM stops WHERE route_id % 100 = 0 WINDOW w AS (PARTITION BY route_id ORDER BY ordinal)),
+LINE = """, legs AS (SELECT route_id, ordinal, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon, CAST(row_number() OVER w AS INTEGER) AS seq FROM stops WINDOW w AS (PARTITION BY route_id ORDER BY ordinal)),
 path AS (SELECT *, sum(metres) OVER (PARTITION BY route_id ORDER BY seq) - metres AS before, sum(metres) OVER (PARTITION BY route_id) AS length FROM (
   SELECT *, CAST(111194.92664455873 AS DOUBLE) * sqrt(pow((b_lon - a_lon) * cos(radians((a_lat + b_lat) / 2)), 2) + pow(b_lat - a_lat, 2)) AS metres FROM legs WHERE b_lat IS NOT NULL)),
 met AS (SELECT route_id, service_id, seq, before, metres, length, (a_lon - lon) * cos(radians(lat)) AS ax, a_lat - lat AS ay, (b_lon - a_lon) * cos(radians(lat)) AS dx, b_lat - a_lat AS dy FROM path, services),
 hit AS (SELECT *, CAST(111194.92664455873 AS DOUBLE) * sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) AS gap FROM (
   SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE CAST(0 AS DOUBLE) END AS t FROM met)),
-best AS (SELECT route_id, service_id, first(gap ORDER BY gap, seq) AS gap, first((before + t * metres) / length ORDER BY gap, seq) AS fraction FROM hit WHERE gap <= 2000 GROUP BY route_id, service_id)"""
+best AS (SELECT route_id, service_id, first(gap ORDER BY gap, seq) AS gap, CASE WHEN max(length) > 0 THEN first((before + t * metres) / length ORDER BY gap, seq) ELSE 0 END AS fraction FROM hit WHERE gap <= 2000 GROUP BY route_id, service_id)"""
 
 
 def _along(spark: SparkSession, sf_dir: str, stops: DataFrame) -> DataFrame:
@@ -52,25 +52,13 @@ def _first_along(found: DataFrame) -> DataFrame:
 
 @query(views.sql(LINE + " SELECT route_id, service_id, round(gap, 2) AS offset_m, round(fraction, 6) AS fraction FROM best", "stops", "services"))
 def j_04_along_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Services within two kilometres of a walk's line, with offset and position: every hundredth walk, which the SQL's cross join can afford."""
-    return _offsets(_along(spark, sf_dir, views.stops(spark, sf_dir).where("route_id % 100 = 0")))
-
-
-@query()
-def j_04_along_line_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All walks; tests hold them against brute force."""
+    """Services within two kilometres of a walk's line, with offset and position."""
     return _offsets(_along(spark, sf_dir, views.stops(spark, sf_dir)))
 
 
 @query(views.sql(LINE + " SELECT route_id, service_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY round(fraction, 6), round(gap, 2), service_id) AS INTEGER) AS rank FROM best QUALIFY rank <= 12", "stops", "services"))
 def top_05_along_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve services along a walk: every hundredth walk, as in j_04_along_line."""
-    return _first_along(_along(spark, sf_dir, views.stops(spark, sf_dir).where("route_id % 100 = 0")))
-
-
-@query()
-def top_05_along_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All walks; tests hold them against brute force."""
+    """The first twelve services along a walk."""
     return _first_along(_along(spark, sf_dir, views.stops(spark, sf_dir)))
 
 

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
+from ..operators.staging import fresh_path
 from ..sources import elements, files
 from .registry import query
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query(views.sql("SELECT source_url, name, category, town, round(lat, 4) AS lat, visit_minutes FROM places", "places"))
 def src_01_snk_18_place_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places written as a bar-separated file and read back (also FLT-01)."""
-    path = _folder(spark, "places")
+    path = fresh_path(spark, "places")
     p = views.places(spark, sf_dir)
     filled = p.select("name", "category", F.lit(None).alias("district"), "town", F.format_string("%.4f", "lat").alias("lat"), F.format_string("%.4f", "lon").alias("lon"), *(F.lit(None).alias(c) for c in ("blurb", "fun_fact", "fun_facts")), "opening_hours", F.col("ticket").alias("ticket_price"), "visit_minutes", F.lit(None).alias("links"), "source_url")
     files.write_places(filled, path)
@@ -40,21 +32,15 @@ def src_18_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reread(spark: SparkSession, r: DataFrame) -> DataFrame:
     """Runs appended as JSON lines, with a torn line among them, and read back."""
-    path = _folder(spark, "runs")
+    path = fresh_path(spark, "runs")
     files.jsonl_rows(r.select(F.lit("row").alias("record"), F.col("case_id").cast("string").alias("case"), "repeat", F.create_map(F.lit("recall"), F.coalesce("recall", F.lit(-1.0))).alias("metrics")), path)
     spark.createDataFrame([('{"record":"meta"}',), ('{"record":"row","case":"1',)], "value string").write.mode("append").text(path)
     rows = files.read_runs(spark, path)[1]
     return rows.select(F.col("case").cast("long").alias("case"), "repeat", F.round(F.col("metrics")["recall"], 6).alias("recall"))
 
 
-@query(views.sql("SELECT case_id AS \"case\", repeat, round(coalesce(recall, -1), 6) AS recall FROM runs WHERE case_id % 20 = 0", "runs"))
-def src_19_snk_20_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of every twentieth case; src_19_snk_20_runs_all has all."""
-    return _reread(spark, views.runs(spark, sf_dir).where("case_id % 20 = 0"))
-
-
 @query(views.sql("SELECT case_id AS \"case\", repeat, round(coalesce(recall, -1), 6) AS recall FROM runs", "runs"))
-def src_19_snk_20_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_19_snk_20_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reread(spark, views.runs(spark, sf_dir))
 
 
@@ -125,13 +111,7 @@ def _followed(pages: DataFrame) -> DataFrame:
     return out.select("id", F.col("at").alias("target"), "hops")
 
 
-@query("""WITH RECURSIVE r(id, now, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey < 400 UNION ALL SELECT id, now // 3, hops + 1 FROM r WHERE now % 3 = 0 AND now > 0 AND hops < 5) SELECT id, max_by(now, hops) AS target, CAST(max(hops) AS INTEGER) AS hops FROM r GROUP BY id""")
+@query("""WITH RECURSIVE r(id, now, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT id, now // 3, hops + 1 FROM r WHERE now % 3 = 0 AND now > 0 AND hops < 5) SELECT id, max_by(now, hops) AS target, CAST(max(hops) AS INTEGER) AS hops FROM r GROUP BY id""")
 def src_25_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 pages, which the recursive SQL can afford; src_25_redirects_all follows all."""
-    return _followed(views.read(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id")))
-
-
-@query()
-def src_25_redirects_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; tests hold them against following each by itself."""
+    """Where every page leads."""
     return _followed(views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))

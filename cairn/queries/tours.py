@@ -77,18 +77,14 @@ def _cheapest(stops: DataFrame, least: int, most: int) -> DataFrame:
     return tours.ordered(few).groupBy("route_id").agg(F.round(F.min("seconds"), 2).alias("seconds"))
 
 
-@query(views.sql(""", small AS (SELECT * FROM stops WHERE route_id IN (SELECT route_id FROM stops GROUP BY route_id HAVING count(*) = 3)), m AS (
-  SELECT a.route_id, a.ordinal AS i, b.ordinal AS j, """ + views.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon") + f""" / {SPEED} AS c FROM small a JOIN small b USING (route_id)),
-orders3 AS (SELECT x.route_id, round(x.c + y.c, 2) AS cost FROM m x JOIN m y ON x.route_id = y.route_id AND x.j = y.i AND x.i <> x.j AND y.i <> y.j AND x.i <> y.j)
-SELECT route_id, min(cost) AS seconds FROM orders3 GROUP BY route_id""", "stops"))
+@query("WITH RECURSIVE " + views.sql(""", small AS (SELECT * FROM stops WHERE route_id IN (SELECT route_id FROM stops GROUP BY route_id HAVING count(*) <= 6)), m AS (
+  SELECT a.route_id, a.ordinal AS i, b.ordinal AS j, """ + views.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon") + f""" / {SPEED} AS c FROM small a JOIN small b USING (route_id) WHERE a.ordinal <> b.ordinal),
+sizes AS (SELECT route_id, count(*) AS n FROM small GROUP BY route_id),
+path(route_id, seen, last, length, cost) AS (SELECT route_id, [ordinal], ordinal, 1, CAST(0 AS DOUBLE) FROM small
+  UNION ALL SELECT p.route_id, list_append(seen, m.j), m.j, length + 1, cost + c FROM path p JOIN m ON m.route_id = p.route_id AND m.i = p.last AND NOT list_contains(seen, m.j))
+SELECT path.route_id, round(min(cost), 2) AS seconds FROM path JOIN sizes ON sizes.route_id = path.route_id AND length = n GROUP BY path.route_id""", "stops").removeprefix("WITH "))
 def opt_02_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest order of every walk of three stops (also OPT-01), for which the SQL tries all orders."""
-    return _cheapest(views.stops(spark, sf_dir), 3, 3)
-
-
-@query()
-def opt_02_exhaustive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest order of every walk of up to six stops, the operator's limit; tests hold them against brute force."""
+    """The cheapest order of every walk of up to six stops, the operator's limit (also OPT-01); the SQL tries all orders."""
     return _cheapest(views.stops(spark, sf_dir), 1, tours.EXHAUSTIVE)
 
 
@@ -139,16 +135,9 @@ def _detours(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
     return tours.detours(per_leg, views.services(spark, sf_dir), most_seconds=1800.0)
 
 
-@query(views.sql(LEGS + f""", d AS (SELECT l.route_id, s.service_id, l.ordinal, round({views.haversine_sql("l.lat", "l.lon", "s.lat", "s.lon")} / {SPEED} + {views.haversine_sql("s.lat", "s.lon", "l.lat2", "l.lon2")} / {SPEED} - metres / {SPEED}, 3) AS extra FROM legs l, services s WHERE l.route_id % 100 = 0)
+@query(views.sql(LEGS + f""", d AS (SELECT l.route_id, s.service_id, l.ordinal, round({views.haversine_sql("l.lat", "l.lon", "s.lat", "s.lon")} / {SPEED} + {views.haversine_sql("s.lat", "s.lon", "l.lat2", "l.lon2")} / {SPEED} - metres / {SPEED}, 3) AS extra FROM legs l, services s)
 SELECT route_id, service_id, first(ordinal ORDER BY extra, ordinal) AS ordinal, min(extra) AS extra FROM d WHERE extra <= 1800 GROUP BY route_id, service_id""", "stops", "services"))
 def j_27_detours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth walk, which the SQL's cross join can afford; j_27_detours_all has all."""
-    return _detours(spark, sf_dir, views.stops(spark, sf_dir).where("route_id % 100 = 0"))
-
-
-@query()
-def j_27_detours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All walks; tests hold them against brute force."""
     return _detours(spark, sf_dir, views.stops(spark, sf_dir))
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables whose SQL affords a slice only, against brute force."""
+"""Queries over walks and pages against brute force."""
 
 from __future__ import annotations
 
@@ -48,11 +48,11 @@ def test_every_walk_is_judged_for_steps(spark, small, walks, services):
     for k, w in walks.items():
         hit = any(gap(s, a, b)[0] <= 1 for s in steps for a, b in pairwise(w))
         want[k] = "uncertain" if len(w) < 2 or k % 7 == 0 else "unmet" if hit else "satisfied"
-    assert dict(map(tuple, QUERIES["ver_06_step_free_all"](spark, small).select("route_id", "status").collect())) == want
+    assert dict(map(tuple, QUERIES["ver_06_step_free"](spark, small).select("route_id", "status").collect())) == want
 
 
 def test_services_along_every_walk(spark, small, walks, services):
-    found = {(r["route_id"], r["service_id"]): r for r in QUERIES["j_04_along_line_all"](spark, small).collect()}
+    found = {(r["route_id"], r["service_id"]): r for r in QUERIES["j_04_along_line"](spark, small).collect()}
     want = set()
     for k, w in walks.items():
         legs = list(pairwise(w))
@@ -72,7 +72,7 @@ def test_services_along_every_walk(spark, small, walks, services):
     for r in found.values():
         by_walk.setdefault(r["route_id"], []).append((r["fraction"], r["offset_m"], r["service_id"]))
     ranks = {(k, x[2], i + 1) for k, own in by_walk.items() for i, x in enumerate(sorted(own)[:12])}
-    assert {(r["route_id"], r["service_id"], r["rank"]) for r in QUERIES["top_05_along_order_all"](spark, small).collect()} == ranks
+    assert {(r["route_id"], r["service_id"], r["rank"]) for r in QUERIES["top_05_along_order"](spark, small).collect()} == ranks
 
 
 def test_a_walk_without_length_has_services_along_it(spark):
@@ -84,7 +84,7 @@ def test_a_walk_without_length_has_services_along_it(spark):
 
 
 def test_detours_of_every_walk(spark, small, walks, services):
-    found = {(r["route_id"], r["service_id"]): r for r in QUERIES["j_27_detours_all"](spark, small).collect()}
+    found = {(r["route_id"], r["service_id"]): r for r in QUERIES["j_27_detours"](spark, small).collect()}
     point = lambda r: (r["lat"], r["lon"])
     want = set()
     for k, w in walks.items():
@@ -101,7 +101,7 @@ def test_detours_of_every_walk(spark, small, walks, services):
 
 
 def test_every_walk_of_up_to_six_stops_is_tried_in_all_orders(spark, small, walks):
-    found = {r["route_id"]: r["seconds"] for r in QUERIES["opt_02_exhaustive_all"](spark, small).collect()}
+    found = {r["route_id"]: r["seconds"] for r in QUERIES["opt_02_exhaustive"](spark, small).collect()}
     assert set(found) == {k for k, w in walks.items() if len(w) <= tours.EXHAUSTIVE}
     for k in sorted(found)[::10]:  # all orders of all walks would take the test minutes
         w = walks[k]
@@ -111,7 +111,7 @@ def test_every_walk_of_up_to_six_stops_is_tried_in_all_orders(spark, small, walk
 
 def test_all_redirects_are_followed(spark):
     folder = "/root/testdata/sf0.01"
-    found = {r["id"]: (r["target"], r["hops"]) for r in QUERIES["src_25_redirects_all"](spark, folder).collect()}
+    found = {r["id"]: (r["target"], r["hops"]) for r in QUERIES["src_25_redirects"](spark, folder).collect()}
     want = {}
     for (k,) in views.read(spark, folder, "part").select("p_partkey").collect():
         at, hops = k, 0
