@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import math
-from itertools import permutations
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import walks
 from .groups import Columns, by_group
 from .spatial import meet_boxes
+from .staging import settle
+from .walks import EXHAUSTIVE, UNREACHABLE, Walk
 
-#: A square of costs; rows of floats are the quickest for small problems.
-Costs = np.ndarray | list[list[float]]
-UNREACHABLE = 1e9
 #: Limits of a leg by profile, in metres, and its share of the time budget.
 LEG_METRES = {"foot": 5000.0, "bicycle": 20000.0}
 LEG_SHARE = 0.25
-EXHAUSTIVE = 6
-SEED = 42
+#: Least minutes and share of the budget that a visit's cap is made of, minutes of a visit that has none, and bounds of those shown.
+VISIT_LEAST, VISIT_SHARE = 10.0, 0.4
+DEFAULT_MINUTES = 15.0
+SHOWN = (5, 480)
 
 
 def legs(stops: DataFrame, key: str = "route_id") -> DataFrame:
@@ -57,146 +57,115 @@ def leg_cap_seconds(profile: Column, budget_minutes: Column) -> Column:
     return F.when(profile == "foot", capped("foot")).when(profile == "bicycle", capped("bicycle")).otherwise(F.coalesce(budget_minutes * 60, F.lit(4 * 3600.0)))
 
 
-def _cost(m: Costs, order: tuple[int, ...] | list[int]) -> float:
-    return float(sum(m[a][b] for a, b in zip(order, order[1:])))  # noqa: B905
-
-
-def best_open_tour(m: Costs) -> list[int]:
-    """The cheapest order of all stops, none fixed; the first in order of equals."""
-    return list(min(permutations(range(len(m))), key=lambda o: (round(_cost(m, o), 6), o)))
-
-
-def insertion_tour(m: Costs, cap: float = math.inf) -> list[int]:
-    """Regret-2 insertion from the first stop: the stop that loses most by waiting goes in where it is cheapest. Legs over cap are kept out."""
-    order, left = [0], set(range(1, len(m)))
-    while left:
-        best: tuple[float, float, int, int] | None = None
-        for s in sorted(left):
-            costs = []
-            for k in range(len(order) + 1):
-                before, after = order[k - 1] if k else None, order[k] if k < len(order) else None
-                into, out = (m[before][s] if before is not None else 0.0), (m[s][after] if after is not None else 0.0)
-                if into <= cap and out <= cap:
-                    costs.append((into + out - (m[before][after] if before is not None and after is not None else 0.0), k))
-            if not costs:
-                continue
-            costs.sort()
-            regret = costs[1][0] - costs[0][0] if len(costs) > 1 else math.inf
-            found = (-regret, costs[0][0], s, costs[0][1])
-            best = min(best, found) if best else found
-        if best is None:
-            break
-        order.insert(best[3], best[2])
-        left.discard(best[2])
-    return order
-
-
-def nearest_tours(m: Costs, starts: int = 5) -> list[int]:
-    """Nearest-neighbour tours from a few shuffled starts, each polished; the cheapest."""
-    first = np.random.default_rng(SEED).permutation(len(m))[:starts]
-    tours = []
-    for s in first:
-        order, left = [int(s)], set(range(len(m))) - {int(s)}
-        while left:
-            nxt = min(left, key=lambda j: (m[order[-1]][j], j))
-            order.append(nxt)
-            left.discard(nxt)
-        tours.append(polished(m, order))
-    return min(tours, key=lambda o: (round(_cost(m, o), 6), o))
-
-
-def polished(m: Costs, order: list[int]) -> list[int]:
-    """Reversals and moves of up to three stops, until none is cheaper."""
-    n = len(order)
-    while True:
-        now, better = _cost(m, order), None
-        for i in range(n):
-            for j in range(i + 2, n + 1):
-                tried = order[:i] + order[i:j][::-1] + order[j:]
-                if _cost(m, tried) < now - 1e-9:
-                    better, now = tried, _cost(m, tried)
-        for size in (1, 2, 3):
-            for i in range(n - size + 1):
-                part, rest = order[i : i + size], order[:i] + order[i + size :]
-                for k in range(len(rest) + 1):
-                    tried = rest[:k] + part + rest[k:]
-                    if _cost(m, tried) < now - 1e-9:
-                        better, now = tried, _cost(m, tried)
-        if better is None:
-            return order
-        order = better
-
-
-def tour(m: Costs) -> list[int]:
-    """All orders up to six stops, beyond that the better of two heuristics."""
-    if len(m) <= EXHAUSTIVE:
-        return best_open_tour(m)
-    return min((polished(m, insertion_tour(m)), nearest_tours(m)), key=lambda o: (round(_cost(m, o), 6), o))
-
-
-def shortest_reference(m: Costs, most: int = 12) -> list[int]:
-    """Held-Karp for an open tour of few stops; of equals the first in order; else the nearest-neighbour tour."""
-    n = len(m)
-    if n > most:
-        return nearest_tours(m)
-    best: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {(1 << i, i): (0.0, (i,)) for i in range(n)}
-    for mask in range(1, 1 << n):
-        for last in range(n):
-            held = best.get((mask, last))
-            if held is None:
-                continue
-            for nxt in range(n):
-                if not mask >> nxt & 1:
-                    found = (round(held[0] + m[last][nxt], 6), (*held[1], nxt))
-                    to = (mask | 1 << nxt, nxt)
-                    if to not in best or found < best[to]:
-                        best[to] = found
-    full = (1 << n) - 1
-    return list(min(best[full, i] for i in range(n))[1]) if n else []
-
-
-def trimmed(m: Costs, order: list[int], minutes: np.ndarray, budget_s: float, keep: set[int]) -> list[int]:
-    """Drops the stop that saves most until the walk fits its budget; stops that must be visited stay."""
-    order = list(order)
-    total = lambda o: _cost(m, o) + float(sum(minutes[i] for i in o)) * 60
-    while len(order) > 1 and total(order) > budget_s:
-        free = [i for i in order if i not in keep]
-        if not free:
-            break
-        order.remove(min(free, key=lambda i: (total([x for x in order if x != i]), i)))
-    return order
+def visit_cap_minutes(budget_minutes: Column) -> Column:
+    """A visit takes at most two fifths of the budget in a plan, but ten minutes are never cut; null without a budget."""
+    return F.when(budget_minutes.isNotNull(), F.greatest(F.lit(VISIT_LEAST), budget_minutes * VISIT_SHARE))
+
+
+def planned_minutes(visit_minutes: Column, budget_minutes: Column) -> Column:
+    """Minutes of a visit in a plan: those given, else fifteen, under the cap of the budget."""
+    return F.least(F.coalesce(visit_minutes, F.lit(DEFAULT_MINUTES)), visit_cap_minutes(budget_minutes))
+
+
+def shown_minutes(visit_minutes: Column, estimate: Column) -> Column:
+    """Minutes of a visit as shown: those given, else the estimate, within five and 480."""
+    low, high = SHOWN
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(visit_minutes, estimate))).cast("int")
+
+
+def walk_totals(stops: DataFrame, origins: DataFrame, key: str = "route_id") -> DataFrame:
+    """key, seconds, closing: legs in order, the way from the origin, and (closing) the way back where the walk is round.
+
+    origins: key, origin_lat, origin_lon (null: the walk begins at its first stop), round_trip.
+    """
+    line = legs(stops, key).groupBy(key).agg(F.sum("seconds").alias("between"))
+    point = F.struct("lat", "lon")
+    ends = stops.groupBy(key).agg(F.count("*").alias("n"), F.min_by(point, "ordinal").alias("a"), F.max_by(point, "ordinal").alias("b"))
+    all_ = ends.join(line, key, "left").join(origins, key, "left")
+    leg = lambda p, q: geo.leg_seconds(geo.haversine_m(*p, *q))
+    first, last, home = (F.col("a.lat"), F.col("a.lon")), (F.col("b.lat"), F.col("b.lon")), (F.col("origin_lat"), F.col("origin_lon"))
+    known = F.col("origin_lat").isNotNull()
+    out = F.when(known, leg(home, first)).otherwise(0.0)
+    back = F.when(F.col("round_trip") & (F.col("n") > 1), F.when(known, leg(last, home)).otherwise(leg(last, first))).otherwise(0.0)
+    return all_.select(key, (F.coalesce("between", F.lit(0.0)) + out + back).alias("seconds"), back.alias("closing"))
+
+
+def _seconds(lat: np.ndarray, lon: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """On foot in a straight line; arguments in radians."""
+    h = np.sin((lat2 - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat2) * np.sin((lon2 - lon) / 2) ** 2
+    return 2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h))) / (geo.SPEEDS["foot"] / 3.6)
 
 
 def _problem(own: Columns) -> np.ndarray:
     """Seconds on foot between the stops of a walk."""
     lat, lon = np.radians(own["lat"].astype(float)), np.radians(own["lon"].astype(float))
-    a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-    return 2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(a))) / (geo.SPEEDS["foot"] / 3.6)
+    return _seconds(lat[:, None], lon[:, None], lat, lon)
+
+
+def _walk(own: Columns, unreachable_s: float) -> Walk:
+    """The stops of a walk as a problem: visits in seconds, budget and cap of the first row, ways to and from an origin."""
+    legs_ = _problem(own)
+    legs_ = np.where(legs_ > unreachable_s, UNREACHABLE, legs_)
+    ends = None
+    if not np.isnan(float(own["origin_lat"][0])):
+        at = [np.radians(own[c].astype(float)) for c in ("lat", "lon", "origin_lat", "origin_lon")]
+        ends = _seconds(*at)
+    limit = lambda c: float("inf") if np.isnan(float(own[c][0])) else float(own[c][0])
+    return Walk(legs_, own["visit_s"].astype(float), own["must"].astype(bool), own["relevance"].astype(float), limit("budget_s"), limit("cap_s"), ends, ends, bool(own["round_trip"][0]))
 
 
 def ordered(stops: DataFrame, *, method: str = "tour", key: str = "route_id") -> DataFrame:
     """key, position, place_id, seconds (of the whole walk): each problem ordered by tour, shortest_reference, insertion_tour or nearest_tours."""
-    way = {"tour": tour, "shortest_reference": shortest_reference, "insertion_tour": insertion_tour, "nearest_tours": nearest_tours}[method]
+    way = {"tour": walks.tour, "shortest_reference": walks.shortest, "insertion_tour": walks.insertion, "nearest_tours": walks.nearest}[method]
 
     def solve(own: Columns) -> Columns:
-        m = _problem(own).tolist()
-        order = way(m)
-        return {key: own[key][: len(order)], "position": np.arange(len(order)), "place_id": own["place_id"][order], "seconds": np.full(len(order), _cost(m, order))}
+        legs_ = _problem(own)
+        none = np.zeros(len(legs_))
+        walk = Walk(legs_, none, none.astype(bool), none)
+        order = way(walk)
+        return {key: own[key][: len(order)], "position": np.arange(len(order)), "place_id": own["place_id"][order], "seconds": np.full(len(order), walk.total(order))}
 
     return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon"), key, ["ordinal"], solve, f"{key} long, position int, place_id long, seconds double")
 
 
-def fitted(stops: DataFrame, *, budget_minutes: float, key: str = "route_id") -> DataFrame:
-    """key, position, place_id: walks ordered and trimmed to a budget; the first stop stays. stops: also visit_minutes, must."""
+#: What a plan may be bound by, and what holds without it.
+BINDING = {"visit_minutes": "double", "must": "boolean", "relevance": "double", "budget_minutes": "double", "origin_lat": "double", "origin_lon": "double", "round_trip": "boolean", "profile": "string"}
+
+
+def planned(stops: DataFrame, *, key: str = "route_id", unreachable_s: float = UNREACHABLE) -> DataFrame:
+    """key, position, place_id, seconds, fits, dropped: the whole measurement of each walk.
+
+    Stops that no leg of less than unreachable_s links both ways are left out, the rest is ordered and trimmed to the
+    budget and the profile's longest leg, and stops that still can't be walked to are pruned. seconds and fits are
+    those of the plan; dropped counts the stops left out. stops: key, ordinal, place_id, lat, lon and any of BINDING;
+    budget, origin, round_trip and profile are those of a walk's first stop.
+    """
+    bound = stops.select(key, "ordinal", "place_id", "lat", "lon", *((F.col(c) if c in stops.columns else F.lit(None)).cast(t).alias(c) for c, t in BINDING.items()))
+    minutes = planned_minutes(F.col("visit_minutes"), F.col("budget_minutes"))
+    cap = leg_cap_seconds(F.coalesce("profile", F.lit("foot")), F.col("budget_minutes"))
+    dealt = bound.select(
+        *(key, "ordinal", "place_id", "lat", "lon", "origin_lat", "origin_lon"),
+        (minutes * 60).alias("visit_s"), F.coalesce("must", F.lit(False)).alias("must"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"),
+        (F.col("budget_minutes") * 60).alias("budget_s"), cap.alias("cap_s"), F.coalesce("round_trip", F.lit(False)).alias("round_trip"),
+    )
 
     def solve(own: Columns) -> Columns:
-        m = _problem(own).tolist()
-        minutes = np.nan_to_num(own["visit_minutes"].astype(float), nan=15.0)
-        keep = set(np.flatnonzero(own["must"].astype(bool)).tolist())
-        order = trimmed(m, tour(m), minutes, budget_minutes * 60, keep)
-        return {key: own[key][: len(order)], "position": np.arange(len(order)), "place_id": own["place_id"][order]}
+        whole = _walk(own, unreachable_s)
+        linked = np.isnan(whole.legs) | (whole.legs < UNREACHABLE)
+        alive = sorted({*reachable_stops(linked.tolist(), whole.relevance.tolist()), *np.flatnonzero(whole.must).tolist()})
+        walk = whole.part(alive)
+        order = walks.pruned(walk, walks.planned(walk))
+        seconds = walk.total(order)
+        n = len(order)
+        fits = bool(walk.measured(np.array([order], np.int64))[0] <= walk.budget)
+        return {key: own[key][:n], "position": np.arange(n), "place_id": own["place_id"][[alive[i] for i in order]], "seconds": np.full(n, seconds), "fits": np.full(n, fits), "dropped": np.full(n, len(whole.legs) - n)}
+
+    return by_group(dealt, key, ["ordinal"], solve, f"{key} long, position int, place_id long, seconds double, fits boolean, dropped int")
 
-    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon", "visit_minutes", "must"), key, ["ordinal"], solve, f"{key} long, position int, place_id long")
+
+def fitted(stops: DataFrame, *, budget_minutes: float, key: str = "route_id") -> DataFrame:
+    """key, position, place_id: walks planned within one budget. stops: also visit_minutes, must."""
+    return planned(stops.withColumn("budget_minutes", F.lit(float(budget_minutes))), key=key).select(key, "position", "place_id")
 
 
 def detours(per_leg: DataFrame, services: DataFrame, *, most_seconds: float, key: str = "route_id") -> DataFrame:
@@ -268,20 +237,20 @@ def both_ways_reachable(stops: DataFrame, cap_seconds: float, *, key: str = "rou
 
 
 def thinned(points: DataFrame, *, gap_m: float, most: int, key: str) -> DataFrame:
-    """key, place_id: nearest to the group's centre first, each kept if it is far enough from those kept; at most so many."""
+    """key, place_id: nearest to the group's centre first, each kept if it is far enough from those kept; at most so many.
 
-    def solve(own: Columns) -> Columns:
-        lat, lon = own["lat"].astype(float), own["lon"].astype(float)
-        far = (lat - lat.mean()) ** 2 + (lon - lon.mean()) ** 2
-        lat, lon = np.radians(lat), np.radians(lon)
-        kept: list[int] = []
-        for i in np.argsort(far, kind="stable").tolist():
-            if len(kept) == most:
-                break
-            h = np.sin((lat[kept] - lat[i]) / 2) ** 2 + np.cos(lat[kept]) * np.cos(lat[i]) * np.sin((lon[kept] - lon[i]) / 2) ** 2
-            if (2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(h))) >= gap_m).all():
-                kept.append(i)
-        return {key: own[key][kept], "place_id": own["place_id"][kept]}
-
-    kind = dict(points.dtypes)[key]
-    return by_group(points.select(key, "place_id", "lat", "lon"), key, ["place_id"], solve, f"{key} {kind}, place_id long")
+    A group may be large, so no task holds one: each round keeps the first place left of every group, by partial
+    minima where the rows lie, and drops what is too near to it. There are as many rounds as places kept at most.
+    """
+    centre = points.groupBy(key).agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
+    far = F.pow(F.col("lat") - F.col("c_lat"), 2) + F.pow(F.col("lon") - F.col("c_lon"), 2)
+    left = settle(points.select(key, "place_id", "lat", "lon").join(centre, key).select(key, "place_id", "lat", "lon", far.alias("far")), "to-thin")
+    kept = None
+    for _ in range(most):
+        first = settle(left.groupBy(key).agg(F.min(F.struct("far", "place_id", "lat", "lon")).alias("f")).select(key, "f.place_id", F.col("f.lat").alias("k_lat"), F.col("f.lon").alias("k_lon")), "thinned")
+        kept = first if kept is None else kept.unionByName(first)
+        gap = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("k_lat"), F.col("k_lon"))
+        left = settle(left.join(first.select(key, F.col("place_id").alias("k_id"), "k_lat", "k_lon"), key).where((gap >= gap_m) & (F.col("place_id") != F.col("k_id"))).drop("k_id", "k_lat", "k_lon"), "to-thin")
+        if left.isEmpty():
+            break
+    return kept.select(key, "place_id")

@@ -140,7 +140,7 @@ def stm_05_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("user_id", "started", "last", "n")
 
 
-@query(views.sql(f"SELECT j.event_id, s.service_id, round({views.haversine_sql('j.lat', 'j.lon', 's.lat', 's.lon')}, 1) AS metres FROM (SELECT event_id, {views._lat('event_id * 17')} AS lat, {views._lon('event_id * 17')} AS lon FROM events) j JOIN services s ON {views.haversine_sql('j.lat', 'j.lon', 's.lat', 's.lon')} <= 400", "services"))
+@query(views.sql(f"SELECT j.event_id, s.service_id, round({views.haversine_sql('j.lat', 'j.lon', 's.lat', 's.lon')}, 1) AS metres FROM (SELECT event_id, {views.lat_sql('event_id * 17')} AS lat, {views.lon_sql('event_id * 17')} AS lon FROM events) j JOIN services s ON {views.haversine_sql('j.lat', 'j.lon', 's.lat', 's.lon')} <= 400", "services"))
 def stm_06_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of a feed joined to the stops that they have arrived at."""
     from ..operators import spatial

@@ -94,12 +94,41 @@ def opt_01_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tours.ordered(views.stops(spark, sf_dir)).select("route_id", "position", "place_id", F.round("seconds", 2).alias("seconds"))
 
 
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops with visits, relevance, stops that must be visited, and for some walks a budget, an origin, the way back, or a bicycle."""
+    r = F.col("route_id")
+    p = views.places(spark, sf_dir).select("place_id", "visit_minutes")
+    own = views.stops(spark, sf_dir).join(p, "place_id").withColumn("must", (F.col("ordinal") == 1) & (r % 3 == 0)).withColumn("relevance", (F.col("place_id") % 7).cast("double"))
+    own = own.withColumn("budget_minutes", F.when(r % 4 != 0, (r % 40 * 60 + 480).cast("double"))).withColumn("round_trip", r % 5 == 0)
+    own = own.withColumn("origin_lat", F.when(r % 2 == 0, views.lat_of(r))).withColumn("origin_lon", F.when(r % 2 == 0, views.lon_of(r)))
+    return own.withColumn("profile", F.when(r % 3 == 1, "bicycle").when(r % 3 == 2, "car").otherwise("foot"))
+
+
 @query()
 def opt_07_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks trimmed to eight hours; the first stop must be visited."""
-    p = views.places(spark, sf_dir).select("place_id", "visit_minutes")
-    s = views.stops(spark, sf_dir).join(p, "place_id").withColumn("must", F.col("ordinal") == 1)
-    return tours.fitted(s, budget_minutes=480.0)
+    """Walks planned within budget and longest leg (also OPT-03 and OPT-04 with budget and origin)."""
+    return tours.planned(_bound(spark, sf_dir)).select("route_id", "position", "place_id", F.round("seconds", 2).alias("seconds"), "fits", "dropped")
+
+
+@query()
+def opt_17_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole measurement, where legs of over 20 000 seconds can't be walked."""
+    return tours.planned(_bound(spark, sf_dir), unreachable_s=20_000.0).select("route_id", "position", "place_id", F.round("seconds", 2).alias("seconds"), "fits", "dropped")
+
+
+ORIGIN = f"CASE WHEN route_id % 2 = 0 THEN {views.lat_sql('route_id')} END AS olat, CASE WHEN route_id % 2 = 0 THEN {views.lon_sql('route_id')} END AS olon"
+
+
+@query(views.sql(LEGS + f""", o AS (SELECT route_id, count(*) AS n, first(lat ORDER BY ordinal) AS la, first(lon ORDER BY ordinal) AS lo, last(lat ORDER BY ordinal) AS lb, last(lon ORDER BY ordinal) AS lp, {ORIGIN} FROM stops GROUP BY route_id),
+c AS (SELECT route_id, CASE WHEN olat IS NULL THEN 0 ELSE {views.haversine_sql("olat", "olon", "la", "lo")} END AS way,
+  CASE WHEN route_id % 5 = 0 AND n > 1 THEN CASE WHEN olat IS NULL THEN {views.haversine_sql("lb", "lp", "la", "lo")} ELSE {views.haversine_sql("lb", "lp", "olat", "olon")} END ELSE 0 END AS back FROM o)
+SELECT c.route_id, round((coalesce(any_value(b), 0) + any_value(way) + any_value(back)) / {SPEED}, 2) AS seconds, round(any_value(back) / {SPEED}, 2) AS closing FROM c LEFT JOIN (SELECT route_id, sum(metres) AS b FROM legs GROUP BY route_id) USING (route_id) GROUP BY c.route_id""", "stops"))
+def opt_06_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals with the ways from and to the origin, or back to the first stop."""
+    s = views.stops(spark, sf_dir)
+    r = F.col("route_id")
+    origins = s.select("route_id").distinct().select("route_id", F.when(r % 2 == 0, views.lat_of(r)).alias("origin_lat"), F.when(r % 2 == 0, views.lon_of(r)).alias("origin_lon"), (r % 5 == 0).alias("round_trip"))
+    return tours.walk_totals(s, origins).select("route_id", F.round("seconds", 2).alias("seconds"), F.round("closing", 2).alias("closing"))
 
 
 @query()
@@ -168,8 +197,8 @@ def opt_19_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def opt_12_visit_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits in the matrix are capped by the budget (100 minutes here); those shown are clamped (VIS-01)."""
     v = F.col("visit_minutes")
-    capped = F.when(v.isNull(), 40).otherwise(F.greatest(F.lit(10), F.least(v, F.lit(40))))
-    return views.places(spark, sf_dir).select("place_id", capped.cast("int").alias("capped"), F.least(F.lit(480), F.greatest(F.lit(5), F.coalesce(v, F.lit(20)))).cast("int").alias("shown"))
+    capped = F.when(v.isNull(), tours.visit_cap_minutes(F.lit(100))).otherwise(F.greatest(F.lit(10), F.least(v, tours.visit_cap_minutes(F.lit(100)))))
+    return views.places(spark, sf_dir).select("place_id", capped.cast("int").alias("capped"), tours.shown_minutes(v, F.lit(20)).alias("shown"))
 
 
 @query(views.sql("SELECT route_id, list_concat(list_concat([CAST(-1 AS BIGINT)], list(place_id ORDER BY ordinal)), [first(place_id ORDER BY ordinal)]) AS vertices FROM stops GROUP BY route_id", "stops"))

@@ -135,11 +135,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lat(k: str) -> str:
+def lat_sql(k: str) -> str:
     return f"(CAST(53.0 AS DOUBLE) + CAST((({k}) * 7919) % 100003 AS DOUBLE) / CAST(100003.0 AS DOUBLE) * CAST(1.5 AS DOUBLE))"
 
 
-def _lon(k: str) -> str:
+def lon_sql(k: str) -> str:
     return f"(CAST(23.5 AS DOUBLE) + CAST((({k}) * 104729) % 100019 AS DOUBLE) / CAST(100019.0 AS DOUBLE) * CAST(3.0 AS DOUBLE))"
 
 
@@ -156,7 +156,7 @@ def _rectangle(y: str, x: str, height: str, width: str) -> str:
 _Y, _X = "(CAST(53.0 AS DOUBLE) + r_regionkey * CAST(0.2 AS DOUBLE))", "(CAST(23.5 AS DOUBLE) + r_regionkey * CAST(0.5 AS DOUBLE))"
 
 SQL = {
-    "places": f"""SELECT p_partkey AS place_id, p_name AS name, lower(p_type) AS category, p_brand AS town, {_lat("p_partkey")} AS lat, {_lon("p_partkey")} AS lon,
+    "places": f"""SELECT p_partkey AS place_id, p_name AS name, lower(p_type) AS category, p_brand AS town, {lat_sql("p_partkey")} AS lat, {lon_sql("p_partkey")} AS lon,
   CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 50 + 10 AS INTEGER) END AS visit_minutes, CASE p_partkey % 5 WHEN 0 THEN 'curated' WHEN 1 THEN 'manual' ELSE 'auto' END AS owner,
   {_pick("p_partkey", HOURS)} AS opening_hours, {_pick("p_partkey", TICKETS)} AS ticket, 'src:' || p_partkey AS source_url, p_retailprice AS price, p_size AS size FROM part""",
     "categories": "SELECT code, CASE WHEN length(code) % 2 = 0 THEN 'service' ELSE 'sight' END AS role, length(code) * 5 AS visit_minutes, ascii(code) % 2 = 0 AS highlight FROM (SELECT DISTINCT lower(p_type) AS code FROM part)",
@@ -166,12 +166,12 @@ SQL = {
   CASE WHEN r_regionkey <> 4 THEN {_rectangle(_Y, _X, "0.7", "0.9")} END AS rings,
   CASE WHEN r_regionkey = 1 THEN {_rectangle(f"({_Y} + CAST(0.2 AS DOUBLE))", f"({_X} + CAST(0.3 AS DOUBLE))", "0.2", "0.3")} END AS holes FROM region""",
     "query_vectors": f"""SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS vector, lower({_pick("vec_id // 100", ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE"))}) AS category,
-  {_lat("vec_id * 13 + 7")} AS lat, {_lon("vec_id * 13 + 7")} AS lon, CAST(20.0 AS DOUBLE) AS radius_km FROM embeddings WHERE vec_id % 100 = 0""",
+  {lat_sql("vec_id * 13 + 7")} AS lat, {lon_sql("vec_id * 13 + 7")} AS lon, CAST(20.0 AS DOUBLE) AS radius_km FROM embeddings WHERE vec_id % 100 = 0""",
     "place_vectors": "SELECT vec_id AS place_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings",
     "stops": f"""SELECT l_orderkey AS route_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INTEGER) AS ordinal,
-  l_partkey AS place_id, {_lat("l_partkey")} AS lat, {_lon("l_partkey")} AS lon FROM lineitem""",
+  l_partkey AS place_id, {lat_sql("l_partkey")} AS lat, {lon_sql("l_partkey")} AS lon FROM lineitem""",
     "journal": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS revision, ts, event_id, event_type AS kind, value, props FROM events",
-    "services": f"""SELECT s_suppkey AS service_id, s_name AS name, {_pick("s_suppkey", ("cafe", "toilet", "bench"))} AS kind, {_lat("s_suppkey * 11 + 3")} AS lat, {_lon("s_suppkey * 11 + 3")} AS lon FROM supplier""",
+    "services": f"""SELECT s_suppkey AS service_id, s_name AS name, {_pick("s_suppkey", ("cafe", "toilet", "bench"))} AS kind, {lat_sql("s_suppkey * 11 + 3")} AS lat, {lon_sql("s_suppkey * 11 + 3")} AS lon FROM supplier""",
     "runs": """SELECT o_custkey AS case_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS repeat,
   CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 37 % 101 AS DOUBLE) / CAST(100.0 AS DOUBLE) END AS recall, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey * 53 % 97 AS DOUBLE) / CAST(96.0 AS DOUBLE) END AS precision,
   CASE WHEN o_orderkey % 17 = 0 THEN 'timeout' WHEN o_orderkey % 19 = 0 THEN 'empty' END AS failure, o_orderstatus AS status FROM orders""",

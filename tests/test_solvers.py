@@ -73,6 +73,119 @@ def test_trimmed_walks_fit_and_keep_what_must_be_visited(spark):
         assert len(found) == 1 or seconds([r[:5] for r in rows if r[0] == w], found) + 3600 * len(found) <= 240 * 60
 
 
+BOUND = STOPS + ", visit_minutes double, must boolean, relevance double, budget_minutes double, origin_lat double, origin_lon double, round_trip boolean"
+
+
+def bound_walks(n_walks, n, seed, budget=None, scale=1.0):
+    """Walks of which every second has an origin, every third a way back, and every fourth a stop that must be visited."""
+    rng = random.Random(seed)
+    rows = []
+    for r in walks(n_walks, n, seed):
+        w = r[0]
+        home = (53.5 + (w % 7) / 100, 24.05) if w % 2 else (None, None)
+        r = (*r[:3], 53.5 + (r[3] - 53.5) * scale, 24.0 + (r[4] - 24.0) * scale)
+        rows.append((*r, float(rng.randint(5, 30)), w % 4 == 0 and r[1] == 2, float(rng.randint(0, 9)), budget, *home, w % 3 == 0))
+    return rows
+
+
+def whole_seconds(own, order):
+    """Of an order of rows: visits as planned, legs, and the ways from and to the origin or back to the first."""
+    walk = lambda a, b: metres(a, b) / (4 / 3.6)
+    at = [r[3:5] for r in order]
+    budget, home, back = own[0][8], own[0][9:11], own[0][11]
+    cap = max(10.0, 0.4 * budget) if budget else math.inf
+    total = sum(min(r[5], cap) * 60 for r in order) + sum(walk(a, b) for a, b in zip(at, at[1:]))  # noqa: B905
+    if home[0] is not None:
+        total += walk(home, at[0])
+    if back and len(at) > 1:
+        total += walk(at[-1], home if home[0] is not None else at[0])
+    return total
+
+
+def legs_of(own, order):
+    at = [r[3:5] for r in order]
+    pairs = list(zip(order, order[1:]))  # noqa: B905
+    if own[0][11] and own[0][9] is None and len(at) > 1:
+        pairs.append((order[-1], order[0]))
+    return [(metres(a[3:5], b[3:5]) / (4 / 3.6), a, b) for a, b in pairs]
+
+
+def found_of(got, w, own):
+    by_id = {r[2]: r for r in own}
+    return [by_id[r["place_id"]] for r in sorted((r for r in got if r["route_id"] == w), key=lambda r: r["position"])]
+
+
+@pytest.mark.parametrize("n", [3, 5, 6])
+def test_plans_without_a_budget_are_the_cheapest_orders(spark, n):
+    rows = bound_walks(12, n, 11, scale=0.3)
+    got = tours.planned(spark.createDataFrame(rows, BOUND)).collect()
+    for w in range(12):
+        own = [r for r in rows if r[0] == w]
+        assert max(x for x, _, _ in legs_of(own, own)) < 4500  # below the cap of a walk without a budget, so that nothing is dropped
+        least = min(whole_seconds(own, o) for o in permutations(own))
+        found = found_of(got, w, own)
+        assert len(found) == n and math.isclose(whole_seconds(own, found), least, rel_tol=1e-6)
+        assert all(math.isclose(r["seconds"], least, rel_tol=1e-6) and r["fits"] and r["dropped"] == 0 for r in got if r["route_id"] == w)
+
+
+def plainly_trimmed(own, order, budget_s):
+    """The trimming rule, said with rows: the longest leg's end, else any stop, that saves most."""
+    order = list(order)
+    cap = min(budget_s * 0.25, 5000 / (4 / 3.6))
+    while len(order) > 1:
+        longest, a, b = max(legs_of(own, order), key=lambda x: x[0])
+        fits = whole_seconds(own, order) <= budget_s
+        if fits and longest <= cap:
+            break
+        free = [r for r in order if not r[6]]
+        ends = [r for r in (a, b) if r in free] if longest > cap else []
+        if not free or (fits and not ends):
+            break
+        gone = min(ends or free, key=lambda r: whole_seconds(own, [x for x in order if x != r]))
+        order.remove(gone)
+    return order
+
+
+@pytest.mark.parametrize(("n", "minutes"), [(5, 60.0), (6, 110.0), (6, 160.0)])
+def test_plans_are_trimmed_to_budget_and_longest_leg(spark, n, minutes):
+    rows = bound_walks(12, n, 12, minutes)
+    got = tours.planned(spark.createDataFrame(rows, BOUND)).collect()
+    cut = 0
+    for w in range(12):
+        own = [r for r in rows if r[0] == w]
+        best = min(permutations(own), key=lambda o: whole_seconds(own, o))
+        want = plainly_trimmed(own, best, minutes * 60)
+        found = found_of(got, w, own)
+        cut += len(found) < n
+        assert {r[2] for r in found} == {r[2] for r in want}
+        assert whole_seconds(own, found) <= whole_seconds(own, want) + 1e-6
+        assert {r[2] for r in own if r[6]} <= {r[2] for r in found}
+        own_rows = [r for r in got if r["route_id"] == w]
+        assert all(r["dropped"] == n - len(found) and r["fits"] == (whole_seconds(own, found) <= minutes * 60) for r in own_rows)
+    assert cut
+
+
+def test_longer_plans_keep_the_rules(spark):
+    rows = bound_walks(10, 11, 13, 200.0)
+    got = tours.planned(spark.createDataFrame(rows, BOUND)).collect()
+    for w in range(10):
+        own = [r for r in rows if r[0] == w]
+        found = found_of(got, w, own)
+        assert found and {r[2] for r in own if r[6]} <= {r[2] for r in found}
+        assert len(found) == 1 or whole_seconds(own, found) <= 12_000
+        assert all(x <= 3000 for x, _, _ in legs_of(own, found))
+
+
+def test_a_measured_walk_leaves_out_what_cannot_be_walked_to(spark):
+    far = (0, 9, 9, 55.0, 26.0, 10.0, False, 1.0, None, None, None, False)
+    rows = [r for r in bound_walks(1, 5, 14)] + [far]
+    got = tours.planned(spark.createDataFrame(rows, BOUND), unreachable_s=20_000.0).collect()
+    assert {r["place_id"] for r in got} == {0, 1, 2, 3, 4} and {r["dropped"] for r in got} == {1}
+    bound = [r[:6] + (True,) + r[7:] if r[2] == 9 else r for r in rows]
+    got = tours.planned(spark.createDataFrame(bound, BOUND), unreachable_s=20_000.0).collect()
+    assert 9 in {r["place_id"] for r in got}
+
+
 def test_pruned_stops_are_over_the_cap(spark):
     rows = walks(5, 7, 5)
     got = {(r["route_id"], r["ordinal"]): r["kept"] for r in tours.pruned_unreachable(spark.createDataFrame(rows, STOPS), 4000.0).collect()}
@@ -93,6 +206,13 @@ def test_thinned_places_keep_their_distance(spark):
         kept = [r["place_id"] for r in got if r["town"] == t]
         assert 0 < len(kept) <= 10
         assert all(metres(at[a], at[b]) >= 1500 for a in kept for b in kept if a != b)
+        own = [r for r in rows if r[0] == t]
+        c = [sum(r[k] for r in own) / len(own) for k in (2, 3)]
+        greedy = []
+        for r in sorted(own, key=lambda r: ((r[2] - c[0]) ** 2 + (r[3] - c[1]) ** 2, r[1])):
+            if len(greedy) < 10 and all(metres(r[2:], at[k]) >= 1500 for k in greedy):
+                greedy.append(r[1])
+        assert sorted(kept) == sorted(greedy)
 
 
 def test_greedy_matches_follow_the_order_of_the_reference(spark):
