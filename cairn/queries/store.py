@@ -94,11 +94,11 @@ def snk_16_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.withColumn("low", F.lower("c_name")).join(once, "low", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'unavailable' WHEN value > 200 THEN 'stale' WHEN value > 60 THEN 'poor' ELSE 'good' END AS quality FROM events")
+@query("SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'unavailable' WHEN event_type = 'signup' THEN 'waiting' WHEN value > 200 THEN 'stale' WHEN value > 60 THEN 'poor' ELSE 'good' END AS quality FROM events")
 def stm_08_fix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.positions import fix_quality
 
-    q = fix_quality(available=F.col("user_id") % 7 != 0, age_s=F.col("value"), accuracy_m=F.col("value"), most_age_s=200, most_accuracy_m=60)
+    q = fix_quality(available=F.col("user_id") % 7 != 0, fixed=F.col("event_type") != "signup", age_s=F.col("value"), accuracy_m=F.col("value"), most_age_s=200, most_accuracy_m=60)
     return _events(spark, sf_dir).select("event_id", q.alias("quality"))
 
 

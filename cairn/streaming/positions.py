@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import geo
 
 
-def fix_quality(*, available: Column, age_s: Column, accuracy_m: Column, most_age_s: float = 15, most_accuracy_m: float = 50) -> Column:
-    """unavailable, stale, poor or good; only a good fix may change state."""
-    return F.when(~available, "unavailable").when(age_s > most_age_s, "stale").when(accuracy_m > most_accuracy_m, "poor").otherwise("good")
+def fix_quality(*, available: Column, fixed: Column, age_s: Column, accuracy_m: Column, most_age_s: float = 15, most_accuracy_m: float = 50) -> Column:
+    """unavailable, waiting (no fix yet), stale, poor or good; only a good fix may change state. An unknown accuracy is not poor."""
+    return F.when(~available, "unavailable").when(~fixed, "waiting").when(age_s > most_age_s, "stale").when(accuracy_m > most_accuracy_m, "poor").otherwise("good")
 
 
 def arrivals(feed: DataFrame, stops: DataFrame, metres: float = 40.0) -> DataFrame:
@@ -28,20 +28,21 @@ def announced_once(feed: DataFrame, keys: list[str], *, late: str = "10 minutes"
     return feed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-OFF_SCHEMA = "user_id long, ts timestamp, off boolean"
-
-
 def off_route(feed: DataFrame, *, in_a_row: int = 2) -> DataFrame:
-    """user_id, ts, off: off the route once so many good fixes in a row were too far. feed: user_id, ts, far (good fixes only)."""
+    """user_id, event_id, ts, off: off the route once so many good fixes in a row were too far. feed: user_id, event_id, ts, far (good fixes only).
+
+    Fixes count in the order of ts and event_id within a batch, and batches as they come.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts, far in zip(rows["ts"], rows["far"], strict=True):
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        off = []
+        for far in rows["far"]:
             run = run + 1 if far else 0
-            out.append((key[0], ts, run >= in_a_row))
+            off.append(run >= in_a_row)
         state.update((run,))
-        yield pd.DataFrame(out, columns=["user_id", "ts", "off"])
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "off": off})
 
-    return feed.groupBy("user_id").applyInPandasWithState(step, OFF_SCHEMA, "run int", "append", GroupStateTimeout.NoTimeout)
+    kind = dict(feed.dtypes)["ts"]
+    return feed.groupBy("user_id").applyInPandasWithState(step, f"user_id long, event_id long, ts {kind}, off boolean", "run int", "append", GroupStateTimeout.NoTimeout)
