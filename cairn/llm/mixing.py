@@ -26,6 +26,8 @@ from .common import settle
 
 #: Documents of one source and size are dealt out in so many slices.
 SLICES = 256
+#: The sizes and the documents of a source are joined to it in so many parts.
+SOURCE_SALTS = 64
 #: Newton steps of one job, and jobs at most.
 NEWTON_STEPS = 4
 NEWTON_JOBS = 20
@@ -70,6 +72,13 @@ def capped_shares(sources: DataFrame, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("size") * F.lit(float(cap)), F.col("weight") * F.lit(level)))
 
 
+def _with_source(rows: DataFrame, sources: DataFrame, how: str = "inner", *, by: str = "size") -> DataFrame:
+    """rows with their source's row; those of one source are dealt out over several tasks."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SOURCE_SALTS)).cast("int")
+    each = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_SALTS - 1))))
+    return rows.withColumn("salt", salt).join(each, ["key", "salt"], how).drop("salt")
+
+
 def tilts(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     """sizes: key, size, docs. targets: key, target in words. key, target, scale, tilt, live: Newton steps on the dual.
 
@@ -91,7 +100,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     for _ in range(NEWTON_JOBS):
         for _ in range(NEWTON_STEPS):
             raw = F.exp(F.col("tilt") * F.col("size") / F.col("scale"))
-            met = sizes.where("size > 0").join(state, "key").withColumn("words", (F.col("docs") * F.col("size")).cast("double")).withColumn("raw", raw)
+            met = _with_source(sizes.where("size > 0"), state).withColumn("words", (F.col("docs") * F.col("size")).cast("double")).withColumn("raw", raw)
             slope = F.when(F.col("raw") < cap, F.col("words") * F.col("size") * F.col("raw") / F.col("scale"))
             step = met.groupBy(*(c for c in names if c != "miss")).agg(
                 F.sum((F.col("words") * F.least(F.lit(cap), F.col("raw"))).cast(EXACT)).cast("double").alias("got"), F.sum(slope.cast(EXACT)).cast("double").alias("slope")
@@ -132,19 +141,19 @@ def _copies_per_size(sizes: DataFrame, cap: int) -> DataFrame:
     for _ in range(2):  # what a source still lacks or has too much goes to the size that fits it best
         out = settle(out, "copies")
         step = F.greatest(-F.col("copies"), F.least(most - F.col("copies"), F.round(F.col("lack") / F.col("size")).cast("long")))
-        fit = out.where("size > 0").join(_lack(out), "key").withColumn("step", step)
+        fit = _with_source(out.where("size > 0"), _lack(out)).withColumn("step", step)
         best = fit.groupBy("key").agg(F.min(F.struct(F.abs(F.col("lack") - F.col("step") * F.col("size")), "size", "step")).alias("best"))
         chosen = F.coalesce(F.col("best.size") == F.col("size"), F.lit(False))
-        out = out.join(best, "key", "left").withColumn("copies", F.col("copies") + F.when(chosen, F.col("best.step")).otherwise(0)).drop("best")
+        out = _with_source(out, best, "left").withColumn("copies", F.col("copies") + F.when(chosen, F.col("best.step")).otherwise(0)).drop("best")
     # The rest by one copy more of a size and one fewer of another, whose difference is the lack, or near it.
     out = settle(out, "copies")
     near = F.transform(F.sequence(F.lit(-NEAR), F.lit(NEAR)), lambda d: F.round(F.col("lack")).cast("long") + d)
-    more = out.where(F.col("copies") < most).join(_lack(out).where(F.abs("lack") >= 1), "key").select("key", "lack", F.col("size").alias("more"), F.explode(near).alias("by"))
+    more = _with_source(out.where(F.col("copies") < most), _lack(out).where(F.abs("lack") >= 1)).select("key", "lack", F.col("size").alias("more"), F.explode(near).alias("by"))
     fewer = out.where("copies > 0").select("key", F.col("size").alias("fewer"))
     swap = more.withColumn("fewer", F.col("more") - F.col("by")).where(F.abs(F.col("lack") - F.col("by")) < F.abs("lack")).join(fewer, ["key", "fewer"])
     swap = swap.groupBy("key").agg(F.min(F.struct(F.abs(F.col("lack") - F.col("by")), "more", "fewer")).alias("swap"))
     moved = F.when(F.col("swap.more") == F.col("size"), 1).when(F.col("swap.fewer") == F.col("size"), -1).otherwise(0)
-    out = out.join(swap, "key", "left").withColumn("copies", F.col("copies") + moved)
+    out = _with_source(out, swap, "left").withColumn("copies", F.col("copies") + moved)
     return out.select("key", "size", "docs", "copies")
 
 
@@ -158,7 +167,7 @@ def balance(docs: DataFrame, targets: DataFrame, *, cap: int = 3) -> DataFrame:
     docs = docs.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
     slices = settle(docs.groupBy("key", "size", "slice").agg(F.count("*").alias("docs")), "sizes")
     sizes = settle(slices.groupBy("key", "size").agg(F.sum("docs").alias("docs")), "size-totals")
-    rated = sizes.join(tilts(sizes, targets, float(cap)), "key").withColumn("rate", rate(F.col("size"), float(cap)))
+    rated = _with_source(sizes, tilts(sizes, targets, float(cap))).withColumn("rate", rate(F.col("size"), float(cap)))
     planned = _copies_per_size(rated, cap).join(rated.select("key", "size", "rate"), ["key", "size"])
     bins = slices.withColumnRenamed("docs", "own").join(planned, ["key", "size"])
     before = F.sum("own").over(Window.partitionBy("key", "size").orderBy("slice")) - F.col("own")
@@ -175,5 +184,5 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ranked = ordered_rank(sources, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     targets = settle(capped_shares(settle(ranked.select("key", "size", weight.alias("weight")), "weights"), cap).select("key", F.col("size").alias("source_size"), "target"), "targets")
-    out = balance(each.select("id", "key", "size"), targets, cap=cap).join(targets, "key")
+    out = _with_source(balance(each.select("id", "key", "size"), targets, cap=cap), targets, by="id")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
