@@ -31,7 +31,7 @@ WINDOW = 13
 #: Benchmark text that one pass carries to the tasks: some 300 MB a worker at most, for 2 million windows.
 SLICE_BYTES = 8 << 20
 #: Symbols of a shard: some 100 bytes each while it is built.
-SHARD_SYMBOLS = 1_500_000
+SHARD_SYMBOLS = 1_000_000
 #: Documents of a shard, whose texts are held while it is built.
 SHARD_ROWS = 20_000
 #: A suffix position is kept for each so many symbols.
