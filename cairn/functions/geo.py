@@ -62,6 +62,17 @@ def in_polygon(lat: Column, lon: Column, rings: Column, holes: Column) -> Column
     return inside & ~out
 
 
+def as_wkt(rings: Column, holes: Column, digits: int = 4) -> Column:
+    """MULTIPOLYGON text: each shell closed, with the holes whose first point it holds; null without rings."""
+    point = lambda p: F.format_string(f"%.{digits}f %.{digits}f", p["lon"], p["lat"])
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(F.concat(r, F.slice(r, 1, 1)), point), ", "), F.lit(")"))
+    first = lambda h: F.element_at(h, 1)
+    every = F.coalesce(holes, F.array().cast("array<array<struct<lon:double,lat:double>>>"))
+    own = lambda shell: F.filter(every, lambda h: F.coalesce(in_ring(first(h)["lat"], first(h)["lon"], shell), F.lit(False)))
+    part = lambda shell: F.concat(F.lit("("), F.array_join(F.concat(F.array(ring(shell)), F.transform(own(shell), ring)), ", "), F.lit(")"))
+    return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(rings, part), ", "), F.lit(")"))
+
+
 def ring_edges(ring: Column) -> Column:
     """Array of struct(a, b): the sides of a ring, the closing one included."""
     n = F.size(ring)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +14,21 @@ def squashed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def compatible(rows: DataFrame, column: str) -> DataFrame:
+    """rows with column in compatibility form (NFKC), for texts that hold full-width letters, ligatures and the like.
+
+    Only different texts beyond plain Latin and Cyrillic go through Python, once each; the rest are as they are.
+    """
+    odd = rows.select(column).where(F.col(column).rlike(r"[^\x00-\x7f\u0400-\u045f]")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({column: batch[column], "_plain": [unicodedata.normalize("NFKC", t) for t in batch[column]]})
+
+    made = odd.mapInPandas(run, f"{column} string, _plain string")
+    return rows.join(made, column, "left").withColumn(column, F.coalesce("_plain", column)).select(*rows.columns)
+
+
 def answered_name(c: Column) -> Column:
     """For names that places answer to: lower case, anything but letters and digits a space."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))

@@ -92,7 +92,10 @@ def line_problem(kind: Column, points: Column) -> Column:
 
 
 def backfilled(rows: DataFrame, texts: Column, embed: Callable[[list[str]], list[list[float]]], *, id_: str = "place_id", column: str = "vector", clear: bool = False) -> DataFrame:
-    """rows with a vector wherever it was null, or everywhere with clear; embed gets at most ``BATCH`` texts at once, each text once a batch."""
+    """rows with a vector wherever it was null, or everywhere with clear; embed gets at most ``BATCH`` texts at once.
+
+    Rows are told apart by id_, which each bears alone.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

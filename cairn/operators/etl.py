@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
 
 def problems(*checks: tuple[Column, str]) -> Column:
     """The messages of the checks that are true; null counts as false."""
@@ -32,7 +34,7 @@ def row_problems() -> Column:
 
 
 def quarantined(rows: DataFrame, found: Column) -> DataFrame:
-    """Adds problems and bin: valid, geofence (nothing but a point out of range), or invalid."""
+    """Adds problems and bin: valid, geofence (nothing but a point out of range of degrees; fenced() tells areas), or invalid."""
     out = rows.withColumn("problems", found)
     fence = F.array(F.lit("coordinates out of range"))
     kind = F.when(F.size("problems") == 0, "valid").when(F.size(F.array_except("problems", fence)) == 0, "geofence").otherwise("invalid")
@@ -97,3 +99,9 @@ def coverage(rows: DataFrame, by: str) -> DataFrame:
     """by, n, filled_minutes, filled_ticket: counts and shares of filled fields; the null group is shown as a dash."""
     share = lambda c: F.round(F.count_if(c) / F.count("*"), 4)
     return rows.groupBy(F.coalesce(by, F.lit("—")).alias(by)).agg(F.count("*").alias("n"), share(F.col("visit_minutes").isNotNull()).alias("filled_minutes"), share(F.coalesce("ticket", F.lit("")) != "").alias("filled_ticket"))
+
+
+def fenced(rows: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """Adds fenced: whether a row (key, lat, lon) lies in any of the areas (rings, holes)."""
+    held = spatial.inside(rows.select(key, "lat", "lon"), areas.select("rings", "holes")).select(key).distinct()
+    return rows.join(held.withColumn("fenced", F.lit(True)), key, "left").withColumn("fenced", F.coalesce("fenced", F.lit(False)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,15 @@ def any_column_contains(needles: dict[str, str]) -> Column:
     return reduce(or_, on) if on else F.lit(True)
 
 
+def given(**wanted: Column | str) -> Column:
+    """Column equals value for every value that is given; an empty text switches its filter off."""
+    on = [F.col(c) == v for c, v in wanted.items() if not (isinstance(v, str) and v == "")]
+    return reduce(and_, on) if on else F.lit(True)
+
+
 def with_role(places: DataFrame, categories: DataFrame, *, pinned: Column) -> DataFrame:
     """Adds role by category; pinned places are sights."""
-    role = F.broadcast(categories.select(F.col("code").alias("category"), "role"))
+    role = categories.select(F.col("code").alias("category"), "role")
     return places.join(role, "category").withColumn("pinned", pinned).withColumn("role", F.when(F.col("pinned"), "sight").otherwise(F.col("role")))
 
 

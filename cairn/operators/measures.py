@@ -48,6 +48,33 @@ def greedy_matches(reference: DataFrame, answer: DataFrame, *, key: str, metres:
     return out.select(key, "ordinal", known("matched").cast("int").alias("matched"), known("metres").alias("metres"))
 
 
+def match_scores(reference: DataFrame, answer: DataFrame, plans: DataFrame, *, key: str, metres: float = 750.0) -> DataFrame:
+    """key, recall, precision, detour_km, walk_diff_min, budget_fit of each reference walk.
+
+    The detour is the answer's line less the reference's, both in the order of their stops; null without an answer.
+    plans: key, walk_seconds and fits of the answer, walk_minutes of it, and est_walk_minutes of the reference;
+    without an estimate the walk is held against its own minutes.
+    """
+    length = lambda rows, name: _line_km(rows, key).select(key, F.col("km").alias(name))
+    by = greedy_matches(reference, answer, key=key, metres=metres).groupBy(key).agg(F.count("matched").alias("met"), F.count("*").alias("asked"))
+    out = by.join(answer.groupBy(key).agg(F.count("*").alias("given")), key, "left").join(length(reference, "ref_km"), key, "left").join(length(answer, "own_km"), key, "left").join(plans, key, "left")
+    seconds = F.coalesce("walk_seconds", F.col("walk_minutes") * 60, F.lit(0.0))
+    return out.select(
+        key,
+        (F.col("met") / F.col("asked")).alias("recall"),
+        F.when(F.col("given") > 0, F.col("met") / F.col("given")).otherwise(0.0).alias("precision"),
+        (F.col("own_km") - F.col("ref_km")).alias("detour_km"),
+        (seconds / 60 - F.coalesce("est_walk_minutes", "walk_minutes")).alias("walk_diff_min"),
+        F.coalesce("fits", F.lit(False)).alias("budget_fit"),
+    )
+
+
+def _line_km(stops: DataFrame, key: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy("ordinal")
+    leg = geo.haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    return stops.select(key, leg.alias("m")).groupBy(key).agg((F.coalesce(F.sum("m"), F.lit(0.0)) / 1000).alias("km"))
+
+
 def kendall_tau(ranks: DataFrame, key: str) -> DataFrame:
     """key, n, tau over shared elements; null for fewer than three. ranks: key, a, b (places in two orders)."""
     x = ranks.select(key, F.col("a").alias("a1"), F.col("b").alias("b1"))

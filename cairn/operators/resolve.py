@@ -118,3 +118,44 @@ def named_in_cascade(wanted: DataFrame, rows: DataFrame, *, least: float = 0.6,
     fuzzy = like.groupBy("wanted_id").agg(F.min(F.struct(-F.col("s"), "place_id")).alias("m")).select("wanted_id", F.col("m.place_id").alias("place_id"), F.lit("fuzzy").alias("how"), F.lit(2).alias("step"))
     all_ = exact.unionByName(contains).unionByName(fuzzy)
     return all_.withColumn("r", F.row_number().over(Window.partitionBy("wanted_id").orderBy("step"))).where("r = 1").select("wanted_id", "place_id", "how")
+
+
+def collapsed(rows: DataFrame, names: DataFrame, pairs: DataFrame, *, shadow_m: float = 150.0, twin_m: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Rows that are left after three rules in order, and what went: place_id, keeper, rule.
+
+    First automatic rows shadowed by a protected one of their name, then twins of what is left, then merges declared
+    among what is left then. rows: place_id, name, category, lat, lon, owner, source_url; names: place_id, alias.
+    """
+    shadow = settle(shadowed(rows.select("place_id", "lat", "lon", "owner"), names, metres=shadow_m).select("place_id", "keeper", F.lit("shadowed").alias("rule")), "shadowed")
+    left = rows.join(shadow, "place_id", "left_anti")
+    twin = settle(twins(left, metres=twin_m).where("place_id <> head").select("place_id", F.col("head").alias("keeper"), F.lit("twin").alias("rule")), "twins")
+    left = left.join(twin, "place_id", "left_anti")
+    merged = declared_merges(pairs, left).where("verdict = 'merged'")
+    ids = left.select("source_url", "place_id")
+    named = merged.join(ids.withColumnsRenamed({"source_url": "drop"}), "drop").join(ids.withColumnsRenamed({"source_url": "keep", "place_id": "keeper"}), "keep")
+    declared = settle(named.select("place_id", "keeper", F.lit("declared").alias("rule")), "declared")
+    return left.join(declared, "place_id", "left_anti"), shadow.unionByName(twin).unionByName(declared)
+
+
+def curated_overlay(rows: DataFrame, curated: DataFrame, *, columns: list[str], least: float = 0.6, spread_m: float = 2000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The catalogue with curated rows laid over the places that their names mean; aliases to add; a verdict on each curated row.
+
+    A place that is met takes the curated columns and is owned by hand; its vector goes if its text (name, category)
+    changes; each curated name becomes an alias of its place. Of several rows that mean one place the one with the
+    smallest curated_id is laid over it. Nothing is inserted: a row that means no place is unmatched, or ambiguous.
+    rows: place_id, name, category, lat, lon, owner, vector, and columns; curated: curated_id, name, and columns.
+    """
+    found = named_in_cascade(curated.select(F.col("curated_id").alias("wanted_id"), F.col("name").alias("wanted")), rows, least=least, spread_m=spread_m)
+    found = settle(found.withColumnRenamed("wanted_id", "curated_id"), "curated")
+    met = curated.join(found.where("place_id is not null").select("curated_id", "place_id"), "curated_id")
+    first = Window.partitionBy("place_id").orderBy("curated_id")
+    own = met.withColumn("r", F.row_number().over(first)).where("r = 1").select("place_id", *(F.col(c).alias(f"n_{c}") for c in columns), F.lit(True).alias("met"))
+    both = rows.join(own, "place_id", "left")
+    value = lambda c: F.when(F.col("met"), F.col(f"n_{c}")).otherwise(F.col(c))
+    text_stays = [value(c).eqNullSafe(F.col(c)) for c in ("name", "category") if c in columns]
+    stays = F.lit(True) if not text_stays else text_stays[0] if len(text_stays) == 1 else text_stays[0] & text_stays[1]
+    kept = [c for c in rows.columns if c not in (*columns, "owner", "vector")]
+    laid = both.select(*kept, *(value(c).alias(c) for c in columns), F.when(F.col("met"), "curated").otherwise(F.col("owner")).alias("owner"), F.when(stays, F.col("vector")).alias("vector"))
+    aliases = met.select("place_id", F.col("name").alias("alias")).distinct()
+    how = F.when(F.col("place_id").isNotNull(), "matched").when(F.col("how") == "ambiguous", "ambiguous").otherwise("unmatched")
+    return laid.select(*rows.columns), aliases, curated.select("curated_id").join(found, "curated_id", "left").select("curated_id", how.alias("verdict"))

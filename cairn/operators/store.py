@@ -33,3 +33,29 @@ def page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame
 def without(parent: DataFrame, gone: DataFrame, key: str, children: list[DataFrame]) -> list[DataFrame]:
     """Parents and children without those of a deleted key."""
     return [df.join(gone.select(key), key, "left_anti") for df in (parent, *children)]
+
+
+def reconciled(recorded: DataFrame, given: DataFrame, excluded: DataFrame, *, key: str, item: str, order: str) -> DataFrame:
+    """key, item, place (from 0): the stops that a change starts from.
+
+    Recorded stops come first, then those that only the client gives, each in its order; excluded ones go. Keys
+    without a record keep what the client gives.
+    """
+    first = recorded.select(key, item, F.lit(0).alias("from"), order)
+    more = given.select(key, item, F.lit(1).alias("from"), order).join(recorded.select(key, item).distinct(), [key, item], "left_anti")
+    kept = first.unionByName(more).join(excluded.select(key, item).distinct(), [key, item], "left_anti")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("from", order)) - 1).select(key, item, "place")
+
+
+def adopted(journal: DataFrame, held: DataFrame, *, key: str, wanted: DataFrame | None = None) -> DataFrame:
+    """key, revision, adopt: the turn of the journal that a client shows: the one wanted, if it is there, else the last.
+
+    It is adopted if it was wanted, or if the journal has more turns than the client held. held: key, turns; wanted:
+    key, wanted.
+    """
+    last = journal.groupBy(key).agg(F.max("revision").alias("last"), F.count("*").alias("n"))
+    out = last.join(held.select(key, F.col("turns").alias("had")), key, "left").withColumn("grew", F.col("n") > F.coalesce("had", F.lit(0)))
+    if wanted is None:
+        return out.select(key, F.col("last").alias("revision"), F.col("grew").alias("adopt"))
+    there = wanted.join(journal.select(key, F.col("revision").alias("wanted")), [key, "wanted"], "left_semi")
+    return out.join(there, key, "left").select(key, F.coalesce("wanted", "last").alias("revision"), (F.col("wanted").isNotNull() | F.col("grew")).alias("adopt"))

@@ -43,7 +43,7 @@ def flt_15_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(views.sql("SELECT place_id FROM places WHERE name NOT IN ('small ring', 'blue bolt')", "places"))
 def flt_16_excluded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.createDataFrame([(" Small  RING!",), ("blue bolt",)], "name string").select(text.matched_name(F.col("name")).alias("norm"))
-    return views.places(spark, sf_dir).withColumn("norm", text.matched_name(F.col("name"))).join(F.broadcast(out), "norm", "left_anti").select("place_id")
+    return views.places(spark, sf_dir).withColumn("norm", text.matched_name(F.col("name"))).join(out, "norm", "left_anti").select("place_id")
 
 
 OLD_NEW = """, old AS (SELECT source_url, name, category, owner, 'v' || place_id AS vector FROM places WHERE place_id % 4 <> 0),
@@ -71,7 +71,7 @@ def snk_02_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(views.sql(""", lost AS (SELECT place_id AS loser, place_id + 1 AS keeper FROM places WHERE place_id % 10 = 0 AND place_id + 1 IN (SELECT place_id FROM places))
 SELECT p.source_url, coalesce(l.keeper, p.place_id) AS place_id FROM places p LEFT JOIN lost l ON l.loser = p.place_id""", "places"))
 def snk_03_repointed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage of losers points to their survivors (also SNK-04)."""
+    """Lineage of losers points to their survivors ."""
     p = views.places(spark, sf_dir).select("place_id", "source_url")
     lost = p.where("place_id % 10 = 0").select(F.col("place_id").alias("loser"), (F.col("place_id") + 1).alias("keeper")).join(p.select(F.col("place_id").alias("keeper")), "keeper", "left_semi")
     return p.join(lost, F.col("place_id") == F.col("loser"), "left").select("source_url", F.coalesce("keeper", "place_id").alias("place_id"))
@@ -192,3 +192,33 @@ def agg_32_content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(views.sql("SELECT place_id, sha256(name || '|' || category || '|' || town) AS key FROM places", "places"))
 def hsh_01_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.places(spark, sf_dir).select("place_id", F.sha2(F.concat_ws("|", "name", "category", "town"), 256).alias("key"))
+
+
+@query(views.sql(f"SELECT place_id, EXISTS (SELECT 1 FROM areas a WHERE a.rings IS NOT NULL AND a.kind = 'region' AND {views.in_area_sql('lat', 'lon', 'a')}) AS fenced FROM places", "places", "areas"))
+def flt_13_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a place lies in the project's areas (here the regions)."""
+    return etl.fenced(views.places(spark, sf_dir).select("place_id", "lat", "lon"), views.areas(spark, sf_dir).where("kind = 'region'"), "place_id").select("place_id", "fenced")
+
+
+@query(views.sql("SELECT 1 AS asked, place_id FROM places WHERE category = 'promo' UNION ALL SELECT 2, place_id FROM places WHERE category = 'promo' AND town = 'Brand#1' UNION ALL SELECT 3, place_id FROM places", "places"))
+def flt_08_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters that an empty text switches off: one, both, none."""
+    from ..operators.filters import given
+
+    p = views.places(spark, sf_dir)
+    asked = [("promo", ""), ("promo", "Brand#1"), ("", "")]
+    each = [p.where(given(category=c, town=t)).select(F.lit(i + 1).alias("asked"), "place_id") for i, (c, t) in enumerate(asked)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query()
+def snk_04_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated rows over the places their names mean (J-14); a test lays them over a small catalogue by hand."""
+    from ..operators import resolve
+    from .spatial import WANTED
+
+    p = views.places(spark, sf_dir).select("place_id", "name", "category", "lat", "lon", "owner", F.concat(F.lit("v"), F.col("place_id").cast("string")).alias("vector"))
+    extra = spark.createDataFrame([(10_000_000, "lighthouse of the north", "sight", 53.1, 24.0, "auto", "v")], p.schema)
+    curated = spark.createDataFrame(WANTED, "curated_id int, name string").withColumn("category", F.lit("curated sight"))
+    rows, _, _ = resolve.curated_overlay(p.unionByName(extra), curated, columns=["name", "category"], spread_m=1e6)
+    return rows.select("place_id", "name", "category", "owner", "vector")

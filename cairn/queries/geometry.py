@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import calendar, geo
 from ..operators.groups import dealt
+from ..operators.staging import small_side
 from .registry import query
 
 ROUTE = "area-0"
@@ -27,17 +28,18 @@ def geo_01_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_02_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place against the few areas that have a polygon; holes count as outside."""
     p, a = views.places(spark, sf_dir).select("place_id", "lat", "lon"), views.areas(spark, sf_dir).where("rings is not null").select("code", "rings", "holes")
-    return p.join(F.broadcast(a), F.lit(True)).select("place_id", "code", geo.in_polygon(F.col("lat"), F.col("lon"), F.col("rings"), F.col("holes")).alias("inside"))
+    return p.join(small_side(a), F.lit(True)).select("place_id", "code", geo.in_polygon(F.col("lat"), F.col("lon"), F.col("rings"), F.col("holes")).alias("inside"))
 
 
-@query(views.sql("""SELECT code, 'POLYGON ((' || array_to_string(list_transform(list_append(rings[1], rings[1][1]), lambda p: printf('%.4f %.4f', p.lon, p.lat)), ', ') || '))' ||
-  CASE WHEN holes IS NULL THEN '' ELSE ' minus ((' || array_to_string(list_transform(list_append(holes[1], holes[1][1]), lambda p: printf('%.4f %.4f', p.lon, p.lat)), ', ') || '))' END AS wkt FROM areas WHERE rings IS NOT NULL""", "areas"))
+RING_TEXT = "'(' || array_to_string(list_transform(list_append({r}, {r}[1]), lambda p: printf('%.4f %.4f', p.lon, p.lat)), ', ') || ')'"
+SHELL_TEXT = f"""SELECT code, n, '(' || {RING_TEXT.format(r="shell")} || coalesce((SELECT string_agg(', ' || {RING_TEXT.format(r="hole")}, '' ORDER BY k) FROM (SELECT unnest(holes) AS hole, generate_subscripts(holes, 1) AS k) WHERE {views.in_ring_sql("hole[1].lat", "hole[1].lon", "shell")}), '') || ')' AS part
+  FROM (SELECT code, holes, unnest(rings) AS shell, generate_subscripts(rings, 1) AS n FROM areas WHERE rings IS NOT NULL)"""
+
+
+@query(views.sql(f"SELECT code, 'MULTIPOLYGON (' || string_agg(part, ', ' ORDER BY n) || ')' AS wkt FROM ({SHELL_TEXT}) GROUP BY code", "areas"))
 def geo_03_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ring as text, closed, with the hole that it holds."""
-    say = lambda r: F.array_join(F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.format_string("%.4f %.4f", p["lon"], p["lat"])), ", ")
-    shell, hole = F.element_at("rings", 1), F.element_at("holes", 1)
-    wkt = F.concat(F.lit("POLYGON (("), say(shell), F.lit("))"), F.when(F.col("holes").isNull(), "").otherwise(F.concat(F.lit(" minus (("), say(hole), F.lit("))"))))
-    return views.areas(spark, sf_dir).where("rings is not null").select("code", wkt.alias("wkt"))
+    """Areas as well-known text, each hole in the shell that holds it."""
+    return views.areas(spark, sf_dir).where("rings is not null").select("code", geo.as_wkt(F.col("rings"), F.col("holes")).alias("wkt"))
 
 
 SEG = """SELECT service_id, round(CAST(111194.92664455873 AS DOUBLE) * sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)), 2) AS metres, round(t, 6) AS along FROM (

@@ -9,6 +9,7 @@ from .. import views
 from ..functions import geo
 from ..operators import retrieval
 from ..plans.search import find_places as plan_find_places
+from ..operators.staging import small_side
 from .registry import query
 
 VECTOR = """, near AS (
@@ -115,7 +116,7 @@ ASKED = [90, 3, 77, 999_999_999, 3_000_000, 12, 45]
 def flt_03_lookup_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asked ids keep their order; missing ones drop out (also J-36, FLT-04 for what is found)."""
     asked = spark.createDataFrame(list(enumerate(ASKED)), "pos int, place_id long")
-    return views.places(spark, sf_dir).join(F.broadcast(asked), "place_id").select("pos", "place_id", "name").orderBy("pos")
+    return views.places(spark, sf_dir).join(asked, "place_id").select("pos", "place_id", "name").orderBy("pos")
 
 
 @query(f"SELECT place_id FROM (SELECT unnest({ASKED}) AS place_id) WHERE place_id NOT IN (SELECT p_partkey FROM part)")
@@ -149,7 +150,7 @@ def flt_09_any_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flt_10_12_prefix_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.places(spark, sf_dir).select("place_id", "source_url")
     out = spark.createDataFrame([("src:10",), ("src:11",)], "source_url string")
-    return p.where(F.col("source_url").startswith("src:1")).join(F.broadcast(out), "source_url", "left_anti").select("place_id")
+    return p.where(F.col("source_url").startswith("src:1")).join(out, "source_url", "left_anti").select("place_id")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND ts + CAST(floor(value) AS INTEGER) * INTERVAL 1 MINUTE > TIMESTAMP '2024-01-20 00:00:00'")
@@ -208,25 +209,30 @@ def flt_25_has_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_03_default_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place's own minutes, its category's, or a fallback."""
     c = views.categories(spark, sf_dir).where("code not in ('promo', 'large')").select(F.col("code").alias("category"), F.col("visit_minutes").alias("usual"))
-    p = views.places(spark, sf_dir).join(F.broadcast(c), "category", "left")
+    p = views.places(spark, sf_dir).join(c, "category", "left")
     fallback = F.when(F.col("category") == "promo", 15).otherwise(20)
     return p.select("place_id", F.coalesce("visit_minutes", "usual", fallback).cast("int").alias("minutes"))
 
 
-@query(views.sql("""SELECT place_id, CASE WHEN size % 10 = 0 THEN 'worship' WHEN size % 7 = 0 AND price > 1000 THEN 'fort' WHEN size % 7 = 0 THEN 'historic' WHEN size % 3 = 0 THEN 'museum' ELSE 'sight' END AS code FROM places""", "places"))
+TAGS = {
+    "amenity": ("size % 10 = 0", "place_of_worship"),
+    "religion": ("size % 20 = 0", "christian"),
+    "denomination": ("size % 40 = 0", "orthodox"),
+    "building": ("size % 11 = 0", "church"),
+    "historic": ("size % 7 = 0", "manor"),
+    "military": ("size % 13 = 0", "bunker"),
+    "tourism": ("size % 3 = 0", "museum"),
+    "natural": ("size % 17 = 0", "stone"),
+}
+
+
+@query(views.sql("""SELECT place_id, CASE WHEN size % 40 = 0 THEN 'церковь' WHEN size % 20 = 0 THEN 'костёл' WHEN size % 10 = 0 THEN 'храм' WHEN size % 11 = 0 THEN 'храм' WHEN size % 13 = 0 THEN 'укрепление'
+  WHEN size % 7 = 0 THEN 'усадьба' WHEN size % 3 = 0 THEN 'музей' WHEN size % 17 = 0 THEN 'валун' END AS code FROM places""", "places"))
 def map_01_02_tag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first tag rule that fits names the category."""
     from ..sources.elements import sight_category
 
-    n = F.col("size")
-    tags = F.map_filter(
-        F.map_concat(
-            F.create_map(F.lit("amenity"), F.when(n % 10 == 0, "place_of_worship").otherwise("")),
-            F.create_map(F.lit("historic"), F.when((n % 7 == 0) & (F.col("price") > 1000), "fort").when(n % 7 == 0, "ruins").otherwise("")),
-            F.create_map(F.lit("tourism"), F.when(n % 3 == 0, "museum").otherwise("")),
-        ),
-        lambda k, v: v != "",
-    )
+    tags = F.map_filter(F.create_map(*(x for k, (when, v) in TAGS.items() for x in (F.lit(k), F.when(F.expr(when), v).otherwise("")))), lambda k, v: v != "")
     return views.places(spark, sf_dir).select("place_id", sight_category(tags).alias("code"))
 
 
@@ -235,4 +241,4 @@ def flt_06_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = views.query_vectors(spark, sf_dir).where("query_id = 100").select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
     dy, dx = geo.box(F.col("qlat"), F.col("qlon"), 15)
     near = (F.abs(F.col("lat") - F.col("qlat")) <= dy) & (F.abs(F.col("lon") - F.col("qlon")) <= dx)
-    return views.places(spark, sf_dir).join(F.broadcast(q), near).select("place_id", F.round("lat", 6).alias("lat"))
+    return views.places(spark, sf_dir).join(small_side(q), near).select("place_id", F.round("lat", 6).alias("lat"))

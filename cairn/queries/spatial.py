@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import geo
 from ..operators import resolve, spatial
+from ..operators.staging import small_side
 from .registry import query
 
 
@@ -100,6 +101,15 @@ def j_13_declared_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.declared_merges(pairs, views.places(spark, sf_dir))
 
 
+@query()
+def set_04_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three collapse rules in order, and which of them each row went by; a test applies them one by one in plain code."""
+    p = views.places(spark, sf_dir)
+    i = F.col("id")
+    pairs = spark.range(0, 2100, 50).select(F.concat(F.lit("src:"), i.cast("string")).alias("keep"), F.concat(F.lit("src:"), (i * 7 % 2100).cast("string")).alias("drop")).where("keep <> drop")
+    return resolve.collapsed(p, p.select("place_id", F.col("name").alias("alias")), pairs, shadow_m=6000.0, twin_m=9000.0)[1]
+
+
 WANTED = [(1, "Small Ring"), (2, "zigzag ring"), (3, "smal widgt"), (4, "Brand"), (5, "hot gears"), (6, "unique lighthouse of the north"), (7, "lighthouse")]
 
 
@@ -163,7 +173,7 @@ def j_19_nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     mid = lambda f: (F.element_at(ring, 1)[f] + F.element_at(ring, 3)[f]) / 2
     centres = views.areas(spark, sf_dir).where("rings is not null").select("code", mid("lat").alias("c_lat"), mid("lon").alias("c_lon"))
     d = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")), 3)
-    met = views.places(spark, sf_dir).select("place_id", "lat", "lon").join(F.broadcast(centres), F.lit(True))
+    met = views.places(spark, sf_dir).select("place_id", "lat", "lon").join(small_side(centres), F.lit(True))
     return met.groupBy("place_id").agg(F.min(F.struct(d.alias("d"), "code")).alias("m")).select("place_id", "m.code")
 
 

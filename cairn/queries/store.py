@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..operators import measures, store
+from ..operators.staging import small_side
 from .registry import query
 
 
@@ -33,12 +34,34 @@ def j_09_bulk_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(views.sql("SELECT user_id, CAST(count(*) AS INTEGER) AS turns, max(revision) AS last, max_by(kind, revision) AS last_kind, array_to_string(list(kind ORDER BY revision DESC)[1:3], ',') AS newest FROM journal GROUP BY user_id", "journal"))
 def j_32_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thread with its turns, newest first (also STM-04, CLI-12)."""
+    """A thread with its turns, newest first (also STM-04)."""
     turns = F.sort_array(F.collect_list(F.struct("revision", "kind")), asc=False)
     by = views.journal(spark, sf_dir).groupBy("user_id").agg(turns.alias("t"), F.max("revision").alias("last"), F.max_by("kind", "revision").alias("last_kind"))
     return by.select("user_id", F.size("t").alias("turns"), "last", "last_kind", F.array_join(F.slice(F.col("t.kind"), 1, 3), ",").alias("newest"))
 
 
+@query(views.sql(""", recorded AS (SELECT user_id, event_id % 50 AS item, min(revision) AS since FROM journal WHERE revision < 20 GROUP BY user_id, item),
+given AS (SELECT user_id, event_id % 60 AS item, min(revision) AS since FROM journal WHERE revision >= 15 GROUP BY user_id, item), excluded AS (SELECT DISTINCT user_id, event_id % 70 AS item FROM journal WHERE revision < 5),
+every AS (SELECT *, 0 AS source FROM recorded UNION ALL SELECT g.*, 1 FROM given g ANTI JOIN recorded r ON r.user_id = g.user_id AND r.item = g.item)
+SELECT user_id, item, CAST(row_number() OVER (PARTITION BY user_id ORDER BY source, since) - 1 AS INTEGER) AS place FROM every e WHERE NOT EXISTS (SELECT 1 FROM excluded x WHERE x.user_id = e.user_id AND x.item = e.item)""", "journal"))
+def j_33_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops of a recorded turn and of the client, without the excluded ones."""
+    j = views.journal(spark, sf_dir)
+    own = lambda rows, n: rows.groupBy("user_id", (F.col("event_id") % n).alias("item")).agg(F.min("revision").alias("at"))
+    return store.reconciled(own(j.where("revision < 20"), 50), own(j.where("revision >= 15"), 60), own(j.where("revision < 5"), 70), key="user_id", item="item", order="at")
+
+
+@query(views.sql("""SELECT user_id, CAST(CASE WHEN user_id % 3 = 0 AND bool_or(revision = 4) THEN 4 ELSE max(revision) END AS INTEGER) AS revision,
+  (user_id % 3 = 0 AND bool_or(revision = 4)) OR count(*) > CASE WHEN user_id % 2 = 0 THEN 60 ELSE 0 END AS adopt FROM journal GROUP BY user_id""", "journal"))
+def cli_12_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn shown: the one chosen, else the last; adopted only if chosen or if the journal grew."""
+    j = views.journal(spark, sf_dir)
+    users = j.select("user_id").distinct()
+    held = users.where("user_id % 2 = 0").withColumn("turns", F.lit(60))
+    wanted = users.where("user_id % 3 = 0").withColumn("wanted", F.lit(4))
+    return store.adopted(j, held, key="user_id", wanted=wanted)
+
+
 @query(views.sql("SELECT user_id, revision, ts, event_id, kind FROM journal QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY revision DESC) = 1", "journal"))
 def win_02_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(views.journal(spark, sf_dir), ["user_id"], ["revision"]).select("user_id", "revision", "ts", "event_id", "kind")
@@ -79,7 +102,7 @@ def agg_03_filtered_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(views.sql("SELECT route_id, place_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY ordinal) - 1 AS INTEGER) AS rank FROM stops WHERE place_id % 5 <> 0", "stops"))
 def win_01_07_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in a list counted from 0; excluded ones close up (also J-33)."""
+    """Places in a list counted from 0; excluded ones close up."""
     rank = F.row_number().over(Window.partitionBy("route_id").orderBy("ordinal")) - 1
     return views.stops(spark, sf_dir).where("place_id % 5 <> 0").select("route_id", "place_id", rank.alias("rank"))
 
@@ -225,7 +248,7 @@ def msc_16_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(1, "area-1"), (2, "area-4")], "query_id int, code string").join(views.areas(spark, sf_dir), "code")
     scoped = spatial.inside(p, asked.select("query_id", "rings", "holes")).select("query_id", "place_id", F.lit("scoped").alias("provenance"))
     open_ = asked.where("rings is null").select("query_id")
-    return scoped.unionByName(p.join(F.broadcast(open_), F.lit(True)).select("query_id", "place_id", F.lit("unscoped").alias("provenance")))
+    return scoped.unionByName(p.join(small_side(open_), F.lit(True)).select("query_id", "place_id", F.lit("unscoped").alias("provenance")))
 
 
 @query(views.sql("SELECT route_id, ordinal, round(along, 1) AS metres FROM (SELECT route_id, ordinal, sum(m) OVER (PARTITION BY route_id ORDER BY ordinal) - m + m / 2 AS along FROM (SELECT route_id, ordinal, CAST(111194.92664455873 AS DOUBLE) * sqrt(pow((lon2 - lon) * cos(radians((lat + lat2) / 2)), 2) + pow(lat2 - lat, 2)) AS m FROM (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM stops WINDOW w AS (PARTITION BY route_id ORDER BY ordinal)) WHERE lat2 IS NOT NULL))", "stops"))

@@ -68,18 +68,18 @@ def src_23_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("place_id")
-    tags = F.map_filter(F.create_map(F.lit("name"), F.when(k % 5 != 0, F.col("name")), F.lit("amenity"), F.when(k % 4 == 0, "cafe"), F.lit("addr:street"), F.when(k % 8 == 0, F.col("town")), F.lit("tourism"), F.when(k % 3 == 0, "museum")), lambda n, v: v.isNotNull())
+    tags = F.map_filter(F.create_map(F.lit("name"), F.when(k % 5 != 0, F.col("name")), F.lit("name:ru"), F.when((k % 5 != 0) & (k % 7 != 0), F.concat(F.lit("Место "), "name")), F.lit("amenity"), F.when(k % 4 == 0, "cafe"), F.lit("addr:street"), F.when(k % 8 == 0, F.col("town")), F.lit("tourism"), F.when(k % 3 == 0, "museum").when(k % 3 == 1, "attraction")), lambda n, v: v.isNotNull())
     own = F.when(k % 2 == 0, F.col("lat"))
     return views.places(spark, sf_dir).select(F.when(k % 2 == 0, "node").otherwise("way").alias("type"), k.alias("id"), own.alias("lat"), F.when(k % 2 == 0, F.col("lon")).alias("lon"), F.struct("lat", "lon").alias("center"), tags.alias("tags"))
 
 
-@query(views.sql("SELECT CASE WHEN place_id % 2 = 0 THEN 'node/' ELSE 'way/' END || place_id AS source_url, name, CASE WHEN place_id % 3 = 0 THEN 'museum' ELSE 'sight' END AS category, round(lat, 6) AS lat FROM places WHERE place_id % 5 <> 0 AND place_id % 4 <> 0", "places"))
+@query(views.sql("SELECT CASE WHEN place_id % 2 = 0 THEN 'node/' ELSE 'way/' END || place_id AS source_url, 'Место ' || name AS name, CASE WHEN place_id % 3 = 0 THEN 'музей' ELSE 'архитектура' END AS category, round(lat, 6) AS lat FROM places WHERE place_id % 5 <> 0 AND place_id % 7 <> 0 AND place_id % 4 <> 0 AND place_id % 3 < 2", "places"))
 def src_12_sights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map elements to sights: own or centre coordinates, category by tags."""
     return elements.sights(_elements(spark, sf_dir)).select("source_url", "name", "category", F.round("lat", 6).alias("lat"))
 
 
-@query(views.sql("SELECT 'node/' || place_id AS source_url, CASE WHEN place_id % 5 <> 0 THEN name WHEN place_id % 8 = 0 THEN 'cafe (' || town || ')' ELSE 'cafe' END AS name, 'cafe' AS category FROM places WHERE place_id % 4 = 0", "places"))
+@query(views.sql("SELECT 'node/' || place_id AS source_url, CASE WHEN place_id % 5 <> 0 AND place_id % 7 <> 0 THEN 'Место ' || name WHEN place_id % 5 <> 0 THEN name WHEN place_id % 8 = 0 THEN 'cafe (' || town || ')' ELSE 'cafe' END AS name, 'cafe' AS category FROM places WHERE place_id % 4 = 0", "places"))
 def src_13_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map elements to services; those without a name get a label."""
     return elements.services(_elements(spark, sf_dir)).select("source_url", "name", "category")
@@ -99,7 +99,7 @@ def src_16_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_17_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an extract for a stated list of identities."""
     wanted = spark.range(500).where("id % 10 in (1, 2)").withColumnRenamed("id", "place_id")
-    return views.places(spark, sf_dir).select("place_id", "name").join(F.broadcast(wanted), "place_id", "left_semi")
+    return views.places(spark, sf_dir).select("place_id", "name").join(wanted, "place_id", "left_semi")
 
 
 def _followed(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import text
 from ..operators import fragments
+from ..operators.staging import small_side
 from .registry import query
 
 GRAMS = """list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''),
@@ -126,7 +127,7 @@ def str_16_code_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_17_names_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.categories(spark, sf_dir).select("code")
     short = own.unionByName(own.select(F.substring("code", 1, 3).alias("code"))).distinct().select(F.col("code").alias("a"))
-    return short.join(F.broadcast(own.select(F.col("code").alias("b"))), F.lit(True)).select("a", "b", text.names_agree(F.col("a"), F.col("b")).alias("agree"))
+    return short.join(small_side(own.select(F.col("code").alias("b"))), F.lit(True)).select("a", "b", text.names_agree(F.col("a"), F.col("b")).alias("agree"))
 
 
 @query("SELECT doc_id, length(nullif(substr(trim(text), 1, 240), '')) AS n, sha256(nullif(substr(trim(text), 1, 240), '')) AS blurb FROM documents")

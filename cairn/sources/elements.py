@@ -10,22 +10,35 @@ from ..functions import text
 #: Tags that name a service.
 SERVICES = {"toilets": "toilet", "cafe": "cafe", "drinking_water": "water", "pharmacy": "pharmacy", "bench": "bench", "atm": "atm"}
 
+#: Categories of sights, the tags that say them, and names that forts bear.
+WORSHIP, EASTERN_CHURCH, WESTERN_CHURCH = "храм", "церковь", "костёл"
+FORT, MUSEUM, BOULDER, GENERIC = "укрепление", "музей", "валун", "архитектура"
+EASTERN = ("orthodox", "russian_orthodox", "old_believer")
+CATHOLIC = ("catholic", "roman_catholic")
+HISTORIC = {"castle": "замок", "palace": "дворец", "manor": "усадьба", "monastery": "монастырь", "monastic_architecture": "монастырь", "memorial": "памятник", "monument": "памятник"}
+FORT_NAME = r"(?iuU)\bдот\b|\bдзот\b|блиндаж|бункер|\bфорт\b|окоп|оборонит|убежищ|опорн\w*\s+пункт"
+
 
 def tag(tags: Column, name: str) -> Column:
     return F.try_element_at(tags, F.lit(name))
 
 
 def sight_category(tags: Column) -> Column:
-    """Worship, then forts, then other historic, then tourism, then the general one."""
-    historic, tourism = tag(tags, "historic"), tag(tags, "tourism")
+    """Places of worship by religion and rite, then buildings, forts by tag or name, named historic kinds, museums, boulders, and what is only worth seeing; null for all else."""
+    historic, building = tag(tags, "historic"), tag(tags, "building")
+    rite, christian = tag(tags, "denomination"), F.equal_null(tag(tags, "religion"), F.lit("christian"))
+    said = lambda c: F.coalesce(c, F.lit(False))
+    worship = F.when(~christian, WORSHIP).when(said(rite.isin(*EASTERN)), EASTERN_CHURCH).otherwise(WESTERN_CHURCH)
+    church = F.when(~christian, WORSHIP).when(said(rite.isin(*CATHOLIC)), WESTERN_CHURCH).otherwise(EASTERN_CHURCH)
+    named = F.create_map(*(F.lit(x) for kv in HISTORIC.items() for x in kv))
     return F.coalesce(
-        F.when(tag(tags, "amenity") == "place_of_worship", "worship"),
-        F.when(historic.isin("fort", "castle", "city_gate"), "fort"),
-        F.when(historic.isNotNull(), "historic"),
-        F.when(tourism == "museum", "museum"),
-        F.when(tourism.isin("artwork", "viewpoint"), tourism),
-        F.when(tag(tags, "natural") == "stone", "boulder"),
-        F.lit("sight"),
+        F.when(tag(tags, "amenity") == "place_of_worship", worship),
+        F.when(building.isin("church", "cathedral", "chapel"), church).when(building.isin("castle", "palace"), F.try_element_at(named, building)),
+        F.when(said(tag(tags, "military") == "bunker") | said(historic == "fort") | said(name_of(tags).rlike(FORT_NAME)), FORT),
+        F.try_element_at(named, historic),
+        F.when(tag(tags, "tourism") == "museum", MUSEUM),
+        F.when(tag(tags, "natural").isin("stone", "rock"), BOULDER),
+        F.when(said(tag(tags, "tourism") == "attraction") | said(historic.isin("archaeological_site", "ruins")), GENERIC),
     )
 
 
@@ -44,9 +57,10 @@ def located(elements: DataFrame) -> DataFrame:
 
 
 def sights(elements: DataFrame) -> DataFrame:
-    """source_url, name, category, lat, lon of named elements that are no service."""
-    own = located(elements).withColumn("name", name_of(F.col("tags"))).where("name is not null and lat is not null and lon is not null")
-    return own.where(service_category(F.col("tags")).isNull()).select(F.concat_ws("/", "type", F.col("id").cast("string")).alias("source_url"), "name", sight_category(F.col("tags")).alias("category"), "lat", "lon")
+    """source_url, name, category, lat, lon of elements that are no service, with a category and a name in Cyrillic letters."""
+    own = located(elements).withColumn("name", name_of(F.col("tags"))).withColumn("category", sight_category(F.col("tags")))
+    own = own.where(F.col("name").rlike(r"[\u0400-\u04FF]") & F.col("category").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return own.where(service_category(F.col("tags")).isNull()).select(F.concat_ws("/", "type", F.col("id").cast("string")).alias("source_url"), "name", "category", "lat", "lon")
 
 
 def services(elements: DataFrame) -> DataFrame:
