@@ -28,7 +28,7 @@ from .common import settle
 #: Rows of a shard, and queries of a block, that meet in one task: 64 components take 16 MB. Smaller tables are dealt
 #: out to all cores, down to so many rows and queries.
 SHARD_ROWS, LEAST_ROWS = 32_768, 4096
-QUERY_ROWS, LEAST_QUERIES = 8192, 128
+QUERY_ROWS, LEAST_QUERIES = 8192, 512
 #: Shards after the first whose k-th scores are passed on to the rest.
 SECOND_SHARDS = 7
 #: Queries whose bounds are held at once.
