@@ -106,7 +106,7 @@ def set_04_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three collapse rules in order, and which of them each row went by; a test applies them one by one in plain code."""
     p = views.places(spark, sf_dir)
     i = F.col("id")
-    pairs = spark.range(0, 2100, 50).select(F.concat(F.lit("src:"), i.cast("string")).alias("keep"), F.concat(F.lit("src:"), (i * 7 % 2100).cast("string")).alias("drop")).where("keep <> drop")
+    pairs = spark.range(0, 2100, 50).select(F.concat(F.lit("src:"), i.cast("string")).alias("keep"), F.concat(F.lit("src:"), (i * 7 % 2100 + 3).cast("string")).alias("drop")).where("keep <> drop")
     return resolve.collapsed(p, p.select("place_id", F.col("name").alias("alias")), pairs, shadow_m=6000.0, twin_m=9000.0)[1]
 
 
