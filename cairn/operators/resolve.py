@@ -124,7 +124,7 @@ def collapsed(rows: DataFrame, names: DataFrame, pairs: DataFrame, *, shadow_m:
     """Rows that are left after three rules in order, and what went: place_id, keeper, rule.
 
     First automatic rows shadowed by a protected one of their name, then twins of what is left, then merges declared
-    among what is left then. rows: place_id, name, category, lat, lon, owner, source_url; names: place_id, alias.
+    among what is left then (into the first of several keepers). rows: place_id, name, category, lat, lon, owner, source_url; names: place_id, alias.
     """
     shadow = settle(shadowed(rows.select("place_id", "lat", "lon", "owner"), names, metres=shadow_m).select("place_id", "keeper", F.lit("shadowed").alias("rule")), "shadowed")
     left = rows.join(shadow, "place_id", "left_anti")
@@ -133,7 +133,7 @@ def collapsed(rows: DataFrame, names: DataFrame, pairs: DataFrame, *, shadow_m:
     merged = declared_merges(pairs, left).where("verdict = 'merged'")
     ids = left.select("source_url", "place_id")
     named = merged.join(ids.withColumnsRenamed({"source_url": "drop"}), "drop").join(ids.withColumnsRenamed({"source_url": "keep", "place_id": "keeper"}), "keep")
-    declared = settle(named.select("place_id", "keeper", F.lit("declared").alias("rule")), "declared")
+    declared = settle(named.groupBy("place_id").agg(F.min("keeper").alias("keeper")).withColumn("rule", F.lit("declared")), "declared")
     return left.join(declared, "place_id", "left_anti"), shadow.unionByName(twin).unionByName(declared)
 
 
