@@ -1,7 +1,7 @@
 """Token ids in Arrow's IPC file format: fixed-size-list batches of equal-length sequences and their masks.
 
-Documents are dealt out by ranges of their id, sorted within, and encoded; each task writes one shard to the shared
-folder: ``ids`` and ``mask`` as fixed-size lists of ``SEQUENCE`` entries, every batch but the last of ``ROWS`` rows,
+Documents are encoded where they are read, and their ids dealt out by ranges of doc_id and sorted within; each task
+writes one shard to the shared folder: ``ids`` and ``mask`` as fixed-size lists of ``SEQUENCE`` entries, every batch but the last of ``ROWS`` rows,
 so that token k of a shard is found at once and slices of a memory-mapped file are zero-copy. The last sequence is
 padded, with mask false. A second file holds doc_id, offset and length. File names are unique to the attempt and
 only those of the attempt that succeeded are in the manifest, so retried tasks do no harm.
@@ -22,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -217,31 +218,35 @@ class Shard:
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards; their manifest: shard, ids_file, docs_file, n_docs, n_tokens."""
-    spark = docs.sparkSession
-    folder = scratch(spark, "tokens")
+    folder = scratch(docs.sparkSession, "tokens")
+    dtype = _encoder(tokenizer_path).dtype
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            raw = _encoder(tokenizer_path).encode([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(raw, pa.binary())], names=["doc_id", "tie", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name = f"{folder}/{shard:08d}-{uuid.uuid4().hex}"
         writer = index = sink = None
         n = 0
-        for batch in parts(batches):
+        for batch in batches:
             if writer is None:
-                encoder = _encoder(tokenizer_path)
                 system, path = _open(f"{name}-ids.arrow")
                 system.create_dir(os.path.dirname(path), recursive=True)
-                writer = ShardWriter(f"{name}-ids.arrow", encoder.dtype)
+                writer = ShardWriter(f"{name}-ids.arrow", dtype)
                 sink = system.open_output_stream(_open(f"{name}-docs.arrow")[1])
                 index = pa.ipc.new_file(sink, index_schema(batch))
-                end = np.array([end_id], encoder.dtype)
-            raw = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            lengths = np.array([len(r) // encoder.dtype.itemsize + 1 for r in raw], np.int64)
+                end = np.array([end_id], dtype)
+            sizes = pc.binary_length(batch.column("ids")).to_numpy().astype(np.int64) // dtype.itemsize
+            lengths = sizes + 1
             offsets = writer.total + np.cumsum(lengths) - lengths
-            for r in raw:
-                writer.add(np.frombuffer(r, encoder.dtype))
+            for raw in batch.column("ids"):
+                writer.add(np.frombuffer(raw.as_buffer(), dtype))
                 writer.add(end)
-            index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(offsets), pa.array(lengths)], schema=index_schema(batch)))
-            n += len(raw)
+            index.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(offsets), pa.array(lengths)], schema=index_schema(batch)))
+            n += batch.num_rows
         if writer is not None:
             writer.close()
             index.close()
@@ -249,7 +254,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: s
             yield pa.RecordBatch.from_pylist([{"shard": shard, "ids_file": f"{name}-ids.arrow", "docs_file": f"{name}-docs.arrow", "n_docs": n, "n_tokens": writer.total}], schema=MANIFEST)
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    ordered = picked.repartitionByRange(F.col("doc_id").asc(), F.col("tie").asc()).sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # Ids are smaller than texts: they are written first, so that ranges are sampled of them and only they are shuffled.
+    ids = settle(picked.mapInArrow(encode, f"doc_id {picked.dtypes[0][1]}, tie long, ids binary"), "token-ids")
+    ordered = ids.repartitionByRange(F.col("doc_id").asc(), F.col("tie").asc()).sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     return settle(ordered.mapInArrow(run, "shard long, ids_file string, docs_file string, n_docs long, n_tokens long"), "manifest")
 
 
