@@ -27,20 +27,28 @@ def by_group(df: DataFrame, key: str, order: list[str], solve: Callable[[Columns
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        rest: list[pd.DataFrame] = []  # parts of the last group seen
         for batch in batches:
-            held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = _ends(held[key])[-1:]
-            cut = int(last[0]) if len(last) else 0
-            if cut:
-                yield _solved(held.iloc[:cut], key, solve)
-            rest = held.iloc[cut:]
-        if rest is not None and len(rest):
-            yield _solved(rest, key, solve)
+            if not len(batch):
+                continue
+            ends = _ends(batch[key])
+            fresh = bool(rest) and not _same(rest[-1][key].iloc[-1], batch[key].iloc[0])
+            if not fresh and not len(ends):
+                rest.append(batch)
+                continue
+            cut = int(ends[-1]) if len(ends) else 0
+            yield _solved(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), key, solve)
+            rest = [batch.iloc[cut:]]
+        if rest:
+            yield _solved(pd.concat(rest, ignore_index=True), key, solve)
 
     return dealt(df, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+def _same(a: object, b: object) -> bool:
+    return a == b or bool(pd.isna(a) and pd.isna(b))
+
+
 def _ends(keys: pd.Series) -> np.ndarray:
     """Where another key begins."""
     codes, _ = pd.factorize(keys, use_na_sentinel=False)

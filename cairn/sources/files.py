@@ -129,11 +129,11 @@ def jsonl_rows(df: DataFrame, path: str) -> None:
 
 
 def write_places(df: DataFrame, path: str) -> None:
-    """Bar-separated texts in the order of the key, the header a comment; written as one file, for files made by hand are small."""
+    """Bar-separated texts in the order of the key, in files that follow one another; the header, a comment, comes first."""
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PLACE_COLUMNS))
     rows = df.select(F.lit(1).alias("k"), F.col("source_url").alias("o"), line.alias("value"))
     head = df.sparkSession.createDataFrame([(0, "", "#" + "|".join(PLACE_COLUMNS))], "k int, o string, value string")
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("k", "o").select("value").write.mode("overwrite").text(path)
+    head.unionByName(rows).orderBy("k", "o").select("value").write.mode("overwrite").text(path)
 
 
 def nest(parent: DataFrame, child: DataFrame, key: str, name: str) -> DataFrame:

@@ -328,3 +328,16 @@ def test_pruning_keeps_what_must_be_visited(spark):
     rows = [(1, 1, 10, 53.5, 24.0, False), (1, 2, 11, 55.0, 24.0, True), (1, 3, 12, 55.001, 24.0, None), (1, 4, 13, 53.5, 24.0, False)]
     got = tours.pruned_unreachable(spark.createDataFrame(rows, STOPS + ", must boolean"), 4000.0, must="must").where("kept").collect()
     assert sorted(r["place_id"] for r in got) == [10, 11, 12]
+
+
+def test_groups_that_go_over_many_batches(spark):
+    from cairn.operators.groups import by_group
+
+    rows = [(None if k == 3 else k, i) for k, n in enumerate([1, 70, 2, 35, 1, 20]) for i in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = by_group(spark.createDataFrame(rows, "k long, i int"), "k", ["i"], lambda own: {"n": np.array([len(own["i"])]), "last": own["i"][-1:]}, "n long, last int").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(tuple(r) for r in out) == sorted((n, n - 1) for n in [1, 70, 2, 35, 1, 20])
