@@ -115,3 +115,42 @@ def _followed(pages: DataFrame) -> DataFrame:
 def src_25_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every page leads."""
     return _followed(views.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+
+
+@query(views.sql("SELECT source_url, trim(name) AS name, town AS street, round(lat, 3) AS dist_m FROM places WHERE place_id % 5 <> 0 AND place_id % 7 <> 0", "places"))
+def src_08_snk_19_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street hints written as documents and read back; incomplete ones are left out."""
+    path, k = fresh_path(spark, "hints"), F.col("place_id")
+    rows = views.places(spark, sf_dir).select("source_url", F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "name")).alias("name"), F.when(k % 7 != 0, F.col("town")).alias("street"), F.round("lat", 3).alias("dist_m"))
+    files.write_documents(rows, path, description="streets")
+    return files.read_hints(spark, path, lines=True).select("source_url", "name", "street", "dist_m")
+
+
+@query(views.sql("""SELECT 'way/' || place_id AS source_url, CASE WHEN place_id % 5 = 0 THEN name WHEN place_id % 4 = 0 THEN 'лестница (' || town || ')' ELSE 'лестница' END AS name, round(lat, 6) AS lat,
+  '[' || array_to_string(list_filter([CASE WHEN place_id % 2 = 0 THEN '"handrail=yes (OpenStreetMap)"' END, CASE WHEN place_id % 9 = 0 THEN '"step_count=12 (OpenStreetMap)"' END], lambda x: x IS NOT NULL), ',') || ']' AS facts
+FROM places WHERE place_id % 3 = 0 AND lat BETWEEN 53.3 AND 54.2 AND lon BETWEEN 24.0 AND 26.0""", "places"))
+def src_14_stairways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map elements to stairways within a box."""
+    k = F.col("place_id")
+    said = {"highway": F.when(k % 3 == 0, "steps"), "name": F.when(k % 5 == 0, F.col("name")), "addr:street": F.when(k % 4 == 0, F.col("town")), "handrail": F.when(k % 2 == 0, " yes"), "ramp": F.lit(" "), "step_count": F.when(k % 9 == 0, "12")}
+    tags = F.map_filter(F.create_map(*(x for n, v in said.items() for x in (F.lit(n), v))), lambda n, v: v.isNotNull())
+    ways = views.places(spark, sf_dir).select(F.lit("way").alias("type"), k.alias("id"), F.struct("lat", "lon").alias("center"), tags.alias("tags"))
+    found = elements.stairways(ways, south=53.3, west=24.0, north=54.2, east=26.0)
+    return found.select("source_url", "name", F.round("lat", 6).alias("lat"), "facts")
+
+
+SIGHTS = """, sights AS (SELECT CASE WHEN place_id % 2 = 0 THEN 'node/' ELSE 'way/' END || place_id AS source_url, 'Место ' || name AS name, lat, lon
+  FROM places WHERE place_id % 5 <> 0 AND place_id % 7 <> 0 AND place_id % 4 <> 0 AND place_id % 3 < 2 AND name <> 'blue bolt')"""
+
+
+@query(views.sql(SIGHTS + f""", held AS (SELECT source_url, min(code) AS district FROM sights p, areas a WHERE a.rings IS NOT NULL AND {views.in_area_sql('p.lat', 'p.lon', 'a')} GROUP BY source_url),
+near AS (SELECT source_url, first(town ORDER BY metres, town) AS town FROM (SELECT source_url, s.name AS town, {views.haversine_sql('p.lat', 'p.lon', 's.lat', 's.lon')} AS metres FROM sights p, services s) WHERE metres <= 5000 GROUP BY source_url)
+SELECT source_url, name, coalesce(district, '') AS district, coalesce(town, '') AS town, printf('%.6f', lat) AS lat FROM sights LEFT JOIN held USING (source_url) LEFT JOIN near USING (source_url)""", "places", "areas", "services"))
+def msc_15_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, convert, exclude, districts, towns, write: the seed as one plan."""
+    from ..plans.seeding import seeded
+
+    towns = views.services(spark, sf_dir).select(F.col("name").alias("town"), "lat", "lon")
+    out = spark.createDataFrame([(" Место  BLUE bolt!",)], "name string")
+    rows = seeded(_elements(spark, sf_dir), out, views.areas(spark, sf_dir), towns, fresh_path(spark, "seeded"))
+    return rows.select("source_url", "name", "district", "town", "lat")

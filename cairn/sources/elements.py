@@ -63,6 +63,23 @@ def sights(elements: DataFrame) -> DataFrame:
     return own.where(service_category(F.col("tags")).isNull()).select(F.concat_ws("/", "type", F.col("id").cast("string")).alias("source_url"), "name", "category", "lat", "lon")
 
 
+#: The category of stairways, and the tags that are facts about one.
+STAIRS = "лестница"
+FACT_TAGS = ("handrail", "ramp", "step_count")
+
+
+def stairways(elements: DataFrame, *, south: float, west: float, north: float, east: float) -> DataFrame:
+    """source_url, name, category, lat, lon, facts (JSON) of stairways whose centre lies in the box; without a name they are labelled by street."""
+    tags = F.col("tags")
+    own = elements.where(tag(tags, "highway") == "steps").select("*", F.col("center.lat").alias("c_lat"), F.col("center.lon").alias("c_lon"))
+    own = own.where(F.col("c_lat").between(south, north) & F.col("c_lon").between(west, east))
+    facts = F.array_compact(F.array(*(F.when(text.blank_to_null(tag(tags, k)).isNotNull(), F.concat(F.lit(f"{k}="), F.trim(tag(tags, k)), F.lit(" (OpenStreetMap)"))) for k in FACT_TAGS)))
+    street = text.blank_to_null(tag(tags, "addr:street"))
+    label = F.when(street.isNotNull(), F.concat(F.lit(f"{STAIRS} ("), street, F.lit(")"))).otherwise(STAIRS)
+    name = F.coalesce(text.blank_to_null(tag(tags, "name")), text.blank_to_null(tag(tags, "name:ru")), label)
+    return own.select(F.concat_ws("/", F.coalesce("type", F.lit("way")), F.col("id").cast("string")).alias("source_url"), name.alias("name"), F.lit(STAIRS).alias("category"), F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), F.to_json(facts).alias("facts"))
+
+
 def services(elements: DataFrame) -> DataFrame:
     """The same of services; those without a name get a label made from kind and street. They have no visit minutes."""
     own = located(elements).withColumn("category", service_category(F.col("tags"))).where("category is not null and lat is not null and lon is not null")

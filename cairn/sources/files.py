@@ -78,6 +78,30 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return own.select(F.inline("pairs")).where("keep is not null and drop is not null").select("keep", "drop")
 
 
+def read_hints(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """source_url, name, street, dist_m, source: streets for generated labels; incomplete ones are left out. lines: a document a line, as write_documents() leaves them."""
+    return _entries(spark, path, "source_url:string,name:string,street:string,dist_m:double,source:string", ["source_url", "name", "street"], lines)
+
+
+def read_corrections(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """source_url, category, visit_minutes: categories to lay on places; incomplete ones are left out."""
+    return _entries(spark, path, "source_url:string,category:string,visit_minutes:int", ["source_url", "category"], lines)
+
+
+def _entries(spark: SparkSession, path: str, fields: str, needed: list[str], lines: bool) -> DataFrame:
+    own = spark.read.schema(f"places array<struct<{fields}>>").option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    rows = own.select(F.inline("places"))
+    clean = rows.select(*(text.blank_to_null(F.col(c)).alias(c) if c in needed else F.col(c) for c in rows.columns))
+    return clean.dropna(subset=needed)
+
+
+def write_documents(rows: DataFrame, path: str, *, description: str, most: int = 1000) -> None:
+    """Rows as documents of a description and so many places each at most, a document a line, dealt out by a hash of the row."""
+    count = max(1, -(-rows.count() * 2 // most))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(count)).alias("k")).agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("places"))
+    dealt.select(F.lit(description).alias("description"), "places").write.mode("overwrite").json(path)
+
+
 def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     """name, value: a JSON object of texts as rows."""
     lines = spark.read.option("wholetext", True).text(path)
