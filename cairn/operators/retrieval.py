@@ -15,10 +15,14 @@ POOL = 50
 RESULTS = 8
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def cosine_distance(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """The norms are given, since each vector meets many others."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return F.lit(1.0) - dot / (norm(a) * norm(b))
+    return F.lit(1.0) - dot / (norm_a * norm_b)
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -27,8 +31,8 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
+    length = norm(v)
+    return F.transform(v, lambda x: x / length)
 
 
 #: Queries in a block of vector_top_k: a block times its vectors is what a broadcast holds.
@@ -37,16 +41,16 @@ QUERY_BLOCK = 4096
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, n: int = POOL, *, key: str = "query_id", id_: str = "place_id") -> DataFrame:
     """key, id_, distance, rank: nearest by cosine. All queries of a block are held against each vector where it lies; only n rows a query and task are shuffled."""
-    asked = queries.where("vector is not null").select(key, F.col("vector").alias("asked"))
+    asked = queries.where("vector is not null").select(key, F.col("vector").alias("asked"), norm(F.col("vector")).alias("asked_norm"))
     count = asked.count()
-    pairs = vectors.where("vector is not null").select(id_, "vector")
+    pairs = vectors.where("vector is not null").select(id_, "vector", norm(F.col("vector")).alias("norm"))
     blocks = max(1, -(-count // QUERY_BLOCK))
     if blocks == 1:
         joined = pairs.join(F.broadcast(asked), F.lit(True))  # a stated query set, of a checked size
     else:
         block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")
         joined = pairs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked.select("*", block), "block").drop("block")
-    scored = joined.select(key, id_, cosine_distance(F.col("vector"), F.col("asked")).alias("distance"))
+    scored = joined.select(key, id_, cosine_distance(F.col("vector"), F.col("asked"), F.col("norm"), F.col("asked_norm")).alias("distance"))
     return top_per(scored, [key], [F.col("distance"), F.col(id_)], n)
 
 
