@@ -32,8 +32,9 @@ from .common import parts, scratch, settle
 
 SEQUENCE = 1024
 ROWS = 1024
-#: Words, and pieces of words, that a worker remembers the ids of: some 200 bytes each.
-CACHE = 600_000
+#: Words of a generation, of which a worker remembers two, and pieces of words: some 100 bytes each.
+CACHE = 750_000
+PIECE_CACHE = 1_000_000
 
 #: How the vocabulary file cuts normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -83,6 +84,7 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -112,7 +114,7 @@ class WordEncoder:
         odd = [w for w, ps in cut.items() if ps is None]
         wanted = {p for ps in cut.values() if ps for p in ps}
         new = list(wanted.difference(self.pieces))
-        if len(self.pieces) + len(new) > CACHE:
+        if len(self.pieces) + len(new) > PIECE_CACHE:
             self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
         for i in range(0, len(new), 1000):
             block = new[i : i + 1000]
@@ -135,9 +137,11 @@ class WordEncoder:
         wanted = set().union(*split)
         new = wanted.difference(self.words)
         if len(self.words) + len(new) > CACHE:
-            self.words = {w: self.words[w] for w in wanted.difference(new)}
-        if new:
-            self._learn(new)
+            self.older, self.words, new = self.words, {}, wanted
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.words.update(again)
+        if len(again) < len(new):
+            self._learn(new.difference(again))
         own = self.words
         return [b"".join([own[w] for w in ws]) for ws in split]
 
