@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, quality, secretscan, simhash, tokenfile, topk, toxicity, urlrules
+from . import audit, decontam, linededup, mixing, packing, phrases, quality, secretscan, simhash, tokenfile, topk, toxicity, urlrules
 from .common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,9 @@ END_ID = 2
 TOXIC_FROM = 0.7
 GOOD_FROM = 0.3
 
+#: What a document must not be, by SQL over audit.COUNTS; None: a copy.
+FILTERS = {"A": "n_words < 100", "B": "100 * n_distinct < 80 * n_words", "C": "100 * n_capitals > 10 * n_points", "D": "n_symbols > 0", "E": None}
+
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -79,8 +82,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.with_sums(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=END_ID))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), FILTERS)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_simhash, op4_decontaminate, op5_url_rules, op6_token_file, op7_secrets, op8_line_dedup, op9_toxicity, op10_quality)
+    f.__name__: f for f in (op1_mix_sources, op2_top_k, op3_simhash, op4_decontaminate, op5_url_rules, op6_token_file, op7_secrets, op8_line_dedup, op9_toxicity, op10_quality, op11_pack, op12_filter_audit, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,4 +164,69 @@ WITH lines AS (
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op12_filter_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), known AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM docs GROUP BY text
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN coalesce(docs.doc_id > first, false) THEN 16 ELSE 0 END AS mask
+  FROM docs JOIN firsts USING (text) LEFT JOIN known ON known.doc_id = docs.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, mask
+), letters(c, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE mask & (before | own) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & own > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & before > 0 AND mask & own > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & own > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own > 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)
+), f AS (
+  SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY lang, m, phrase
+), cuts AS (
+  SELECT lang, m, phrase, n AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1 AND n >= 10)
+), priced AS (
+  SELECT c.*, h.n AS l, t.n AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(h.n AS HUGEINT) * t.n) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = head JOIN f t ON t.lang = c.lang AND t.phrase = tail
+), lowest AS (
+  SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase, n FROM f WHERE m = 3 AND n >= 10
+), covered AS (
+  SELECT lang, phrase, max(n) AS n FROM longer GROUP BY lang, phrase
+), left_over AS (
+  SELECT lowest.* FROM lowest LEFT JOIN covered USING (lang, phrase) WHERE covered.n IS NULL OR 100 * covered.n < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over
+)
+SELECT lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }

@@ -12,147 +12,25 @@ stand in the order of a hash of their text; an empty table writes no shard; othe
 
 from __future__ import annotations
 
-import json
 import os
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parts, scratch, settle
+from .encoder import encoder_of, with_ends
 
 SEQUENCE = 1024
 ROWS = 1024
-#: Words of a generation, of which a worker remembers two, and pieces of words: some 100 bytes each.
-CACHE = 750_000
-PIECE_CACHE = 1_000_000
-
-#: How the vocabulary file cuts normalised text.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: The parts of a tokenizer's file that say so.
-CUTS = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
-    "pre_tokenizer": {
-        "type": "Sequence",
-        "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True},
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        ],
-    },
-    "post_processor": None,
-    "type": "BPE",
-    "dropout": None,
-    "continuing_subword_prefix": None,
-    "end_of_word_suffix": "</w>",
-}
-#: Punctuation that is a piece of its own at a word's end.
-ENDS = frozenset(".,;:!?")
-#: Python's split() takes these for white space, the vocabulary file doesn't.
-SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
-BLANKS = regex.compile(r"[^\S\x1c-\x1f]+")
-
-
-class WordEncoder:
-    """Encodes with the tokenizers library, remembering words where the vocabulary file allows it.
-
-    It does if the file cuts text as CUTS says; with any other file every text goes through the library whole. Such
-    a vocabulary drops white space and ends each piece with a token that ends in ``</w>``, so a text's ids are
-    those of its words, one after another, and ids of many pieces encoded together come apart at these tokens.
-    Words that this might not hold for (special tokens, text that normalising changes) are encoded alone.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        held = json.loads(Path(path).read_text(encoding="utf-8"))
-        by_word = {k: held.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")} | {k: held["model"].get(k) for k in ("type", "dropout", "continuing_subword_prefix", "end_of_word_suffix")}
-        # Words are cut by hand only where special tokens are marked as _pieces_of() expects.
-        self.by_word = by_word == CUTS and all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in held["added_tokens"])
-        self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces_of(self, w: str) -> list[str] | None:
-        """How the vocabulary file cuts a word; None if the word has to be encoded alone."""
-        if w.isalpha():
-            stem, end = w, ""
-        else:
-            stem, end = w[:-1], w[-1]
-            if end not in ENDS or not stem.isalpha():
-                if "<|" in w or not w.isprintable():
-                    return None
-                stem = ""
-        if not w.isascii() and (max(w) >= "ɐ" or "İ" in w or not unicodedata.is_normalized("NFC", w)):
-            return None
-        if stem:
-            return [stem.lower(), end] if end else [stem.lower()]
-        return PIECES.findall(w.lower())
-
-    def _learn(self, words: set[str]) -> None:
-        cut = {w: self._pieces_of(w) for w in words}
-        odd = [w for w, ps in cut.items() if ps is None]
-        wanted = {p for ps in cut.values() if ps for p in ps}
-        new = list(wanted.difference(self.pieces))
-        if len(self.pieces) + len(new) > PIECE_CACHE:
-            self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
-        for i in range(0, len(new), 1000):
-            block = new[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) == len(block):
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                ends = (cuts * size).tolist()
-                self.pieces.update((p, raw[a:b]) for p, a, b in zip(block, [0, *ends], ends))  # noqa: B905
-            else:
-                self.pieces.update(zip(block, self._alone(block), strict=True))
-        own = self.pieces
-        self.words.update((w, b"".join([own[p] for p in ps])) for w, ps in cut.items() if ps is not None)
-        self.words.update(zip(odd, self._alone(odd), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._alone(texts)
-        split = [t.split() if SEPARATORS.isdisjoint(t) else list(filter(None, BLANKS.split(t))) for t in texts]
-        wanted = set().union(*split)
-        new = wanted.difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.older, self.words, new = self.words, {}, wanted
-        again = {w: self.older[w] for w in new if w in self.older}
-        self.words.update(again)
-        if len(again) < len(new):
-            self._learn(new.difference(again))
-        own = self.words
-        return [b"".join([own[w] for w in ws]) for ws in split]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+#: Rows of a part: distinct pieces are looked up once a part.
+PART_ROWS = 20_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -229,23 +107,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: s
         name = f"{folder}/{shard:08d}-{uuid.uuid4().hex}"
         writer = index = sink = None
         n = 0
-        for batch in parts(batches):
+        for batch in parts(batches, rows=PART_ROWS):
             if writer is None:
-                encoder = _encoder(tokenizer_path)
+                encoder = encoder_of(tokenizer_path)
                 system, path = _open(f"{name}-ids.arrow")
                 system.create_dir(os.path.dirname(path), recursive=True)
                 writer = ShardWriter(f"{name}-ids.arrow", encoder.dtype)
                 sink = system.open_output_stream(_open(f"{name}-docs.arrow")[1])
                 index = pa.ipc.new_file(sink, index_schema(batch))
-                end = np.array([end_id], encoder.dtype)
-            raw = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            lengths = np.array([len(r) // encoder.dtype.itemsize + 1 for r in raw], np.int64)
-            offsets = writer.total + np.cumsum(lengths) - lengths
-            for r in raw:
-                writer.add(np.frombuffer(r, encoder.dtype))
-                writer.add(end)
+            ids, at = with_ends(*encoder.encode(batch.column(1)), end_id)
+            offsets, lengths = writer.total + at[:-1], np.diff(at)
+            writer.add(ids)
             index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(offsets), pa.array(lengths)], schema=index_schema(batch)))
-            n += len(raw)
+            n += batch.num_rows
         if writer is not None:
             writer.close()
             index.close()
