@@ -7,16 +7,18 @@ import json
 import random
 import re
 import time
+import unicodedata
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import common, decontam, linededup, mixing, quality, queries, secretscan, simhash, tokenfile, topk, toxicity, urlrules
+from cairn.llm import common, decontam, encoder, linededup, mixing, quality, queries, secretscan, simhash, tokenfile, topk, toxicity, urlrules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, rank int"
 
@@ -477,12 +479,33 @@ def test_encoder_is_the_tokenizer_on_odd_texts():
     from tokenizers import Tokenizer
 
     path = queries.vocabulary_path()
-    own, whole = tokenfile.WordEncoder(path), Tokenizer.from_file(path)
+    own, whole = encoder.WordEncoder(path), Tokenizer.from_file(path)
+    assert own.by_piece
     parts = [*"aAb éİıΣςſK''.,;!?-_<|>01٣²ǅŉﬁ\u0301\u200b\u200d\x85\xa0\u2028\u3000\x1c\x1f\x00\t\n中文кК😀\ufe0f\xad\ufeffẞ\u0345", "<|endoftext|>", "</w>", "'s", "'LL"]
     rng = random.Random(3)
     texts = ["", "\x1c", "\x1f a \n", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
-    got = [np.frombuffer(r, own.dtype).tolist() for r in own.encode(texts)]
-    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # learning pieces, and knowing them
+        ids, at = own.encode(pa.array(["before", None, *texts]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[], *want]  # noqa: B905
+
+
+def test_encoder_forgets_pieces_but_not_ids(monkeypatch):
+    monkeypatch.setattr(encoder, "CACHE", 50)
+    own = encoder.WordEncoder(queries.vocabulary_path())
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(3)) for _ in range(30)) for _ in range(40)]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for t, ids in zip(texts, want, strict=True):
+        assert own.encode(pa.array([t]))[0].tolist() == ids
+    assert own.older and len(own.own) <= 100
+
+
+def test_letters_of_two_bytes_are_what_the_encoder_takes_them_for():
+    for c in map(chr, range(0xC0, 0x100)):
+        assert c.isalpha() or c in "×÷"
+        low = c.encode()[1] + (32 if 0x80 <= c.encode()[1] <= 0x9E and c != "×" else 0)
+        assert c.lower().encode() == bytes([0xC3, low]) and unicodedata.normalize("NFC", c) == c
 
 
 def test_lines_go_alike_by_broadcast_and_by_join(spark):
