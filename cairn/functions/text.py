@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def squashed(c: Column) -> Column:
@@ -29,9 +30,29 @@ def compatible(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(made, column, "left").withColumn(column, F.coalesce("_plain", column)).select(*rows.columns)
 
 
+def stripped(c: Column) -> Column:
+    """Without blanks of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+#: What compatibility forms can't change.
+PLAIN = r"^[\x00-\x7f\u0400-\u045f]*$"
+
+
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def folded(c: Column) -> Column:
+    """In compatibility form (NFKC). Plain texts are as they are; only others travel to Python, which columns can't replace."""
+    odd = ~c.rlike(PLAIN)
+    return F.when(odd, _compatible(F.when(odd, c))).otherwise(c)
+
+
 def answered_name(c: Column) -> Column:
-    """For names that places answer to: lower case, anything but letters and digits a space."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    """For names that places answer to: compatibility form, lower case, anything but Latin and Cyrillic letters and digits a space."""
+    return F.trim(F.regexp_replace(F.lower(folded(c)), "[^0-9a-zа-яёіў]+", " "))
 
 
 def matched_name(c: Column) -> Column:
@@ -41,7 +62,7 @@ def matched_name(c: Column) -> Column:
 
 def title_name(c: Column) -> Column:
     """For article titles: without what stands in parentheses."""
-    return answered_name(F.regexp_replace(c, r"\([^)]*\)", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"\([^)]*\)", " ")), r"[^\p{L}\p{N}]+", " "))
 
 
 def territory_name(c: Column) -> Column:

@@ -68,13 +68,21 @@ def snk_02_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.places(spark, sf_dir).groupBy(part(1).alias("provider"), part(2).alias("external_id")).agg(F.max("place_id").alias("place_id"))
 
 
-@query(views.sql(""", lost AS (SELECT place_id AS loser, place_id + 1 AS keeper FROM places WHERE place_id % 10 = 0 AND place_id + 1 IN (SELECT place_id FROM places))
-SELECT p.source_url, coalesce(l.keeper, p.place_id) AS place_id FROM places p LEFT JOIN lost l ON l.loser = p.place_id""", "places"))
+LOST = """, lost AS (SELECT place_id AS loser, CASE WHEN place_id % 10 = 0 THEN place_id + 1 WHEN place_id % 30 = 1 THEN place_id + 6 ELSE place_id - 3 END AS keeper FROM places WHERE place_id % 10 = 0 OR place_id % 30 = 1 OR place_id % 90 = 7),
+  chains AS (SELECT loser, keeper, 1 AS n FROM lost UNION ALL SELECT c.loser, l.keeper, n + 1 FROM chains c JOIN lost l ON l.loser = c.keeper)
+SELECT p.source_url, coalesce(l.keeper, p.place_id) AS place_id FROM places p LEFT JOIN (SELECT loser, max_by(keeper, n) AS keeper FROM chains GROUP BY loser) l ON l.loser = p.place_id"""
+
+
+@query("WITH RECURSIVE " + views.sql(LOST, "places").removeprefix("WITH "))
 def snk_03_repointed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage of losers points to their survivors ."""
+    """Lineage of losers points to the survivors at the end of their chains."""
+    from ..operators import resolve
+
+    k = F.col("place_id")
     p = views.places(spark, sf_dir).select("place_id", "source_url")
-    lost = p.where("place_id % 10 = 0").select(F.col("place_id").alias("loser"), (F.col("place_id") + 1).alias("keeper")).join(p.select(F.col("place_id").alias("keeper")), "keeper", "left_semi")
-    return p.join(lost, F.col("place_id") == F.col("loser"), "left").select("source_url", F.coalesce("keeper", "place_id").alias("place_id"))
+    keeper = F.when(k % 10 == 0, k + 1).when(k % 30 == 1, k + 6).otherwise(k - 3)
+    lost = resolve.final_keepers(p.where((k % 10 == 0) | (k % 30 == 1) | (k % 90 == 7)).select("place_id", keeper.alias("keeper")))
+    return p.join(lost, "place_id", "left").select("source_url", F.coalesce("keeper", "place_id").alias("place_id"))
 
 
 @query(views.sql("SELECT owner, count(*) AS n, count(*) FILTER (WHERE file IS NULL) AS unknown FROM (SELECT CASE WHEN owner = 'curated' THEN CASE WHEN place_id % 3 <> 0 THEN 'manual' END ELSE owner END AS owner, CASE WHEN place_id % 3 <> 0 THEN 'f' END AS file FROM places) GROUP BY owner", "places"))
@@ -211,14 +219,26 @@ def flt_08_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query()
+CURATED = """, cascade AS ({cascade}), met AS (SELECT place_id, min(wanted_id) AS wanted_id FROM cascade WHERE place_id IS NOT NULL GROUP BY place_id)
+SELECT p.place_id, CASE WHEN m.place_id IS NULL THEN p.name ELSE w.wanted END AS name, CASE WHEN m.place_id IS NULL THEN p.category ELSE 'curated sight' END AS category,
+  CASE WHEN m.place_id IS NULL THEN p.owner ELSE 'curated' END AS owner, CASE WHEN m.place_id IS NULL OR (w.wanted = p.name AND p.category = 'curated sight') THEN 'v' || p.place_id END AS vector
+FROM places p LEFT JOIN met m ON m.place_id = p.place_id LEFT JOIN wanted w ON w.wanted_id = m.wanted_id"""
+
+
+def _curated_sql() -> str:
+    from .spatial import CASCADE
+
+    steps, _, cascade = CASCADE.rpartition("\n)\n")
+    return views.sql(steps + "\n)" + CURATED.format(cascade=cascade), "places")
+
+
+@query(_curated_sql())
 def snk_04_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated rows over the places their names mean (J-14); a test lays them over a small catalogue by hand."""
+    """Curated rows over the places that their names mean (J-14)."""
     from ..operators import resolve
-    from .spatial import WANTED
+    from .spatial import wanted_names
 
     p = views.places(spark, sf_dir).select("place_id", "name", "category", "lat", "lon", "owner", F.concat(F.lit("v"), F.col("place_id").cast("string")).alias("vector"))
-    extra = spark.createDataFrame([(10_000_000, "lighthouse of the north", "sight", 53.1, 24.0, "auto", "v")], p.schema)
-    curated = spark.createDataFrame(WANTED, "curated_id int, name string").withColumn("category", F.lit("curated sight"))
-    rows, _, _ = resolve.curated_overlay(p.unionByName(extra), curated, columns=["name", "category"], spread_m=1e6)
+    curated = wanted_names(spark, sf_dir).select(F.col("wanted_id").alias("curated_id"), F.col("wanted").alias("name"), F.lit("curated sight").alias("category"))
+    rows, _, _ = resolve.curated_overlay(p, curated, columns=["name", "category"], spread_m=20_000.0)
     return rows.select("place_id", "name", "category", "owner", "vector")

@@ -72,53 +72,92 @@ def j_05_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("service_id", "place_id", F.round("metres", 2).alias("metres"), "rank")
 
 
-@query(views.sql(f"""SELECT place_id, first(keeper ORDER BY metres, keeper) AS keeper, round(min(metres), 2) AS metres FROM (
-  SELECT a.place_id, k.place_id AS keeper, {views.haversine_sql("a.lat", "a.lon", "k.lat", "k.lon")} AS metres FROM places a JOIN places k ON a.name = k.name AND a.owner = 'auto' AND k.owner <> 'auto') WHERE metres < 6000 GROUP BY place_id""", "places"))
+NORM = "trim(regexp_replace(lower({}), '[^0-9a-zа-яёіў]+', ' ', 'g'))"
+PROTECTED_SQL = "IN ('curated', 'dataset', 'manual')"
+
+
+@query(views.sql(f""", answers AS (SELECT place_id, lat, lon, {NORM.format("name")} AS norm FROM places WHERE owner {PROTECTED_SQL}
+  UNION SELECT p.place_id, p.lat, p.lon, {NORM.format("a.alias")} FROM places p JOIN aliases a USING (place_id) WHERE p.owner {PROTECTED_SQL})
+SELECT place_id, first(keeper ORDER BY metres, keeper) AS keeper, round(min(metres), 2) AS metres FROM (
+  SELECT a.place_id, k.place_id AS keeper, {views.haversine_sql("a.lat", "a.lon", "k.lat", "k.lon")} AS metres FROM places a JOIN answers k ON {NORM.format("a.name")} = k.norm AND k.norm <> '' WHERE a.owner = 'auto') WHERE metres < 6000 GROUP BY place_id""", "places", "aliases"))
 def j_10_shadowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic rows shadowed by the nearest protected row that answers to their name."""
-    p = views.places(spark, sf_dir)
-    found = resolve.shadowed(p.select("place_id", "lat", "lon", "owner"), p.select("place_id", F.col("name").alias("alias")), metres=6000.0)
+    found = resolve.shadowed(views.places(spark, sf_dir), views.aliases(spark, sf_dir), metres=6000.0)
     return found.select("place_id", "keeper", F.round("metres", 2).alias("metres"))
 
 
 @query()
 def j_11_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Head-anchored groups: their order decides, so SQL can't say it; a test walks them by brute force."""
-    return resolve.twins(views.places(spark, sf_dir).select("place_id", "name", "category", "lat", "lon"), metres=9000.0)
+    return resolve.twins(views.places(spark, sf_dir), metres=9000.0)
 
 
-@query(views.sql(f"""SELECT a, b, round(metres, 2) AS metres, metres <= 2500 AS close FROM (SELECT x.place_id AS a, y.place_id AS b, {views.haversine_sql("x.lat", "x.lon", "y.lat", "y.lon")} AS metres FROM places x JOIN places y ON x.name = y.name AND x.place_id < y.place_id) WHERE metres < 5000""", "places"))
+@query(views.sql(f""", own AS (SELECT place_id, lat, lon, {NORM.format("name")} AS norm, coalesce(category, '') AS category FROM places WHERE lower(trim(split_part(name, '(', 1))) NOT IN ('small ring', 'red widget'))
+SELECT a, b, round(metres, 2) AS metres, metres <= 8000 AS close FROM (
+  SELECT x.place_id AS a, y.place_id AS b, {views.haversine_sql("x.lat", "x.lon", "y.lat", "y.lon")} AS metres FROM own x JOIN own y ON x.norm = y.norm AND x.norm <> '' AND x.category = y.category AND x.place_id < y.place_id) WHERE metres < 15000""", "places"))
 def j_12_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve.suspected_duplicates(views.places(spark, sf_dir), metres=5000.0, close=2500.0)
+    """Rows of one name and category near each other, generated labels aside."""
+    found = resolve.suspected_duplicates(views.places(spark, sf_dir), labels=list(views.LABELS), metres=15_000.0, close=8000.0)
     return found.select("a", "b", F.round("metres", 2).alias("metres"), "close")
 
 
-@query(views.sql(""", pairs AS (SELECT 'src:' || i AS keep, 'src:' || (i * 7 % 2100) AS drop FROM range(0, 2100, 100) t(i))
-SELECT p.keep, p.drop, CASE WHEN a.place_id IS NULL OR b.place_id IS NULL THEN 'stale' WHEN b.owner = 'curated' THEN 'refused' ELSE 'merged' END AS verdict FROM pairs p LEFT JOIN places a ON a.source_url = p.keep LEFT JOIN places b ON b.source_url = p.drop""", "places"))
+@query(views.sql(f""", pairs AS (SELECT 'src:' || p_partkey AS keep, 'src:' || (p_partkey * 7 + 1) AS drop FROM part WHERE p_partkey % 10 = 0)
+SELECT p.keep, p.drop, CASE WHEN a.place_id IS NULL OR b.place_id IS NULL THEN 'stale' WHEN b.owner {PROTECTED_SQL} THEN 'refused' ELSE 'merged' END AS verdict FROM pairs p LEFT JOIN places a ON a.source_url = p.keep LEFT JOIN places b ON b.source_url = p.drop""", "places"))
 def j_13_declared_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    pairs = spark.range(0, 2100, 100).select(F.concat(F.lit("src:"), i.cast("string")).alias("keep"), F.concat(F.lit("src:"), (i * 7 % 2100).cast("string")).alias("drop"))
-    return resolve.declared_merges(pairs, views.places(spark, sf_dir))
+    """Every tenth row declared the keeper of another: merged, refused (a protected loser) or stale (no such row)."""
+    return resolve.declared_merges(_pairs(spark, sf_dir, 10, 1), views.places(spark, sf_dir))
 
 
-@query()
-def set_04_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three collapse rules in order, and which of them each row went by; a test applies them one by one in plain code."""
-    p = views.places(spark, sf_dir)
-    i = F.col("id")
-    pairs = spark.range(0, 2100, 50).select(F.concat(F.lit("src:"), i.cast("string")).alias("keep"), F.concat(F.lit("src:"), (i * 7 % 2100 + 3).cast("string")).alias("drop")).where("keep <> drop")
-    return resolve.collapsed(p, p.select("place_id", F.col("name").alias("alias")), pairs, shadow_m=6000.0, twin_m=9000.0)[1]
-
-
-WANTED = [(1, "Small Ring"), (2, "zigzag ring"), (3, "smal widgt"), (4, "Brand"), (5, "hot gears"), (6, "unique lighthouse of the north"), (7, "lighthouse")]
+def _pairs(spark: SparkSession, sf_dir: str, every: int, add: int) -> DataFrame:
+    i = F.col("p_partkey")
+    named = lambda c: F.concat(F.lit("src:"), c.cast("string"))
+    return views.read(spark, sf_dir, "part").where(i % every == 0).select(named(i).alias("keep"), named(i * 7 + add).alias("drop"))
 
 
 @query()
+def set_04_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three collapse rules in order, and which of them each row went by; a test applies them one by one in plain code."""
+    return resolve.collapsed(views.places(spark, sf_dir), views.aliases(spark, sf_dir), _pairs(spark, sf_dir, 4, 3), shadow_m=6000.0, twin_m=9000.0)[1]
+
+
+#: What is asked for: whole names in another case, pieces of names, pieces with a filler, first words, and longer names.
+WANTED_SQL = """SELECT p_partkey AS wanted_id, CASE (p_partkey // 13) % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 2, 8) WHEN 2 THEN 'Бывший ' || substr(p_name, 3, 7) || ' в Гродно'
+  WHEN 3 THEN split_part(p_name, ' ', 1) ELSE p_name || '?' END AS wanted FROM part WHERE p_partkey % 13 = 0"""
+
+
+def wanted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """wanted_id, wanted: as WANTED_SQL."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    kind = F.floor(k / 13) % 5
+    wanted = F.when(kind == 0, F.upper(name)).when(kind == 1, F.substring(name, 2, 8)).when(kind == 2, F.concat(F.lit("Бывший "), F.substring(name, 3, 7), F.lit(" в Гродно")))
+    wanted = wanted.when(kind == 3, F.split_part(name, F.lit(" "), F.lit(1))).otherwise(F.concat(name, F.lit("?")))
+    return views.read(spark, sf_dir, "part").where(k % 13 == 0).select(k.alias("wanted_id"), wanted.alias("wanted"))
+
+
+CASCADE = f""", wanted AS ({WANTED_SQL}), asked AS (
+  SELECT wanted_id, lower(wanted) AS n, trim(replace(replace(lower(wanted), 'бывший', ''), 'в гродно', '')) AS short FROM wanted
+), known AS (
+  SELECT place_id, lower(name) AS name, lat, lon, owner NOT IN ('dataset', 'manual') AS later FROM places
+), same AS (
+  SELECT wanted_id, k.* FROM asked JOIN known k ON trim(k.name) = n
+), exact AS (
+  SELECT wanted_id, first(place_id ORDER BY later, place_id) AS place_id, bool_and(later) AS open FROM same GROUP BY wanted_id
+), gaps AS (
+  SELECT a.wanted_id, max({views.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")}) AS gap FROM same a JOIN same b USING (wanted_id) GROUP BY a.wanted_id
+), held AS (
+  SELECT wanted_id, count(*) FILTER (WHERE contains(k.name, n)) AS n_held, first(place_id ORDER BY later, place_id) FILTER (WHERE contains(k.name, n)) AS one,
+    first(place_id ORDER BY later, place_id) FILTER (WHERE contains(k.name, short)) AS other
+  FROM asked, known k WHERE contains(k.name, n) OR contains(k.name, short) GROUP BY wanted_id
+)
+SELECT wanted_id, CASE WHEN e.wanted_id IS NOT NULL THEN CASE WHEN NOT open OR gap <= 20000 THEN e.place_id END WHEN n_held = 1 THEN one ELSE other END AS place_id,
+  CASE WHEN e.wanted_id IS NOT NULL THEN CASE WHEN NOT open OR gap <= 20000 THEN 'exact' ELSE 'ambiguous' END WHEN n_held = 1 THEN 'contains' WHEN other IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS how
+FROM asked LEFT JOIN exact e USING (wanted_id) LEFT JOIN gaps USING (wanted_id) LEFT JOIN held USING (wanted_id)"""
+
+
+@query(views.sql(CASCADE, "places"))
 def j_14_name_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names resolved exactly, by containment, by similarity; held against a brute-force version in the tests."""
-    extra = spark.createDataFrame([(10_000_000, "lighthouse of the north", 53.1, 24.0)], "place_id long, name string, lat double, lon double")
-    rows = views.places(spark, sf_dir).select("place_id", "name", "lat", "lon").unionByName(extra)
-    return resolve.named_in_cascade(spark.createDataFrame(WANTED, "wanted_id int, wanted string"), rows)
+    """Names resolved exactly, by containment, by containment without fillers."""
+    return resolve.named_in_cascade(wanted_names(spark, sf_dir), views.places(spark, sf_dir), spread_m=20_000.0)
 
 
 @query(views.sql("""SELECT a.place_id AS asked, coalesce(u.place_id, l.place_id) AS place_id FROM (SELECT place_id, CASE WHEN place_id % 4 = 0 THEN source_url ELSE 'gone:' || place_id END AS url, 'node/' || place_id AS ext FROM places WHERE place_id % 10 < 5) a

@@ -48,7 +48,7 @@ def str_03_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size(text.keyword_tokens(F.col("text"))).cast("long").alias("keywords"), F.size(text.alias_tokens(F.col("text"))).cast("long").alias("alias_words"))
 
 
-@query(r"""SELECT place_id, trim(regexp_replace(lower(n), '[^\p{L}\p{N}]+', ' ', 'g')) AS answered,
+@query(r"""SELECT place_id, trim(regexp_replace(lower(n), '[^0-9a-zа-яёіў]+', ' ', 'g')) AS answered,
   trim(regexp_replace(regexp_replace(translate(lower(n), 'ё', 'е'), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS matched,
   trim(regexp_replace(lower(regexp_replace(n, '\([^)]*\)', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')) AS title,
   trim(regexp_replace(regexp_replace(lower(n), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g')) AS territory

@@ -35,8 +35,7 @@ HELD = {
     "agg_18_bootstrap": "test_solvers.py::test_bootstrap_interval_is_near_the_normal_one",
     "agg_19_paired": "test_solvers.py::test_paired_difference",
     "agg_27_match_scores": "test_steps.py::test_scores_of_all_walks",
-    "j_11_twins": "test_solvers.py::test_twins_form_around_their_head",
-    "j_14_name_cascade": "test_steps.py::test_names_in_cascade",
+    "j_11_twins": "test_resolve.py::test_queries_are_the_rules",
     "j_21_greedy_match": "test_solvers.py::test_greedy_matches_follow_the_order_of_the_reference",
     "opt_01_tours": "test_solvers.py::test_short_walks_are_ordered_as_by_trying_all",
     "opt_07_trimmed": "test_solvers.py::test_plans_are_trimmed_to_budget_and_longest_leg",
@@ -44,8 +43,7 @@ HELD = {
     "opt_11_pruned": "test_solvers.py::test_pruned_stops_are_over_the_cap",
     "opt_16_reference": "test_solvers.py::test_short_walks_are_ordered_as_by_trying_all",
     "opt_17_measured": "test_solvers.py::test_a_measured_walk_leaves_out_what_cannot_be_walked_to",
-    "set_04_collapsed": "test_steps.py::test_three_collapse_rules_in_order",
-    "snk_04_curated": "test_steps.py::test_curated_rows_are_laid_over_what_they_mean",
+    "set_04_collapsed": "test_resolve.py::test_queries_are_the_rules",
     "top_09_thinned": "test_solvers.py::test_thinned_places_keep_their_distance",
 }
 

@@ -230,14 +230,6 @@ def test_greedy_matches_follow_the_order_of_the_reference(spark):
     assert any(v is None for v in want.values()) and any(v for v in want.values())
 
 
-def test_twins_form_around_their_head(spark):
-    # A chain of four points 4 m apart: the second is the first's twin, the third begins a group of its own.
-    step = 4 / 111_195
-    rows = [(i, "ring", "shop", 53.5 + i * step, 24.0) for i in range(4)] + [(9, "ring", "cafe", 53.5, 24.0), (10, None, "shop", 53.5, 24.0)]
-    got = {r["place_id"]: r["head"] for r in resolve.twins(spark.createDataFrame(rows, "place_id long, name string, category string, lat double, lon double")).collect()}
-    assert {k: got[k] for k in (0, 1, 2, 3, 9)} == {0: 0, 1: 0, 2: 2, 3: 2, 9: 9}
-
-
 def test_bootstrap_interval_is_near_the_normal_one(spark):
     rng = np.random.default_rng(9)
     values = rng.normal(10, 2, 200)

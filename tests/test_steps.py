@@ -12,70 +12,9 @@ from cairn import views
 from cairn.functions import geo, text
 from cairn.operators import etl, measures, resolve
 from cairn.queries import QUERIES
-from cairn.queries.spatial import WANTED
 from cairn.sources import elements
 
 
-def test_three_collapse_rules_in_order(spark):
-    folder = "/root/testdata/sf0.01"
-    rows = [r.asDict() for r in views.places(spark, folder).orderBy("place_id").collect()]
-    at = lambda r: (r["lat"], r["lon"])
-    want, by_name = {}, {}
-    for r in rows:
-        by_name.setdefault(r["name"], []).append(r)
-    for r in rows:
-        near = [(metres(at(r), at(k)), k["place_id"]) for k in by_name[r["name"]] if r["owner"] == "auto" and k["owner"] != "auto"]
-        if near and min(near)[0] < 6000:
-            want[r["place_id"]] = (min(near)[1], "shadowed")
-    left = [r for r in rows if r["place_id"] not in want]
-    heads: dict = {}
-    for r in left:
-        own = heads.setdefault((r["name"], r["category"]), [])
-        head = next((h for h in own if metres(at(r), at(h)) < 9000), None)
-        if head is None:
-            own.append(r)
-        else:
-            want[r["place_id"]] = (head["place_id"], "twin")
-    left = {r["source_url"]: r for r in left if r["place_id"] not in want}
-    for i in range(0, 2100, 50):
-        keep, drop = left.get(f"src:{i}"), left.get(f"src:{i * 7 % 2100 + 3}")
-        if keep and drop and keep is not drop and drop["owner"] != "curated":
-            keeper = min(keep["place_id"], want.get(drop["place_id"], (keep["place_id"],))[0])
-            want[drop["place_id"]] = (keeper, "declared")
-    got = {r["place_id"]: (r["keeper"], r["rule"]) for r in QUERIES["set_04_collapsed"](spark, folder).collect()}
-    assert got == want and {rule for _, rule in got.values()} >= {"shadowed", "declared"}
-
-
-def grams(name):
-    words = re.sub(r"[\W_]+", " ", name.lower()).split()
-    return {("  " + w + " ")[i : i + 3] for w in words for i in range(len(w) + 1)}
-
-
-def test_names_in_cascade(spark, small):
-    rows = [(r["place_id"], r["name"], r["lat"], r["lon"]) for r in views.places(spark, small).collect()] + [(10_000_000, "lighthouse of the north", 53.1, 24.0)]
-    plain = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()
-    per: dict = {}
-    for i, name, lat, lon in rows:
-        per.setdefault(plain(name), []).append((i, lat, lon))
-    want = {}
-    for k, asked in ((k, plain(w)) for k, w in WANTED):
-        if asked in per:
-            own = per[asked]
-            low, high = (min(r[1] for r in own), min(r[2] for r in own)), (max(r[1] for r in own), max(r[2] for r in own))
-            want[k] = (None, "ambiguous") if metres(low, high) > 2000 else (min(own)[0], "exact")
-            continue
-        holds = [r for known, own in per.items() if set(known.split()) & set(asked.split()) and (known in asked or asked in known) for r in own]
-        if len(holds) == 1:
-            want[k] = (holds[0][0], "contains")
-            continue
-        like = [(-len(grams(asked) & grams(known)) / len(grams(asked) | grams(known)), min(own)[0]) for known, own in per.items()]
-        best = min(like)
-        if -best[0] >= 0.6:
-            want[k] = (best[1], "fuzzy")
-    got = {r["wanted_id"]: (r["place_id"], r["how"]) for r in QUERIES["j_14_name_cascade"](spark, small).collect()}
-    assert got == want and {how for _, how in got.values()} >= {"ambiguous", "contains"}
-
-
 def test_curated_rows_are_laid_over_what_they_mean(spark):
     rows = spark.createDataFrame(
         [(1, "Old Mill", "mill", 53.1, 24.0, "auto", "v1"), (2, "old tower", "tower", 53.2, 24.1, "manual", "v2"), (3, "twin", "x", 53.0, 24.0, "auto", "v3"), (4, "twin", "x", 54.0, 25.0, "auto", "v4")],
