@@ -68,14 +68,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts(batches: Iterator[pa.RecordBatch], *, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], *, rows: int = PART_ROWS, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches with a column text, cut (without copying) into parts of bounded rows and bytes; a longer text is a part of its own."""
     for batch in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
         start = 0
         while start < len(upto):
             before = int(upto[start - 1]) if start else 0
-            stop = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + PART_BYTES, "right"))))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + size, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces of a generation, of which a worker remembers two: some 150 bytes each.
-CACHE = 500_000
+CACHE = 300_000
 #: Pieces that are encoded by one call.
 BLOCK = 2000
 

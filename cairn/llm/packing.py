@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, scratch, settle
 from .encoder import encoder_of, with_ends
-from .tokenfile import PART_ROWS, Shard, ShardWriter, _open
+from .tokenfile import PART_BYTES, PART_ROWS, Shard, ShardWriter, _open
 
 #: Lengths of sequences; powers of two.
 TIERS = (512, 1024, 2048, 4096)
@@ -202,7 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col:
                 window.add(names.slice(row, 1), ids[a : a + n].copy(), before[row : row + 1] + start, np.array([n]), whole[row : row + 1])
             return out
 
-        for batch in parts(batches, rows=PART_ROWS):
+        for batch in parts(batches, rows=PART_ROWS, size=PART_BYTES):
             if writer is None:
                 system, path = _open(name)
                 system.create_dir(os.path.dirname(path), recursive=True)

@@ -33,11 +33,12 @@ from .common import parts, settle
 from .encoder import text_bytes
 
 PART_ROWS = 20_000
+PART_BYTES = 3 << 20
 #: Of the table of hashes that may be frequent: 32 MB at most.
 TABLE_BITS = 1 << 28
 SLICE_BITS = 1 << 16
 #: Blocks of bitmaps that are extended at once.
-BATCH = 400_000
+BATCH = 150_000
 #: A language's phrases are ranked by so many tasks before its first ones meet.
 SALTS = 64
 
@@ -181,7 +182,7 @@ class Table:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    for batch in parts(batches, rows=PART_ROWS):
+    for batch in parts(batches, rows=PART_ROWS, size=PART_BYTES):
         yield Shard(batch.column("text"), batch.column("lang"))
 
 

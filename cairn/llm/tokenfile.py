@@ -29,8 +29,9 @@ from .encoder import encoder_of, with_ends
 
 SEQUENCE = 1024
 ROWS = 1024
-#: Rows of a part: distinct pieces are looked up once a part.
+#: Rows and bytes of a part: distinct pieces are looked up once a part, and its bytes are held some twenty times over.
 PART_ROWS = 20_000
+PART_BYTES = 2 << 20
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -107,7 +108,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: s
         name = f"{folder}/{shard:08d}-{uuid.uuid4().hex}"
         writer = index = sink = None
         n = 0
-        for batch in parts(batches, rows=PART_ROWS):
+        for batch in parts(batches, rows=PART_ROWS, size=PART_BYTES):
             if writer is None:
                 encoder = encoder_of(tokenizer_path)
                 system, path = _open(f"{name}-ids.arrow")
