@@ -141,10 +141,9 @@ def _ssh_length(data: bytes) -> int:
 def _gathered(text: str, at: int, most: int, run: re.Pattern, gap: re.Pattern) -> tuple[str, int]:
     """Up to most characters of an encoding from there on, over breaks, and where they end."""
     got, n = [], 0
-    while m := run.match(text, at):
-        own = text[at : min(m.end(), at + most - n)]
-        got.append(own)
-        n, at = n + len(own), at + len(own)
+    while m := run.match(text, at, at + most - n):
+        got.append(m[0])
+        n, at = n + len(m[0]), m.end()
         if n == most or not (b := gap.match(text, at)):
             break
         at = b.end()
