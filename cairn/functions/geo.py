@@ -19,9 +19,9 @@ def _f(x: Column | float) -> Column:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null where a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def equirect_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -19,11 +19,12 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def by_group(df: DataFrame, key: str, order: list[str], solve: Callable[[Columns], Columns], schema: str) -> DataFrame:
+def by_group(df: DataFrame, key: str, order: list[str], solve: Callable[[Columns], Columns], schema: str, *, stacked: bool = False) -> DataFrame:
     """solve over the columns of every group of key, in this order; its columns become rows of schema.
 
     A task takes its groups batch by batch and holds one batch and one group at a time; it is for groups that are
-    small by nature (the stops of a walk), however many there are. A null key is a group.
+    small by nature (the stops of a walk), however many there are. A null key is a group. stacked: solve gets all
+    groups of a batch that have as many rows at once, as arrays of a row for each group, and gives back such arrays.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,10 +38,10 @@ def by_group(df: DataFrame, key: str, order: list[str], solve: Callable[[Columns
                 rest.append(batch)
                 continue
             cut = int(ends[-1]) if len(ends) else 0
-            yield _solved(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), key, solve)
+            yield _solved(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), key, solve, stacked)
             rest = [batch.iloc[cut:]]
         if rest:
-            yield _solved(pd.concat(rest, ignore_index=True), key, solve)
+            yield _solved(pd.concat(rest, ignore_index=True), key, solve, stacked)
 
     return dealt(df, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
@@ -55,8 +56,14 @@ def _ends(keys: pd.Series) -> np.ndarray:
     return np.flatnonzero(codes[1:] != codes[:-1]) + 1
 
 
-def _solved(rows: pd.DataFrame, key: str, solve: Callable[[Columns], Columns]) -> pd.DataFrame:
+def _solved(rows: pd.DataFrame, key: str, solve: Callable[[Columns], Columns], stacked: bool) -> pd.DataFrame:
     columns = {c: rows[c].to_numpy() for c in rows.columns}
     ends = [0, *_ends(rows[key]).tolist(), len(rows)]
+    if stacked:
+        sizes, out = np.diff(ends), []
+        for n in np.unique(sizes):
+            at = np.array(ends[:-1])[sizes == n][:, None] + np.arange(n)
+            out.append({c: v.ravel() for c, v in solve({c: v[at] for c, v in columns.items()}).items()})
+        return pd.concat([pd.DataFrame({c: np.concatenate([o[c] for o in out])}) for c in out[0]], axis=1)
     out = [solve({c: v[a:b] for c, v in columns.items()}) for a, b in zip(ends, ends[1:])]  # noqa: B905
     return pd.concat([pd.DataFrame({c: np.concatenate([o[c] for o in out])}) for c in out[0]], axis=1)

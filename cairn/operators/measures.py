@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .groups import Columns, by_group
+from .tours import ordered
 
 #: Fixed values of the resampling: how many, the seed, and what the interval leaves out.
 RESAMPLES = 10_000
@@ -51,13 +52,16 @@ def greedy_matches(reference: DataFrame, answer: DataFrame, *, key: str, metres:
 def match_scores(reference: DataFrame, answer: DataFrame, plans: DataFrame, *, key: str, metres: float = 750.0) -> DataFrame:
     """key, recall, precision, detour_km, walk_diff_min, budget_fit of each reference walk.
 
-    The detour is the answer's line less the reference's, both in the order of their stops; null without an answer.
+    The detour is the answer's line, in the order of its stops, less the shortest walk through the reference's; null
+    without an answer.
     plans: key, walk_seconds and fits of the answer, walk_minutes of it, and est_walk_minutes of the reference;
     without an estimate the walk is held against its own minutes.
     """
     length = lambda rows, name: _line_km(rows, key).select(key, F.col("km").alias(name))
+    places = reference.withColumn("place_id", F.col("ordinal").cast("long"))
+    shortest = ordered(places, method="shortest_reference", key=key).where("position = 0").select(key, (F.col("seconds") * F.lit(geo.SPEEDS["foot"] / 3600)).alias("ref_km"))
     by = greedy_matches(reference, answer, key=key, metres=metres).groupBy(key).agg(F.count("matched").alias("met"), F.count("*").alias("asked"))
-    out = by.join(answer.groupBy(key).agg(F.count("*").alias("given")), key, "left").join(length(reference, "ref_km"), key, "left").join(length(answer, "own_km"), key, "left").join(plans, key, "left")
+    out = by.join(answer.groupBy(key).agg(F.count("*").alias("given")), key, "left").join(shortest, key, "left").join(length(answer, "own_km"), key, "left").join(plans, key, "left")
     seconds = F.coalesce("walk_seconds", F.col("walk_minutes") * 60, F.lit(0.0))
     return out.select(
         key,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .staging import settle
 
 #: The constant of reciprocal-rank fusion, candidates of a signal, and results of a query.
 RRF_K = 60
@@ -35,29 +36,37 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / length)
 
 
-#: Queries in a block of vector_top_k: a block times its vectors is what a broadcast holds.
-QUERY_BLOCK = 4096
+#: Bytes of the query vectors that a broadcast of vector_top_k holds.
+BLOCK_BYTES = 32 << 20
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, n: int = POOL, *, key: str = "query_id", id_: str = "place_id") -> DataFrame:
-    """key, id_, distance, rank: nearest by cosine. All queries of a block are held against each vector where it lies; only n rows a query and task are shuffled."""
+def vector_top_k(queries: DataFrame, vectors: DataFrame, n: int = POOL, *, key: str = "query_id", id_: str = "place_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """key, id_, distance, rank: nearest by cosine.
+
+    Queries are a stated set. They are broadcast, a block of block_bytes at a time, and held against each vector where it
+    lies, so vectors are never shuffled, only n rows a query and task; with several blocks vectors are read once a block.
+    """
     asked = queries.where("vector is not null").select(key, F.col("vector").alias("asked"), norm(F.col("vector")).alias("asked_norm"))
-    count = asked.count()
+    size = asked.agg(F.sum(8 * F.size("asked") + 24)).first()[0] or 0
+    blocks = -(-size // block_bytes)
     pairs = vectors.where("vector is not null").select(id_, "vector", norm(F.col("vector")).alias("norm"))
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    if blocks == 1:
-        joined = pairs.join(F.broadcast(asked), F.lit(True))  # a stated query set, of a checked size
+    distance = cosine_distance(F.col("vector"), F.col("asked"), F.col("norm"), F.col("asked_norm")).alias("distance")
+    met = lambda own: pairs.join(F.broadcast(own), F.lit(True)).select(key, id_, distance)
+    if blocks <= 1:
+        scored = met(asked)
     else:
-        block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")
-        joined = pairs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked.select("*", block), "block").drop("block")
-    scored = joined.select(key, id_, cosine_distance(F.col("vector"), F.col("asked"), F.col("norm"), F.col("asked_norm")).alias("distance"))
+        dealt = settle(asked.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))), "queries")
+        scored = reduce(DataFrame.unionByName, (met(dealt.where(F.col("block") == k).drop("block")) for k in range(blocks)))
     return top_per(scored, [key], [F.col("distance"), F.col(id_)], n)
 
 
 def category_signal(queries: DataFrame, places: DataFrame, n: int = POOL) -> DataFrame:
-    """query_id, place_id, rank: places of the query's category, in the order of their ids."""
-    found = queries.select("query_id", "category").join(places.select("place_id", "category"), "category").select("query_id", "place_id")
-    return top_per(found, ["query_id"], [F.col("place_id")], n)
+    """query_id, place_id, rank: places of the query's category, in the order of their ids.
+
+    The first n of each category are taken before they meet queries, so a query meets n places at most.
+    """
+    first = top_per(places.where("category is not null").select("category", "place_id"), ["category"], [F.col("place_id")], n)
+    return queries.select("query_id", "category").join(first, "category").select("query_id", "place_id", "rank")
 
 
 def nearby_signal(queries: DataFrame, places: DataFrame, n: int = POOL, *, radius_km: float = 20.0) -> DataFrame:

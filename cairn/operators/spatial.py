@@ -71,12 +71,31 @@ def segments(path: DataFrame, key: str, order: str) -> DataFrame:
     return legs.withColumn("before", F.sum("metres").over(Window.partitionBy(key).orderBy("seq")) - F.col("metres"))
 
 
+#: Pieces that a leg is cut into at most.
+PIECES = 8
+
+
+def in_pieces(legs: DataFrame, a: tuple[str, str], b: tuple[str, str], reach: Column) -> DataFrame:
+    """legs with south, west, north, east of each of their pieces, which are some times reach long (in degrees) and widened by it.
+
+    What lies within reach of a leg is in the box of one of its pieces at least; the boxes of a long slanting leg are
+    small, other than its own.
+    """
+    (lat1, lon1), (lat2, lon2) = ((F.col(x), F.col(y)) for x, y in (a, b))
+    wide = F.greatest(F.abs(lat2 - lat1), F.abs(lon2 - lon1))
+    n = F.least(F.lit(PIECES), F.greatest(F.lit(1), F.ceil(wide / (reach * 4)))).cast("int")
+    cut = legs.withColumn("_n", n).withColumn("_reach", reach).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = lambda p, q, k: p + (q - p) * k / F.col("_n")
+    ends = [(at(p, q, F.col("_k")), at(p, q, F.col("_k") + 1)) for p, q in ((lat1, lat2), (lon1, lon2))]
+    (y1, y2), (x1, x2) = ends
+    r = F.col("_reach")
+    return cut.select("*", (F.least(y1, y2) - r).alias("south"), (F.least(x1, x2) - r).alias("west"), (F.greatest(y1, y2) + r).alias("north"), (F.greatest(x1, x2) + r).alias("east")).drop("_n", "_k", "_reach")
+
+
 def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str) -> DataFrame:
     """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie (0 on a path without length)."""
     a, b = (F.col("a_lat"), F.col("a_lon")), (F.col("b_lat"), F.col("b_lon"))
-    reach = _cell_size(metres)
-    ends = (F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[0], b[0]), F.greatest(a[1], b[1]))
-    boxed = legs.select("*", *((e + (reach if k > 1 else -reach)).alias(c) for k, (e, c) in enumerate(zip(ends, ("south", "west", "north", "east"), strict=True))))
+    boxed = in_pieces(legs, ("a_lat", "a_lon"), ("b_lat", "b_lon"), F.lit(_cell_size(metres)))
     met = meet_boxes(points.select(id_, "lat", "lon"), boxed)
     met = met.withColumn("hit", geo.segment_m(F.col("lat"), F.col("lon"), a, b)).where(F.col("hit.metres") <= metres)
     best = met.groupBy(key, id_).agg(F.min(F.struct(F.col("hit.metres").alias("offset"), F.col("seq"), (F.col("before") + F.col("hit.along") * F.col("metres")).alias("at"))).alias("best"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from . import walks
 from .groups import Columns, by_group
-from .spatial import meet_boxes
+from .spatial import in_pieces, meet_boxes
 from .staging import settle
 from .walks import EXHAUSTIVE, UNREACHABLE, Walk
 
@@ -116,7 +116,6 @@ def _walk(own: Columns, unreachable_s: float) -> Walk:
 
 def ordered(stops: DataFrame, *, method: str = "tour", key: str = "route_id") -> DataFrame:
     """key, position, place_id, seconds (of the whole walk): each problem ordered by tour, shortest_reference, insertion_tour or nearest_tours."""
-    way = {"tour": walks.tour, "shortest_reference": walks.shortest, "insertion_tour": walks.insertion, "nearest_tours": walks.nearest}[method]
 
     def solve(own: Columns) -> Columns:
         legs_ = _problem(own)
@@ -125,7 +124,19 @@ def ordered(stops: DataFrame, *, method: str = "tour", key: str = "route_id") ->
         order = way(walk)
         return {key: own[key][: len(order)], "position": np.arange(len(order)), "place_id": own["place_id"][order], "seconds": np.full(len(order), walk.total(order))}
 
-    return by_group(stops.select(key, "ordinal", "place_id", "lat", "lon"), key, ["ordinal"], solve, f"{key} long, position int, place_id long, seconds double")
+    def solve_many(own: Columns) -> Columns:
+        lat, lon = np.radians(own["lat"].astype(float)), np.radians(own["lon"].astype(float))
+        legs_ = _seconds(lat[:, :, None], lon[:, :, None], lat[:, None, :], lon[:, None, :])
+        orders = walks.shortest(legs_)
+        every = np.arange(len(orders))[:, None]
+        total = legs_[every, orders[:, :-1], orders[:, 1:]].sum(axis=1, keepdims=True)
+        return {key: own[key], "position": np.broadcast_to(np.arange(orders.shape[1]), orders.shape), "place_id": own["place_id"][every, orders], "seconds": np.broadcast_to(total, orders.shape)}
+
+    own, schema = stops.select(key, "ordinal", "place_id", "lat", "lon"), f"{key} long, position int, place_id long, seconds double"
+    if method == "shortest_reference":
+        return by_group(own, key, ["ordinal"], solve_many, schema, stacked=True)
+    way = {"tour": walks.tour, "insertion_tour": walks.insertion, "nearest_tours": walks.nearest}[method]
+    return by_group(own, key, ["ordinal"], solve, schema)
 
 
 #: What a plan may be bound by, and what holds without it.
@@ -172,15 +183,14 @@ def detours(per_leg: DataFrame, services: DataFrame, *, most_seconds: float, key
     """key, service_id, ordinal, extra: the leg where a service costs least, if no more than most_seconds.
 
     per_leg: key, ordinal, la, lo, lb, lp (ends), seconds. What costs so many seconds at most lies in an ellipse about
-    the leg; services meet legs in cells about its box, which allows for the bend of a great circle.
+    the leg; services meet the leg in pieces of about the ellipse's breadth, which allows for the bend of a great circle.
     """
     speed = geo.SPEEDS["foot"] / 3.6
     direct, whole = F.col("seconds") * F.lit(speed), F.col("seconds") * F.lit(speed) + F.lit(most_seconds * speed)
     north = F.greatest(F.abs("la"), F.abs("lb"))
     aside = F.sqrt(whole * whole - direct * direct) * F.lit(0.55) + direct * direct * F.tan(F.radians(north)) / F.lit(4 * geo.EARTH_M)
-    dy, dx = aside / F.lit(geo.DEGREE_M), aside / (F.lit(geo.DEGREE_M) * F.cos(F.radians(north)) * F.lit(0.9))
-    box = (F.least("la", "lb") - dy).alias("south"), (F.least("lo", "lp") - dx).alias("west"), (F.greatest("la", "lb") + dy).alias("north"), (F.greatest("lo", "lp") + dx).alias("east")
-    met = meet_boxes(services.select("service_id", "lat", "lon"), per_leg.select("*", *box))
+    reach = aside / (F.lit(geo.DEGREE_M) * F.cos(F.radians(north)) * F.lit(0.9))
+    met = meet_boxes(services.select("service_id", "lat", "lon"), in_pieces(per_leg, ("la", "lo"), ("lb", "lp"), reach))
     there = geo.leg_seconds(geo.haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon")))
     back = geo.leg_seconds(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lb"), F.col("lp")))
     extra = F.round(there + back - F.col("seconds"), 3)

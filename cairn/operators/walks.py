@@ -15,6 +15,7 @@ from itertools import permutations
 import numpy as np
 
 UNREACHABLE = 1e9
+#: All orders are tried up to so many stops, and runs of up to so many are moved.
 EXHAUSTIVE = 6
 SEGMENT = 3
 #: Nearest-neighbour tours start at so many stops, shuffled with this seed.
@@ -213,19 +214,62 @@ def pruned(walk: Walk, order: list[int]) -> list[int]:
     return kept
 
 
-def shortest(walk: Walk, most: int = 12) -> list[int]:
-    """The cheapest order of few stops, the first of equals; of more than most, the nearest-neighbour tour."""
-    n = len(walk.legs)
-    if n > most:
-        return nearest(walk)
-    if n <= EXHAUSTIVE + 1:
-        return exhaustive(walk)
-    # Best way to have been at a set of stops and to stand at one of them, set by set.
-    best: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {(1 << i, i): (0.0, (i,)) for i in range(n)}
-    for seen in range(1, 1 << n):
-        for at in (i for i in range(n) if (seen, i) in best):
-            cost, way = best[seen, at]
-            for to in (i for i in range(n) if not seen >> i & 1):
-                found = (round(cost + float(walk.value[at, to]), 6), (*way, to))
-                best[seen | 1 << to, to] = min(best.get((seen | 1 << to, to), found), found)
-    return list(min(best[(1 << n) - 1, i] for i in range(n))[1])
+#: Fixed value: walks of more stops are ordered by going on to the nearest stop left, from the first.
+EXACT = 12
+#: Bytes of one stack's table of partial walks.
+TABLE_BYTES = 64 << 20
+#: Walks that differ by less cost the same.
+EQUAL = 1e-9
+
+
+def shortest(legs: np.ndarray) -> np.ndarray:
+    """Orders of many walks of as many stops: the cheapest, and of those that cost the same the first in order of their stops.
+
+    legs: of each walk, from each stop to each. Walks beyond EXACT stops go on to the nearest, the first of equals.
+    """
+    many, n = legs.shape[:2]
+    if n > EXACT:
+        return _onward(legs)
+    each = max(1, TABLE_BYTES // (8 * n << n))
+    return np.concatenate([_cheapest(legs[k : k + each]) for k in range(0, many, each)]) if many else np.zeros((0, n), np.int64)
+
+
+def _onward(legs: np.ndarray) -> np.ndarray:
+    many, n = legs.shape[:2]
+    every = np.arange(many)
+    orders = np.zeros((many, n), np.int64)
+    left = np.ones((many, n), bool)
+    for k in range(n):
+        if k:
+            orders[:, k] = np.where(left, legs[every, orders[:, k - 1]], np.inf).argmin(axis=1)
+        left[every, orders[:, k]] = False
+    return orders
+
+
+@lru_cache(maxsize=16)
+def _sets(n: int) -> list[np.ndarray]:
+    """Sets of n stops as bits, by how many they hold."""
+    every = np.arange(1 << n)
+    held = np.bitwise_count(every)
+    return [every[held == k] for k in range(n + 1)]
+
+
+def _cheapest(legs: np.ndarray) -> np.ndarray:
+    """rest[w, s, i]: what it costs to go on from i through all of the set s, which holds i; all walks and all sets of a size at once."""
+    many, n = legs.shape[:2]
+    rest = np.full((many, 1 << n, n), np.inf)
+    for i in range(n):
+        rest[:, 1 << i, i] = 0.0
+    for sets in _sets(n)[2:]:
+        for i in range(n):
+            own = sets[sets >> i & 1 == 1]
+            rest[:, own, i] = (legs[:, None, i, :] + rest[:, own ^ (1 << i), :]).min(axis=2)
+    # Read forward: at each place the first stop that leads to the least in all.
+    every, seen = np.arange(many), np.full(many, (1 << n) - 1)
+    orders = np.zeros((many, n), np.int64)
+    costs = rest[:, -1, :]
+    for k in range(n):
+        orders[:, k] = (costs <= costs.min(axis=1, keepdims=True) + EQUAL).argmax(axis=1)
+        seen = seen ^ (1 << orders[:, k])
+        costs = legs[every, orders[:, k]] + rest[every, seen]
+    return orders

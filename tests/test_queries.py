@@ -41,7 +41,7 @@ HELD = {
     "opt_07_trimmed": "test_solvers.py::test_plans_are_trimmed_to_budget_and_longest_leg",
     "opt_10_reachable": "test_solvers.py::test_only_the_isolated_stop_goes",
     "opt_11_pruned": "test_solvers.py::test_pruned_stops_are_over_the_cap",
-    "opt_16_reference": "test_solvers.py::test_short_walks_are_ordered_as_by_trying_all",
+    "opt_16_reference": "test_solvers.py::test_the_shortest_of_all_walks",
     "opt_17_measured": "test_solvers.py::test_a_measured_walk_leaves_out_what_cannot_be_walked_to",
     "set_04_collapsed": "test_resolve.py::test_queries_are_the_rules",
     "top_09_thinned": "test_solvers.py::test_thinned_places_keep_their_distance",

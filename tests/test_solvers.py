@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from cairn import views
 from cairn.operators import fragments, measures, resolve, tours
+from cairn.operators import walks as walking
+from cairn.operators.walks import shortest
 from cairn.queries import QUERIES
 
 STOPS = "route_id long, ordinal int, place_id long, lat double, lon double"
@@ -58,6 +60,50 @@ def test_longer_walks_keep_their_stops_and_are_near_the_shortest(spark, method):
         assert method == "insertion_tour" or own[0]["seconds"] <= 1.25 * best[w]
 
 
+def test_shortest_walks_are_the_first_of_the_cheapest():
+    """Against all orders, with equal legs and stops in one place; many walks at once, in small tables too."""
+    rng = np.random.default_rng(7)
+    for n in range(1, 8):
+        legs = rng.integers(0, 4, (40, n, n)).astype(float)
+        legs = legs + legs.transpose(0, 2, 1)
+        got = shortest(legs)
+        for own, order in zip(legs, got.tolist(), strict=True):
+            cost = lambda o, own=own: sum(own[a, b] for a, b in zip(o, o[1:]))  # noqa: E731, B905
+            assert tuple(order) == min(permutations(range(n)), key=lambda o: (cost(o), o))
+    legs = rng.random((3, 12, 12))
+    table, walking.TABLE_BYTES = walking.TABLE_BYTES, 1
+    try:
+        small = shortest(legs)
+    finally:
+        walking.TABLE_BYTES = table
+    assert (small == shortest(legs)).all() and all(sorted(o) == list(range(12)) for o in small.tolist())
+
+
+def test_long_walks_go_on_to_the_nearest_from_the_first():
+    legs = np.random.default_rng(8).integers(0, 9, (20, 15, 15)).astype(float)
+    for own, order in zip(legs, shortest(legs).tolist(), strict=True):
+        want = [0]
+        while len(want) < 15:
+            want.append(min((j for j in range(15) if j not in want), key=lambda j: (own[want[-1], j], j)))
+        assert order == want
+
+
+def least_line(at):
+    """The shortest open walk through all points, in metres, by trying all."""
+    d = [[metres(a, b) for b in at] for a in at]
+    return min(sum(d[a][b] for a, b in zip(o, o[1:])) for o in permutations(range(len(at))) if o[0] <= o[-1])  # noqa: B905
+
+
+def test_the_shortest_of_all_walks(spark, small):
+    own: dict = {}
+    for r in views.stops(spark, small).orderBy("route_id", "ordinal").collect():
+        own.setdefault(r["route_id"], []).append((r["lat"], r["lon"]))
+    got = {r["route_id"]: r["seconds"] for r in QUERIES["opt_16_reference"](spark, small).collect()}
+    assert got.keys() == own.keys()
+    for k in [k for k in own if k % 3 == 0 and len(own[k]) < 7]:
+        assert math.isclose(got[k], least_line(own[k]) / (4 / 3.6), abs_tol=0.02)
+
+
 def test_one_stop_and_no_stop(spark):
     assert tours.ordered(spark.createDataFrame(walks(1, 1, 3), STOPS)).count() == 1
     assert tours.ordered(spark.createDataFrame([], STOPS)).count() == 0
