@@ -5,20 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .groups import Columns, by_group
+from .groups import Columns, by_group, dealt
+from .staging import settle
 from .tours import ordered
 
 #: Fixed values of the resampling: how many, the seed, and what the interval leaves out.
 RESAMPLES = 10_000
 SEED = 20260926
 ALPHA = 0.05
-#: Keys whose sums a task holds: 160 kB each.
-HELD_KEYS = 500
 
 
 def greedy_matches(reference: DataFrame, answer: DataFrame, *, key: str, metres: float = 750.0) -> DataFrame:
@@ -102,53 +101,86 @@ def spread(runs: DataFrame, key: str, metric: str) -> DataFrame:
     return own.groupBy(key).agg(F.count(m).alias("n"), F.avg(m).alias("mean"), ((F.max(m) - F.min(m)) / 2).alias("half_range"), F.stddev_samp(m).alias("sd"))
 
 
-def _resampled(values: DataFrame, key: str, value: str, resamples: int, seed: int) -> DataFrame:
-    """key, resample, m: the mean of each resample. values: key, value (double, not null), id (long, tells rows apart).
+#: Different values of a block, and cells of a table of draws that a task holds.
+BLOCK = 1024
+CELLS = 1 << 20
 
-    A row's count in a resample is Poisson, drawn by a generator of its own, seeded by its id, so rows may be split
-    and ordered at will. Each task adds up its rows for all resamples at once and gives back the sums alone.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights: dict[object, np.ndarray] = {}
-        for batch in batches:
-            for k, v, i, times in zip(batch[key].tolist(), batch[value].tolist(), batch["id"].tolist(), batch["times"].tolist(), strict=True):
-                if k not in weights and len(weights) == HELD_KEYS:
-                    yield from _sums(weights, key)
-                    weights.clear()
-                own = weights.setdefault(k, np.zeros((2, resamples)))
-                n = np.random.Generator(np.random.Philox(key=[seed, i % (1 << 64)])).poisson(times, resamples)
-                own[0] += n * v
-                own[1] += n
-        yield from _sums(weights, key)
+def _generator(seed: int, key: int, level: int, node: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, key % (1 << 64), level + 1, node])))
+
 
-    kind = dict(values.dtypes)[key]
-    # Rows that are all alike are drawn together: a sum of Poisson counts is one.
-    sums = values.groupBy(key, value, "id").agg(F.count("*").alias("times")).mapInPandas(run, f"{key} {kind}, resample int, total double, n double")
-    return sums.groupBy(key, "resample").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+def _block_totals(block: dict, resamples: int, seed: int) -> np.ndarray:
+    """Of each resample the sum of what falls to a block: binomial draws on the way down to it, then a multinomial one."""
+    draws = np.full(resamples, block["n"], np.int64)
+    for step in block["way"]:
+        left = _generator(seed, block["hash"], step["level"], step["parent"]).binomial(draws, step["left"] / step["both"])
+        draws = draws - left if step["node"] % 2 else left
+    held = sorted((x["v"], x["times"]) for x in block["held"])
+    v, times = np.array([x for x, _ in held]), np.array([n for _, n in held], float)
+    own, each = _generator(seed, block["hash"], -1, block["leaf"]), max(1, CELLS // len(v))
+    return np.concatenate([own.multinomial(draws[k : k + each], times / times.sum()) @ v for k in range(0, resamples, each)])
 
 
-def _sums(weights: dict[object, np.ndarray], key: str) -> Iterator[pd.DataFrame]:
-    for k, (total, n) in weights.items():
-        yield pd.DataFrame({key: [k] * len(n), "resample": np.arange(len(n), dtype=np.int32), "total": total, "n": n})
+def _resampled(values: DataFrame, key: str, value: str, resamples: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """key, resample, m: the mean of each resample. values: key, value (double, not null).
+
+    A resample draws as many rows as there are. Equal values are drawn together: counts of different values are
+    multinomial, weighted by their numbers of rows. A key's different values lie in blocks, blocks are the leaves of a
+    binary tree, and the draws of every resample are dealt out from its root by binomial splits. A node's generator
+    depends on the seed, the key and the node alone, so tasks agree on the part of the way that their blocks share
+    without meeting.
+    """
+    own = values.select(F.struct(F.col(key)).alias("k"), F.col(value).alias("v"))  # a struct: null is a key as any other
+    counted = settle(own.groupBy("k", "v").agg(F.count(F.lit(1)).alias("times")), "values")
+    sizes = counted.groupBy("k").agg(F.ceil(F.log2(F.count(F.lit(1)) / F.lit(float(block)))).alias("levels"), F.sum("times").alias("n"))
+    sizes = sizes.select("k", F.greatest(F.lit(0), F.col("levels")).cast("int").alias("levels"), "n")
+    leaf = F.pmod(F.xxhash64("v"), F.pow(F.lit(2.0), "levels").cast("long")).alias("leaf")
+    blocks = counted.join(sizes, "k").select("*", leaf).groupBy("k", "leaf", "levels", "n").agg(F.collect_list(F.struct("v", "times")).alias("held"), F.sum("times").alias("w"))
+    blocks = settle(blocks, "blocks")
+    # Nodes: a leaf's leading bits, as many as its level.
+    ways = blocks.select("k", "leaf", "w", F.explode(F.expr("transform(sequence(0, levels), d -> struct(d AS level, shiftright(leaf, levels - d) AS node))")).alias("at")).select("k", "leaf", "w", "at.*")
+    weights = ways.groupBy("k", "level", "node").agg(F.sum("w").alias("weight"))
+    steps = ways.where("level > 0").select("k", "leaf", "level", "node", F.shiftright("node", 1).alias("parent"))
+    above = weights.select("k", (F.col("level") + 1).alias("level"), F.col("node").alias("parent"), F.col("weight").alias("both"))
+    left = weights.where("node % 2 = 0").select("k", "level", F.shiftright("node", 1).alias("parent"), F.col("weight").alias("left"))
+    steps = steps.join(above, ["k", "level", "parent"]).join(left, ["k", "level", "parent"], "left")
+    way = steps.groupBy("k", "leaf").agg(F.array_sort(F.collect_list(F.struct("level", "node", "parent", F.coalesce("left", F.lit(0)).alias("left"), "both"))).alias("way"))
+    whole = blocks.select("k", "leaf", "n", "held", F.xxhash64("k").alias("hash")).join(way, ["k", "leaf"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row in enumerate(batch.to_pylist()):
+                totals = _block_totals(row | {"way": row["way"] or []}, resamples, seed)
+                own = batch.column("k").take(pa.array(np.full(resamples, k)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(totals), pa.array(np.full(resamples, row["n"]))], names=["k", "resample", "total", "n"])
+
+    kind = values.schema[key].dataType.simpleString()
+    sums = dealt(whole, "k", "leaf").mapInArrow(run, f"k struct<{key}: {kind}>, resample int, total double, n long")
+    return sums.groupBy("k", "resample").agg((F.sum("total") / F.first("n")).alias("m")).select(F.col(f"k.{key}").alias(key), "resample", "m")
 
 
 def bootstrap(values: DataFrame, key: str, value: str, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """key, mean, low, high: percentile interval of the mean, by Poisson resampling, which needs no group in one place."""
-    own = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.xxhash64(*values.columns).alias("id"))
-    means = _resampled(own, key, "v", resamples, seed)
-    low, high = F.percentile("m", alpha / 2), F.percentile("m", 1 - alpha / 2)
-    return values.groupBy(key).agg(F.avg(value).alias("mean")).join(means.groupBy(key).agg(low.alias("low"), high.alias("high")), key)
+    """key, mean, low, high: percentile interval (nearest rank) of the mean over resamples of as many rows. Null values are left out."""
+    own = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    means = _resampled(own, key, "v", resamples, seed).groupBy(key).agg(F.collect_list("m").alias("ms"))  # resamples of them
+    means = means.select(F.col(key).alias("_k"), nearest_rank(F.col("ms"), alpha / 2).alias("low"), nearest_rank(F.col("ms"), 1 - alpha / 2).alias("high"))
+    return own.groupBy(key).agg(F.avg("v").alias("mean")).join(means, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def paired(a: DataFrame, b: DataFrame, case: str, value: str, *, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """One row: difference of b to a over shared cases, its interval, and a two-sided p of at least 1 / resamples."""
+    """One row: difference of b to a over shared cases, its interval (nearest rank), and a two-sided p of at least 1 / resamples.
+
+    One case has a difference and no interval; none, no difference either.
+    """
     both = a.select(case, F.col(value).alias("x")).join(b.select(case, F.col(value).alias("y")), case).where("x is not null and y is not null")
-    d = both.select(F.lit(0).alias("all"), (F.col("y") - F.col("x")).alias("d"), F.xxhash64(case).alias("id"))
+    d = both.select(F.lit(0).alias("all"), (F.col("y") - F.col("x")).cast("double").alias("d"))
     means = _resampled(d, "all", "d", resamples, seed)
-    tails = means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), F.count_if(F.col("m") <= 0).alias("down"), F.count_if(F.col("m") >= 0).alias("up"))
+    tails = means.agg(F.collect_list("m").alias("ms"), F.count_if(F.col("m") <= 0).alias("down"), F.count_if(F.col("m") >= 0).alias("up"))
     p = F.greatest(F.lit(1.0 / resamples), F.least(F.lit(1.0), F.least("down", "up") * 2 / resamples))
-    return d.agg(F.avg("d").alias("difference"), F.count("*").alias("cases")).join(tails.select("low", "high", p.alias("p")), F.lit(True))
+    tails = tails.select(nearest_rank(F.col("ms"), alpha / 2).alias("low"), nearest_rank(F.col("ms"), 1 - alpha / 2).alias("high"), p.alias("p"))
+    many = lambda c: F.when(F.col("cases") > 1, F.col(c)).alias(c)
+    return d.agg(F.avg("d").alias("difference"), F.count("*").alias("cases")).join(tails, F.lit(True)).select("difference", "cases", many("low"), many("high"), many("p"))
 
 
 def first_failure(*checks: tuple[Column, str]) -> Column:

@@ -286,6 +286,48 @@ def test_bootstrap_interval_is_near_the_normal_one(spark):
     assert abs(got["low"] - (values.mean() - half)) < 0.15 * half and abs(got["high"] - (values.mean() + half)) < 0.15 * half
 
 
+def test_draws_are_dealt_out_whole_and_as_by_chance():
+    """A tree of eight blocks: in every resample their draws sum up to all, and each block's are binomial."""
+    weights, n, resamples = [5, 0, 1, 30, 7, 7, 2, 48], 100, 4000
+    sums = {(d, k): sum(w for leaf, w in enumerate(weights) if leaf >> 3 - d == k) for d in range(4) for k in range(1 << d)}
+    got = {}
+    for leaf, w in enumerate(weights):
+        if w:
+            way = [{"level": d, "node": leaf >> 3 - d, "parent": leaf >> 4 - d, "left": sums[d, leaf >> 4 - d << 1], "both": sums[d - 1, leaf >> 4 - d]} for d in (1, 2, 3)]
+            got[leaf] = measures._block_totals({"n": n, "hash": -5, "leaf": leaf, "way": way, "held": [{"v": 1.0, "times": w}]}, resamples, 7)
+    assert (sum(got.values()) == n).all()
+    for leaf, own in got.items():
+        p = weights[leaf] / n
+        assert abs(own.mean() - n * p) < 5 * math.sqrt(n * p * (1 - p) / resamples) and abs(own.var() / (n * p * (1 - p)) - 1) < 0.15
+
+
+@pytest.mark.parametrize("block", [measures.BLOCK, 8])
+def test_resampled_means_spread_as_multinomial_ones(spark, block):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(3, 1, 300).round(2), None: np.array([1.0, 1.0, 2.0]), "one": np.array([4.5])}
+    df = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own], "k string, v double")
+    means: dict = {}
+    for r in measures._resampled(df, "k", "v", 2000, 11, block).collect():
+        means.setdefault(r["k"], {})[r["resample"]] = r["m"]
+    assert means.keys() == values.keys()
+    for k, own in values.items():
+        m = np.array([means[k][i] for i in range(2000)])
+        sd = own.std() / math.sqrt(len(own))
+        assert abs(m.mean() - own.mean()) <= 5 * sd / math.sqrt(2000) + 1e-9 and abs(m.std() - sd) <= 0.08 * sd + 1e-9
+    assert {round(m, 6) for m in means[None].values()} == {1.0, round(4 / 3, 6), round(5 / 3, 6), 2.0}
+    again = {(r["k"], r["resample"]): r["m"] for r in measures._resampled(df.repartition(5), "k", "v", 2000, 11, block).collect()}
+    assert all(math.isclose(again[k, i], m, rel_tol=1e-12) for k, own in means.items() for i, m in own.items())
+
+
+def test_resamples_of_one_case_and_none(spark):
+    a = spark.createDataFrame([(1, 2.0)], "case int, v double")
+    got = measures.paired(a, a, "case", "v", resamples=50).first()
+    assert (got["difference"], got["low"], got["p"], got["cases"]) == (0.0, None, None, 1)
+    assert measures.paired(a.limit(0), a, "case", "v", resamples=50).first()["cases"] == 0
+    row = measures.bootstrap(a, "case", "v", resamples=50).first()
+    assert (row["low"], row["mean"], row["high"]) == (2.0, 2.0, 2.0)
+
+
 def test_paired_difference(spark):
     a = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "case int, v double")
     b = spark.createDataFrame([(i, float(i % 7) + 1 + (i % 3) / 10) for i in range(5, 70)], "case int, v double")
