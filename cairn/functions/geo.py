@@ -117,6 +117,92 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A point farther from a line than this isn't on it, and one this near to a vertex is the vertex, in metres.
+OFF_LINE_M = 500.0
+AT_VERTEX_M = 0.5
+
+
+def _legs_of(line: Column) -> Column:
+    """Of an array of struct(lon, lat): struct(a, b) of each two points in a row."""
+    n = F.size(line)
+    return F.when(n > 1, F.zip_with(F.slice(line, F.lit(1), n - 1), F.slice(line, F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:struct<lon:double,lat:double>,b:struct<lon:double,lat:double>>>"))
+
+
+def line_metres(line: Column) -> Column:
+    """Great-circle length of an array of struct(lon, lat); 0 for fewer than two points, null for none at all."""
+    each = F.transform(_legs_of(line), lambda s: haversine_m(s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]))
+    return F.when(line.isNotNull(), F.aggregate(each, F.lit(0.0), lambda x, y: x + y))
+
+
+def located(line: Column, lat: Column, lon: Column) -> Column:
+    """struct(metres, leg, lat, lon, along, total): the point of a line nearest to another, and how far along it lies.
+
+    line: array of struct(lon, lat). The foot of a leg is found on the plane of degrees, metres are great-circle ones; of
+    equally near legs (from 1) the first. A line of fewer than two points, or a missing coordinate, gives null.
+    """
+
+    def foot(s: Column) -> Column:
+        x, y = s["b"]["lon"] - s["a"]["lon"], s["b"]["lat"] - s["a"]["lat"]
+        span = x * x + y * y
+        t = F.when(span > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((lon - s["a"]["lon"]) * x + (lat - s["a"]["lat"]) * y) / span))).otherwise(0.0)
+        return F.struct(t.alias("t"), (s["a"]["lat"] + y * t).alias("lat"), (s["a"]["lon"] + x * t).alias("lon"), haversine_m(s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]).alias("length"))
+
+    def nearest(feet: Column) -> Column:
+        best = F.array_min(F.transform(feet, lambda f, i: F.struct(haversine_m(lat, lon, f["lat"], f["lon"]).alias("metres"), i.alias("i"))))
+        lengths = F.transform(feet, lambda f: f["length"])
+        summed = lambda own: F.aggregate(own, F.lit(0.0), lambda x, y: x + y)
+
+        def at(b: Column) -> Column:
+            f = F.get(feet, b["i"])
+            return F.struct(b["metres"].alias("metres"), (b["i"] + 1).alias("leg"), f["lat"].alias("lat"), f["lon"].alias("lon"), (summed(F.slice(lengths, F.lit(1), b["i"])) + f["length"] * f["t"]).alias("along"), summed(lengths).alias("total"))
+
+        return _once(best, at)
+
+    ok = (F.size(line) > 1) & lat.isNotNull() & lon.isNotNull()
+    return F.when(ok, _once(F.transform(_legs_of(line), foot), nearest))
+
+
+def split_at(line: Column, lat: Column, lon: Column, most_m: float = OFF_LINE_M) -> Column:
+    """struct(walked, remaining, travelled, total): a line cut where a point stands on it; null beyond most_m.
+
+    Both parts hold the point of the line that is nearest; where that is a vertex (by less than half a metre), the vertex.
+    """
+
+    def near(a: Column, b: Column) -> Column:
+        return haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) < AT_VERTEX_M
+
+    def cut(at: Column) -> Column:
+        point = F.array(F.struct(at["lon"].alias("lon"), at["lat"].alias("lat")))
+        before, after = F.slice(line, F.lit(1), at["leg"]), F.slice(line, at["leg"] + 1, F.size(line))
+        walked = F.when(near(at, F.element_at(before, -1)), before).otherwise(F.concat(before, point))
+        remaining = F.when(near(at, F.element_at(after, 1)), after).otherwise(F.concat(point, after))
+        return F.when(at["metres"] <= most_m, F.struct(walked.alias("walked"), remaining.alias("remaining"), at["along"].alias("travelled"), at["total"].alias("total")))
+
+    return _once(located(line, lat, lon), cut)
+
+
+def share_along(line: Column, lat: Column, lon: Column) -> Column:
+    """From 0 to 1, how far along a line the point nearest to another lies, all on the plane of degrees; 0 on a line without length."""
+    flat = lambda s: F.sqrt(F.pow(s["b"]["lon"] - s["a"]["lon"], 2) + F.pow(s["b"]["lat"] - s["a"]["lat"], 2))
+
+    def foot(s: Column) -> Column:
+        x, y = s["b"]["lon"] - s["a"]["lon"], s["b"]["lat"] - s["a"]["lat"]
+        span = x * x + y * y
+        t = F.when(span > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((lon - s["a"]["lon"]) * x + (lat - s["a"]["lat"]) * y) / span))).otherwise(0.0)
+        off = F.pow(s["a"]["lon"] + x * t - lon, 2) + F.pow(s["a"]["lat"] + y * t - lat, 2)
+        return F.struct(off.alias("off"), t.alias("t"), flat(s).alias("length"))
+
+    def along(feet: Column) -> Column:
+        lengths = F.transform(feet, lambda f: f["length"])
+        total = F.aggregate(lengths, F.lit(0.0), lambda x, y: x + y)
+        best = F.array_min(F.transform(feet, lambda f, i: F.struct(f["off"].alias("off"), i.alias("i"))))
+        upto = lambda b: F.aggregate(F.slice(lengths, F.lit(1), b["i"]), F.lit(0.0), lambda x, y: x + y) + F.get(feet, b["i"])["length"] * F.get(feet, b["i"])["t"]
+        return F.when(total > 0, _once(best, upto) / total).otherwise(0.0)
+
+    ok = (F.size(line) > 1) & lat.isNotNull() & lon.isNotNull()
+    return F.when(ok, _once(F.transform(_legs_of(line), foot), along))
+
+
 def encode_line(points: Column, digits: int = 6) -> Column:
     """Polyline text of an array of struct(lon, lat)."""
     scale = float(10**digits)

@@ -163,19 +163,44 @@ def open_01_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(hours, "minute").groupBy("opening_hours").agg(F.sum("n").alias("n"))
 
 
-@query(views.sql(""", line AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM stops WINDOW w AS (PARTITION BY route_id ORDER BY ordinal)),
-legs AS (SELECT route_id, ordinal, CAST(111194.92664455873 AS DOUBLE) * sqrt(pow((lon2 - lon) * cos(radians((lat + lat2) / 2)), 2) + pow(lat2 - lat, 2)) AS m FROM line WHERE lat2 IS NOT NULL),
-run AS (SELECT *, sum(m) OVER (PARTITION BY route_id ORDER BY ordinal) AS upto, sum(m) OVER (PARTITION BY route_id) AS total FROM legs)
-SELECT route_id, min(ordinal) AS leg, round(total * CAST(0.4 AS DOUBLE), 1) AS walked, round(total - total * CAST(0.4 AS DOUBLE), 1) AS left_m FROM run WHERE upto >= total * CAST(0.4 AS DOUBLE) GROUP BY route_id, total""", "stops"))
+#: Where the walker of each walk stands: aside of its first leg (one in three far off it), or at its first stop.
+AT = """, line AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, count(*) OVER (PARTITION BY route_id) AS n FROM stops WINDOW w AS (PARTITION BY route_id ORDER BY ordinal)),
+stood AS (SELECT route_id, CASE WHEN route_id % 3 = 0 THEN lat ELSE lat + (lat2 - lat) * CAST(0.3 AS DOUBLE) + CASE WHEN route_id % 3 = 1 THEN CAST(0.001 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END END AS p,
+  CASE WHEN route_id % 3 = 0 THEN lon ELSE lon + (lon2 - lon) * CAST(0.3 AS DOUBLE) END AS q FROM line WHERE ordinal = 1 AND lat2 IS NOT NULL),
+foot AS (SELECT l.*, p, q, CASE WHEN pow(lon2 - lon, 2) + pow(lat2 - lat, 2) > 0 THEN least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), ((q - lon) * (lon2 - lon) + (p - lat) * (lat2 - lat)) / (pow(lon2 - lon, 2) + pow(lat2 - lat, 2)))) ELSE CAST(0 AS DOUBLE) END AS t FROM line l JOIN stood USING (route_id) WHERE lat2 IS NOT NULL)"""
+
+
+def walk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """route_id, line, p, q: walks as lines, and where their walkers stand."""
+    r = F.col("route_id")
+    own = views.stops(spark, sf_dir).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "lon", "lat"))).alias("s"))
+    own = own.select("route_id", F.transform("s", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("line")).where(F.size("line") > 1)
+    a, b = F.element_at("line", 1), F.element_at("line", 2)
+    aside = F.when(r % 3 == 1, 0.001).otherwise(1.0)
+    p = F.when(r % 3 == 0, a["lat"]).otherwise(a["lat"] + (b["lat"] - a["lat"]) * F.lit(0.3) + aside)
+    q = F.when(r % 3 == 0, a["lon"]).otherwise(a["lon"] + (b["lon"] - a["lon"]) * F.lit(0.3))
+    return own.select("route_id", "line", p.alias("p"), q.alias("q"))
+
+
+@query(views.sql(AT + f""", far AS (SELECT *, {views.haversine_sql("p", "q", "lat + (lat2 - lat) * t", "lon + (lon2 - lon) * t")} AS off, {views.haversine_sql("lat", "lon", "lat2", "lon2")} AS m FROM foot),
+run AS (SELECT *, sum(m) OVER (PARTITION BY route_id ORDER BY ordinal) - m + m * t AS along, sum(m) OVER (PARTITION BY route_id) AS total FROM far),
+best AS (SELECT *, {views.haversine_sql("lat", "lon", "lat + (lat2 - lat) * t", "lon + (lon2 - lon) * t")} < 0.5 AS at_a, {views.haversine_sql("lat2", "lon2", "lat + (lat2 - lat) * t", "lon + (lon2 - lon) * t")} < 0.5 AS at_b FROM run QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY off, ordinal) = 1)
+SELECT route_id, CASE WHEN off <= 500 THEN CAST(ordinal + CASE WHEN at_a THEN 0 ELSE 1 END AS INTEGER) END AS walked, CASE WHEN off <= 500 THEN CAST(n - ordinal + CASE WHEN at_b THEN 0 ELSE 1 END AS INTEGER) END AS remaining,
+  CASE WHEN off <= 500 THEN round(along, 1) END AS travelled, CASE WHEN off <= 500 THEN round(total - along, 1) END AS left_m, CASE WHEN off <= 500 THEN round(lat + (lat2 - lat) * t, 6) END AS cut_lat FROM best""", "stops"))
 def cli_01_split_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where two fifths of a walk lie: the leg, the metres walked and those left."""
-    from ..operators import spatial
-
-    legs = spatial.segments(views.stops(spark, sf_dir), "route_id", "ordinal")
-    total = F.sum("metres").over(Window.partitionBy("route_id"))
-    upto = F.col("before") + F.col("metres")
-    held = legs.withColumn("total", total).where(upto >= F.col("total") * F.lit(0.4))
-    return held.groupBy("route_id", "total").agg(F.min("seq").alias("leg")).select("route_id", "leg", F.round(F.col("total") * F.lit(0.4), 1).alias("walked"), F.round(F.col("total") - F.col("total") * F.lit(0.4), 1).alias("left_m"))
+    """Walks cut where their walkers stand: points of either part, metres walked and left; nothing beyond 500 m."""
+    own = walk_lines(spark, sf_dir).select("route_id", geo.split_at(F.col("line"), F.col("p"), F.col("q")).alias("cut"))
+    size = lambda c: F.when(F.col("cut").isNotNull(), F.size(c))
+    return own.select("route_id", size("cut.walked").alias("walked"), size("cut.remaining").alias("remaining"), F.round("cut.travelled", 1).alias("travelled"), F.round(F.col("cut.total") - F.col("cut.travelled"), 1).alias("left_m"), F.round(F.element_at("cut.walked", -1)["lat"], 6).alias("cut_lat"))
+
+
+@query(views.sql(AT + f""", far AS (SELECT *, pow(lon + (lon2 - lon) * t - q, 2) + pow(lat + (lat2 - lat) * t - p, 2) AS off, sqrt(pow(lon2 - lon, 2) + pow(lat2 - lat, 2)) AS d, {views.haversine_sql("lat", "lon", "lat2", "lon2")} AS m FROM foot),
+run AS (SELECT *, (sum(d) OVER (PARTITION BY route_id ORDER BY ordinal) - d + d * t) / nullif(sum(d) OVER (PARTITION BY route_id), 0) AS share, sum(m) OVER (PARTITION BY route_id) AS metres FROM far)
+SELECT route_id, round(coalesce(share, 0), 9) AS share, round(metres, 1) AS metres FROM run QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY off, ordinal) = 1""", "stops"))
+def geo_07_share_along(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far along its walk a walker stands, and the walk's length."""
+    own = walk_lines(spark, sf_dir)
+    return own.select("route_id", F.round(geo.share_along(F.col("line"), F.col("p"), F.col("q")), 9).alias("share"), F.round(geo.line_metres(F.col("line")), 1).alias("metres"))
 
 
 @query(views.sql("SELECT route_id, array_to_string(list_sort(list(place_id)), '-') AS key FROM stops GROUP BY route_id", "stops"))
