@@ -28,10 +28,11 @@ from .common import settle
 SLICES = 256
 #: The sizes and the documents of a source are joined to it in so many parts.
 SOURCE_SALTS = 64
-#: Newton steps of one job, and jobs at most.
+#: Newton steps of one job, and jobs at most: with halving, more than any tilt takes. What counts as met: a share of the target, or of a word.
 NEWTON_STEPS = 4
 NEWTON_JOBS = 20
 TOLERANCE = 1e-6
+MET_WORDS = 0.01
 #: Sums in this type are the same in any order.
 EXACT = "decimal(38,6)"
 #: Fractions of a copy, and bands of sizes a doubling, while copies are rounded.
@@ -86,6 +87,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     Each step adds up words taken and their slope per source, with partial sums where the sizes lie; sums are exact
     decimals, so that reruns agree. A step that leaves the bracket, which every step narrows, is replaced by its
     middle. Sources with target 0, or at their cap, are not live.
+    Targets that aren't met in the end are an error.
     """
     held = F.when(F.col("size") > 0, F.col("size"))
     own = sizes.groupBy("key").agg(F.sum(F.col("docs") * F.col("size")).cast("double").alias("words"), F.sum(F.when(F.col("size") > 0, F.col("docs"))).alias("n"), F.min(held).alias("least"))
@@ -115,6 +117,11 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         state = settle(state, "tilts")
         if state.where(F.col("miss") >= TOLERANCE).isEmpty():
             break
+    else:
+        # Sums have six decimals, so a share of a word is met as well as can be; anything else would be a wrong mix.
+        unmet = state.where((F.col("miss") >= TOLERANCE) & (F.col("miss") * F.col("target") >= MET_WORDS)).select("key", "target", "miss").limit(5).collect()
+        if unmet:
+            raise ArithmeticError(f"no tilt meets the targets of these sources, by that share: {unmet}")
     return state.unionByName(idle).select("key", "target", "scale", "tilt", "live")
 
 

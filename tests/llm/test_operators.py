@@ -107,6 +107,24 @@ def test_rates_are_tilted_as_the_dual_says(spark, corpus):
         assert all(abs(r["rate"] - 3) < 1e-9 for r in own if r["size"] * slopes[0] > np.log(3))
 
 
+def test_targets_that_are_not_met_are_an_error(spark, corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_JOBS", 1)
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.mix_sources(docs_of(spark, corpus, ["many" if i % 4 else "few" for i in range(len(corpus))]), weights=(1, 9)).collect()
+
+
+def test_mix_of_whole_long_texts(spark, corpus):
+    """Untruncated: a source comes within its longest document of the target."""
+    sources = ["many" if i % 4 else "few" for i in range(len(corpus))]
+    rows = mixing.mix_sources(docs_of(spark, corpus, sources), weights=(2, 3)).collect()
+    source = {i: s for (i, _), s in zip(corpus, sources, strict=True)}
+    for s in ("few", "many"):
+        own = [r for r in rows if source[r["doc_id"]] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+        assert all(r["taken"] <= 3 * r["size"] for r in own)
+
+
 def test_mix_of_one_hot_source_and_of_copies(spark):
     docs = spark.range(0, 9000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS source", "if(id % 2 = 0, 'same text of five words', repeat('w ', cast(id % 97 AS int))) AS text")
     rows = mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
