@@ -69,3 +69,24 @@ def stm_11_off_route_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Off the route only after two good fixes in a row that are too far."""
     feed = _feed(spark, sf_dir).where("event_type <> 'error'").select("user_id", "event_id", "ts", (F.col("value") > 60).alias("far"))
     return run_to_end(positions.off_route(feed), "off-route").select("user_id", "event_id", "off")
+
+
+def _guided_parts(spark: SparkSession, sf_dir: str, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A feed of fixes about the first leg of their user's walk, one in four off it; and the walks as lines."""
+    own = views.stops(spark, sf_dir).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "lon", "lat"))).alias("s"))
+    line = F.transform("s", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    walks = own.where(F.size("s") > 1).select(F.col("route_id").alias("user_id"), line.alias("line"), line.alias("stops"))
+    k, a, b = F.col("event_id"), F.element_at("line", 1), F.element_at("line", 2)
+    share = (k * 37 % 101) / F.lit(100.0)
+    aside = F.when(k % 4 == 0, 0.01).otherwise(0.0)
+    fixes = feed.join(walks.select("user_id", "line"), "user_id")
+    fixes = fixes.select("user_id", "event_id", "ts", (a["lat"] + (b["lat"] - a["lat"]) * share + aside).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * share).alias("lon"), (F.col("event_type") != "error").alias("good"))
+    return fixes, walks
+
+
+@query()
+def stm_06_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a guide knows after each fix: how far the walk has come, whether it is off its line, which stop it has reached (also STM-11)."""
+    feed, walks = _guided_parts(spark, sf_dir, _feed(spark, sf_dir))
+    got = run_to_end(positions.guided(feed, walks, late="60 days"), "guided")
+    return got.select("user_id", "event_id", F.round("off_line_m", 1).alias("off_line_m"), F.round("travelled", 1).alias("travelled"), "off", "arrived")

@@ -46,3 +46,57 @@ def off_route(feed: DataFrame, *, in_a_row: int = 2) -> DataFrame:
 
     kind = dict(feed.dtypes)["ts"]
     return feed.groupBy("user_id").applyInPandasWithState(step, f"user_id long, event_id long, ts {kind}, off boolean", "run int", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Fixed values of a guide, in metres: where a stop is reached, how far a walk may slide back, and what is off its line.
+ARRIVED_M = 40.0
+BACKWARD_M = 15.0
+OFF_ROUTE_M = 60.0
+GUIDE_STATE = "travelled double, run int, next int, ts double, event_id long"
+
+
+def guided(feed: DataFrame, walks: DataFrame, *, in_a_row: int = 2, late: str = "10 minutes", forget_s: int = 12 * 3600) -> DataFrame:
+    """user_id, event_id, ts, off_line_m, travelled, off, arrived: what a guide knows after each fix of a feed (may be a stream).
+
+    feed: user_id, event_id, ts, lat, lon, good; walks: user_id, line (array of struct(lon, lat)), stops (the same). Only a
+    good fix tells how far the line is and moves the guide: travelled is the farthest point on the line, less BACKWARD_M;
+    arrived is the number of the next stop (from 1) when it is reached; off is true from so many good fixes in a row that
+    are off the line and not near the next stop (twice ARRIVED_M). Any other fix ends such a run.
+
+    Fixes count in the order of ts and event_id within a batch; one that is not later than what its user's state has
+    seen (repeated, or overtaken) is left out. A user's state goes forget_s after its last fix, by the watermark.
+    """
+    here = geo.located(F.col("line"), F.col("lat"), F.col("lon"))
+    met = feed.withWatermark("ts", late).join(walks.select("user_id", "line", "stops"), "user_id").withColumn("at", here)
+    to_stops = F.transform("stops", lambda s: geo.haversine_m(F.col("lat"), F.col("lon"), s["lat"], s["lon"]))
+    good = F.coalesce(F.col("good"), F.lit(False)) & F.col("at").isNotNull()
+    rows = met.select("user_id", "event_id", "ts", F.when(good, F.col("at.metres")).alias("off_line_m"), F.col("at.along").alias("along"), to_stops.alias("to_stops"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        travelled, run, ahead, seen, last = state.get if state.exists else (0.0, 0, 0, -1.0, -1)
+        own = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        kept = []
+        for event, ts, off_m, along, stops in zip(own["event_id"], own["ts"], own["off_line_m"], own["along"], own["to_stops"], strict=True):
+            moment = ts.timestamp()
+            if (moment, event) <= (seen, last):
+                continue
+            seen, last, arrived = moment, int(event), None
+            if pd.isna(off_m):
+                run = 0
+            else:
+                travelled = max(travelled, along - BACKWARD_M)
+                near = stops[ahead] if ahead < len(stops) else float("inf")
+                run = run + 1 if off_m > OFF_ROUTE_M and near > 2 * ARRIVED_M else 0
+                if near <= ARRIVED_M:
+                    ahead += 1
+                    arrived = ahead
+            kept.append((key[0], last, ts, off_m, travelled, run >= in_a_row, arrived))
+        state.update((travelled, run, ahead, seen, last))
+        state.setTimeoutTimestamp(max(int(seen), state.getCurrentWatermarkMs() // 1000) * 1000 + forget_s * 1000)
+        out = pd.DataFrame(kept, columns=["user_id", "event_id", "ts", "off_line_m", "travelled", "off", "arrived"])
+        yield out.astype({"arrived": "Int32"})
+
+    return rows.groupBy("user_id").applyInPandasWithState(step, f"user_id long, event_id long, ts {dict(feed.dtypes)['ts']}, off_line_m double, travelled double, off boolean, arrived int", GUIDE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -44,6 +44,7 @@ HELD = {
     "opt_16_reference": "test_solvers.py::test_the_shortest_of_all_walks",
     "opt_17_measured": "test_solvers.py::test_a_measured_walk_leaves_out_what_cannot_be_walked_to",
     "set_04_collapsed": "test_resolve.py::test_queries_are_the_rules",
+    "stm_06_progress_stream": "test_streams.py::test_the_guided_query_is_plain_code",
     "top_09_thinned": "test_solvers.py::test_thinned_places_keep_their_distance",
 }
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import views
+from cairn.queries import QUERIES, streams
 from cairn.streaming import journal, positions
 from cairn.streaming.runs import latest_batch, run_to_end
 
@@ -121,3 +124,94 @@ def test_fix_quality(spark):
     df = spark.createDataFrame(rows, "available boolean, fixed boolean, age double, accuracy double")
     q = positions.fix_quality(available=F.col("available"), fixed=F.col("fixed"), age_s=F.col("age"), accuracy_m=F.col("accuracy"))
     assert [r[0] for r in df.select(q).collect()] == ["unavailable", "waiting", "stale", "poor", "good", "good"]
+
+
+def flat_metres(a, b):
+    p = math.radians
+    h = math.sin(p(b[0] - a[0]) / 2) ** 2 + math.cos(p(a[0])) * math.cos(p(b[0])) * math.sin(p(b[1] - a[1]) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+
+def foot_of(line, at):
+    """Metres to the nearest point of a line of (lat, lon), and metres along it."""
+    best, upto = (math.inf, 0.0), 0.0
+    for a, b in zip(line, line[1:]):  # noqa: B905
+        y, x = b[0] - a[0], b[1] - a[1]
+        span = x * x + y * y
+        t = min(1.0, max(0.0, ((at[1] - a[1]) * x + (at[0] - a[0]) * y) / span)) if span else 0.0
+        d = flat_metres(at, (a[0] + y * t, a[1] + x * t))
+        if d < best[0]:
+            best = (d, upto + flat_metres(a, b) * t)
+        upto += flat_metres(a, b)
+    return best
+
+
+def guided_by_hand(batches, walks):
+    """(user, event) -> off_line, travelled, off, arrived."""
+    state, out = {}, {}
+    for rows in batches:
+        for i, ts, u, lat, lon, good in sorted(rows, key=lambda r: (r[1], r[0])):
+            if u not in walks:
+                continue
+            travelled, run, ahead, seen = state.get(u, (0.0, 0, 0, None))
+            if seen and (ts, i) <= seen:
+                continue
+            arrived, far = None, None
+            if good and lat is not None:
+                far, along = foot_of(walks[u], (lat, lon))
+                travelled = max(travelled, along - 15)
+                near = flat_metres((lat, lon), walks[u][ahead]) if ahead < len(walks[u]) else math.inf
+                run = run + 1 if far > 60 and near > 80 else 0
+                if near <= 40:
+                    ahead += 1
+                    arrived = ahead
+            else:
+                run = 0
+            state[u] = (travelled, run, ahead, (ts, i))
+            out[u, i] = (far, travelled, run >= 2, arrived)
+    return out
+
+
+def same_guide(got, want):
+    assert {(r["user_id"], r["event_id"]) for r in got} == want.keys() and len(got) == len(want)
+    for r in got:
+        far, travelled, off, arrived = want[r["user_id"], r["event_id"]]
+        assert (r["off"], r["arrived"]) == (off, arrived)
+        assert math.isclose(r["travelled"], travelled, abs_tol=0.1) and (r["off_line_m"] is None) == (far is None)
+        assert far is None or math.isclose(r["off_line_m"], far, abs_tol=0.1)
+
+
+def test_a_guide_goes_on_from_batch_to_batch(spark, tmp_path):
+    """Fixes along, off and back on a line, near its stops, bad ones, late ones and repeated ones, in four files."""
+    rng = random.Random(8)
+    walks = {1: [(53.5, 24.0), (53.505, 24.0), (53.505, 24.01)], 2: [(53.6, 24.0), (53.6, 24.02)]}
+    events = []
+    for i in range(160):
+        u = rng.choice([1, 2, 3])
+        line = walks.get(u, walks[1])
+        share = min(1.0, i / 150 + rng.uniform(-0.05, 0.02)) * (len(line) - 1)
+        k = max(0, min(int(share), len(line) - 2))
+        a, b, t = line[k], line[k + 1], max(0.0, share - k)
+        aside = rng.choice([0, 0, 0, 0.0004, 0.001])
+        events.append((i, at(i * 2 + rng.randint(0, 1)), u, a[0] + (b[0] - a[0]) * t + aside, a[1] + (b[1] - a[1]) * t, rng.random() > 0.1))
+    events[70] = (*events[70][:3], None, 24.0, True)
+    files = [events[k : k + 40] for k in range(0, 160, 40)]
+    files[2] = [*files[2], files[0][7], files[1][3]]  # late and repeated
+    files[3] = [*files[3], files[3][5], files[3][5]]
+    kind = "event_id long, ts timestamp, user_id long, lat double, lon double, good boolean"
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in-{k}"))
+    feed = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in-*"))
+    point = lambda p: {"lon": p[1], "lat": p[0]}
+    lines = spark.createDataFrame([(u, [point(p) for p in own], [point(p) for p in own]) for u, own in walks.items()], "user_id long, line array<struct<lon:double,lat:double>>, stops array<struct<lon:double,lat:double>>")
+    got = run_to_end(positions.guided(feed, lines), "guided").collect()
+    want = guided_by_hand(files, walks)
+    same_guide(got, want)
+    assert len({r["batch"] for r in got}) == 4 and any(w[2] for w in want.values()) and {w[3] for w in want.values()} >= {1, 2}
+
+
+def test_the_guided_query_is_plain_code(spark, small):
+    feed, walks = streams._guided_parts(spark, small, views.read(spark, small, "events"))
+    line = {r["user_id"]: [(p["lat"], p["lon"]) for p in r["line"]] for r in walks.collect()}
+    rows = [(r["event_id"], r["ts"], r["user_id"], r["lat"], r["lon"], r["good"]) for r in feed.collect()]
+    same_guide(QUERIES["stm_06_progress_stream"](spark, small).collect(), guided_by_hand([rows], line))
