@@ -100,11 +100,32 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def word_similarity(a: Column, b: Column) -> Column:
-    """The greatest similarity of a's trigrams with those of any run of b's ordered trigrams."""
+    """The greatest similarity of a's trigrams with those of any run of b's ordered trigrams.
+
+    A best run begins with a shared trigram. From each of these one pass counts different trigrams and shared ones as the
+    run grows: a trigram is new to a run that began after its last place. So a pair takes shared x all steps.
+    """
+
+    def best(own: Column, other: Column) -> Column:
+        def mark(g: Column, p: Column) -> Column:
+            back = F.array_position(F.reverse(F.slice(other, F.lit(1), p)), g)
+            return F.struct(F.array_contains(own, g).alias("hit"), F.when(back > 0, p - back).otherwise(F.lit(-1).cast("long")).cast("long").alias("last"))
+
+        def grow(s: Column, m: Column, i: Column) -> Column:
+            new = m["last"] < i
+            all_, both = s["all"] + new.cast("int"), s["both"] + (new & m["hit"]).cast("int")
+            return F.struct(all_.alias("all"), both.alias("both"), F.greatest(s["best"], both / (F.size(own) + all_ - both)).alias("best"))
+
+        def from_each(marks: Column) -> Column:
+            start = F.struct(F.lit(0).alias("all"), F.lit(0).alias("both"), F.lit(0.0).alias("best"))
+            tried = F.transform(marks, lambda m, i: F.when(m["hit"], F.aggregate(F.slice(marks, i + 1, F.size(marks) - i), start, lambda s, x: grow(s, x, i), lambda s: s["best"])).otherwise(0.0))
+            return F.coalesce(F.array_max(tried), F.lit(0.0))
+
+        return F.element_at(F.transform(F.array(F.transform(other, mark)), from_each), 1)
+
     own, other = F.array_distinct(ordered_trigrams(a)), ordered_trigrams(b)
-    n = F.size(other)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: jaccard(own, F.slice(other, i, k)))))
-    return F.when((n > 0) & (F.size(own) > 0), F.array_max(runs)).otherwise(0.0)
+    both = F.array(F.struct(own.alias("own"), other.alias("other")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.element_at(F.transform(both, lambda x: best(x["own"], x["other"])), 1))
 
 
 def script_of(c: Column) -> Column:

@@ -33,11 +33,17 @@ def row_problems() -> Column:
     )
 
 
-def quarantined(rows: DataFrame, found: Column) -> DataFrame:
-    """Adds problems and bin: valid, geofence (nothing but a point out of range of degrees; fenced() tells areas), or invalid."""
-    out = rows.withColumn("problems", found)
-    fence = F.array(F.lit("coordinates out of range"))
-    kind = F.when(F.size("problems") == 0, "valid").when(F.size(F.array_except("problems", fence)) == 0, "geofence").otherwise("invalid")
+#: The problem of a row that lies outside the project's areas.
+OUTSIDE = "outside the project area"
+
+
+def quarantined(rows: DataFrame, found: Column, inside: Column) -> DataFrame:
+    """Adds problems and bin: valid, geofence (a point outside the project's areas, whatever else is wrong), or invalid.
+
+    inside: whether the row's point lies in an area, see fenced(); null where there is no point, which is another problem.
+    """
+    out = rows.withColumn("problems", F.concat(found, F.when(~inside, F.array(F.lit(OUTSIDE))).otherwise(F.array().cast("array<string>"))))
+    kind = F.when(F.size("problems") == 0, "valid").when(F.array_contains("problems", OUTSIDE), "geofence").otherwise("invalid")
     return out.withColumn("bin", kind)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,9 +104,11 @@ def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *,
     return best.join(total, key).select(key, id_, F.col("best.offset").alias("offset"), F.when(F.col("length") > 0, F.col("best.at") / F.col("length")).otherwise(0.0).alias("fraction"), "length")
 
 
-def nearest_named_road(points: DataFrame, roads: DataFrame, *, within: float, rival: float) -> DataFrame:
+def nearest_named_road(points: DataFrame, roads: DataFrame, *, within: float, rival: float, refused: Callable[[Column], Column] | None = None) -> DataFrame:
     """place_id, road, metres: the nearest road no farther than within, unless a road of another name lies closer than rival.
 
+    refused tells labels that name no street (numbers): where such a road is the nearest of all, there is no answer.
+
     roads: road (name), a_lat, a_lon, b_lat, b_lon.
     """
     size = max(_cell_size(rival), 0.004)
@@ -115,4 +118,6 @@ def nearest_named_road(points: DataFrame, roads: DataFrame, *, within: float, ri
     each = met.groupBy("place_id", "road").agg(F.min(geo.segment_m(F.col("lat"), F.col("lon"), a, b)["metres"]).alias("metres"))
     w = Window.partitionBy("place_id").orderBy("metres", "road")
     ranked = each.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("metres").over(w))
+    if refused is not None:
+        ranked = ranked.where((F.col("rank") > 1) | ~refused(F.col("road")))
     return ranked.where((F.col("rank") == 1) & (F.col("metres") <= within) & (F.col("next").isNull() | (F.col("next") > rival))).select("place_id", "road", "metres")

@@ -57,6 +57,23 @@ def leg_cap_seconds(profile: Column, budget_minutes: Column) -> Column:
     return F.when(profile == "foot", capped("foot")).when(profile == "bicycle", capped("bicycle")).otherwise(F.coalesce(budget_minutes * 60, F.lit(4 * 3600.0)))
 
 
+#: From here on a plan is too far or too long to walk or cycle.
+TOO_FAR_M, TOO_LONG_S = 15_000.0, 14_400.0
+
+
+def alternatives(profile: Column, metres: Column, seconds: Column) -> Column:
+    """Other means of travel for a plan that outgrows its own: array of struct(profile, reason).
+
+    Walkers are offered a bicycle and a car, cyclists a car, anyone else nothing. A plan that is too far is not too long.
+    """
+    far = F.coalesce(metres, F.lit(0.0)) >= TOO_FAR_M
+    reason = F.when(far, "too_far_to_walk").otherwise("too_long_to_walk")
+    offer = lambda *names: F.array(*(F.struct(F.lit(n).alias("profile"), reason.alias("reason")) for n in names))
+    none = F.array().cast("array<struct<profile:string,reason:string>>")
+    outgrown = far | F.coalesce(seconds >= TOO_LONG_S, F.lit(False))
+    return F.when(outgrown & (profile == "foot"), offer("bicycle", "car")).when(outgrown & (profile == "bicycle"), offer("car")).otherwise(none)
+
+
 def visit_cap_minutes(budget_minutes: Column) -> Column:
     """A visit takes at most two fifths of the budget in a plan, but ten minutes are never cut; null without a budget."""
     return F.when(budget_minutes.isNotNull(), F.greatest(F.lit(VISIT_LEAST), budget_minutes * VISIT_SHARE))

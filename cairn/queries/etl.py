@@ -29,9 +29,15 @@ def flt_13_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("place_id", F.array_join(etl.row_problems(), "; ").alias("problems"))
 
 
-@query(f"WITH raw AS ({RAW}){FOUND} SELECT bin, count(*) AS n FROM (SELECT CASE WHEN len(p) = 0 THEN 'valid' WHEN array_to_string(p, '') = 'coordinates out of range' THEN 'geofence' ELSE 'invalid' END AS bin FROM found) GROUP BY bin")
+@query("WITH " + views.sql("", "areas").removeprefix("WITH ").rstrip() + f""", raw AS ({RAW}){FOUND}, placed AS (SELECT place_id, {views.lat_sql("place_id")} AS lat, {views.lon_sql("place_id")} AS lon FROM raw),
+binned AS (SELECT len(p) AS n, EXISTS (SELECT 1 FROM areas a WHERE a.rings IS NOT NULL AND a.kind = 'district' AND {views.in_area_sql("l.lat", "l.lon", "a")}) AS inside FROM found JOIN placed l USING (place_id))
+SELECT bin, count(*) AS n FROM (SELECT CASE WHEN NOT inside THEN 'geofence' WHEN n = 0 THEN 'valid' ELSE 'invalid' END AS bin FROM binned) GROUP BY bin""")
 def flt_14_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.quarantined(_raw(spark, sf_dir), etl.row_problems()).groupBy("bin").agg(F.count("*").alias("n"))
+    """Rows by bin; a point outside the project's areas (here the districts) is a bin of its own."""
+    k = F.col("place_id")
+    at = etl.fenced(_raw(spark, sf_dir).select("place_id", views.lat_of(k).alias("lat"), views.lon_of(k).alias("lon")), views.areas(spark, sf_dir).where("kind = 'district'"), "place_id")
+    rows = _raw(spark, sf_dir).join(at.select("place_id", "fenced"), "place_id")
+    return etl.quarantined(rows, etl.row_problems(), F.col("fenced")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH raw AS ({RAW}) SELECT place_id, nullif(trim(name), '') AS name, TRY_CAST(visit_minutes AS INTEGER) AS minutes, TRY_CAST(lat AS DOUBLE) AS lat FROM raw")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import geo
-from ..operators import resolve, spatial
+from ..operators import catalogue, resolve, spatial
 from ..operators.staging import small_side
 from .registry import query
 
@@ -181,19 +181,20 @@ def j_16_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("route_id", F.size("s").alias("n"), F.array_join(F.col("s.place_id"), ",").alias("ids"), "missing", "minutes")
 
 
-ROADS = """, roads AS (SELECT 'road-' || (service_id % 40) AS road, lat AS a_lat, lon AS a_lon, lat + CAST(0.01 AS DOUBLE) AS b_lat, lon + CAST(0.02 AS DOUBLE) AS b_lon FROM services),
+ROADS = """, roads AS (SELECT CASE WHEN service_id % 4 = 0 THEN 'М' || (service_id % 40) ELSE 'road of ' || (service_id % 40) END AS road, lat AS a_lat, lon AS a_lon, lat + CAST(0.01 AS DOUBLE) AS b_lat, lon + CAST(0.02 AS DOUBLE) AS b_lon FROM services),
 met AS (SELECT place_id, road, (a_lon - lon) * cos(radians(lat)) AS ax, a_lat - lat AS ay, (b_lon - a_lon) * cos(radians(lat)) AS dx, b_lat - a_lat AS dy FROM places, roads),
 each AS (SELECT place_id, road, min(CAST(111194.92664455873 AS DOUBLE) * sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS metres FROM (
   SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE CAST(0 AS DOUBLE) END AS t FROM met) GROUP BY place_id, road),
 ranked AS (SELECT *, row_number() OVER w AS rank, lead(metres) OVER w AS next FROM each WINDOW w AS (PARTITION BY place_id ORDER BY metres, road))
-SELECT place_id, road, round(metres, 2) AS metres FROM ranked WHERE rank = 1 AND metres <= 500 AND (next IS NULL OR next > 1500)"""
+SELECT place_id, road, round(metres, 2) AS metres FROM ranked WHERE rank = 1 AND metres <= 500 AND (next IS NULL OR next > 1500) AND road LIKE 'road%'"""
 
 
 @query(views.sql(ROADS, "places", "services"))
 def j_17_nearest_road(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest road by name, unless one of another name is close as well."""
-    roads = views.services(spark, sf_dir).select(F.concat(F.lit("road-"), (F.col("service_id") % 40).cast("string")).alias("road"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), (F.col("lat") + F.lit(0.01)).alias("b_lat"), (F.col("lon") + F.lit(0.02)).alias("b_lon"))
-    found = spatial.nearest_named_road(views.places(spark, sf_dir), roads, within=500.0, rival=1500.0)
+    """The nearest road by name, unless it is a number or one of another name is close as well."""
+    label = F.concat(F.when(F.col("service_id") % 4 == 0, "М").otherwise("road of "), (F.col("service_id") % 40).cast("string"))
+    roads = views.services(spark, sf_dir).select(label.alias("road"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), (F.col("lat") + F.lit(0.01)).alias("b_lat"), (F.col("lon") + F.lit(0.02)).alias("b_lon"))
+    found = spatial.nearest_named_road(views.places(spark, sf_dir), roads, within=500.0, rival=1500.0, refused=catalogue.is_road_number)
     return found.select("place_id", "road", F.round("metres", 2).alias("metres"))
 
 

@@ -178,11 +178,17 @@ def opt_08_leg_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "orders").select("o_orderkey", F.round(tours.leg_cap_seconds(profile, budget), 3).alias("cap"))
 
 
-@query(views.sql(LEGS + " SELECT route_id, CASE WHEN sum(metres) >= 15000 OR sum(metres) / " + SPEED + " >= 14400 THEN ['bicycle', 'car'] ELSE [] END AS suggested FROM legs GROUP BY route_id", "stops"))
+@query(views.sql(LEGS + f""", t AS (SELECT route_id, sum(metres) AS m, sum(metres) / CASE route_id % 3 WHEN 0 THEN {SPEED} WHEN 1 THEN CAST(15.0 AS DOUBLE) / CAST(3.6 AS DOUBLE) ELSE CAST(30.0 AS DOUBLE) END AS s FROM legs GROUP BY route_id)
+SELECT route_id, CASE WHEN m >= 15000 OR s >= 14400 THEN CASE route_id % 3 WHEN 0 THEN 'bicycle,car' WHEN 1 THEN 'car' ELSE '' END ELSE '' END AS suggested,
+  CASE WHEN route_id % 3 < 2 THEN CASE WHEN m >= 15000 THEN 'too_far_to_walk' WHEN s >= 14400 THEN 'too_long_to_walk' END END AS reason FROM t""", "stops"))
 def opt_18_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Other means of travel for long walks."""
-    long_ = (F.sum("metres") >= 15_000) | (F.sum("seconds") >= 14_400)
-    return tours.legs(views.stops(spark, sf_dir)).groupBy("route_id").agg(F.when(long_, F.array(F.lit("bicycle"), F.lit("car"))).otherwise(F.array().cast("array<string>")).alias("suggested"))
+    """Other means of travel for plans that outgrow their own: a third each walk, cycle and drive."""
+    r = F.col("route_id")
+    profile = F.when(r % 3 == 0, "foot").when(r % 3 == 1, "bicycle").otherwise("car")
+    speed = F.when(r % 3 == 0, F.lit(geo.SPEEDS["foot"] / 3.6)).when(r % 3 == 1, F.lit(15.0 / 3.6)).otherwise(30.0)
+    total = tours.legs(views.stops(spark, sf_dir)).groupBy("route_id").agg(F.sum("metres").alias("m")).withColumn("s", F.col("m") / speed)
+    offers = total.select("route_id", tours.alternatives(profile, F.col("m"), F.col("s")).alias("o"))
+    return offers.select("route_id", F.array_join("o.profile", ",").alias("suggested"), F.get("o", 0)["reason"].alias("reason"))
 
 
 @query(views.sql("SELECT route_id, CAST((ordinal - 1) // 3 + 1 AS INTEGER) AS chunk, min(ordinal) AS first, least(max(ordinal) + 1, max(n)) AS last FROM (SELECT *, count(*) OVER (PARTITION BY route_id) AS n FROM stops) WHERE ordinal < n OR n = 1 GROUP BY route_id, chunk", "stops"))
