@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from .groups import Columns, by_group
-from .spatial import _cell_size
+from .spatial import cell_size
 from .staging import settle, small_side
 
 
@@ -40,7 +40,7 @@ def shadowed(rows: DataFrame, aliases: DataFrame, *, metres: float = 150.0) -> D
     place meet none; of equally near keepers the first by place_id. rows: place_id, name, lat, lon, owner; aliases:
     place_id, alias. Rows that share a name meet in their grid cells, so a name that many places bear is no single group.
     """
-    size = _cell_size(metres)
+    size = cell_size(metres)
     named = rows.where("lat is not null and lon is not null").select("place_id", "lat", "lon", _is_protected().alias("kept"), text.answered_name(F.col("name")).alias("name"))
     known = aliases.select("place_id", text.answered_name(F.col("alias")).alias("name"))
     auto = named.where("not kept and name <> ''").select("place_id", "name", "lat", "lon", F.explode(geo.cells_around(F.col("lat"), F.col("lon"), size)).alias("cell"))
@@ -69,7 +69,7 @@ def twins(rows: DataFrame, *, metres: float = 5.0) -> DataFrame:
     split into clusters that no chain of near ones can cross (a cell with its empty surroundings), and a walk holds a
     cluster's heads, which lie metres apart.
     """
-    size = _cell_size(metres)
+    size = cell_size(metres)
     named = rows.where("owner = 'auto' and lat is not null and lon is not null")
     named = named.select("place_id", text.answered_name(F.col("name")).alias("name"), F.coalesce("category", F.lit("")).alias("category"), "lat", "lon", richness(rows.columns).alias("rich")).where("name <> ''")
     spot = ["name", "category", "lat", "lon"]
@@ -120,7 +120,7 @@ def suspected_duplicates(rows: DataFrame, *, labels: list[str] | None = None, me
 
     Rows whose name is a generated label, or that lack name or place, take no part.
     """
-    size = _cell_size(metres)
+    size = cell_size(metres)
     own = rows.where("lat is not null and lon is not null")
     if labels:
         own = own.where(~F.coalesce(text.generated_label(F.col("name"), labels), F.lit(False)))

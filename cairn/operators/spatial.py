@@ -14,13 +14,13 @@ from ..functions import geo
 HIGHEST_LAT = 75.0
 
 
-def _cell_size(metres: float) -> float:
+def cell_size(metres: float) -> float:
     return metres / geo.DEGREE_M / math.cos(math.radians(HIGHEST_LAT)) * 1.001
 
 
 def radius_join(left: DataFrame, right: DataFrame, metres: float, *, strict: bool = False) -> DataFrame:
     """Rows of left (lat, lon) with rows of right (r_lat, r_lon) no farther than metres; adds metres."""
-    size = _cell_size(metres)
+    size = cell_size(metres)
     a = left.withColumn("cell", F.explode(geo.cells_around(F.col("lat"), F.col("lon"), size)))
     b = right.withColumn("cell", geo.cell(F.col("r_lat"), F.col("r_lon"), size))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
@@ -96,7 +96,7 @@ def in_pieces(legs: DataFrame, a: tuple[str, str], b: tuple[str, str], reach: Co
 def along_lines(points: DataFrame, legs: DataFrame, key: str, metres: float, *, id_: str) -> DataFrame:
     """key, id_, offset, fraction: points no farther than metres from a path, with how far along it they lie (0 on a path without length)."""
     a, b = (F.col("a_lat"), F.col("a_lon")), (F.col("b_lat"), F.col("b_lon"))
-    boxed = in_pieces(legs, ("a_lat", "a_lon"), ("b_lat", "b_lon"), F.lit(_cell_size(metres)))
+    boxed = in_pieces(legs, ("a_lat", "a_lon"), ("b_lat", "b_lon"), F.lit(cell_size(metres)))
     met = meet_boxes(points.select(id_, "lat", "lon"), boxed)
     met = met.withColumn("hit", geo.segment_m(F.col("lat"), F.col("lon"), a, b)).where(F.col("hit.metres") <= metres)
     best = met.groupBy(key, id_).agg(F.min(F.struct(F.col("hit.metres").alias("offset"), F.col("seq"), (F.col("before") + F.col("hit.along") * F.col("metres")).alias("at"))).alias("best"))
@@ -111,7 +111,7 @@ def nearest_named_road(points: DataFrame, roads: DataFrame, *, within: float, ri
 
     roads: road (name), a_lat, a_lon, b_lat, b_lon.
     """
-    size = max(_cell_size(rival), 0.004)
+    size = max(cell_size(rival), 0.004)
     a, b = (F.col("a_lat"), F.col("a_lon")), (F.col("b_lat"), F.col("b_lon"))
     dealt = roads.withColumn("cell", F.explode(geo.cells_of_segment(a, b, size)))
     met = points.select("place_id", "lat", "lon", F.explode(geo.cells_around(F.col("lat"), F.col("lon"), size)).alias("cell")).join(dealt, "cell")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from . import walks
 from .groups import Columns, by_group
-from .spatial import in_pieces, meet_boxes
+from .spatial import cell_size, in_pieces, meet_boxes
 from .staging import settle
 from .walks import EXHAUSTIVE, UNREACHABLE, Walk
 
@@ -123,6 +123,9 @@ def _walk(own: Columns, unreachable_s: float) -> Walk:
     """The stops of a walk as a problem: visits in seconds, budget and cap of the first row, ways to and from an origin."""
     legs_ = _problem(own)
     legs_ = np.where(legs_ > unreachable_s, UNREACHABLE, legs_)
+    for i, those in enumerate(own["blocked"]):
+        if those is not None:
+            legs_[i, np.isin(own["ordinal"], those)] = UNREACHABLE
     ends = None
     if not np.isnan(float(own["origin_lat"][0])):
         at = [np.radians(own[c].astype(float)) for c in ("lat", "lon", "origin_lat", "origin_lon")]
@@ -157,7 +160,7 @@ def ordered(stops: DataFrame, *, method: str = "tour", key: str = "route_id") ->
 
 
 #: What a plan may be bound by, and what holds without it.
-BINDING = {"visit_minutes": "double", "must": "boolean", "relevance": "double", "budget_minutes": "double", "origin_lat": "double", "origin_lon": "double", "round_trip": "boolean", "profile": "string"}
+BINDING = {"visit_minutes": "double", "must": "boolean", "relevance": "double", "budget_minutes": "double", "origin_lat": "double", "origin_lon": "double", "round_trip": "boolean", "profile": "string", "blocked": "array<int>"}
 
 
 def planned(stops: DataFrame, *, key: str = "route_id", unreachable_s: float = UNREACHABLE) -> DataFrame:
@@ -165,8 +168,9 @@ def planned(stops: DataFrame, *, key: str = "route_id", unreachable_s: float = U
 
     Stops that no leg of less than unreachable_s links both ways are left out, the rest is ordered and trimmed to the
     budget and the profile's longest leg, and stops that still can't be walked to are pruned. seconds and fits are
-    those of the plan; dropped counts the stops left out. stops: key, ordinal, place_id, lat, lon and any of BINDING;
-    budget, origin, round_trip and profile are those of a walk's first stop.
+    those of the plan, walk_s is its walking alone; dropped counts the stops left out. stops: key, ordinal, place_id, lat,
+    lon and any of BINDING; budget, origin, round_trip and profile are those of a walk's first stop; blocked are ordinals
+    of stops that can't be walked to from one, nor back.
     """
     bound = stops.select(key, "ordinal", "place_id", "lat", "lon", *((F.col(c) if c in stops.columns else F.lit(None)).cast(t).alias(c) for c, t in BINDING.items()))
     minutes = planned_minutes(F.col("visit_minutes"), F.col("budget_minutes"))
@@ -174,7 +178,7 @@ def planned(stops: DataFrame, *, key: str = "route_id", unreachable_s: float = U
     dealt = bound.select(
         *(key, "ordinal", "place_id", "lat", "lon", "origin_lat", "origin_lon"),
         (minutes * 60).alias("visit_s"), F.coalesce("must", F.lit(False)).alias("must"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"),
-        (F.col("budget_minutes") * 60).alias("budget_s"), cap.alias("cap_s"), F.coalesce("round_trip", F.lit(False)).alias("round_trip"),
+        (F.col("budget_minutes") * 60).alias("budget_s"), cap.alias("cap_s"), F.coalesce("round_trip", F.lit(False)).alias("round_trip"), "blocked",
     )
 
     def solve(own: Columns) -> Columns:
@@ -186,9 +190,41 @@ def planned(stops: DataFrame, *, key: str = "route_id", unreachable_s: float = U
         seconds = walk.total(order)
         n = len(order)
         fits = bool(walk.measured(np.array([order], np.int64))[0] <= walk.budget)
-        return {key: own[key][:n], "position": np.arange(n), "place_id": own["place_id"][[alive[i] for i in order]], "seconds": np.full(n, seconds), "fits": np.full(n, fits), "dropped": np.full(n, len(whole.legs) - n)}
+        return {key: own[key][:n], "position": np.arange(n), "place_id": own["place_id"][[alive[i] for i in order]], "seconds": np.full(n, seconds), "fits": np.full(n, fits), "dropped": np.full(n, len(whole.legs) - n), "walk_s": np.full(n, seconds - walk.visits[order].sum())}
 
-    return by_group(dealt, key, ["ordinal"], solve, f"{key} long, position int, place_id long, seconds double, fits boolean, dropped int")
+    return by_group(dealt, key, ["ordinal"], solve, f"{key} long, position int, place_id long, seconds double, fits boolean, dropped int, walk_s double")
+
+
+def stepped_legs(stops: DataFrame, stairways: DataFrame, *, near_m: float = 15.0, key: str = "route_id") -> DataFrame:
+    """key, i, j: legs between any two stops (ordinals, i < j) of a walk that a stairway (lat, lon) stands on. A walk's stops are few."""
+    a = stops.select(key, F.col("ordinal").alias("i"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = stops.select(key, F.col("ordinal").alias("j"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    legs_ = in_pieces(a.join(b, key).where("i < j"), ("a_lat", "a_lon"), ("b_lat", "b_lon"), F.lit(cell_size(near_m)))
+    ends = (F.col("a_lat"), F.col("a_lon")), (F.col("b_lat"), F.col("b_lon"))
+    return meet_boxes(stairways.select("lat", "lon"), legs_).where(geo.segment_m(F.col("lat"), F.col("lon"), *ends)["metres"] <= near_m).select(key, "i", "j").distinct()
+
+
+def step_free_price(stops: DataFrame, stairways: DataFrame, *, near_m: float = 15.0, key: str = "route_id", unreachable_s: float = UNREACHABLE) -> DataFrame:
+    """key, walk_minutes, without_steps_minutes, detour_minutes, fits, kept, kept_plain, services: what a walk without steps costs.
+
+    Services are where a walk rests, not its stops, unless they must be visited: they are counted and left out. What is
+    left is planned twice, as planned() does: on any leg (without_steps_minutes), and on none that a stairway stands on
+    (walk_minutes), each in an order of its own; the second plan's fit to the budget and the stops of either are given.
+    The detour is the difference, and never below nothing. A walk of fewer than two stops has no plan. stops: also
+    service (boolean).
+    """
+    is_stop = ~F.coalesce("service", F.lit(False)) | F.coalesce("must", F.lit(False))
+    counts = stops.groupBy(key).agg(F.count_if(~is_stop).alias("services"), F.count_if(is_stop).alias("n"))
+    sights = settle(stops.where(is_stop).join(counts.where("n >= 2").select(key), key, "left_semi"), "sights")
+    found = settle(stepped_legs(sights, stairways, near_m=near_m, key=key), "stepped")
+    both = found.select(key, F.col("i").alias("ordinal"), F.col("j").alias("to")).unionByName(found.select(key, F.col("j").alias("ordinal"), F.col("i").alias("to")))
+    masked = sights.join(both.groupBy(key, "ordinal").agg(F.collect_set("to").alias("blocked")), [key, "ordinal"], "left")
+    minutes = lambda df, name, kept: df.groupBy(key).agg(F.round(F.first("walk_s") / 60).cast("int").alias(name), F.count("*").alias(kept), F.first("fits").alias(f"fits_{name}"))
+    free = minutes(planned(masked, key=key, unreachable_s=unreachable_s), "walk_minutes", "kept")
+    plain = minutes(planned(sights, key=key, unreachable_s=unreachable_s), "without_steps_minutes", "kept_plain")
+    out = counts.join(free, key, "left").join(plain, key, "left")
+    detour = F.greatest(F.lit(0), F.col("walk_minutes") - F.col("without_steps_minutes")).alias("detour_minutes")
+    return out.select(key, "walk_minutes", "without_steps_minutes", F.when(F.col("walk_minutes").isNotNull(), detour).alias("detour_minutes"), F.col("fits_walk_minutes").alias("fits"), "kept", "kept_plain", "services")
 
 
 def fitted(stops: DataFrame, *, budget_minutes: float, key: str = "route_id") -> DataFrame:

@@ -116,6 +116,14 @@ def opt_17_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tours.planned(_bound(spark, sf_dir), unreachable_s=20_000.0).select("route_id", "position", "place_id", F.round("seconds", 2).alias("seconds"), "fits", "dropped")
 
 
+@query()
+def opt_17_step_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each walk costs without steps (stairways stand at the services' places), services aside."""
+    kinds = views.categories(spark, sf_dir).select(F.col("code").alias("category"), (F.col("role") == "service").alias("service"))
+    own = views.places(spark, sf_dir).select("place_id", "category").join(F.broadcast(kinds), "category").select("place_id", "service")  # a taxonomy
+    return tours.step_free_price(_bound(spark, sf_dir).join(own, "place_id"), views.services(spark, sf_dir), near_m=400.0)
+
+
 ORIGIN = f"CASE WHEN route_id % 2 = 0 THEN {views.lat_sql('route_id')} END AS olat, CASE WHEN route_id % 2 = 0 THEN {views.lon_sql('route_id')} END AS olon"
 
 

@@ -43,6 +43,7 @@ HELD = {
     "opt_11_pruned": "test_solvers.py::test_pruned_stops_are_over_the_cap",
     "opt_16_reference": "test_solvers.py::test_the_shortest_of_all_walks",
     "opt_17_measured": "test_solvers.py::test_a_measured_walk_leaves_out_what_cannot_be_walked_to",
+    "opt_17_step_free": "test_solvers.py::test_the_price_of_walks_without_steps",
     "set_04_collapsed": "test_resolve.py::test_queries_are_the_rules",
     "stm_06_progress_stream": "test_streams.py::test_the_guided_query_is_plain_code",
     "top_09_thinned": "test_solvers.py::test_thinned_places_keep_their_distance",

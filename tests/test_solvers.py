@@ -104,6 +104,43 @@ def test_the_shortest_of_all_walks(spark, small):
         assert math.isclose(got[k], least_line(own[k]) / (4 / 3.6), abs_tol=0.02)
 
 
+def foot_m(at, a, b):
+    """Metres from a point to a segment, on a plane about the point."""
+    c = math.cos(math.radians(at[0]))
+    (ay, ax), (by, bx) = ((y - at[0], (x - at[1]) * c) for y, x in (a, b))
+    span = (bx - ax) ** 2 + (by - ay) ** 2
+    t = min(1.0, max(0.0, -(ax * (bx - ax) + ay * (by - ay)) / span)) if span else 0.0
+    return math.radians(1) * 6_371_000 * math.hypot(ax + t * (bx - ax), ay + t * (by - ay))
+
+
+def test_the_price_of_walks_without_steps(spark):
+    """Short walks: the cheapest order of all on legs without stairways, against the cheapest on any."""
+    rng = random.Random(4)
+    rows = [(w, i + 1, 100 * w + i, 53.5 + rng.uniform(0, 0.02), 24.0 + rng.uniform(0, 0.03), i == 4 or w == 9, w == 3 and i == 4) for w in range(10) for i in range(5)]
+    stairs = [(53.5 + rng.uniform(0, 0.02), 24.0 + rng.uniform(0, 0.03)) for _ in range(14)]
+    df = spark.createDataFrame(rows, STOPS + ", service boolean, must boolean").withColumn("visit_minutes", F.lit(10))
+    got = {r["route_id"]: r for r in tours.step_free_price(df, spark.createDataFrame(stairs, "lat double, lon double"), near_m=100.0).collect()}
+    seen = set()
+    for w in range(10):
+        at = [r[3:5] for r in rows if r[0] == w and (not r[5] or r[6])]
+        assert got[w]["services"] == 5 - len(at)
+        if len(at) < 2:
+            assert got[w]["walk_minutes"] is None and got[w]["detour_minutes"] is None
+            continue
+        leg = lambda i, j, at=at: metres(at[i], at[j]) / (4 / 3.6)
+        bad = {(i, j) for i in range(len(at)) for j in range(len(at)) if i != j and any(foot_m(s, at[i], at[j]) <= 100 for s in stairs)}
+        orders = list(permutations(range(len(at))))
+        cost = lambda o: sum(map(leg, o, o[1:]))
+        plain = min(map(cost, orders))
+        free = [cost(o) for o in orders if not any(p in bad for p in zip(o, o[1:]))]  # noqa: B905
+        assert got[w]["without_steps_minutes"] == round(plain / 60) and got[w]["kept_plain"] == len(at)
+        if free:
+            assert got[w]["walk_minutes"] == round(min(free) / 60) and got[w]["kept"] == len(at)
+            assert got[w]["detour_minutes"] == max(0, round(min(free) / 60) - round(plain / 60))
+            seen.add(got[w]["detour_minutes"] > 0)
+    assert seen == {True, False}
+
+
 def test_one_stop_and_no_stop(spark):
     assert tours.ordered(spark.createDataFrame(walks(1, 1, 3), STOPS)).count() == 1
     assert tours.ordered(spark.createDataFrame([], STOPS)).count() == 0
