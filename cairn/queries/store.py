@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -258,3 +260,60 @@ def msc_20_manoeuvres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     legs = spatial.segments(views.stops(spark, sf_dir), "route_id", "ordinal")
     return legs.select("route_id", F.col("seq").alias("ordinal"), F.round(F.col("before") + F.col("metres") / 2, 1).alias("metres"))
+
+
+CHANGES_SQL = """changes AS (SELECT event_id + 1 AS change_id, (event_id * 31) % (SELECT 2 * count(*) // 3 FROM part) AS place_id, CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' ELSE 'update' END AS op,
+  CASE WHEN event_id % 7 <> 0 THEN 'name ' || event_id END AS name, 'kind ' || event_id % 4 AS category, 'town ' || event_id % 3 AS town, CASE event_id % 4 WHEN 0 THEN ['name'] WHEN 1 THEN ['category', 'town'] WHEN 2 THEN ['town'] ELSE ['name', 'category'] END AS sets FROM events)"""
+#: One change after another: of each key the last row so far, and what the change makes of it.
+APPLIED_SQL = f""", {CHANGES_SQL}, ordered AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY change_id) AS n FROM changes),
+start AS (SELECT place_id, name, category, town, owner, 'v' || place_id AS vector FROM places),
+steps AS (SELECT k.place_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS change_id, CAST(NULL AS VARCHAR) AS outcome, s.place_id IS NOT NULL AS here, s.name, s.category, s.town, s.owner, s.vector, false AS was, CAST(NULL AS VARCHAR) AS old_name
+    FROM (SELECT DISTINCT place_id FROM changes UNION SELECT place_id FROM start) k LEFT JOIN start s USING (place_id)
+  UNION ALL SELECT p.place_id, c.n, c.change_id,
+    CASE WHEN c.op = 'create' THEN CASE WHEN p.here THEN 'duplicate' ELSE 'created' END WHEN NOT p.here THEN 'missing' ELSE c.op || 'd' END, c.op = 'create' OR (p.here AND c.op = 'update'),
+    CASE WHEN c.op = 'create' AND NOT p.here OR c.op = 'update' AND p.here AND list_contains(c.sets, 'name') THEN c.name ELSE p.name END,
+    CASE WHEN c.op = 'create' AND NOT p.here OR c.op = 'update' AND p.here AND list_contains(c.sets, 'category') THEN c.category ELSE p.category END,
+    CASE WHEN c.op = 'create' AND NOT p.here OR c.op = 'update' AND p.here AND list_contains(c.sets, 'town') THEN c.town ELSE p.town END,
+    CASE WHEN c.op = 'create' AND NOT p.here OR c.op = 'update' AND p.here AND list_contains(c.sets, 'category') THEN 'curated' ELSE p.owner END,
+    CASE WHEN c.op = 'create' AND NOT p.here OR c.op = 'update' AND p.here THEN NULL ELSE p.vector END, p.here, p.name
+  FROM steps p JOIN ordered c ON c.place_id = p.place_id AND c.n = p.n + 1)"""
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = F.col("event_id")
+    n = views.read(spark, sf_dir, "part").count() * 2 // 3
+    sets = lambda *names: F.array(*(F.lit(c) for c in names))
+    log = views.read(spark, sf_dir, "events").select(
+        (e + 1).alias("change_id"), (e * 31 % n).alias("place_id"), F.when(e % 5 == 0, "create").when(e % 5 == 1, "delete").otherwise("update").alias("op"),
+        F.when(e % 7 != 0, F.concat(F.lit("name "), e.cast("string"))).alias("name"), F.concat(F.lit("kind "), (e % 4).cast("string")).alias("category"), F.concat(F.lit("town "), (e % 3).cast("string")).alias("town"),
+        F.when(e % 4 == 0, sets("name")).when(e % 4 == 1, sets("category", "town")).when(e % 4 == 2, sets("town")).otherwise(sets("name", "category")).alias("sets"),
+    )
+    rows = views.places(spark, sf_dir).select("place_id", "name", "category", "town", "owner", F.concat(F.lit("v"), F.col("place_id").cast("string")).alias("vector"))
+    return store.applied(rows, log, key="place_id", columns=["name", "category", "town"], embedded=["name", "category", "town"])
+
+
+@query("WITH RECURSIVE " + views.sql(APPLIED_SQL + " SELECT place_id, name, category, town, owner, vector FROM steps WHERE here QUALIFY n = max(n) OVER (PARTITION BY place_id)", "places").removeprefix("WITH ").replace("FROM steps WHERE here QUALIFY n = max(n) OVER (PARTITION BY place_id)", "FROM (SELECT * FROM steps QUALIFY n = max(n) OVER (PARTITION BY place_id)) WHERE here"))
+def snk_12_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places after a log of creates, updates and deletes."""
+    return _changed(spark, sf_dir)[0]
+
+
+@query("WITH RECURSIVE " + views.sql(APPLIED_SQL + " SELECT change_id, place_id, outcome, CASE WHEN was THEN old_name END AS before, CASE WHEN here THEN name END AS after, CASE WHEN here THEN owner END AS owner FROM steps WHERE n > 0", "places").removeprefix("WITH "))
+def snk_12_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every change of the log did, and the names before and after it."""
+    return _changed(spark, sf_dir)[1].select("change_id", "place_id", "outcome", F.col("before.name").alias("before"), F.col("after.name").alias("after"), "after.owner")
+
+
+@query("""WITH n AS (SELECT * FROM nation WHERE n_regionkey <> 1), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)),
+s AS (SELECT s_suppkey, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM n) THEN s_nationkey END AS s_nationkey FROM supplier)
+SELECT 'region' AS kind, count(*) AS n, sum(r_regionkey) AS keys FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 'nation', count(*), sum(n_nationkey) FROM n UNION ALL SELECT 'customer', count(*), sum(c_custkey) FROM c
+UNION ALL SELECT 'orders', count(*), sum(o_orderkey) FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'supplier', count(*), sum(s_nationkey) FROM s""")
+def snk_16_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region deleted with its nations, their customers, orders and lines; its suppliers stay, without a nation."""
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "supplier": "s_suppkey"}
+    tables = {t: views.read(spark, sf_dir, t) for t in keys}
+    links = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders")]
+    links = [store.Reference(*x) for x in links] + [store.Reference("supplier", "s_nationkey", "nation", cascade=False)]
+    left = store.cascaded(tables, keys, links, {"region": tables["region"].where("r_regionkey = 1").select("r_regionkey")})
+    each = [df.agg(F.lit(t).alias("kind"), F.count("*").alias("n"), F.sum("s_nationkey" if t == "supplier" else keys[t]).alias("keys")) for t, df in left.items()]
+    return reduce(DataFrame.unionByName, each)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -111,3 +112,37 @@ def test_areas_as_text_and_fence(spark):
     }
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.5, 11.5), (3, 3.0, 13.0), (4, 9.0, 9.0)], "id int, lat double, lon double")
     assert {r["id"]: r["fenced"] for r in etl.fenced(points, df.where("code = 'a'"), "id").collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_deletes_go_on_to_all_that_hangs_on_a_row(spark):
+    """Over a table that refers to itself, and to another in a circle; other references are emptied."""
+    from cairn.operators import store
+
+    rng = random.Random(3)
+    users = [(i, rng.choice([None, *range(40)])) for i in range(40)]  # user, their favourite thread
+    threads = [(i, rng.randrange(45), rng.choice([None, *range(40)])) for i in range(40)]  # thread, owner, parent
+    turns = [(i, rng.choice([None, *range(40)])) for i in range(100)]
+    tables = {"u": spark.createDataFrame(users, "user int, likes int"), "t": spark.createDataFrame(threads, "thread int, owner int, parent int"), "x": spark.createDataFrame(turns, "turn int, within int")}
+    links = [store.Reference("t", "owner", "u"), store.Reference("t", "parent", "t"), store.Reference("x", "within", "t"), store.Reference("u", "likes", "t", cascade=False)]
+    got = store.cascaded(tables, {"u": "user", "t": "thread", "x": "turn"}, links, {"u": spark.createDataFrame([(3,), (8,), (999,)], "user int")})
+    gone_t: set = set()
+    while True:
+        more = {t for t, owner, parent in threads if owner in (3, 8) or parent in gone_t} - gone_t
+        if not more:
+            break
+        gone_t |= more
+    assert len(gone_t) > 5
+    assert sorted(map(tuple, got["t"].collect()), key=repr) == sorted((t for t in threads if t[0] not in gone_t), key=repr)
+    assert sorted(map(tuple, got["x"].collect()), key=repr) == sorted((x for x in turns if x[1] not in gone_t), key=repr)
+    assert sorted(map(tuple, got["u"].collect()), key=repr) == sorted(((u, None if likes in gone_t else likes) for u, likes in users if u not in (3, 8)), key=repr)
+
+
+def test_a_log_of_changes_and_what_each_did(spark):
+    from cairn.operators import store
+
+    rows = spark.createDataFrame([(1, "a", "k", "auto", [1.0]), (2, "b", "k", "auto", [2.0])], "id long, name string, category string, owner string, vector array<double>")
+    log = [(1, "update", 1, None, None, ["name"]), (2, "update", 2, None, "new", ["category"]), (3, "delete", 1, None, None, None), (4, "update", 1, "x", None, ["name"]), (5, "create", 1, "c", None, None), (6, "create", 1, "d", None, None), (7, "update", 1, "ignored", "kind", []), (8, "delete", 9, None, None, None), (9, "create", 9, None, None, None)]
+    out, done = store.applied(rows, spark.createDataFrame(log, "change_id int, op string, id long, name string, category string, sets array<string>"), key="id", columns=["name", "category"], embedded=["name"])
+    assert {r["id"]: tuple(r)[1:] for r in out.collect()} == {1: ("c", None, "curated", None), 2: ("b", "new", "curated", [2.0]), 9: (None, None, "curated", None)}
+    got = {r["change_id"]: (r["outcome"], r["before"] and r["before"]["name"], r["after"] and (r["after"]["name"], r["after"]["vector"])) for r in done.collect()}
+    assert got == {1: ("updated", "a", (None, None)), 2: ("updated", "b", ("b", [2.0])), 3: ("deleted", None, None), 4: ("missing", None, None), 5: ("created", None, ("c", None)), 6: ("duplicate", "c", ("c", None)), 7: ("updated", "c", ("c", None)), 8: ("missing", None, None), 9: ("created", None, (None, None))}
