@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common, decontam, encoder, linededup, mixing, quality, queries, secretscan, simhash, tokenfile, topk, toxicity, urlrules
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, rank int"
+#: Columns beyond those that operators ask for, named as their inner ones are.
+CLASHES = ("kept", "rank", "key", "size", "salt", "rate", "id", "fp", "root", "row_a", "width", "fingerprint", "component_id", "spans", "score", "label", "y", "weight", "buckets", "shard", "offset", "token", "line", "copies", "target", "cell", "h", "n")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def docs_of(spark, texts, sources=None):
     """A documents table with other columns, some of which bear names that operators use."""
-    return spark.createDataFrame([(i, t, "en", (sources or ["web"] * len(texts))[k], 0, "x", 1) for k, (i, t) in enumerate(texts)], DOCS)
+    return spark.createDataFrame([(i, t, "en", (sources or ["web"] * len(texts))[k], 0, *("x" for _ in CLASHES)) for k, (i, t) in enumerate(texts)], DOCS)
 
 
 @pytest.fixture(scope="module")
