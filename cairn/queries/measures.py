@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import geo
-from ..operators import measures
+from ..operators import measures, trajectories
 from .registry import query
 
 
@@ -163,11 +163,28 @@ def agg_29_known_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cases"), "problem")))  # a row for each kind of problem
 
 
-@query("SELECT user_id, array_to_string(list(event_type ORDER BY ts, event_id)[1:3], '>') AS first_calls, list(event_type ORDER BY ts, event_id)[1:2] = ['view', 'click'] AS as_expected FROM events GROUP BY user_id")
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events),
+u AS (SELECT user_id, count(*) FILTER (WHERE event_type <> 'purchase') AS work, list(event_type ORDER BY ts, event_id) AS names, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'click' AND floor(value / 20) = user_id % 3) AS clicked,
+  coalesce(bool_or(event_type = 'view' AND nth = 1 AND value > 5), false) AS seen, coalesce(bool_or(event_type = 'error' AND nth = 1 AND value < 20), false) AS late FROM s GROUP BY user_id),
+f AS (SELECT user_id, list_filter([CASE WHEN NOT clicked THEN 'args:click' END, CASE WHEN NOT late THEN 'error:error' END, CASE WHEN work > 60 THEN 'max_tool_calls' END, CASE WHEN NOT seen THEN 'result:view' END,
+  CASE WHEN user_id % 4 = 0 AND names[1] = 'error' THEN 'status' END, CASE WHEN bought <> (user_id % 2 = 0) THEN 'submitted' END, CASE WHEN user_id % 3 = 0 THEN 'tools' END], lambda x: x IS NOT NULL) AS failed FROM u)
+SELECT user_id, len(failed) = 0 AS passed, array_to_string(failed, ',') AS failed FROM f""")
 def agg_30_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calls of a run in order, held against an expected list."""
-    calls = views.read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))["event_type"].alias("c"))
-    return calls.select("user_id", F.array_join(F.slice("c", 1, 3), ">").alias("first_calls"), (F.slice("c", 1, 2) == F.array(F.lit("view"), F.lit("click"))).alias("as_expected"))
+    """Runs of calls (a user's events) against expectations: names in order, work, arguments and results as parts, errors, the end."""
+    e, u, v = views.read(spark, sf_dir, "events"), F.col("case_id"), F.col("value")
+    body = lambda *c: F.to_json(F.struct(*c))
+    args = body(F.struct(F.floor(v / 20).alias("band"), F.lit("x").alias("more")).alias("at"), F.col("event_id").alias("id"))
+    kind = F.col("event_type")
+    steps = e.select(F.col("user_id").alias("case_id"), F.struct("ts", "event_id").alias("seq"), kind.alias("name"), args.alias("args"), body((v > 5).alias("ok"), F.array(v).alias("list")).alias("result"), F.when(kind == "error", F.when(v < 20, "late").otherwise("lost")).alias("error"))
+    runs = steps.groupBy("case_id").agg(F.bool_or(F.col("name") == "purchase").alias("submitted"), F.min_by("name", "seq").alias("status"), F.array_sort(F.collect_list(F.struct("seq", "name")))["name"].alias("names"))
+    strings = lambda *c: F.array(*(F.lit(x) for x in c))
+    expected = runs.select(
+        u, F.when(u % 3 == 0, strings("none")).otherwise(F.col("names")).alias("tools"), F.lit(60).alias("max_calls"),
+        F.create_map(F.lit("click"), body(F.struct((u % 3).alias("band")).alias("at"))).alias("args"), F.create_map(F.lit("view"), F.lit('{"ok": true}')).alias("results"), F.create_map(F.lit("error"), F.lit("late")).alias("errors"),
+        (u % 2 == 0).alias("submitted"), F.when(u % 4 == 0, F.array_except(F.array_distinct("names"), strings("error"))).alias("status"),
+    )
+    found = trajectories.verdicts(trajectories.checked(steps, runs, expected, terminal="purchase"))
+    return found.select(u.alias("user_id"), "passed", F.array_join("failed", ",").alias("failed"))
 
 
 @query("SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (WHERE value < t) AS below, count(*) FILTER (WHERE value >= t) AS above FROM events, (SELECT unnest([10, 50, 100]) AS t) GROUP BY t")

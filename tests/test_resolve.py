@@ -157,7 +157,7 @@ def test_queries_are_the_rules(spark):
     folder = "/root/testdata/sf0.01"
     rows = [r.asDict() for r in views.places(spark, folder).collect()]
     telling = [c for c in resolve.TELLING if c in rows[0]]
-    assert {r["place_id"]: r["keeper"] for r in QUERIES["j_11_twins"](spark, folder).collect()} == plain_twins(rows, 9000.0, telling)
+    assert {r["place_id"]: r["keeper"] for r in QUERIES["j_11_twins"](spark, folder).collect()} == plain_twins(rows, 60_000.0, telling)
     aliases = [tuple(r) for r in views.aliases(spark, folder).select("place_id", "alias").collect()]
     pairs = [tuple(r) for r in _pairs(spark, folder, 4, 3).select("keep", "drop").collect()]
     want = plain_collapsed(rows, aliases, pairs, 6000.0, 9000.0, telling)

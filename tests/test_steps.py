@@ -146,3 +146,46 @@ def test_a_log_of_changes_and_what_each_did(spark):
     assert {r["id"]: tuple(r)[1:] for r in out.collect()} == {1: ("c", None, "curated", None), 2: ("b", "new", "curated", [2.0]), 9: (None, None, "curated", None)}
     got = {r["change_id"]: (r["outcome"], r["before"] and r["before"]["name"], r["after"] and (r["after"]["name"], r["after"]["vector"])) for r in done.collect()}
     assert got == {1: ("updated", "a", (None, None)), 2: ("updated", "b", ("b", [2.0])), 3: ("deleted", None, None), 4: ("missing", None, None), 5: ("created", None, ("c", None)), 6: ("duplicate", "c", ("c", None)), 7: ("updated", "c", ("c", None)), 8: ("missing", None, None), 9: ("created", None, (None, None))}
+
+
+def test_trajectories_against_expectations(spark):
+    import json
+
+    from cairn.operators import trajectories
+
+    def within(wanted, actual):
+        return all(k in actual and within(v, actual[k]) for k, v in wanted.items()) if isinstance(wanted, dict) and isinstance(actual, dict) else wanted == actual
+
+    steps = [
+        (1, 1, "find", {"near": {"lat": 1.5, "lon": 2}, "k": 3}, {"ok": True, "ids": [1, 2]}, None), (1, 2, "plan", {"ids": [1, 2]}, {"ok": False}, "no_route"),
+        (1, 3, "plan", {"ids": [2]}, {"ok": True}, None), (1, 4, "submit_plan", {}, None, None), (2, 1, "find", {"near": None}, None, None),
+    ]
+    expect = [
+        (1, ["find", "plan", "plan", "submit_plan"], 3, {"find": {"near": {"lat": 1.5}}, "plan": {"ids": [2]}}, {"plan": {"ok": False}, "find": {"ids": [1]}}, {"plan": "no_route"}, True, ["done"]),
+        (2, ["find", "plan"], 0, {"find": {"near": {"lat": 1}}, "plan": {}}, {"find": {"a": 1}}, {"find": "x"}, True, None),
+        (3, ["find"], 0, {}, None, None, False, ["done"]),
+        (4, None, None, None, None, None, None, None),
+    ]
+    text_of = lambda m: m and {k: json.dumps(v) for k, v in m.items()}
+    df = spark.createDataFrame([(c, s, n, json.dumps(a), r and json.dumps(r), e) for c, s, n, a, r, e in steps], "case_id int, seq int, name string, args string, result string, error string")
+    asked = spark.createDataFrame([(c, t, m, text_of(a), text_of(r), e, s, st) for c, t, m, a, r, e, s, st in expect], "case_id int, tools array<string>, max_calls int, args map<string,string>, results map<string,string>, errors map<string,string>, submitted boolean, status array<string>")
+    runs = spark.createDataFrame([(1, True, "done"), (2, False, None)], "case_id int, submitted boolean, status string")
+    checks = trajectories.checked(df, runs, asked)
+    ends, want = {1: (True, "done"), 2: (False, None)}, {}
+    for c, tools, most, args, results, errors, submitted, status in expect:
+        own = [s for s in steps if s[0] == c]
+        first = lambda tool, own=own: next((s for s in own if s[2] == tool), None)
+        if tools is not None:
+            want[c, "tools"] = [s[2] for s in own] == tools
+        if most is not None:
+            want[c, "max_tool_calls"] = sum(s[2] != "submit_plan" for s in own) <= most
+        want |= {(c, f"args:{t}"): any(s[2] == t and within(a, s[3]) for s in own) for t, a in (args or {}).items()}
+        want |= {(c, f"result:{t}"): first(t) is not None and within(a, first(t)[4]) for t, a in (results or {}).items()}
+        want |= {(c, f"error:{t}"): first(t) is not None and first(t)[5] == a for t, a in (errors or {}).items()}
+        if submitted is not None:
+            want[c, "submitted"] = ends.get(c, (False, None))[0] == submitted
+        if status is not None:
+            want[c, "status"] = ends.get(c, (False, None))[1] in status
+    assert {(r["case_id"], r["name"]): r["ok"] for r in checks.collect()} == want
+    failed = {r["case_id"]: (r["passed"], r["failed"]) for r in trajectories.verdicts(checks).collect()}
+    assert failed == {c: (all(ok for (k, _), ok in want.items() if k == c), sorted(n for (k, n), ok in want.items() if k == c and not ok)) for c in (1, 2, 3)}
