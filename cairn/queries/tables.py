@@ -154,3 +154,80 @@ def msc_15_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.createDataFrame([(" Место  BLUE bolt!",)], "name string")
     rows = seeded(_elements(spark, sf_dir), out, views.areas(spark, sf_dir), towns, fresh_path(spark, "seeded"))
     return rows.select("source_url", "name", "district", "town", "lat")
+
+
+def _as_documents(rows: DataFrame, name: str, *, each: int = 500) -> str:
+    """The path of JSON files of one document each, whose one field (name) holds about so many of the rows."""
+    path = fresh_path(rows.sparkSession, name)
+    count = max(1, -(-rows.count() // each))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(count)).alias("k")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+    dealt.select(name).write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+@query("""SELECT CAST(p_partkey AS INTEGER) AS id, p_name AS name, CASE WHEN p_partkey % 5 <> 0 THEN lower(p_type) END AS category, CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS facts,
+  CASE WHEN p_partkey % 2 = 0 THEN 'https://a.example/' || p_partkey || ' https://b.example' ELSE '' END AS links FROM part""")
+def src_02_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated rows written with tails of facts and links, however many, and read back."""
+    path, k = fresh_path(spark, "curated"), F.col("p_partkey")
+    own = views.read(spark, sf_dir, "part")
+    tail = F.concat(F.when(k % 3 == 0, F.lit("|one fact|another")).otherwise(""), F.when(k % 2 == 0, F.concat(F.lit("|https://a.example/"), k.cast("string"), F.lit("|https://b.example"))).otherwise(""))
+    line = F.concat(F.concat_ws("|", k.cast("string"), "p_name", F.when(k % 5 != 0, F.lower("p_type")).otherwise(" "), F.lit("blurb"), F.lit("")), tail)
+    own.select(line.alias("value")).write.text(path)
+    return files.read_curated(spark, path).select("id", "name", "category", F.size("facts").alias("facts"), F.array_join("links", " ").alias("links"))
+
+
+@query(views.sql("SELECT code, role, CAST(CASE WHEN length(code) % 3 = 0 THEN 0 ELSE 2 END AS INTEGER) AS tags, CAST(visit_minutes AS INTEGER) AS visit_minutes, highlight FROM categories", "categories"))
+def src_03_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy written as a file with its header and read back: lists split, numbers and flags cast, codes unique."""
+    path, code = fresh_path(spark, "taxonomy"), F.col("code")
+    tags = F.when(F.length(code) % 3 != 0, F.concat(F.lit("historic="), code, F.lit("| tourism=yes |"))).otherwise("")
+    own = views.categories(spark, sf_dir).select("code", code.alias("ru"), code.alias("en"), "role", tags.alias("osm_tags"), "visit_minutes", F.lit("").alias("aliases_ru"), F.lit("a|b").alias("aliases_en"), F.col("highlight").cast("string").alias("highlight"))
+    own.write.option("header", True).csv(path)
+    return files.read_taxonomy(spark, path).select("code", "role", F.size("osm_tags").alias("tags"), "visit_minutes", "highlight")
+
+
+@query(views.sql("SELECT source_url, name, category FROM places", "places"))
+def src_04_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A required file that is there, and an optional one that isn't."""
+    path = fresh_path(spark, "required")
+    own = views.places(spark, sf_dir).select(*(F.col(c).cast("string") if c in ("name", "category", "source_url") else F.lit("").alias(c) for c in files.PLACE_COLUMNS))
+    files.write_places(own, path)
+    there, absent = files.read_optional(spark, path, required=True), files.read_optional(spark, path + "-absent", required=False)
+    return there.unionByName(absent).select("source_url", "name", "category")
+
+
+@query(views.sql("SELECT 'src:' || place_id AS source_url, locale, alias AS name FROM aliases", "aliases"))
+def src_05_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias files: names listed by place and locale, read as rows."""
+    own = views.aliases(spark, sf_dir).groupBy(F.concat(F.lit("src:"), F.col("place_id").cast("string")).alias("source_url"), "locale").agg(F.collect_list("alias").alias("names"))
+    return files.read_aliases(spark, _as_documents(own.withColumn("reason", F.lit("known as")), "places"))
+
+
+@query("SELECT 'src:' || p_partkey AS keep, 'src:' || (p_partkey + 7) AS drop FROM part WHERE p_partkey % 4 <> 1 AND p_partkey % 6 <> 1")
+def src_06_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared pairs; incomplete ones are left out."""
+    k = F.col("p_partkey")
+    named = lambda c: F.concat(F.lit("src:"), c.cast("string"))
+    own = views.read(spark, sf_dir, "part").select(F.when(k % 4 != 1, named(k)).alias("keep"), F.when(k % 6 != 1, named(k + 7)).alias("drop"), F.lit("one object").alias("reason"))
+    return files.read_merges(spark, _as_documents(own, "pairs"))
+
+
+@query(views.sql("SELECT CAST(route_id AS VARCHAR) AS walk_id, 'walk ' || route_id AS title, ordinal, 'src:' || place_id AS source_url FROM stops", "stops"))
+def src_09_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference walks as documents of ordered stops, read as a row for each stop."""
+    own = views.stops(spark, sf_dir).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "place_id")))["place_id"].alias("ids"))
+    route = F.col("route_id").cast("string")
+    own = own.select(route.alias("id"), F.concat(F.lit("walk "), route).alias("title"), F.transform("ids", lambda i: F.concat(F.lit("src:"), i.cast("string"))).alias("stops"))
+    return files.read_walks(spark, _as_documents(own, "walks"))
+
+
+@query(views.sql("SELECT case_id AS \"case\", count(*) AS runs FROM runs WHERE repeat = 2 GROUP BY case_id", "runs"))
+def src_26_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two snapshots of runs, the one written last."""
+    folder = fresh_path(spark, "snapshots")
+    r = views.runs(spark, sf_dir).select(F.lit("row").alias("record"), F.col("case_id").cast("string").alias("case"), "repeat", F.create_map(F.lit("one"), F.lit(1.0)).alias("metrics"))
+    for k in (1, 2):
+        files.jsonl_rows(r.where(F.col("repeat") == k).coalesce(1), f"{folder}/{k}")
+    rows = files.read_runs(spark, files.newest(spark, f"{folder}/*/*.json"))[1]
+    return rows.groupBy(F.col("case").cast("long").alias("case")).agg(F.count("*").alias("runs"))
