@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import settle
+
 #: Endings that a term may have beyond its lemma, in the order they are tried, and what may replace them.
 ENDINGS = ("ами", "ями", "ах", "ях", "ов", "ев", "ей", "ам", "ям", "ой", "ом", "ем", "ы", "и", "а", "я", "у", "ю", "е", "ь", "es", "s")
 REPLACEMENTS = ("", "й", "ь")
@@ -91,6 +93,36 @@ def line_problem(kind: Column, points: Column) -> Column:
     return F.when(~F.equal_null(kind, F.lit("LineString")), "shape_not_linestring").when(n < least, "shape_needs_two_points").when(n > most, "shape_too_long").when(~F.forall(points, sound), "shape_bad_point")
 
 
+#: What is put before a text that is searched, and one that is asked for.
+PASSAGE, QUESTION = "passage: ", "query: "
+
+
+def content_vectors(texts: DataFrame, known: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, prefix: str = PASSAGE) -> tuple[DataFrame, DataFrame]:
+    """texts with a vector each, and the vectors that known has to learn: hash, vector.
+
+    A vector belongs to its content: the SHA-256 of prefix and text. Contents that known holds are not embedded again, any
+    other once, however many rows have it, at most ``BATCH`` at a time. Where embed fails, or gives nothing for a text,
+    the vector is null and isn't learned, so that it is tried again; a null text has none. texts: any columns, and text;
+    known: hash, vector, each hash once.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), BATCH):
+                part = frame.iloc[i : i + BATCH]
+                try:
+                    made = embed([prefix + t for t in part["text"]])
+                except Exception:  # noqa: BLE001  a model may fail in any way; its batch has no vectors
+                    made = [None] * len(part)
+                yield pd.DataFrame({"hash": part["hash"], "vector": [v if v is not None and len(v) else None for v in made]})
+
+    keyed = texts.withColumn("hash", F.sha2(F.concat(F.lit(prefix), "text"), 256))
+    # Equal contents come down to one a task before the shuffle.
+    wanted = keyed.where("hash is not null").groupBy("hash").agg(F.first("text").alias("text")).join(known.select("hash"), "hash", "left_anti")
+    new = settle(wanted.mapInPandas(run, "hash string, vector array<double>"), "vectors").where("vector is not null")
+    return keyed.join(known.select("hash", "vector").unionByName(new), "hash", "left").select(*texts.columns, "vector"), new
+
+
 def backfilled(rows: DataFrame, texts: Column, embed: Callable[[list[str]], list[list[float]]], *, id_: str = "place_id", column: str = "vector", clear: bool = False) -> DataFrame:
     """rows with a vector wherever it was null, or everywhere with clear; embed gets at most ``BATCH`` texts at once.
 

@@ -79,6 +79,17 @@ def snk_13_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("place_id", "made", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query(views.sql(""", m AS (SELECT place_id, name, sha256('passage: ' || name) AS h FROM places)
+SELECT place_id, CASE WHEN NOT contains(name, 'ring') THEN round(list_sum(list_transform([1, 3, 5, 7], lambda i: CAST(('0x' || substr(sha256('passage: ' || name), i, 2)) AS INTEGER) / CAST(255 AS DOUBLE))), 6) ELSE CAST(-1 AS DOUBLE) END AS total,
+  (SELECT count(DISTINCT name) FROM places WHERE NOT contains(name, 'ring')) AS learned FROM m""", "places"))
+def msc_02_content_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by content: names that are known (those of rings, as -1) aren't embedded again, any other once."""
+    p = views.places(spark, sf_dir).select("place_id", F.col("name").alias("text"))
+    rings = p.where(F.contains("text", F.lit("ring"))).select(F.sha2(F.concat(F.lit(catalogue.PASSAGE), "text"), 256).alias("hash"), F.array(F.lit(-1.0)).alias("vector")).distinct()
+    rows, new = catalogue.content_vectors(p, rings, hashed_vectors)
+    return rows.select("place_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.lit(new.count()).cast("long").alias("learned"))
+
+
 def _step_free(spark: SparkSession, sf_dir: str, stops: DataFrame) -> DataFrame:
     """Whether walks are free of steps on their line; not measured (every seventh) is uncertain."""
     steps = views.services(spark, sf_dir).where("kind = 'toilet'")

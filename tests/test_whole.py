@@ -6,6 +6,7 @@ import math
 from itertools import pairwise, permutations
 
 import pytest
+from pyspark.sql import functions as F
 from test_solvers import metres
 
 from cairn import views
@@ -120,3 +121,40 @@ def test_all_redirects_are_followed(spark):
         want[k] = (at, hops)
     assert found == want
     assert max(want) > 400
+
+
+def test_vectors_belong_to_their_content(spark):
+    from cairn.operators import catalogue
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "bad"), (6, ""), (7, "none")], "id int, text string")
+
+    def embed(texts):
+        if "passage: bad" in texts:
+            raise ValueError("no model")
+        return [[float(len(t))] if t != "passage: none" else [] for t in texts]
+
+    before, catalogue.BATCH = catalogue.BATCH, 1
+    try:
+        none = spark.createDataFrame([], "hash string, vector array<double>")
+        done, new = catalogue.content_vectors(rows, none, embed)
+        assert {r["id"]: r["vector"] for r in done.collect()} == {1: [10.0], 2: [10.0], 3: [10.0], 4: None, 5: None, 6: [9.0], 7: None}
+        known = new.withColumn("vector", F.array(F.lit(0.5)))
+        assert known.count() == 3
+        again, more = catalogue.content_vectors(rows, known, embed)
+        assert {r["id"]: r["vector"] for r in again.collect()} == {1: [0.5], 2: [0.5], 3: [0.5], 4: None, 5: None, 6: [0.5], 7: None} and more.isEmpty()
+        asked, _ = catalogue.content_vectors(rows.where("id = 1"), known, embed, prefix=catalogue.QUESTION)
+        assert asked.first()["vector"] == [8.0]
+    finally:
+        catalogue.BATCH = before
+
+
+def test_query_vectors_in_blocks(spark, small):
+    """Several blocks give what one does, and no vector is dealt out by a block."""
+    from cairn.operators import retrieval
+
+    asked, held = views.query_vectors(spark, small), views.place_vectors(spark, small)
+    one, some = (retrieval.vector_top_k(asked, held, 7, block_bytes=n) for n in (retrieval.BLOCK_BYTES, 3000))
+    same = lambda df: sorted((r["query_id"], r["rank"], r["place_id"], round(r["distance"], 9)) for r in df.collect())
+    assert same(one) == same(some)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") > 1 and "SortMergeJoin" not in plan and "hashpartitioning(block" not in plan
