@@ -231,3 +231,13 @@ def src_26_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.jsonl_rows(r.where(F.col("repeat") == k).coalesce(1), f"{folder}/{k}")
     rows = files.read_runs(spark, files.newest(spark, f"{folder}/*/*.json"))[1]
     return rows.groupBy(F.col("case").cast("long").alias("case")).agg(F.count("*").alias("runs"))
+
+
+@query(views.sql("SELECT case_id, count(*) AS runs, round(avg(recall), 6) AS recall, count(failure) AS failed, bool_and(failure IS NULL) AS passed FROM runs GROUP BY case_id", "runs"))
+def snk_21_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of all cases written as a table, a summary and a text; the table read back."""
+    path, r = fresh_path(spark, "report"), views.runs(spark, sf_dir)
+    rows = r.groupBy("case_id").agg(F.count("*").alias("runs"), F.round(F.avg("recall"), 6).alias("recall"), F.count("failure").alias("failed")).withColumn("passed", F.col("failed") == 0)
+    summary = rows.agg(F.count("*").alias("cases"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"))
+    files.write_report(rows, summary, path, title="Cases", order=["case_id"])
+    return spark.read.schema(rows.schema).option("header", True).csv(f"{path}/rows")

@@ -160,6 +160,27 @@ def write_places(df: DataFrame, path: str) -> None:
     head.unionByName(rows).orderBy("k", "o").select("value").write.mode("overwrite").text(path)
 
 
+def write_report(rows: DataFrame, summary: DataFrame, path: str, *, title: str, order: list[str]) -> None:
+    """A report of scored cases, below path: ``rows`` (CSV with a header), ``summary`` (a JSON line a row) and ``text`` (Markdown).
+
+    The text has the title, the summary as a list and the rows as a table, in their order; nulls are ``-``, and bars in
+    texts are escaped. Rows are sorted and written by many tasks, in files that follow one another.
+    """
+    said = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-"))
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    placed = rows.orderBy(*order)
+    placed.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    totals = summary.select(F.explode(F.array(*(F.concat(F.lit(f"- {c}: "), said(c)) for c in summary.columns))).alias("value"))
+    head = [f"# {title}", ""]
+    table = ["", "| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
+    spark = rows.sparkSession
+    fixed = lambda k, lines: spark.createDataFrame([(k, i, v) for i, v in enumerate(lines)], "part int, i int, value string")
+    front = fixed(0, head).unionByName(totals.select(F.lit(1).alias("part"), F.lit(0).alias("i"), "value")).unionByName(fixed(2, table))
+    front.orderBy("part", "i").coalesce(1).select("value").write.mode("overwrite").text(f"{path}/text")
+    placed.select(line([said(c) for c in rows.columns]).alias("value")).write.mode("append").text(f"{path}/text")
+
+
 def nest(parent: DataFrame, child: DataFrame, key: str, name: str) -> DataFrame:
     """Child rows as an array on their parent; a child without one is an error."""
     if orphan := child.join(parent, key, "left_anti").select(key).limit(1).collect():

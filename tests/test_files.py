@@ -122,3 +122,13 @@ def test_lines_vectors_and_limits(spark):
     assert anew[1] == hashed_vectors(["t1"])[0]
     limits = spark.createDataFrame([(None, None), ("Truck ", None), ("sledge", None), ("any", 10)], "profile string, own int")
     assert [r[0] for r in limits.select(catalogue.off_line_m(F.col("profile"), F.col("own"))).collect()] == [150.0, 400.0, 150.0, 10.0]
+
+
+def test_a_report_is_a_table_a_summary_and_a_text(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b|c", None), (1, "a", 0.5), (3, None, 1.0)], "id int, name string, score double")
+    path = str(tmp_path / "report")
+    files.write_report(rows, rows.selectExpr("count(*) AS cases", "avg(score) AS mean"), path, title="All", order=["id"])
+    assert [tuple(r) for r in spark.read.schema(rows.schema).option("header", True).csv(f"{path}/rows").orderBy("id").collect()] == [(1, "a", 0.5), (2, "b|c", None), (3, None, 1.0)]
+    assert [r.asDict() for r in spark.read.json(f"{path}/summary").collect()] == [{"cases": 3, "mean": 0.75}]
+    lines = {line for f in (tmp_path / "report" / "text").glob("part-*") for line in f.read_text().splitlines()}
+    assert lines == {"# All", "", "- cases: 3", "- mean: 0.75", "| id | name | score |", "|-|-|-|", "| 1 | a | 0.5 |", "| 2 | b\\|c | - |", "| 3 | - | 1.0 |"}
