@@ -73,7 +73,7 @@ def segments(path: DataFrame, key: str, order: str) -> DataFrame:
 
 
 #: Pieces that a leg is cut into at most.
-PIECES = 8
+PIECES = 3
 
 
 def in_pieces(legs: DataFrame, a: tuple[str, str], b: tuple[str, str], reach: Column) -> DataFrame:
