@@ -18,6 +18,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_nearest_are_looked_for_near_first(spark, monkeypatch):
+    radii, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda left, right, metres, **kw: radii.append(metres) or join(left, right, metres, **kw))
+    r = random.Random(3)
+    crowd = [(i, 53.5 + r.gauss(0, 0.01), 24.0 + r.gauss(0, 0.01)) for i in range(800)] + [(900 + i, 53.5, 24.0) for i in range(9)] + [(950, 53.6, 24.0)]
+    asked = [(1, 53.5, 24.0), (2, 53.52, 24.01), (3, 53.57, 24.0), (4, 53.63, 24.0), (5, 55.0, 24.0), (6, None, 24.0)]
+    found = spatial.nearest_k(spark.createDataFrame(asked, POINT), spark.createDataFrame(crowd, "place_id long, r_lat double, r_lon double"), 4, 6000.0, key=["service_id"], order=[F.col("place_id")])
+    got = {(x["service_id"], x["rank"]): x["place_id"] for x in found.collect()}
+    want = {}
+    for s, lat, lon in asked[:5]:
+        near = sorted((metres((lat, lon), (y, x)), i) for i, y, x in crowd)
+        want |= {(s, k + 1): i for k, (d, i) in enumerate(near[:4]) if d <= 6000}
+    assert got == want
+    assert radii[0] < 1000 and radii[-1] == 6000.0
+
+
 def far(p, a, b):
     k = math.cos(math.radians(p[0]))
     ax, ay, dx, dy = (a[1] - p[1]) * k, a[0] - p[0], (b[1] - a[1]) * k, b[0] - a[0]
