@@ -218,3 +218,20 @@ def test_names_in_compatibility_form(spark):
     from cairn.functions import text
 
     assert [r[0] for r in df.select(text.answered_name(F.col("n"))).collect()] == [norm("ﬁne Café"), norm("Йод й"), None, "ab1", "plain"]
+
+
+def test_shadowing_looks_near_first_and_broadcasts_no_dealt_rows(spark, monkeypatch):
+    """Many keepers of one name: the first radius is small, farther keepers are still found, ties go to the smaller id."""
+    from cairn.operators import spatial
+
+    radii, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda left, right, metres, **kw: radii.append(metres) or join(left, right, metres, **kw))
+    cols = ("place_id", "name", "lat", "lon", "owner")
+    kept = [(i, "hill", 53.0 + i * 1e-4, 24.0, "curated") for i in range(300)]
+    auto = [(1000, "hill", 53.0101, 24.0, "auto"), (1001, "hill", 53.00015, 24.0, "auto"), (1002, "hill", 52.99, 24.0, "auto"), (1003, "hill", 52.9, 24.0, "auto"), (1004, "dale", 53.0, 24.0, "auto")]
+    rows = spark.createDataFrame(kept + auto, ", ".join(f"{c} {t}" for c, t in zip(cols, ("long", "string", "double", "double", "string"), strict=True)))
+    got = resolve.shadowed(rows, spark.createDataFrame([], "place_id long, alias string"), metres=2000.0)
+    assert radii[0] < 300 and radii[-1] == 2000.0
+    found = {r["place_id"]: r["keeper"] for r in got.collect()}
+    assert found[1000] == 101 and found[1001] in (1, 2) and found[1002] == 0 and set(found) == {1000, 1001, 1002}
+    assert "Broadcast" not in spatial.radius_join(rows, rows.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "name"), 500.0, on=("name",))._jdf.queryExecution().executedPlan().toString()
