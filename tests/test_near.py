@@ -18,6 +18,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_duplicates_broadcast_no_rows_dealt_to_cells(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 53.0, 24.0), (2, "A", "x", 53.0001, 24.0), (3, "a", "y", 53.0, 24.0), (4, "a", "x", 83.0, 24.0), (5, "a", "x", 83.0, 24.02)], "place_id long, name string, category string, lat double, lon double")
+    found = resolve.suspected_duplicates(rows, metres=500.0, close=30.0)
+    assert "Broadcast" not in plan(found)
+    assert {(r["a"], r["b"]): r["close"] for r in found.collect()} == {(1, 2): True, (4, 5): False}
+
+
 def test_the_nearest_are_looked_for_near_first(spark, monkeypatch):
     radii, join = [], spatial.radius_join
     monkeypatch.setattr(spatial, "radius_join", lambda left, right, metres, **kw: radii.append(metres) or join(left, right, metres, **kw))
