@@ -88,3 +88,24 @@ def test_stairways_on_long_legs(spark):
     steps = spark.createDataFrame([(1, 53.75, 25.0), (2, 54.4, 25.0), (3, 53.2, 26.3)], POINT)
     found = tours.stepped_legs(stops, steps, near_m=400.0)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 2), (1, 2, 3)]
+
+
+def test_places_with_two_names_close_by_are_settled_first(spark, monkeypatch):
+    radii, meet = [], spatial.meet_legs
+    monkeypatch.setattr(spatial, "meet_legs", lambda points, legs, a, b, reach, **kw: radii.append(kw["size"]) or meet(points, legs, a, b, reach, **kw))
+    r = random.Random(7)
+    roads = [(f"r{i % 3}", 53.5 + r.gauss(0, 0.01), 24.0 + r.gauss(0, 0.01)) for i in range(150)] + [("lone", 53.8, 24.0), ("lone", 53.802, 24.0), ("9", 53.9, 24.0), ("near", 54.0, 24.0), ("far", 54.012, 24.0)]
+    roads = [(n, y, x, y + 0.002, x + 0.003) for n, y, x in roads]
+    places = [(i, 53.5 + r.gauss(0, 0.02), 24.0 + r.gauss(0, 0.02)) for i in range(150)] + [(200, 53.8, 24.001), (201, 53.9, 24.001), (202, 54.0, 24.001), (203, 55.0, 24.0)]
+    df = spark.createDataFrame(roads, "road string, a_lat double, a_lon double, b_lat double, b_lon double")
+    found = spatial.nearest_named_road(spark.createDataFrame(places, "place_id long, lat double, lon double"), df, within=500.0, rival=1500.0, refused=lambda c: c == "9")
+    want = {}
+    for k, *p in places:
+        near: dict = {}
+        for n, ay, ax, by, bx in roads:
+            near[n] = min(near.get(n, math.inf), far(p, (ay, ax), (by, bx)))
+        (d, n), (other, _) = sorted((d, n) for n, d in near.items())[:2]
+        if d <= 500 and other > 1500 and n != "9":
+            want[k] = n
+    assert {x["place_id"]: x["road"] for x in found.collect()} == want and want[200] == "lone"
+    assert len(radii) > 1 and radii[0] < radii[-1]
