@@ -109,3 +109,12 @@ def test_places_with_two_names_close_by_are_settled_first(spark, monkeypatch):
             want[k] = n
     assert {x["place_id"]: x["road"] for x in found.collect()} == want and want[200] == "lone"
     assert len(radii) > 1 and radii[0] < radii[-1]
+
+
+def test_coverage_stops_at_the_first_answer(spark, small, monkeypatch):
+    from cairn.queries import QUERIES
+
+    asked, k_ = [], spatial.nearest_k
+    monkeypatch.setattr(spatial, "nearest_k", lambda left, right, k, *a, **kw: asked.append(k) or k_(left, right, k, *a, **kw))
+    found = QUERIES["j_22_covered"](spark, small)
+    assert asked == [1] and found.count() == found.select("service_id").distinct().count()
