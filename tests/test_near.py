@@ -111,6 +111,19 @@ def test_places_with_two_names_close_by_are_settled_first(spark, monkeypatch):
     assert len(radii) > 1 and radii[0] < radii[-1]
 
 
+def test_first_matches_are_looked_for_a_few_at_a_time(spark, monkeypatch):
+    places = [(i, 0, 53.0 + i * 0.01, 24.0) for i in range(60)] + [(100, 1, 53.0, 24.0), (101, None, 53.0, 24.0), (102, 0, None, 24.0)]
+    photos = [(i, 0, 53.0 + (i * 7 % 100) * 0.01, 24.0) for i in range(90)] + [(200, 1, 53.0, 24.01), (201, 1, 53.0, 24.0)]
+    monkeypatch.setattr(spatial, "FIRST_ROWS", 8)
+    df = spatial.first_within(spark.createDataFrame(places, "place_id long, k int, lat double, lon double"), spark.createDataFrame(photos, "photo long, k int, r_lat double, r_lon double"), 5000.0, on="k", id_="photo")
+    want = {}
+    for i, k, *p in places:
+        near = [j for j, kk, *q in photos if kk == k and p[0] is not None and metres(p, q) <= 5000]
+        if near:
+            want[i] = min(near)
+    assert dict(map(tuple, df.collect())) == want and want[100] == 200 and max(want.values()) > 16
+
+
 def test_coverage_stops_at_the_first_answer(spark, small, monkeypatch):
     from cairn.queries import QUERIES
 
