@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from .staging import settle
+from .spatial import SPARE
+from .staging import SMALL_ROWS, settle
 
 #: The constant of reciprocal-rank fusion, candidates of a signal, and results of a query.
 RRF_K = 60
@@ -70,14 +72,35 @@ def category_signal(queries: DataFrame, places: DataFrame, n: int = POOL) -> Dat
 
 
 def nearby_signal(queries: DataFrame, places: DataFrame, n: int = POOL, *, radius_km: float = 20.0) -> DataFrame:
-    """query_id, place_id, rank: places in the box around the query, by squared degrees."""
-    size = radius_km / (111.0 * 0.2)
-    own = queries.select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.explode(geo.cells_around(F.col("lat"), F.col("lon"), size)).alias("cell"))
-    near = places.select("place_id", "lat", "lon", geo.cell(F.col("lat"), F.col("lon"), size).alias("cell")).join(own, "cell")
+    """query_id, place_id, rank: places in the box around the query, by squared degrees.
+
+    Circles grow to the box, doubling from one that holds some times n places where they lie densest: a query that finds n
+    in a circle is done, since all that is nearer was seen. So queries meet few places where these are many.
+    """
+    asked = settle(queries.where("lat is not null and lon is not null").select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon")), "nearby-queries")
+    places = places.where("lat is not null and lon is not null").select("place_id", "lat", "lon")
+    tall = radius_km / 111.0
+    crowds = places.groupBy(geo.cell(F.col("lat"), F.col("lon"), tall).alias("cell")).count()
+    crowd = crowds.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0.0
     dy, dx = geo.box(F.col("qlat"), F.col("qlon"), radius_km)
-    near = near.where((F.abs(F.col("lat") - F.col("qlat")) <= dy) & (F.abs(F.col("lon") - F.col("qlon")) <= dx))
     d2 = F.pow(F.col("lat") - F.col("qlat"), 2) + F.pow(F.col("lon") - F.col("qlon"), 2)
-    return top_per(near.select("query_id", "place_id", d2.alias("d2")), ["query_id"], [F.col("d2"), F.col("place_id")], n)
+    within = (F.abs(F.col("lat") - F.col("qlat")) <= dy) & (F.abs(F.col("lon") - F.col("qlon")) <= dx)
+    out = []
+    for i in range(max(0, math.ceil(math.log(max(1.0, 4 * crowd / (SPARE * n)), 4))), -1, -1):
+        size = tall / 2**i
+        span = lambda at, by: F.sequence(F.floor((at - by) / size - 1e-6).cast("int"), F.floor((at + by) / size + 1e-6).cast("int"))  # noqa: B023, E731
+        rows, columns = span(F.col("qlat"), F.lit(size)), span(F.col("qlon"), F.lit(size) if i else dx)
+        cells = F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))  # noqa: B023
+        dealt = asked.withColumn("cell", F.explode(cells))
+        own = F.broadcast(dealt) if dealt.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else dealt.hint("merge")
+        met = places.withColumn("cell", geo.cell(F.col("lat"), F.col("lon"), size)).join(own, "cell").where(within).select("query_id", "place_id", d2.alias("d2"))
+        first = top_per(met.where(F.col("d2") <= size * size) if i else met, ["query_id"], [F.col("d2"), F.col("place_id")], n)
+        if not i:
+            return reduce(DataFrame.unionByName, [*out, first])
+        found = settle(first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("_n") == n).drop("_n"), "nearby")
+        out.append(found)
+        asked = settle(asked.join(found.where(F.col("rank") == n).select("query_id"), "query_id", "left_anti"), "nearby-queries")
+    raise AssertionError
 
 
 def alias_signal(queries: DataFrame, aliases: DataFrame, n: int = POOL, *, least: float = 0.45) -> DataFrame:

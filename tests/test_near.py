@@ -131,3 +131,21 @@ def test_coverage_stops_at_the_first_answer(spark, small, monkeypatch):
     monkeypatch.setattr(spatial, "nearest_k", lambda left, right, k, *a, **kw: asked.append(k) or k_(left, right, k, *a, **kw))
     found = QUERIES["j_22_covered"](spark, small)
     assert asked == [1] and found.count() == found.select("service_id").distinct().count()
+
+
+def test_nearby_places_are_looked_for_near_first(spark):
+    """Dense and sparse places, ties, and a box wider than high: as brute force has it, from few pairs."""
+    from cairn.operators import retrieval
+
+    r = random.Random(11)
+    places = [(i, 53.5 + r.gauss(0, 0.03), 24.0 + r.gauss(0, 0.03)) for i in range(2000)] + [(3000 + i, 53.5, 24.0) for i in range(8)] + [(4000, 54.5, 24.25), (4001, 54.5, 24.4)]
+    asked = [(1, 53.5, 24.0), (2, 53.55, 24.05), (3, 53.62, 24.1), (4, 54.5, 24.0), (5, 10.0, 10.0)]
+    found = retrieval.nearby_signal(spark.createDataFrame(asked, "query_id long, lat double, lon double"), spark.createDataFrame(places, "place_id long, lat double, lon double"), 6)
+    want = set()
+    for q, lat, lon in asked:
+        dy, dx = 20 / 111, 20 / (111 * max(0.2, math.cos(math.radians(lat))))
+        near = sorted(((y - lat) ** 2 + (x - lon) ** 2, i) for i, y, x in places if abs(y - lat) <= dy and abs(x - lon) <= dx)
+        want |= {(q, i, k + 1) for k, (_, i) in enumerate(near[:6])}
+    assert {(x["query_id"], x["place_id"], x["rank"]) for x in found.collect()} == want
+    assert (4, 4000, 1) in want and (4, 4001, 2) not in want
+    assert any("/nearby-" in f for f in found.inputFiles())  # what smaller circles have settled
