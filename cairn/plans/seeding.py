@@ -20,7 +20,7 @@ def seeded(scanned: DataFrame, excluded: DataFrame, districts: DataFrame, towns:
     rows = elements.sights(scanned).withColumn("norm", text.matched_name(F.col("name"))).join(names, "norm", "left_anti")
     held = spatial.inside(rows.select("source_url", "lat", "lon"), districts.select("code", "rings", "holes")).groupBy("source_url").agg(F.min("code").alias("district"))
     centres = towns.select("town", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = spatial.radius_join(rows.select("source_url", "lat", "lon"), centres, town_m).groupBy("source_url").agg(F.min(F.struct("metres", "town")).alias("t")).select("source_url", "t.town")
+    near = spatial.nearest_k(rows.select("source_url", "lat", "lon"), centres, 1, town_m, key=["source_url"], order=[F.col("town")]).select("source_url", "town")
     out = rows.join(held, "source_url", "left").join(near, "source_url", "left")
     own = {"name", "category", "district", "town", "source_url"}
     said = {"lat": F.format_string("%.6f", "lat"), "lon": F.format_string("%.6f", "lon"), "fun_facts": F.lit("[]"), "links": F.lit("[]")}

@@ -149,3 +149,11 @@ def test_nearby_places_are_looked_for_near_first(spark):
     assert {(x["query_id"], x["place_id"], x["rank"]) for x in found.collect()} == want
     assert (4, 4000, 1) in want and (4, 4001, 2) not in want
     assert any("/nearby-" in f for f in found.inputFiles())  # what smaller circles have settled
+
+
+def test_seeds_look_for_one_nearest_town(spark, small, monkeypatch):
+    from cairn.queries import QUERIES
+
+    asked, k_ = [], spatial.nearest_k
+    monkeypatch.setattr(spatial, "nearest_k", lambda left, right, k, *a, **kw: asked.append(k) or k_(left, right, k, *a, **kw))
+    assert QUERIES["msc_15_seeded"](spark, small).where("town is not null").count() and asked == [1]
