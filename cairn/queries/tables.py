@@ -228,8 +228,8 @@ def src_26_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "snapshots")
     r = views.runs(spark, sf_dir).select(F.lit("row").alias("record"), F.col("case_id").cast("string").alias("case"), "repeat", F.create_map(F.lit("one"), F.lit(1.0)).alias("metrics"))
     for k in (1, 2):
-        files.jsonl_rows(r.where(F.col("repeat") == k).coalesce(1), f"{folder}/{k}")
-    rows = files.read_runs(spark, files.newest(spark, f"{folder}/*/*.json"))[1]
+        files.jsonl_rows(r.where(F.col("repeat") == k), f"{folder}/{k}")
+    rows = files.read_runs(spark, files.newest_folder(spark, f"{folder}/*/*.json"))[1]
     return rows.groupBy(F.col("case").cast("long").alias("case")).agg(F.count("*").alias("runs"))
 
 

@@ -147,6 +147,12 @@ def newest(spark: SparkSession, pattern: str) -> str | None:
     return found["p"] if found else None
 
 
+def newest_folder(spark: SparkSession, pattern: str) -> str | None:
+    """The folder of the file that newest() names: a snapshot of several files."""
+    found = newest(spark, pattern)
+    return found.rpartition("/")[0] if found else None
+
+
 def jsonl_rows(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
     df.write.mode("append").json(path)

@@ -157,3 +157,15 @@ def test_seeds_look_for_one_nearest_town(spark, small, monkeypatch):
     asked, k_ = [], spatial.nearest_k
     monkeypatch.setattr(spatial, "nearest_k", lambda left, right, k, *a, **kw: asked.append(k) or k_(left, right, k, *a, **kw))
     assert QUERIES["msc_15_seeded"](spark, small).where("town is not null").count() and asked == [1]
+
+
+def test_the_newest_snapshot_may_have_several_files(spark, tmp_path):
+    from cairn.sources import files
+
+    for k in (1, 2):
+        rows = spark.range(40).repartition(4).select(F.lit("row").alias("record"), F.concat(F.lit(f"{k}-"), "id").alias("case"), F.lit(k).alias("repeat"), F.create_map(F.lit("one"), F.lit(1.0)).alias("metrics"))
+        files.jsonl_rows(rows, f"{tmp_path}/{k}")
+    found = files.read_runs(spark, files.newest_folder(spark, f"{tmp_path}/*/*.json"))[1]
+    assert {x["case"] for x in found.select("case").collect()} == {f"2-{i}" for i in range(40)}
+    assert len(list(tmp_path.glob("2/part-*.json"))) > 1
+    assert files.newest_folder(spark, f"{tmp_path}/2/*.json").endswith("/2")
