@@ -198,6 +198,15 @@ def test_names_in_cascade(spark):
     assert {r["how"] for r in resolve.named_in_cascade(spark.createDataFrame([(1, "a"), (2, None)], "wanted_id int, wanted string"), none).collect()} == {"none"}
 
 
+def test_a_name_that_is_asked_for_often_meets_its_rows_once(spark, monkeypatch):
+    rows_of, settle = {}, resolve.settle
+    monkeypatch.setattr(resolve, "settle", lambda df, name: rows_of.update({name: df.count()}) or settle(df, name))
+    rows = spark.createDataFrame([(i, " Gate" if i % 2 else "gate", 53.5 + i / 1e6, 24.0, "auto") for i in range(40)], "place_id long, name string, lat double, lon double, owner string")
+    wanted = spark.createDataFrame([(i, "GATE" if i % 2 else "gate") for i in range(50)], "wanted_id int, wanted string")
+    assert {tuple(r) for r in resolve.named_in_cascade(wanted, rows).collect()} == {(i, 0, "exact") for i in range(50)}
+    assert rows_of["same"] == 40 and rows_of["exact"] == 1
+
+
 def test_the_widest_gap_of_namesakes(spark):
     """Just within and just beyond: the box doesn't tell, corners of the hull do."""
     rng = np.random.default_rng(4)
