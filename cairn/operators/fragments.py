@@ -17,55 +17,66 @@ SLICE_CHARS = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashed(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """n and a hash of the n characters from each place on, for n = 1, 2, 4 and so on."""
+def _hashed(code: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """n and a hash of the n characters from each place on, for n = 1, 2, 4 and so on up to most."""
     n, h = 1, code.astype(np.uint64) * ODD
-    while len(h):
+    while len(h) and n <= most:
         yield n, h
         own = h[: max(0, len(h) - n)]
         h = (own ^ (own >> np.uint64(29))) * ODD + h[n:]
         n *= 2
 
 
-def _windows(t: str, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length, a hash of the characters from each place on: of its first and its last power of two."""
-    code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for n, h in _hashed(code):
-        for k in lengths:
-            if n <= k < 2 * n and k <= len(code):
-                last = len(code) - k + 1
-                first = h[:last]
-                yield k, (first ^ (first >> np.uint64(31))) * ODD + h[k - n : k - n + last]
+def _code(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Passages:
-    """All passages of some characters of the items, whole items where they are shorter; made once a task."""
+    """All passages of some characters of the items, whole items where they are shorter; made once a task.
+
+    A passage is found by a hash of its first characters, as many as the largest power of two within its length, so that
+    a text is hashed once for each power of two, however many lengths there are. A hash of its last characters, as
+    many, is asked next; the characters decide.
+    """
 
     def __init__(self, items: list[str], chars: int) -> None:
         self.items = items
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for i, t in enumerate(items):
-            for k, h in _windows(t, {min(chars, len(t))}):
-                found.setdefault(k, []).append((h, np.full(len(h), i), np.arange(len(h))))
-        self.by_length = {}
-        for k, parts in found.items():
-            h, i, at = (np.concatenate(p) for p in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.by_length[k] = (h[order], i[order], at[order])
+            k = min(chars, len(t))
+            n = 1 << (k.bit_length() - 1)
+            h = dict(_hashed(_code(t), n))[n]
+            last = len(t) - k + 1
+            found.setdefault(n, []).append((h[:last], h[k - n : k - n + last], np.full(last, k), np.full(last, i), np.arange(last)))
+        self.by_power = {}
+        for n, parts in found.items():
+            columns = [np.concatenate(p) for p in zip(*parts, strict=True)]
+            order = np.lexsort((columns[2], columns[0]))
+            self.by_power[n] = [c[order] for c in columns]
 
     def of(self, t: str) -> list[int]:
-        """Items with a passage in the text. A hash is only asked first: the characters decide."""
+        """Items with a passage in the text."""
         hits: set[int] = set()
-        for k, own in _windows(t, set(self.by_length)):
-            h, item, at = self.by_length[k]
-            low = np.searchsorted(h, own)
-            place = np.flatnonzero(h[np.minimum(low, len(h) - 1)] == own)
-            _, first = np.unique(own[place], return_index=True)
-            for p in place[first].tolist():
-                part = t[p : p + k]
-                for j in range(int(low[p]), int(np.searchsorted(h, own[p], "right"))):
-                    i = int(item[j])
-                    if i not in hits and self.items[i][at[j] : at[j] + k] == part:
+        code = _code(t)
+        for n, own in _hashed(code, max(self.by_power, default=0)):
+            if n not in self.by_power:
+                continue
+            first, end, length, item, at = self.by_power[n]
+            low = np.minimum(np.searchsorted(first, own), len(first) - 1)
+            place = np.flatnonzero(first[low] == own)
+            if not len(place):
+                continue
+            place = place[np.argsort(low[place], kind="stable")]
+            starts, cuts = np.unique(low[place], return_index=True)
+            for s, spots in zip(starts.tolist(), np.split(place, cuts[1:]), strict=True):
+                for j in range(s, int(np.searchsorted(first, first[s], "right"))):
+                    i, k, a = int(item[j]), int(length[j]), int(at[j])
+                    if i in hits:
+                        continue
+                    those = spots[spots + k <= len(code)]
+                    those = those[own[those + k - n] == end[j]]
+                    part = self.items[i][a : a + k]
+                    if any(t[p : p + k] == part for p in those.tolist()):
                         hits.add(i)
         return sorted(hits)
 

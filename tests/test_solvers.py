@@ -396,6 +396,15 @@ def test_passages_are_found_in_all_texts_as_by_trying_all(spark, chars, slice_ch
     assert (11, 62) in want and (8, 63) in want and (chars is None or any(d % 10 for _, d in want))
 
 
+def test_a_text_is_hashed_by_powers_of_two_however_many_lengths_there_are():
+    rng = random.Random(5)
+    items = ["".join(rng.choice("ab") for _ in range(n)) for n in range(1, 150)]
+    held = fragments.Passages(items, 149)
+    assert sorted(held.by_power) == [1, 2, 4, 8, 16, 32, 64, 128]
+    for t in ["", "a", items[100][:60], items[130], "b" + items[70] + "a" + items[149 - 2]]:
+        assert held.of(t) == [i for i, own in enumerate(items) if own in t]
+
+
 def test_passage_query_searches_every_document(spark, small):
     found = {tuple(r) for r in QUERIES["str_15_passages"](spark, small).collect()}
     assert {tuple(r) for r in QUERIES["str_15_fragments"](spark, small).collect()} <= found
