@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +41,104 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / length)
 
 
-#: Bytes of the query vectors that a broadcast of vector_top_k holds.
+#: Bytes of the query vectors that a broadcast of vector_top_k holds, and bytes and rows of a pack of vectors.
 BLOCK_BYTES = 32 << 20
+PACK_BYTES = 1 << 20
+PACK_ROWS = 2048
+#: Pairs of vectors that are scored at once, and what a distance may differ by when its products are added in another order.
+SCORED = 1 << 20
+ROUNDING = 1e-9
+
+
+def _packed(rows: DataFrame, id_: str, name: str) -> DataFrame:
+    """Rows of (id_, vector, norm), the vectors of one length, many to a row: {name}_id, {name}_flat, {name}_norm. They stay where they are."""
+    kind = rows.schema[id_].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                n = min(PACK_ROWS, max(1, PACK_BYTES // (8 * len(batch.column(1)[at]))), batch.num_rows - at)
+                own = batch.slice(at, n)
+                columns = own.column(0), own.column(1).flatten(), own.column(2)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=[f"{name}_{x}" for x in ("id", "flat", "norm")])
+                at += n
+
+    return rows.select(id_, "vector", "norm").mapInArrow(run, f"{name}_id array<{kind}>, {name}_flat array<double>, {name}_norm array<double>")
+
+
+def _nearest_in_packs(met: DataFrame, n: int, key: str, id_: str) -> DataFrame:
+    """key, id_, distance of what may be among the n nearest of a query: packs of vectors (v) that each met packs of queries (q).
+
+    A matrix product tells what is farther, by more than rounding, than n of the vectors that the task has seen; the
+    distances of the rest are added up in the order of the components, as cosine_distance does.
+    """
+    kinds = [f"{c} {met.schema[f'{p}_id'].dataType.elementType.simpleString()}" for c, p in ((key, "q"), (id_, "v"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, flat, norms, keys, asked, asked_norms = (batch.column(c)[k].values for c in ("v_id", "v_flat", "v_norm", "q_id", "q_flat", "q_norm"))
+                v, q = (x.to_numpy().reshape(len(i), -1) for x, i in ((flat, ids), (asked, keys)))
+                norm_v, norm_q = norms.to_numpy(), asked_norms.to_numpy()
+                own = _firsts(v, ids.to_numpy(zero_copy_only=False), n)
+                rough = 1.0 - (q @ v[own].T) / (norm_q[:, None] * norm_v[own])
+                pack = q.tobytes()
+                seen = np.concatenate([best[pack], rough], axis=1) if pack in best else rough
+                best[pack] = np.partition(seen, n - 1, axis=1)[:, :n] if seen.shape[1] > n else seen
+                bound = best[pack].max(axis=1) if best[pack].shape[1] == n else np.full(len(q), np.inf)
+                at_q, at_v = np.nonzero(rough <= bound[:, None] + ROUNDING)
+                at_v = own[at_v]
+                columns_q, columns_v = np.ascontiguousarray(q.T), np.ascontiguousarray(v.T)
+                for start in range(0, len(at_q), SCORED):
+                    i, j = at_q[start : start + SCORED], at_v[start : start + SCORED]
+                    dot = np.zeros(len(i))
+                    for a, b in zip(columns_q, columns_v, strict=True):
+                        dot += b[j] * a[i]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), ids.take(pa.array(j)), pa.array(1.0 - dot / (norm_v[j] * norm_q[i]))], names=[key, id_, "distance"])
+
+    return met.mapInArrow(run, ", ".join([*kinds, "distance double"]))
+
+
+def _firsts(v: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Rows without those that n equal ones of smaller ids stand before: these are never among the n nearest."""
+    order = np.argsort(ids, kind="stable")
+    alike = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1]
+    by_alike = np.argsort(alike, kind="stable")
+    own = alike[by_alike]
+    nth = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[by_alike[nth < n]]
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, n: int = POOL, *, key: str = "query_id", id_: str = "place_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, id_, distance, rank: nearest by cosine.
 
     Queries are a stated set. They are broadcast, a block of block_bytes at a time, and held against each vector where it
-    lies, so vectors are never shuffled, only n rows a query and task; with several blocks vectors are read once a block.
+    lies, pack by pack, so vectors are never shuffled, only n rows a query and task, and what drew near before n were
+    seen; with several blocks vectors are read once a block. Vectors that no matrix holds (of another length, not finite,
+    without length) are held against queries one by one.
     """
-    asked = queries.where("vector is not null").select(key, F.col("vector").alias("asked"), norm(F.col("vector")).alias("asked_norm"))
-    size = asked.agg(F.sum(8 * F.size("asked") + 24)).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    pairs = vectors.where("vector is not null").select(id_, "vector", norm(F.col("vector")).alias("norm"))
+    sized = queries.where("vector is not null").select(key, "vector", norm(F.col("vector")).alias("norm"))
+    size, dim = sized.agg(F.sum(8 * F.size("vector") + 24), F.max(F.size("vector"))).first()
+    blocks = -(-(size or 0) // block_bytes)
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    regular = (F.size("vector") == F.lit(dim or 0)) & finite & F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+    asked = sized.withColumn("regular", regular)
+    pairs = vectors.where("vector is not null").select(id_, "vector", norm(F.col("vector")).alias("norm")).withColumn("regular", regular)
+    asked, pairs = (df.withColumn("vector", F.col("vector").cast("array<double>")) for df in (asked, pairs))
+    odd = not all(df.where("not regular").isEmpty() for df in (asked, pairs))
+    packs = _packed(pairs.where("regular"), id_, "v")
     distance = cosine_distance(F.col("vector"), F.col("asked"), F.col("norm"), F.col("asked_norm")).alias("distance")
-    met = lambda own: pairs.join(F.broadcast(own), F.lit(True)).select(key, id_, distance)
+
+    def met(own: DataFrame) -> DataFrame:
+        near = _nearest_in_packs(packs.join(F.broadcast(_packed(own.where("regular").coalesce(1), key, "q")), F.lit(True)), n, key, id_)
+        if not odd:
+            return near
+        each = own.select(key, F.col("vector").alias("asked"), F.col("norm").alias("asked_norm"), F.col("regular").alias("asked_regular"))
+        plain = pairs.join(F.broadcast(each), F.lit(True)).where(~(F.col("regular") & F.col("asked_regular")))
+        return near.unionByName(plain.select(key, id_, distance))
+
     if blocks <= 1:
         scored = met(asked)
     else:

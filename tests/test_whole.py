@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from itertools import pairwise, permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_solvers import metres
@@ -158,3 +159,27 @@ def test_query_vectors_in_blocks(spark, small):
     assert same(one) == same(some)
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") > 1 and "SortMergeJoin" not in plan and "hashpartitioning(block" not in plan
+
+
+def test_vectors_are_ranked_pack_by_pack_as_pair_by_pair(spark, monkeypatch):
+    """Copies, ties, odd vectors and packs of a few rows; only what may be among the nearest leaves a pack."""
+    from cairn.operators import retrieval
+
+    rng = np.random.default_rng(7)
+    held = rng.normal(size=(600, 5))
+    held[100:400] = held[100]  # one very common vector
+    rows = [(i, v.tolist()) for i, v in enumerate(held)] + [(700, [float("nan")] * 5), (701, [1e200] * 5)]
+    asked = [(i, (-v if i % 2 else v).tolist()) for i, v in enumerate(held[95:110])] + [(50, [1e200] * 5)]
+    monkeypatch.setattr(retrieval, "PACK_ROWS", 64)
+    passed, near = [], retrieval._nearest_in_packs
+    monkeypatch.setattr(retrieval, "_nearest_in_packs", lambda *a: passed.append(near(*a)) or passed[-1])
+    got = retrieval.vector_top_k(spark.createDataFrame(asked, "query_id long, vector array<double>"), spark.createDataFrame(rows, "place_id long, vector array<double>").coalesce(1), 7).collect()
+
+    def far(a, b):
+        dot, n_a, n_b = (sum(x * y for x, y in zip(p, q, strict=True)) for p, q in ((a, b), (a, a), (b, b)))
+        d = 1.0 - dot / (math.sqrt(n_a) * math.sqrt(n_b))
+        return math.inf if math.isnan(d) else d
+
+    want = {(q, k + 1): i for q, v in asked for k, (_, i) in enumerate(sorted((far(w, v), i) for i, w in rows)[:7])}
+    assert {(r["query_id"], r["rank"]): r["place_id"] for r in got} == want
+    assert passed[0].count() < 15 * 602 / 4
