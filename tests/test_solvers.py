@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn import views
-from cairn.operators import fragments, measures, resolve, tours
+from cairn.operators import fragments, measures, resolve, stacks, tours
 from cairn.operators import walks as walking
 from cairn.operators.walks import shortest
 from cairn.queries import QUERIES
@@ -467,3 +467,29 @@ def test_groups_that_go_over_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(tuple(r) for r in out) == sorted((n, n - 1) for n in [1, 70, 2, 35, 1, 20])
+
+
+def test_stacks_of_walks_are_solved_as_one_by_one():
+    """With visits, budgets, caps, origins, ways back, legs that can't be walked or weren't measured: the same orders, stop by stop."""
+    rng = np.random.default_rng(3)
+
+    def some(n, odd):
+        at = rng.random((n, 2)) * 50_000
+        legs = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))
+        if odd > 1:
+            legs[legs > 30_000] = walking.UNREACHABLE
+        if odd > 2:
+            legs[rng.random((n, n)) < 0.1] = np.nan
+        bound = lambda most: float(rng.random() * most) if odd and rng.random() < 0.7 else math.inf
+        ends = rng.random(n) * 50_000 if odd and rng.random() < 0.5 else None
+        return walking.Walk(legs, rng.random(n) * 3000 * (odd > 0), rng.random(n) < 0.2 * (odd > 0), np.floor(rng.random(n) * 4), bound(200_000), bound(40_000), ends, ends, bool(odd and rng.random() < 0.4))
+
+    for odd in range(4):
+        for n in range(1, 11):
+            many = [some(n, odd) for _ in range(8)]
+            stack = stacks.stacked(many)
+            for name in ("tour", "planned", *(("insertion", "nearest") if n > 2 else ())):
+                got = getattr(stacks, name)(stack)
+                assert [got.stops[i, : got.length[i]].tolist() for i in range(8)] == [getattr(walking, name)(w) for w in many], (odd, n, name)
+            pruned = stacks.pruned(stack, stacks.planned(stack))
+            assert [pruned.stops[i, : pruned.length[i]].tolist() for i in range(8)] == [walking.pruned(w, walking.planned(w)) for w in many]
