@@ -189,3 +189,19 @@ def test_trajectories_against_expectations(spark):
     assert {(r["case_id"], r["name"]): r["ok"] for r in checks.collect()} == want
     failed = {r["case_id"]: (r["passed"], r["failed"]) for r in trajectories.verdicts(checks).collect()}
     assert failed == {c: (all(ok for (k, _), ok in want.items() if k == c), sorted(n for (k, n), ok in want.items() if k == c and not ok)) for c in (1, 2, 3)}
+
+
+def test_encoded_lines_hold_all_lines_of_a_batch(spark):
+    """The format's own example, odd rows, and digits beyond seven groups; one pass over Arrow batches, not a step a character."""
+    line = "array<struct<lon:double,lat:double>>"
+    own = [(-120.2, 38.5), (-120.95, 40.7), (-126.453, 43.252)]
+    rows = spark.createDataFrame([(1, own), (2, []), (3, None), (4, [(179.999999999, -89.000000001)]), (5, [(0.0, 0.0), (0.0, 0.0)]), (6, [(1.0, None), (2.0, 2.0), (3.0, 3.0), (4.0, 5.0)])], f"k long, line {line}").coalesce(1)
+    texts = {r["k"]: r["t"] for r in rows.select("k", geo.encode_line(F.col("line"), 5).alias("t")).collect()}
+    assert texts[1] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and texts[2] == texts[3] == "" and texts[5] == "????"
+    back = rows.where("k < 6").select("k", geo.decode_line(geo.encode_line(F.col("line"), 9), 9).alias("line"))
+    assert "ArrowEvalPython" in back._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: [tuple(p) for p in r["line"]] for r in back.collect()}
+    assert got == {1: own, 2: [], 3: [], 4: [(179.999999999, -89.000000001)], 5: [(0.0, 0.0)] * 2}
+    cut = spark.createDataFrame([(1, "_p~iF~ps|U_ulL"), (2, "_p~iF~ps|U_ulLnnq"), (3, None), (4, ""), (5, "_"), (6, "??")], "k long, t string").coalesce(1)
+    got = {r["k"]: r["line"] and [tuple(p) for p in r["line"]] for r in cut.select("k", geo.decode_line(F.col("t"), 5).alias("line")).collect()}
+    assert got == {1: [(-120.2, 38.5)], 2: [(-120.2, 38.5)], 3: None, 4: [], 5: [], 6: [(0.0, 0.0)]}
