@@ -23,27 +23,34 @@ ALPHA = 0.05
 def greedy_matches(reference: DataFrame, answer: DataFrame, *, key: str, metres: float = 750.0) -> DataFrame:
     """key, ordinal, matched, metres: reference stops, in order, take the nearest answer stop not yet taken.
 
-    The order decides, so a case is matched in one task; a case holds the stops of two walks.
+    The order decides, so a case is matched in one task; a case holds the stops of two walks. Cases of as many stops are
+    matched at once, stop by stop.
     """
 
     def solve(own: Columns) -> Columns:
-        asked, given = ({c: v[own["answered"] == k] for c, v in own.items()} for k in (0, 1))
-        n = len(asked["ordinal"])
-        matched, far = np.full(n, np.nan), np.full(n, np.nan)
-        p, q = np.radians(asked["lat"])[:, None], np.radians(given["lat"])
-        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(given["lon"] - asked["lon"][:, None]) / 2) ** 2
-        d = 2 * geo.EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-        d[~(d <= metres)] = np.inf
-        for i in range(n if d.size else 0):
-            j = int(np.argmin(d[i]))  # of equals the first
-            if np.isfinite(d[i, j]):
-                matched[i], far[i] = given["ordinal"][j], d[i, j]
-                d[:, j] = np.inf
-        return {key: asked[key], "ordinal": asked["ordinal"], "matched": matched, "metres": far}
+        asked = own["answered"] == 0  # of each case the first ones
+        n_asked, (many, n) = asked.sum(axis=1), asked.shape
+        matched, far = np.full((many, n), np.nan), np.full((many, n), np.nan)
+        step = max(1, CELLS // (n * n))
+        for k in range(0, many, step):
+            at, sizes = np.arange(k, min(many, k + step)), n_asked[k : k + step]
+            low, most = int(sizes.min()), int(sizes.max())
+            lat, lon = own["lat"][at], own["lon"][at]
+            p, q = np.radians(lat)[:, :most, None], np.radians(lat)[:, None, low:]
+            h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon[:, None, low:] - lon[:, :most, None]) / 2) ** 2
+            d = 2 * geo.EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+            d[~(d <= metres) | (np.arange(low, n) < sizes[:, None])[:, None, :]] = np.inf
+            for i in range(most if d.size else 0):
+                j = d[:, i].argmin(axis=1)  # of equals the first
+                best = d[at - k, i, j]
+                hit = np.flatnonzero(np.isfinite(best) & (i < sizes))
+                matched[at[hit], i], far[at[hit], i] = own["ordinal"][at[hit], low + j[hit]], best[hit]
+                d[hit, :, j[hit]] = np.inf
+        return {key: own[key][asked], "ordinal": own["ordinal"][asked], "matched": matched[asked], "metres": far[asked]}
 
     cols = [key, "ordinal", "lat", "lon"]
     both = reference.select(*cols, F.lit(0).alias("answered")).unionByName(answer.select(*cols, F.lit(1).alias("answered")))
-    out = by_group(both, key, ["answered", "ordinal"], solve, f"{key} long, ordinal int, matched double, metres double")
+    out = by_group(both, key, ["answered", "ordinal"], solve, f"{key} long, ordinal int, matched double, metres double", stacked=True)
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     return out.select(key, "ordinal", known("matched").cast("int").alias("matched"), known("metres").alias("metres"))
 
@@ -101,7 +108,7 @@ def spread(runs: DataFrame, key: str, metric: str) -> DataFrame:
     return own.groupBy(key).agg(F.count(m).alias("n"), F.avg(m).alias("mean"), ((F.max(m) - F.min(m)) / 2).alias("half_range"), F.stddev_samp(m).alias("sd"))
 
 
-#: Different values of a block, and cells of a table of draws that a task holds.
+#: Different values of a block, and cells of a table (of draws, of distances) that a task holds.
 BLOCK = 1024
 CELLS = 1 << 20
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import geo
 from ..operators import measures, trajectories
+from ..operators.staging import settle
 from .registry import query
 
 
@@ -119,7 +120,7 @@ def j_21_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def agg_27_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores of the match, by walk; a test works them out in plain code."""
-    s = views.stops(spark, sf_dir)
+    s = settle(views.stops(spark, sf_dir), "stops")
     answer = s.withColumn("route_id", F.col("route_id") - 1)
     r = F.col("route_id")
     plans = answer.groupBy("route_id").agg(F.count("*").alias("n")).select("route_id", F.when(r % 2 == 0, F.col("n") * 900.0).alias("walk_seconds"), (F.col("n") * 14.0).alias("walk_minutes"), F.when(r % 3 != 0, 40.0).alias("est_walk_minutes"), (r % 5 != 0).alias("fits"))

@@ -205,3 +205,29 @@ def test_encoded_lines_hold_all_lines_of_a_batch(spark):
     cut = spark.createDataFrame([(1, "_p~iF~ps|U_ulL"), (2, "_p~iF~ps|U_ulLnnq"), (3, None), (4, ""), (5, "_"), (6, "??")], "k long, t string").coalesce(1)
     got = {r["k"]: r["line"] and [tuple(p) for p in r["line"]] for r in cut.select("k", geo.decode_line(F.col("t"), 5).alias("line")).collect()}
     assert got == {1: [(-120.2, 38.5)], 2: [(-120.2, 38.5)], 3: None, 4: [], 5: [], 6: [(0.0, 0.0)]}
+
+
+def test_cases_of_as_many_stops_are_matched_at_once(spark, monkeypatch):
+    """Against plain code: equal spots, missing coordinates, cases without reference or answer; cells of few cases and of many."""
+    ways, by_group = [], measures.by_group
+    monkeypatch.setattr(measures, "by_group", lambda *a, **kw: ways.append(kw.get("stacked", False)) or by_group(*a, **kw))
+    r, kind = random.Random(5), "route_id long, ordinal int, lat double, lon double"
+    spots = [(53.0 + r.random() * 0.05, 24.0 + r.random() * 0.05) for _ in range(25)]
+    spot = lambda: (None, 24.0) if r.random() < 0.05 else r.choice(spots)
+    asked, given = ({k: [spot() for _ in range(r.randint(0, 5))] for k in range(150)} for _ in range(2))
+    asked[150], given[150] = [spot() for _ in range(70)], [spot() for _ in range(90)]
+    frame = lambda own: spark.createDataFrame([(k, i + 1, *p) for k, ps in own.items() for i, p in enumerate(ps)], kind)
+    want = {}
+    for k, own in asked.items():
+        free = list(range(len(given[k])))
+        for i, p in enumerate(own):
+            near = [j for j in free if None not in (*p, *given[k][j]) and metres(p, given[k][j]) <= 1500]
+            best = min(near, key=lambda j: (round(metres(p, given[k][j]), 6), j), default=None)
+            want[k, i + 1] = None if best is None else best + 1
+            free = [j for j in free if j != best]
+    for cells in (1 << 20, 40):
+        monkeypatch.setattr(measures, "CELLS", cells)
+        got = measures.greedy_matches(frame(asked), frame(given), key="route_id", metres=1500.0).collect()
+        assert {(x["route_id"], x["ordinal"]): x["matched"] for x in got} == want
+        assert all((x["metres"] is None) == (x["matched"] is None) for x in got)
+    assert ways == [True, True]
