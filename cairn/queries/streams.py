@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
+from ..operators.staging import settle
 from ..operators.store import latest
 from ..streaming import journal, positions
 from ..streaming.runs import latest_batch, run_to_end
@@ -72,10 +73,15 @@ def stm_11_off_route_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guided_parts(spark: SparkSession, sf_dir: str, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A feed of fixes about the first leg of their user's walk, one in four off it; and the walks as lines."""
-    own = views.stops(spark, sf_dir).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "lon", "lat"))).alias("s"))
+    """A feed of fixes about the first leg of their user's walk, one in four off it; and the walks of its users as lines.
+
+    Each batch of a stream works out a fixed side anew, also those that only let time pass, so the walks are settled.
+    """
+    users = views.read(spark, sf_dir, "events").select(F.col("user_id").alias("route_id")).distinct()
+    own = views.stops(spark, sf_dir).join(users, "route_id", "left_semi").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "lon", "lat"))).alias("s"))
     line = F.transform("s", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    walks = own.where(F.size("s") > 1).select(F.col("route_id").alias("user_id"), line.alias("line"), line.alias("stops"))
+    walks = own.where(F.size("s") > 1).select(F.col("route_id").alias("user_id"), line.alias("line"))
+    walks = settle(walks, "walks").withColumn("stops", F.col("line"))
     k, a, b = F.col("event_id"), F.element_at("line", 1), F.element_at("line", 2)
     share = (k * 37 % 101) / F.lit(100.0)
     aside = F.when(k % 4 == 0, 0.01).otherwise(0.0)

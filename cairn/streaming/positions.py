@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geo
+from ..operators.groups import dealt
 
 
 def fix_quality(*, available: Column, fixed: Column, age_s: Column, accuracy_m: Column, most_age_s: float = 15, most_accuracy_m: float = 50) -> Column:
@@ -67,7 +69,8 @@ def guided(feed: DataFrame, walks: DataFrame, *, in_a_row: int = 2, late: str =
     seen (repeated, or overtaken) is left out. A user's state goes forget_s after its last fix, by the watermark.
     """
     here = geo.located(F.col("line"), F.col("lat"), F.col("lon"))
-    met = feed.withWatermark("ts", late).join(walks.select("user_id", "line", "stops"), "user_id").withColumn("at", here)
+    # Dealt out first: what is worked out on each fix isn't left to the few tasks that read a batch's files.
+    met = dealt(feed.withWatermark("ts", late), "user_id").join(walks.select("user_id", "line", "stops"), "user_id").withColumn("at", here)
     to_stops = F.transform("stops", lambda s: geo.haversine_m(F.col("lat"), F.col("lon"), s["lat"], s["lon"]))
     good = F.coalesce(F.col("good"), F.lit(False)) & F.col("at").isNotNull()
     rows = met.select("user_id", "event_id", "ts", F.when(good, F.col("at.metres")).alias("off_line_m"), F.col("at.along").alias("along"), to_stops.alias("to_stops"))
@@ -77,14 +80,18 @@ def guided(feed: DataFrame, walks: DataFrame, *, in_a_row: int = 2, late: str =
             state.remove()
             return
         travelled, run, ahead, seen, last = state.get if state.exists else (0.0, 0, 0, -1.0, -1)
-        own = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        kept = []
-        for event, ts, off_m, along, stops in zip(own["event_id"], own["ts"], own["off_line_m"], own["along"], own["to_stops"], strict=True):
-            moment = ts.timestamp()
+        # A user's rows are few: plain columns cost less than frames made for each.
+        parts = list(batches)
+        own = {c: np.concatenate([b[c].to_numpy() for b in parts]) for c in ("event_id", "ts", "off_line_m", "along", "to_stops")}
+        order = np.lexsort((own["event_id"], own["ts"]))
+        own = {c: v[order] for c, v in own.items()}
+        moments = own["ts"].astype("datetime64[us]").astype(np.int64) / 1e6
+        kept, found = [], []
+        for i, (event, moment, off_m, along, stops) in enumerate(zip(own["event_id"].tolist(), moments.tolist(), own["off_line_m"].tolist(), own["along"].tolist(), own["to_stops"], strict=True)):
             if (moment, event) <= (seen, last):
                 continue
-            seen, last, arrived = moment, int(event), None
-            if pd.isna(off_m):
+            seen, last, arrived = moment, event, None
+            if off_m != off_m:  # none
                 run = 0
             else:
                 travelled = max(travelled, along - BACKWARD_M)
@@ -93,10 +100,12 @@ def guided(feed: DataFrame, walks: DataFrame, *, in_a_row: int = 2, late: str =
                 if near <= ARRIVED_M:
                     ahead += 1
                     arrived = ahead
-            kept.append((key[0], last, ts, off_m, travelled, run >= in_a_row, arrived))
+            kept.append(i)
+            found.append((travelled, run >= in_a_row, arrived))
         state.update((travelled, run, ahead, seen, last))
         state.setTimeoutTimestamp(max(int(seen), state.getCurrentWatermarkMs() // 1000) * 1000 + forget_s * 1000)
-        out = pd.DataFrame(kept, columns=["user_id", "event_id", "ts", "off_line_m", "travelled", "off", "arrived"])
-        yield out.astype({"arrived": "Int32"})
+        far, off, arrived = zip(*found, strict=True) if found else ((), (), ())
+        own = {c: own[c][kept] for c in ("event_id", "ts", "off_line_m")} if kept else {c: own[c][:0] for c in ("event_id", "ts", "off_line_m")}
+        yield pd.DataFrame({"user_id": np.full(len(kept), key[0]), **own, "travelled": np.array(far, float), "off": np.array(off, bool), "arrived": pd.array(arrived, "Int32")})
 
     return rows.groupBy("user_id").applyInPandasWithState(step, f"user_id long, event_id long, ts {dict(feed.dtypes)['ts']}, off_line_m double, travelled double, off boolean, arrived int", GUIDE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

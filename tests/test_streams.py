@@ -215,3 +215,14 @@ def test_the_guided_query_is_plain_code(spark, small):
     line = {r["user_id"]: [(p["lat"], p["lon"]) for p in r["line"]] for r in walks.collect()}
     rows = [(r["event_id"], r["ts"], r["user_id"], r["lat"], r["lon"], r["good"]) for r in feed.collect()]
     same_guide(QUERIES["stm_06_progress_stream"](spark, small).collect(), guided_by_hand([rows], line))
+
+
+def test_the_guided_querys_batches_read_settled_walks(spark, small):
+    """Walks of the feed's users alone, from a table: no batch ranks all lines again."""
+    feed, walks = streams._guided_parts(spark, small, views.read(spark, small, "events"))
+    for df in (feed, walks):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "l_orderkey" not in plan
+    users = {r[0] for r in views.read(spark, small, "events").select("user_id").distinct().collect()}
+    assert {r["user_id"] for r in walks.collect()} <= users
+    assert {r["user_id"] for r in walks.collect()} == {r[0] for r in views.stops(spark, small).groupBy("route_id").count().where("count > 1").collect()} & users
