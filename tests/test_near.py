@@ -124,6 +124,27 @@ def test_first_matches_are_looked_for_a_few_at_a_time(spark, monkeypatch):
     assert dict(map(tuple, df.collect())) == want and want[100] == 200 and max(want.values()) > 16
 
 
+def test_first_matches_are_dealt_out_and_later_rounds_look_about(spark, monkeypatch):
+    """One task's rows are dealt out; later rounds meet cubes, by the poles and across the date line too."""
+    r, plans, settle = random.Random(3), [], spatial.settle
+    monkeypatch.setattr(spatial, "FIRST_ROWS", 4)
+    monkeypatch.setattr(spatial, "settle", lambda df, name: (name == "first" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or settle(df, name))
+    spots = [lambda: (r.uniform(89, 90), r.uniform(-180, 180)), lambda: (r.uniform(-1, 1), r.choice([-180, 180]) + r.uniform(-1, 1)), lambda: (r.uniform(53, 54), r.uniform(24, 25))]
+    places = [(i, i % 2, *r.choice(spots)()) for i in range(90)] + [(90, 0, None, 24.0), (91, 0, -60.0, 10.0)]
+    photos = [(i, i % 2, *r.choice(spots)()) for i in range(90)] + [(90, 1, None, 24.0)]
+    left = spark.createDataFrame(places, "place_id long, k int, lat double, lon double").coalesce(1)
+    df = spatial.first_within(left, spark.createDataFrame(photos, "photo long, k int, r_lat double, r_lon double"), 40_000.0, on="k", id_="photo")
+    want = {}
+    for i, k, *p in places:
+        near = [j for j, kk, *q in photos if kk == k and None not in (p[0], q[0]) and metres(p, q) <= 40_000]
+        if near:
+            want[i] = min(near)
+    got = df.collect()
+    assert dict(map(tuple, got)) == want and len(got) == len(want) and 91 not in want
+    assert {n for n in range(3) if any((places[i][2] > 80, abs(places[i][3]) > 150, places[i][2] > 50)[n] for i in want)} == {0, 1, 2}
+    assert "REPARTITION_BY_NUM" in plans[0] and len(plans) > 1 and all("_cube" in p for p in plans[1:])
+
+
 def test_coverage_stops_at_the_first_answer(spark, small, monkeypatch):
     from cairn.queries import QUERIES
 
