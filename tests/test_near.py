@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_solvers import metres
 
@@ -83,6 +84,44 @@ def test_detours_keep_the_first_of_equal_legs_in_a_hash_table(spark):
     assert found.schema["ordinal"].dataType.simpleString() == "int"
 
 
+def test_rows_are_dealt_out_though_they_lie_by_keys_already(spark):
+    from cairn.operators.groups import dealt
+
+    own = spark.range(400).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    assert dealt(own, "id").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_what_paths_find_is_not_aggregated(spark):
+    stops = spark.createDataFrame([(k, i, 53.1 + 0.3 * i, 23.6 + 0.5 * i) for k in range(3) for i in range(3)], "route_id long, ordinal int, lat double, lon double")
+    points = spark.createDataFrame([(1, 53.4, 24.1), (2, 53.41, 24.1)], POINT)
+    assert "Aggregate" not in plan(spatial.along_lines(points, spatial.segments(stops, "route_id", "ordinal"), "route_id", 2000.0, id_="service_id"))
+
+
+def test_the_least_of_runs(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.operators import groups
+
+    r = random.Random(3)
+    rows = [(k, r.randrange(5), r.randrange(3), n) for k in [None, 4, 2, 9] for n in range(r.randrange(1, 30))]
+    table = pa.table(dict(zip("kibn", map(list, zip(*rows, strict=True)), strict=True)))
+    want: dict = {}
+    for k, i, b, n in rows:
+        want[k, i] = min(want.get((k, i), (9, 0)), (b, n))
+    monkeypatch.setattr(groups, "RUN_ROWS", 4)
+    got = [x for t in groups.whole_runs(iter(table.to_batches(max_chunksize=3)), "k") for x in t.take(groups.least(t, "k", "i", "b")).to_pylist()]
+    assert sorted(((x["k"] or 0, x["i"], x["b"], x["n"]) for x in got)) == sorted((k or 0, i, *v) for (k, i), v in want.items())
+
+
+def test_cells_are_smaller_where_points_lie_close(spark):
+    r = random.Random(4)
+    points = lambda n: spark.createDataFrame([(i, r.uniform(53, 53.3), r.uniform(24, 24.3)) for i in range(n)], POINT)
+    few, many = (spatial.fitting_size(points(n), 1.0) for n in (20, 5000))
+    assert many < few / 2
+    assert spatial.fitting_size(spark.createDataFrame([], POINT), 1.0) == 0.03
+    assert spatial.fitting_size(spark.createDataFrame([(i, 53.0, 24.0) for i in range(99)], POINT), 1.0) >= 0.03
+
+
 def test_stairways_on_long_legs(spark):
     stops = spark.createDataFrame([(1, 1, 53.1, 23.6), (1, 2, 54.4, 26.4), (1, 3, 54.4, 23.6)], "route_id long, ordinal int, lat double, lon double")
     steps = spark.createDataFrame([(1, 53.75, 25.0), (2, 54.4, 25.0), (3, 53.2, 26.3)], POINT)
