@@ -97,6 +97,23 @@ def test_what_paths_find_is_not_aggregated(spark):
     assert "Aggregate" not in plan(spatial.along_lines(points, spatial.segments(stops, "route_id", "ordinal"), "route_id", 2000.0, id_="service_id"))
 
 
+def test_the_first_along_a_path_are_looked_for_near_its_start(spark, monkeypatch):
+    r = random.Random(11)
+    some = lambda n: [(i, r.uniform(53, 53.4), r.uniform(24, 24.6)) for i in range(n)]
+    stops = [(k, i, y, x) for k in range(40) for i, y, x in some(1 + k % 6)] + [(90, 1, 53.2, 24.2), (90, 2, 53.2, 24.2), (91, 1, 10.0, 10.0), (91, 2, 10.0, 11.0)]
+    legs = spatial.segments(spark.createDataFrame(stops, "route_id long, ordinal int, lat double, lon double"), "route_id", "ordinal")
+    points = spark.createDataFrame(some(1500), POINT)
+    by_path: dict = {}
+    for x in spatial.along_lines(points, legs, "route_id", 2000.0, id_="service_id").collect():
+        by_path.setdefault(x["route_id"], []).append((math.floor(x["fraction"] * 1e6 + 0.5), math.floor(x["offset"] * 100 + 0.5), x["service_id"]))
+    want = {(k, x[2], i + 1) for k, own in by_path.items() for i, x in enumerate(sorted(own)[:12])}
+    ends, on_legs = [], spatial.points_on_legs
+    monkeypatch.setattr(spatial, "points_on_legs", lambda *a, **kw: ends.append(kw.get("b")) or on_legs(*a, **kw))
+    got = [(x["route_id"], x["service_id"], x["rank"]) for x in spatial.first_along(points, legs, "route_id", 2000.0, 12, id_="service_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len(ends) > 1 and ends[0] and not ends[-1]
+
+
 def test_the_least_of_runs(monkeypatch):
     import pyarrow as pa
 
