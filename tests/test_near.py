@@ -146,6 +146,19 @@ def test_stairways_on_long_legs(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 2), (1, 2, 3)]
 
 
+def test_many_stairways_are_looked_for_part_by_part(spark, monkeypatch):
+    r = random.Random(12)
+    stops = [(k, i, r.uniform(53, 53.6), r.uniform(24, 24.8)) for k in range(30) for i in range(1, 5)] + [(50, 1, 53.2, 24.2), (50, 2, 53.2, 24.2)]
+    steps = [(i, r.uniform(53, 53.6), r.uniform(24, 24.8)) for i in range(4000)]
+    parts, on_legs = [], tours.points_on_legs
+    monkeypatch.setattr(tours, "points_on_legs", lambda *a, **kw: parts.append(kw) or on_legs(*a, **kw))
+    found = tours.stepped_legs(spark.createDataFrame(stops, "route_id long, ordinal int, lat double, lon double"), spark.createDataFrame(steps, POINT), near_m=400.0)
+    got = [tuple(x) for x in found.collect()]
+    want = {(k, i, j) for k, i, *a in stops for k2, j, *b in stops if k == k2 and i < j and any(far(p, a, b) <= 400 for _, *p in steps)}
+    assert len(got) == len(want) and set(got) == want
+    assert len(parts) > 1 and len(want) < 30 * 6 + 1
+
+
 def test_places_with_two_names_close_by_are_settled_first(spark, monkeypatch):
     radii, meet = [], spatial.meet_legs
     monkeypatch.setattr(spatial, "meet_legs", lambda points, legs, a, b, reach, **kw: radii.append(kw["size"]) or meet(points, legs, a, b, reach, **kw))
