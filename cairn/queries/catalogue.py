@@ -91,11 +91,11 @@ def msc_02_content_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _step_free(spark: SparkSession, sf_dir: str, stops: DataFrame) -> DataFrame:
-    """Whether walks are free of steps on their line; not measured (every seventh) is uncertain."""
-    steps = views.services(spark, sf_dir).where("kind = 'toilet'")
-    on_line = spatial.along_lines(steps, spatial.segments(stops, "route_id", "ordinal"), "route_id", 1.0, id_="service_id")
-    own = stops.groupBy("route_id").agg(F.count("*").alias("points")).join(on_line.select("route_id").distinct().withColumn("hit", F.lit(True)), "route_id", "left")
-    return own.select("route_id", verify.step_free(F.coalesce("hit", F.lit(False)), F.col("points") >= 2, F.col("route_id") % 7 != 0).alias("status"))
+    """Whether walks are free of steps on their line; not measured (every seventh) is uncertain, so steps on it tell nothing."""
+    steps, measured = views.services(spark, sf_dir).where("kind = 'toilet'"), F.col("route_id") % 7 != 0
+    on_line = spatial.paths_met(steps, spatial.segments(stops.where(measured), "route_id", "ordinal"), "route_id", 1.0)
+    own = stops.groupBy("route_id").agg(F.count("*").alias("points")).join(on_line.withColumn("hit", F.lit(True)), "route_id", "left")
+    return own.select("route_id", verify.step_free(F.coalesce("hit", F.lit(False)), F.col("points") >= 2, measured).alias("status"))
 
 
 @query(views.sql(""", legs AS (SELECT route_id, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon FROM stops WINDOW w AS (PARTITION BY route_id ORDER BY ordinal)),

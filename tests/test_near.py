@@ -114,6 +114,23 @@ def test_the_first_along_a_path_are_looked_for_near_its_start(spark, monkeypatch
     assert len(ends) > 1 and ends[0] and not ends[-1]
 
 
+def test_paths_with_a_point_on_them_are_told_once(spark):
+    stops = [(k, i, 53.1 + 0.3 * i, 23.6 + 0.1 * k) for k in range(5) for i in range(3)] + [(9, 0, 53.1, 23.6)]
+    legs = spatial.segments(spark.createDataFrame(stops, "route_id long, ordinal int, lat double, lon double"), "route_id", "ordinal")
+    points = spark.createDataFrame([(1, 53.2, 23.6), (2, 53.3, 23.6), (3, 53.55, 23.8), (4, 53.2, 23.9001)], POINT)
+    found = spatial.paths_met(points, legs, "route_id", 1.0)
+    assert sorted(x["route_id"] for x in found.collect()) == [0, 2]
+
+
+def test_walks_that_are_uncertain_anyway_are_not_held_against_steps(spark, small, monkeypatch):
+    from cairn.queries import QUERIES
+
+    asked, met = [], spatial.paths_met
+    monkeypatch.setattr(spatial, "paths_met", lambda points, legs, key, metres: asked.append(legs) or met(points, legs, key, metres))
+    assert QUERIES["ver_06_step_free"](spark, small).where("route_id % 7 = 0 and status <> 'uncertain'").isEmpty()
+    assert asked[0].where("route_id % 7 = 0").isEmpty() and not asked[0].isEmpty()
+
+
 def test_the_least_of_runs(monkeypatch):
     import pyarrow as pa
 
